@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quillion.llm import decontaminate
+from quillion.llm import decontaminate, quality, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_toxicity": toxicity.op6_toxicity,
 }
 
 ORACLES = {
