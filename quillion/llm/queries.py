@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillion.llm import decontaminate, quality, toxicity
+from quillion.llm import decontaminate, neardup, quality, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
 }
 
 ORACLES = {
