@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillion.llm import decontaminate, neardup, quality, toxicity
+from quillion.llm import decontaminate, neardup, pieces, quality, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_toxicity": toxicity.op6_toxicity,
