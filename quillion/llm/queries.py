@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillion.llm import decontaminate, neardup, pieces, quality, toxicity
+from quillion.llm import decontaminate, neardup, pieces, quality, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_warc": warc.op2_warc,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
 }
