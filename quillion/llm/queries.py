@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillion.llm import decontaminate, neardup, pieces, quality, toxicity, warc
+from quillion.llm import chat, decontaminate, neardup, pieces, quality, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op8_chat_formatting": chat.op8_chat_formatting,
 }
 
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+    "op8_chat_formatting": chat.OP8_SQL,
 }
