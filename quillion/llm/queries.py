@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillion.llm import chat, decontaminate, neardup, pieces, quality, toxicity, warc
+from quillion.llm import ann, chat, decontaminate, neardup, pieces, quality, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_learned_partitions": ann.op9_learned_partitions,
 }
 
 ORACLES = {
