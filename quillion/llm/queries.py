@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillion.llm import ann, chat, decontaminate, neardup, pieces, quality, toxicity, warc
+from quillion.llm import ann, chat, decontaminate, neardup, pieces, quality, shards, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -13,10 +13,12 @@ QUERIES = {
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_learned_partitions": ann.op9_learned_partitions,
+    "op10_sharding": shards.op10_sharding,
 }
 
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
+    "op10_sharding": shards.OP10_SQL,
 }
