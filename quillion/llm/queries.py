@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillion.llm import ann, chat, decontaminate, neardup, pieces, quality, shards, toxicity, warc
+from quillion.llm import ann, chat, decontaminate, licenses, neardup, pieces, quality, shards, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_warc": warc.op2_warc,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
