@@ -53,6 +53,9 @@ TEMPLATES = {
     "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0/notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-4.0/short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0/short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-NC-4.0/short": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "Proprietary/notice": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
@@ -151,7 +154,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text",
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many segments match, the best match and the licences found."""
     m = scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
-    order = F.expr("array_sort(_matches, (x, y) -> case when x.dice > y.dice then -1 when x.dice < y.dice then 1 when x.template < y.template then -1 when x.template > y.template then 1 else x.first_line - y.first_line end)")
+    order = F.expr("array_sort(_matches, (x, y) -> case when x.dice > y.dice then -1 when x.dice < y.dice then 1 when x.template < y.template then -1 when x.template > y.template then 1 else cast(sign(x.first_line - y.first_line) as int) end)")
     top = F.try_element_at(order, F.lit(1))
     names = F.array_sort(F.array_distinct(F.transform("_matches", lambda x: F.substring_index(x["template"], "/", 1))))
     return m.select("doc_id", F.size("_matches").cast("long").alias("n_matches"), top["template"].alias("template"), top["dice"].alias("dice"), F.array_join(names, ",").alias("licenses"))
