@@ -58,6 +58,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0/short": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Proprietary/short": "All rights reserved.",
     "Proprietary/notice": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
 }
 
