@@ -18,18 +18,19 @@ KEPT_LOWER, NEVER_UPPER = ("or", "not"), ("or", "not", "and")
 LEAST_CHARS, MOST_CHARS = 3, 1000
 
 
-def tokens(question: Column) -> Column:
-    plain = F.replace(text.nfkc(question), F.lit("’"), F.lit("'"))
-    return F.regexp_extract_all(plain, F.lit(r"(?U)\w+(?:['-]\w+)*"), F.lit(0))
+def plain(question: Column) -> Column:
+    """Compatibility forms composed, curly apostrophes straight."""
+    return F.replace(text.nfkc(question), F.lit("’"), F.lit("'"))
 
 
-def search_query(question: Column) -> Column:
-    """The question's terms, joined by spaces; null if no term is left.
+def search_query(plain: Column) -> Column:
+    """The terms of a question in plain form, joined by spaces; null if no term is left.
 
     Stopwords go unless capitals mark them as acronyms: upper case in a
     question that isn't all upper case, and not a single letter in front.
     """
-    shouting = ~F.replace(text.nfkc(question), F.lit("’"), F.lit("'")).rlike(r"(?U)\p{Lower}")
+    shouting = ~plain.rlike(r"(?U)\p{Lower}")
+    found = F.regexp_extract_all(plain, F.lit(r"(?U)\w+(?:['-]\w+)*"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
 
     def keep(t: Column, i: Column) -> Column:
@@ -38,7 +39,7 @@ def search_query(question: Column) -> Column:
         acronym = ~shouting & upper & ~low.isin(*NEVER_UPPER) & ((F.length(t) > 1) | (i > 0))
         return ~F.array_contains(stop, low) | acronym
 
-    kept = F.filter(tokens(question), keep)
+    kept = F.filter(found, keep)
     return text.nonempty(F.array_join(F.transform(kept, lambda t: F.when(F.lower(t).isin(*KEPT_LOWER), F.lower(t)).otherwise(t)), " "))
 
 
@@ -49,7 +50,8 @@ def process(questions: DataFrame, col: str = "question") -> DataFrame:
     least one term.
     """
     q = questions.withColumn(col, text.strip(F.col(col)))
-    q = q.withColumn("search_query", search_query(F.col(col)))
+    # a column of its own: Python functions may not stand inside lambda functions
+    q = q.withColumn("_plain", plain(F.col(col))).withColumn("search_query", search_query(F.col("_plain"))).drop("_plain")
     return q.withColumn("valid", F.coalesce(F.length(col).between(LEAST_CHARS, MOST_CHARS) & F.col("search_query").isNotNull(), F.lit(False)))
 
 

@@ -18,6 +18,8 @@ def score(terms: Column, title_words: Column, abstract_words: Column) -> Column:
     in_title = F.size(F.array_intersect(terms, title_words)) / n
     mentions = F.aggregate(terms, F.lit(0), lambda a, t: a + F.least(F.lit(FULL_MENTIONS), F.size(F.filter(abstract_words, lambda w: w == t))))
     # rounded half to even, so that noise can't reorder ties
+    # the second use of the words keeps the optimiser from computing them anew for each term
+    mentions = F.when(F.size(abstract_words) > 0, mentions).otherwise(0)
     return F.when(n > 0, F.bround(TITLE_WEIGHT * in_title + ABSTRACT_WEIGHT * (mentions / FULL_MENTIONS / n), 6)).otherwise(0.0)
 
 
@@ -35,9 +37,8 @@ def scored(papers: DataFrame, questions: DataFrame) -> DataFrame:
     Questions are few and joined by qid; the optimiser broadcasts them if they are small.
     """
     q = questions.select("qid", query.terms(F.col("search_query")).alias("_terms"))
-    p = papers.drop("rank_score").join(q, "qid", "left")
-    s = score(F.col("_terms"), text.words(F.col("title")), text.words(F.col("abstract")))
-    return p.withColumn("rank_score", F.coalesce(s, F.lit(0.0))).drop("_terms")
+    p = papers.drop("rank_score").withColumns({"_title": text.words(F.col("title")), "_abstract": text.words(F.col("abstract"))}).join(q, "qid", "left")
+    return p.withColumn("rank_score", F.coalesce(score(F.col("_terms"), F.col("_title"), F.col("_abstract")), F.lit(0.0))).drop("_terms", "_title", "_abstract")
 
 
 def ranked(scored_papers: DataFrame, by: str = "qid", most: int | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def array_at(v: Column, path: str) -> Column:
 
 def first_text(v: Column, path: str) -> Column:
     """The first text with content of a list, or of a bare value."""
-    got = F.coalesce(F.transform(array_at(v, path), string_at), F.array(string_at(v, path)))
+    got = F.coalesce(F.transform(array_at(v, path), lambda x: string_at(x)), F.array(string_at(v, path)))
     return F.try_element_at(F.array_compact(text.plain_texts(got)), F.lit(1))
 
 

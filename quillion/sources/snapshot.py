@@ -44,7 +44,7 @@ def envelopes(questions: DataFrame, papers: DataFrame, evidence: DataFrame, stat
     them. Questions without terms are 422.
     """
     fields = [c for c in papers.columns if c not in ("qid", "rank", "ord")]
-    p = papers.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("p")))), lambda x: x["p"]).alias("papers"))
+    p = papers.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("p"))), lambda x, y: x["rank"] - y["rank"]), lambda x: x["p"]).alias("papers"))
     e = evidence.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("paper_id"), F.struct(*[c for c in evidence.columns if c != "qid"])))).alias("evidence"))
     s = statuses.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("provider", F.struct("status", "paper_count", "error")))).alias("provider_status"))
     q = questions.join(p, "qid", "left").join(e, "qid", "left").join(s, "qid", "left").join(codes, "qid", "left")
