@@ -32,21 +32,23 @@ def leaders(records: DataFrame, keys: DataFrame) -> DataFrame:
     Minimum labels travel from records to keys and back, with pointer jumping.
     """
     spark = records.sparkSession
-    shared = keys.distinct().join(keys.distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+    keys = keys.distinct()
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
     edges, edges_path = cut(shared, "dedup-edges")
-    label, path = cut(edges.select("ord").distinct().select("ord", F.col("ord").alias("leader")), "dedup-labels")
-    while True:
+
+    def spread(label: DataFrame) -> DataFrame:
         hub = edges.join(label, "ord").groupBy("key").agg(F.min("leader").alias("least"))
-        near = edges.join(hub, "key").groupBy("ord").agg(F.min("least").alias("leader"))
-        near, mid = cut(near, "dedup-labels")
+        return edges.join(hub, "key").groupBy("ord").agg(F.min("least").alias("leader"))
+
+    # one step settles all groups that share one key; a key whose records differ asks for more
+    label, path = cut(spread(edges.select("ord", F.col("ord").alias("leader")).distinct()), "dedup-labels")
+    while not edges.join(label, "ord").groupBy("key").agg(F.min("leader").alias("a"), F.max("leader").alias("b")).where("a <> b").isEmpty():
+        near, mid = cut(spread(label), "dedup-labels")
         jump = near.select(F.col("ord").alias("leader"), F.col("leader").alias("further"))
         new, new_path = cut(near.join(jump, "leader").select("ord", F.col("further").alias("leader")), "dedup-labels")
-        changed = not new.join(label.withColumnRenamed("leader", "was"), "ord").where("was <> leader").isEmpty()
         delete(spark, path)
         delete(spark, mid)
         label, path = new, new_path
-        if not changed:
-            break
     delete(spark, edges_path)
     return records.select("ord").join(label, "ord", "left").select("ord", F.coalesce("leader", "ord").alias("leader"))
 
