@@ -2,8 +2,8 @@
 
 Features are which hashed words occur in a text (lower case, letters and
 digits). A logistic layer is trained on labelled documents; for every training
-document that names a group, a copy with the identity term swapped for another
-of its kind must score alike: the squared change of the logit is penalised, so
+document that names a group, copies with the identity term swapped for another
+of its kind, and for a neutral word, must score alike: the squared change of the logit is penalised, so
 that terms for groups carry no weight of their own and neutral mentions are
 left alone.
 
@@ -84,14 +84,15 @@ def swaps(bits: int = BITS) -> list[tuple[int, ...]]:
 
 
 def counterfactuals(rows: list[np.ndarray], kinds: list[tuple[int, ...]]) -> list[tuple[int, np.ndarray]]:
-    """For each row and each identity term in it: the row with the next term of its kind instead."""
+    """For each row and each identity term in it: the row with the next term of its kind instead, and with a neutral word."""
     out = []
     for i, r in enumerate(rows):
         have = set(r.tolist())
         for kind in kinds:
             for k, term in enumerate(kind):
                 if term in have:
-                    out.append((i, np.fromiter(sorted((have - {term}) | {kind[(k + 1) % len(kind)]}), np.int64)))
+                    for other in ({kind[(k + 1) % len(kind)]}, set()):  # neutral words have no feature
+                        out.append((i, np.fromiter(sorted((have - {term}) | other), np.int64)))
     return out
 
 
