@@ -8,7 +8,8 @@ that terms for groups carry no weight of their own and neutral mentions are
 left alone.
 
 Training rows: at most ``PER_CLASS`` labelled documents of each label, never
-held-out ones, whose distinct word buckets (not texts) reach the driver; words
+held-out ones, whose distinct word buckets (not texts) reach the driver, and of
+near copies among them the first; words
 take part when their document frequencies differ between the labels by at least
 ``SCREEN`` standard errors and they occur in ``LEAST_SHARE`` of one label's rows. Scoring covers every whole text where it lies,
 without a shuffle; what is broadcast is at most 2**BITS weights.
@@ -36,6 +37,9 @@ from quillion.session import read
 BITS, PER_CLASS, SCREEN, LEAST_DOCS, LEAST_SHARE = 18, 4000, 4.0, 3, 0.015
 SWAP_WEIGHT, RIDGE, STEPS, RATE, THRESHOLD = 10.0, 2e-5, 600, 0.2, 0.5
 
+#: Share of the loss of each label, whatever their counts.
+LABEL_WEIGHTS = (0.65, 0.35)
+
 #: Identity terms, by kind; a term may be swapped for any other of its kind.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"),
@@ -96,6 +100,28 @@ def counterfactuals(rows: list[np.ndarray], kinds: list[tuple[int, ...]]) -> lis
     return out
 
 
+def distinct(rows: list[np.ndarray], y: np.ndarray, alike: float = 0.6, bands: int = 10, width: int = 4, seed: int = 11) -> np.ndarray:
+    """Positions of training rows without near copies of earlier ones of the same label.
+
+    Copies would make every word of what they copy look frequent. A row is
+    compared with the first row of each of its buckets (bands of minimum hashes).
+    """
+    rng = np.random.default_rng(seed)
+    odd = rng.integers(0, 2**63, (bands * width, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    first: dict[tuple, int] = {}
+    keep = []
+    for i, r in enumerate(rows):
+        if not len(r):
+            keep.append(i)
+            continue
+        low = ((r.astype(np.uint64) + np.uint64(1)) * odd).min(1).reshape(bands, width)
+        seen = [first.setdefault((int(y[i]), b, *low[b].tolist()), i) for b in range(bands)]
+        same = ((j, np.intersect1d(r, rows[j], assume_unique=True).size) for j in {*seen} - {i})
+        if not any(n >= alike * (len(r) + len(rows[j]) - n) for j, n in same):
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
 def screen(rows: list[np.ndarray], y: np.ndarray, kinds: list[tuple[int, ...]], bits: int = BITS, least: float = SCREEN) -> np.ndarray:
     """Buckets that take part: those whose frequencies differ by label, and all identity terms."""
     df = [np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == c]), minlength=1 << bits) for c in (0, 1)]
@@ -111,6 +137,8 @@ def screen(rows: list[np.ndarray], y: np.ndarray, kinds: list[tuple[int, ...]],
 def train(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = STEPS, bits: int = BITS, kinds: list[tuple[int, ...]] | None = None) -> tuple[np.ndarray, float]:
     """Weights by bucket, and the bias, by Adam on the weighted, penalised log loss."""
     kinds = swaps(bits) if kinds is None else kinds
+    some = distinct(rows, y)
+    rows, y = [rows[i] for i in some], y[some]
     use = screen(rows, y, kinds, bits)
     place = np.full(1 << bits, -1)
     place[use] = np.arange(len(use))
@@ -127,7 +155,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = SWAP_WEIGH
     new, was = entries([r for _, r in other]), entries([rows[i] for i, _ in other])
     crow, ccol = np.concatenate([new[0], was[0]]), np.concatenate([new[1], was[1]])
     csign = np.repeat([1.0, -1.0], [len(new[0]), len(was[0])])
-    per_row = np.array([0.5 / max(1, (y == c).sum()) for c in (0, 1)])[y]  # both labels weigh the same
+    per_row = np.array([w / max(1, (y == c).sum()) for c, w in enumerate(LABEL_WEIGHTS)])[y]
     w, b = np.zeros(k), 0.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):

@@ -170,5 +170,5 @@ def test_counterfactuals_take_the_weight_off_identity_terms():
     neutral, swapped = "the muslims met at noon", "the christians met at noon"
     gap = lambda m: abs(np.subtract(*toxicity.score_texts([neutral, swapped], *m)))
     assert gap(held) < 0.1 * gap(plain)
-    s = toxicity.score_texts([neutral, "what scum", None, ""], *held)
+    s = toxicity.score_texts([neutral, "those are scum", None, ""], *held)
     assert s[0] < 0.5 < s[1] and s[2] == s[3]
