@@ -65,7 +65,8 @@ def fold(c: Column) -> Column:
 
     Only rows with characters outside the table of Latin letters reach Python.
     """
-    return F.coalesce(_fold_rest(F.when(c.rlike(_NEEDS_FOLD), c)), F.translate(c, _FOLD_FROM, _FOLD_TO))
+    rest = F.coalesce(_fold_rest(F.when(c.rlike(_NEEDS_FOLD), c)), F.translate(c, _FOLD_FROM, _FOLD_TO))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), rest).otherwise(c)
 
 
 def nfkc(c: Column) -> Column:
