@@ -4,8 +4,11 @@ A store is a folder of immutable runs and of manifests. Arrivals are appended
 as runs of small files. Runs whose sizes lie within one power of ``fan_in``
 form a tier; a tier with ``fan_in`` runs is merged into one run of files of
 about the target size, and so on upwards; a run of the target size or more is
-sealed and never rewritten, so a row is written once for each tier it passes:
-about log(target / arrival) / log(fan_in) times.
+sealed and never rewritten once its files are whole, that is, if a merge made it
+or at most one of its files has less than half the target. A larger arrival of
+smaller files is rewritten by itself first. So a row is written once for each
+tier it passes, about log(target / arrival) / log(fan_in) times, and once if it
+arrives in a large run of small files.
 
 A version is a manifest: a table of the live runs. It is written beside the
 others under a temporary name and renamed to its number; the rename fails if
@@ -107,13 +110,17 @@ class Store:
             t, edge = t + 1, edge * self.fan_in
         return t
 
-    def describe(self, path: str) -> tuple | None:
-        """Manifest row of the run at ``path``; None if it has no data files."""
+    def describe(self, path: str, merged: bool = False) -> tuple | None:
+        """Manifest row of the run at ``path``; None if it has no data files.
+
+        A run of the target size is sealed if a merge made it or if its own files are whole.
+        """
         files = [s for s in self.fs.listStatus(self._path(path)) if s.getPath().getName().startswith("part-")]
         if not files:
             return None
-        size = sum(s.getLen() for s in files)
-        return (path.rsplit("/", 1)[-1], path, self.tier(size), size, len(files), size >= self.target)
+        sizes = [s.getLen() for s in files]
+        size, small = sum(sizes), sum(2 * n < self.target for n in sizes)
+        return (path.rsplit("/", 1)[-1], path, self.tier(size), size, len(files), size >= self.target and (merged or small <= 1))
 
     def append(self, arrivals: DataFrame, by: str | None = None) -> int:
         """Append rows as one run, or as one run for each value of the column ``by``; returns the version.
@@ -144,19 +151,34 @@ class Store:
         return new
 
     def plan(self) -> tuple[int, list[tuple[str, str, int]]] | None:
-        """The lowest tier with ``fan_in`` runs that aren't sealed: its number and its runs (run, path, bytes)."""
+        """What to merge next: a tier and its runs (run, path, bytes).
+
+        An unsealed run of the target size or more by itself, or else the lowest tier with ``fan_in`` runs that aren't sealed.
+        """
         unsealed = self.runs().where(~F.col("sealed"))
+        large = unsealed.where(F.col("bytes") >= self.target).orderBy("run").limit(1).collect()
+        if large:
+            return large[0]["tier"], [(large[0]["run"], large[0]["path"], large[0]["bytes"])]
         full = unsealed.groupBy("tier").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("run", "path", "bytes"))).alias("runs")).where(F.col("n") >= self.fan_in).orderBy("tier").limit(1).collect()
         return (full[0]["tier"], [tuple(r) for r in full[0]["runs"]]) if full else None
 
+    def _packed(self) -> SparkSession:
+        """A session of its own whose readers pack small files into parts of at most the target size."""
+        s = self.spark.newSession()
+        s.conf.set("spark.sql.files.maxPartitionBytes", str(self.target))
+        s.conf.set("spark.sql.files.openCostInBytes", "0")
+        s.conf.set("spark.sql.files.minPartitionNum", "1")
+        return s
+
     def compact(self) -> int:
         """Merge tiers until none is full; returns the latest version."""
         while (todo := self.plan()) is not None:
             version, (tier, runs) = self.versions()[-1], todo
             path = f"{self.root}/runs/m-{tier}-{uuid.uuid4().hex}"
-            files = max(1, -(-sum(b for _, _, b in runs) // self.target))
-            self.spark.read.schema(self.schema).parquet(*[p for _, p, _ in runs]).coalesce(files).write.parquet(path)
-            made = self.spark.createDataFrame([self.describe(path)], MANIFEST)
+            # packed one after the other, two neighbours have more than the target: so many parts at most
+            files = max(1, 2 * -(-sum(b for _, _, b in runs) // self.target) - 1)
+            self._packed().read.schema(self.schema).parquet(*[p for _, p, _ in runs]).coalesce(files).write.parquet(path)
+            made = self.spark.createDataFrame([self.describe(path, merged=True)], MANIFEST)
             merged = self.spark.createDataFrame([(r,) for r, _, _ in runs], "run string")
             try:
                 self.commit(self.runs(version).join(F.broadcast(merged), "run", "left_anti").select(*[f.name for f in MANIFEST]).unionByName(made), version + 1)

@@ -136,6 +136,25 @@ def test_store_compacts_and_commits(spark):
     assert store.read().count() == 200
 
 
+def test_large_arrivals_of_small_files_become_whole_files(spark):
+    df = spark.range(0, 24000, 1, 48).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    target = 256 << 10
+    store = shards.Store(spark, shared_path(spark, "store-large"), df.schema, target=target)
+    store.append(df)
+    (run,) = store.runs().collect()
+    # one arrival of more than the target, in files far below it
+    assert run["bytes"] > 4 * target and run["files"] == 48 and not run["sealed"]
+    store.compact()
+    (run,) = store.runs().collect()
+    assert run["sealed"] and target / 2 <= run["bytes"] / run["files"] <= 1.5 * target and run["files"] < 16
+    sizes = [s.getLen() for s in store.fs.listStatus(store._path(run["path"])) if s.getPath().getName().startswith("part-")]
+    assert max(sizes) <= 1.5 * target and sum(2 * n < target for n in sizes) <= 1
+    assert store.read().exceptAll(df).count() == 0 and store.read().count() == 24000 and store.plan() is None
+    # whole files are sealed as they arrive
+    store.append(df.coalesce(4))
+    assert store.runs().where("sealed").count() == 2 and store.plan() is None
+
+
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_on_small_tables(spark, module, label):
     docs = spark.createDataFrame([(i, f"fine words number {i}" if i % 2 else f"scum$$$ scum {i}", "x") for i in range(80)] + [(90, None, "x"), (91, "", "x")], "doc_id long, text string, label string")
