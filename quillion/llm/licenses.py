@@ -2,13 +2,19 @@
 
 Text is lower-cased and cut into words of letters and digits. What is compared
 with the templates are a document's segments: every line, every run of lines
-without a blank line between them, and the whole text. A segment's bigrams and
+without a blank line between them, the whole text, and every other run of
+lines, blank ones or not, so that a licence of several paragraphs is found
+inside a longer text. Of these other runs only the best count: one that
+overlaps a better match of the same template, or lies within a match that
+shares more bigrams, is left out; so is any segment within a match of another
+licence with more shared bigrams and no smaller coefficient. A segment's bigrams and
 a template's (both as multisets) have the Dice coefficient
 2 * |both| / (|segment| + |template|). For a coefficient of ``least`` the sizes
 must lie within a factor of (2 - least) / least, so templates are kept by size
 and only those within the bounds of a segment are compared; a segment of which
 less than least / (2 - least) are bigrams of some template can't match and is
-passed over.
+passed over. A run that begins or ends with a line without such bigrams is worse
+than the run without that line, so it isn't compared either.
 
 Everything happens where a document lies, without a shuffle; what is broadcast
 are the templates, a fixed list. Memory is that of one batch of texts.
@@ -24,6 +30,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +49,11 @@ TEMPLATES = {
     "MIT/notice": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause/conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause/conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD/disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "BSD/notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0/notice": "This work is licensed under the GNU General Public License, version 2.",
@@ -81,7 +91,10 @@ class Templates:
         self.least, self.ratio = least, (2 - least) / least
         got = ((name, bigrams(_WORD.findall(t.lower()))) for name, t in texts.items())
         self.by_size = sorted((sum(b.values()), name, b) for name, b in got if b)
-        self.known = {g for _, _, b in self.by_size for g in b}
+        self.known: dict[tuple, list[tuple[int, int]]] = {}
+        for k, (_, _, b) in enumerate(self.by_size):
+            for g, many in b.items():
+                self.known.setdefault(g, []).append((k, many))
         self.largest = self.by_size[-1][0] * self.ratio if self.by_size else 0
         self.compared = 0
 
@@ -103,11 +116,48 @@ class Templates:
                 top = (d, name)
         return top
 
+    def runs(self, words: list[str], ends: list[int], hits: list[int], known: set[tuple[int, int]]) -> list[tuple[int, int, float, str]]:
+        """Matches of runs of two lines or more, without the segments ``known``; as ``scan`` has them."""
+        share = self.least / (2 - self.least)
+        end, before = np.array(ends), np.zeros(len(words) + 1, np.int64)
+        before[np.array(hits) + 1] = 1
+        before = before.cumsum()
+        # a first line in which a known bigram begins, a last line in which one ends
+        first = np.flatnonzero(before[end[1:]] > before[end[:-1]])
+        last = np.flatnonzero(before[np.maximum(end[1:] - 1, 0)] > before[np.maximum(end[:-1] - 1, 0)]) + 1
+        if not len(first) or not len(last):
+            return []
+        # known bigrams less the share that the run must have: a run matches only if that grows
+        at_first, at_last = before[end[first]] - share * end[first], before[end[last] - 1] - share * (end[last] - 1)
+        best_after = np.append(np.maximum.accumulate(at_last[::-1])[::-1], -np.inf)
+        low = np.searchsorted(last, first + 2)
+        out = []
+        for k in np.flatnonzero(best_after[low] >= at_first - 1e-9).tolist():
+            a, begin = int(first[k]), ends[first[k]]
+            high = np.searchsorted(end[last], begin + 1 + self.largest + 1e-9, "right")
+            stops = last[low[k] : high][at_last[low[k] : high] >= at_first[k] - 1e-9].tolist()
+            seen: Counter = Counter()
+            shared, at = [0] * len(self.by_size), begin
+            for b in stops:
+                for i in range(at, ends[b] - 1):
+                    g = (words[i], words[i + 1])
+                    if held := self.known.get(g):
+                        seen[g] += 1
+                        for t, many in held:
+                            shared[t] += seen[g] <= many
+                at, n = max(at, ends[b] - 1), ends[b] - begin - 1
+                if (a, b) not in known:
+                    d, name = min((-2 * x / (n + size), name) for x, (size, name, _) in zip(shared, self.by_size, strict=True))
+                    if -d >= self.least:
+                        out.append((a, b, -d, name))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[int, int, float, str]]:
         """(first line, line after the last, coefficient, template) of the matching segments, in order.
 
-        Lines come first, then the runs of lines, then the whole text; a segment
-        of the same lines as one before it isn't repeated.
+        Lines come first, then the runs of lines without a blank one, then the
+        whole text, then other runs; a segment of the same lines as one before
+        it isn't repeated.
         """
         lines = text.lower().split("\n") if text else []
         words: list[str] = []
@@ -130,7 +180,20 @@ class Templates:
             # a template shares at most the known bigrams, and has at least n / ratio
             if bisect_left(hits, end - 1) - bisect_left(hits, first) >= self.least * (end - first - 1) / (2 - self.least) - 1e-9 and (hit := self.best(words[first:end])) is not None:
                 out.append((a, b, *hit))
-        return out
+        if len(lines) < 3:
+            return out
+        fixed = set(segments) | {(0, len(lines))}
+        size = {name: n for n, name, _ in self.by_size}
+        kept: list[tuple] = []
+        # the best first; what was compared before stays in any case
+        for m in sorted(out + self.runs(words, ends, hits, fixed), key=lambda m: (-m[2], m[:2] not in fixed, -(m[1] - m[0]), m)):
+            if m[:2] in fixed or not any(m[3] == o[3] and m[0] < o[1] and o[0] < m[1] for o in kept):
+                kept.append(m)
+        grams = {m: m[2] * (ends[m[1]] - ends[m[0]] - 1 + size[m[3]]) / 2 for m in kept}
+        over = {m: [o for o in kept if o[0] <= m[0] and m[1] <= o[1] and grams[o] > grams[m] + 1e-9] for m in kept}
+        # a part of one licence may be most of another
+        parts = {m for m in out if any(o[2] >= m[2] and o[3].split("/")[0] != m[3].split("/")[0] for o in over[m])}
+        return [m for m in out if m not in parts] + sorted(m for m in kept if m[:2] not in fixed and not over[m])
 
 
 MATCH = T.ArrayType(T.StructType([T.StructField("first_line", T.LongType()), T.StructField("end_line", T.LongType()), T.StructField("dice", T.DoubleType()), T.StructField("template", T.StringType())]))

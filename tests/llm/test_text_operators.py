@@ -1,6 +1,7 @@
 """Operators that work text by text: no Spark needed for most of it."""
 
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -106,6 +107,69 @@ def test_license_scan_equals_comparing_all():
     assert {m[3] for m in t.scan(texts[0])} == {"Apache-2.0/notice"} and "MIT" in [m[3] for m in t.scan(texts[1])]
 
 
+def in_paragraphs(name, starts, width=70):
+    """The lines of a template, with a blank line before each of ``starts``."""
+    text = licenses.TEMPLATES[name]
+    for w in starts:
+        text = text.replace(w, f"\n\n{w}")
+    return "\n".join(line for p in text.split("\n") for line in (textwrap.wrap(p, width) or [""]))
+
+
+@pytest.mark.parametrize(
+    "name, starts",
+    [
+        ("MIT", ["The above copyright", "THE SOFTWARE IS PROVIDED"]),
+        ("BSD-2-Clause", ["1. Redist", "2. Redist", "THIS SOFTWARE IS"]),
+        ("BSD-3-Clause", ["1. Redist", "2. Redist", "3. Neither", "THIS SOFTWARE IS"]),
+    ],
+)
+def test_licenses_of_several_paragraphs_inside_long_texts(name, starts):
+    t = licenses.Templates(licenses.TEMPLATES)
+    lines = in_paragraphs(name, starts).split("\n")
+    rng = np.random.default_rng(len(name))
+    filler = [" ".join(f"w{k}" for k in rng.integers(0, 500, 12)) for _ in range(60)]
+    for before, after in ((filler[:30], filler[30:]), ([*filler[:30], ""], ["", *filler[30:]]), ([], [])):
+        got = t.scan("\n".join([*before, *lines, *after]))
+        assert (len(before), len(before) + len(lines), 1.0, name) in got
+        assert {m[3].split("/")[0] for m in got} == {name}
+    # two licences, one after the other, and one line for each word
+    got = t.scan("\n".join([*filler, *lines, "", *filler, *lines]))
+    assert [m[:2] for m in got if m[3] == name] == [(60, 60 + len(lines)), (121 + len(lines), 121 + 2 * len(lines))]
+    assert name in [m[3] for m in t.scan("\n".join([*filler, *" ".join(lines).split(), *filler]))]
+
+
+def test_other_runs_of_lines_equal_comparing_all():
+    t = licenses.Templates({"A": "a b c d e f g h", "A/x": "a b c", "B": "h g f e a b"})
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        text = "\n".join(" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 4))) for _ in range(8))
+        text = text.replace("a b", "a b c\nd e\n\nf g")
+        lines = text.split("\n")
+        words, ends = [], [0]
+        for x in lines:
+            words += x.split()
+            ends.append(len(words))
+        want = {}
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                if ends[b] - ends[a] > 1 and lines[a] and lines[b - 1]:
+                    w = licenses.bigrams(words[ends[a] : ends[b]])
+                    d, name = min((-licenses.dice(w, g), name) for _, name, g in t.by_size)
+                    if -d >= licenses.LEAST:
+                        want[a, b] = (round(-d, 9), name)
+        hits = [i for i, g in enumerate(zip(words, words[1:])) if g in t.known]
+        got = {(a, b): (round(d, 9), n) for a, b, d, n in t.runs(words, ends, hits, set())} if hits else {}
+        assert got.items() <= want.items()
+        # the best of each template are never passed over
+        for name in t_names(want):
+            top = max(d for d, n in want.values() if n == name)
+            assert any(g == (top, name) for g in got.values())
+
+
+def t_names(want):
+    return {n for _, n in want.values()}
+
+
 def test_shingles_are_exact_across_blocks():
     def brute(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
