@@ -56,7 +56,7 @@ def questions(spark: SparkSession) -> DataFrame:
 
 def query_terms(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").where("role = 'user'")
-    q = query.process(c.select("conv_id", "turn", F.substring("text", 1, 400).alias("question")))
+    q = query.process(c.select("conv_id", "turn", F.col("text").alias("question")))
     return q.select("conv_id", "turn", "search_query", "valid", F.array_join(F.array_sort(query.terms(F.col("search_query"))), ",").alias("terms"))
 
 

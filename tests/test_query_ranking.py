@@ -35,6 +35,20 @@ def test_question_length_counts_after_trimming(spark):
     assert sorted(r["valid"] for r in query.process(df).collect()) == [False, False, True]
 
 
+def test_whole_turns_are_questions(spark, tmp_path):
+    from quillion.queries import query_terms
+
+    long = [" ".join(f"word{k}" for k in range(n)) for n in (60, 120, 300)]
+    rows = [(k, 0, "user", t) for k, t in enumerate([*long, "x" * 1000, " " + "x" * 1000 + "\n", "x" * 1001, "yoga " * 100 + "sleep"])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in query_terms(spark, str(tmp_path)).collect()}
+    # terms behind character 400, uncut, and the limit of 1000 characters after trimming
+    for k, t in enumerate(long):
+        assert got[k]["search_query"] == t and set(got[k]["terms"].split(",")) == set(t.split())
+    assert [got[k]["valid"] for k in range(len(rows))] == [True, True, False, True, True, False, True]
+    assert got[6]["terms"] == "sleep,yoga"
+
+
 WORDS = [("Injuries and patients", ["injury", "and", "patient"]), ("Diabetes mellitus, stress", ["diabete", "mellitus", "stress"]), ("type 2 x é", ["type", "2"]), ("Überblick café ²", ["uberblick", "cafe", "2"]), ("", []), (None, [])]
 
 
