@@ -4,16 +4,20 @@ The model is a merge (BPE) model read from a file whose path is a parameter.
 Text is cut where no merge can cross: before a run of spaces that follows a
 word, and around characters that no piece of several characters holds. Each
 chunk keeps an agenda of candidate merges, best score first and leftmost on
-ties. A popped candidate is skipped for good when the keyed hash of (seed,
-stream, chunk, place, merged piece) falls below the dropout rate; otherwise its
-two symbols merge and the new neighbours join the agenda. With rate 0 the
-result is that of the usual encoder.
-
-A text belongs to one of ``streams`` streams by a keyed hash of its own words,
-so equal chunks may be segmented differently in different texts, while a
-chunk's result depends on nothing but seed, stream and chunk: any retry gives
-the same ids. Agendas of many chunks advance together as numpy arrays; results
-are kept in a cache of bounded size.
+ties. A popped candidate is skipped for good when the keyed hash of (seed, run,
+text, the chunk's position in it, place, merged piece) falls below the dropout
+rate; otherwise its two symbols merge and the new neighbours join the agenda.
+With rate 0 the result is that of the usual encoder.
+
+So every occurrence of a chunk has draws of its own, while an occurrence's
+result depends on nothing but seed, run, text and position: any retry gives the
+same ids. ``run`` tells passes over the same texts apart. What a chunk becomes
+is fixed by the candidates that it skips; these outcomes are nodes of a tree,
+each with the merges made on its way. An occurrence starts at the node without
+skips, draws for its merges, and at the first one skipped goes on to the node
+that skips this one too, until nothing is skipped. Nodes are kept in a cache of
+bounded size, draws never are. Agendas of many nodes advance together as numpy
+arrays.
 
 Decoding joins pieces and byte pieces. Characters that the model lacks, and
 U+2581 itself (which stands for the space), are written as bytes, so decoding
@@ -28,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +44,14 @@ from quillion.llm.common import arrow_map
 from quillion.llm.features import mix
 from quillion.session import read
 
-RATE, SEED, STREAMS = 0.1, 20240601, 2
+RATE, SEED, RUN = 0.1, 20240601, 0
 MARK = "▁"
 #: Chunk that stands for U+2581 in a text; no other chunk holds a space.
 LITERAL = " "
-CACHE_CHUNKS, GROUP = 400_000, 20_000
+CACHE_NODES, GROUP, OCCURRENCES = 400_000, 20_000, 200_000
 #: Chunks longer than this keep their agendas in a heap instead of arrays.
 LONG = 48
+_PLACE, _PIECE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def default_model() -> str:
@@ -57,7 +63,7 @@ def default_model() -> str:
 class Pieces:
     """A merge model: its pieces, their scores and the table of merges."""
 
-    def __init__(self, model: bytes, seed: int = SEED, rate: float = RATE, streams: int = STREAMS):
+    def __init__(self, model: bytes, seed: int = SEED, rate: float = RATE, run: int = RUN):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -97,20 +103,29 @@ class Pieces:
         inner = "".join(re.escape(c) for c in sorted(merging - {MARK}))
         # a run of spaces with the word after it; or characters that take part in no merge, one by one
         self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|." if not crossing else f"[{MARK}{inner}]+|.", re.S)
-        self.seed, self.bar, self.streams = seed, np.uint64(min(int(rate * 2.0**64), 2**64 - 1)), streams
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(streams)]
+        self.seed, self.bar, self.run = seed, np.uint64(min(int(rate * 2.0**64), 2**64 - 1)), run
+        self.clear()
         self.raw = [b" " if t == MARK else t.replace(MARK, " ").encode() if self.byte_of[i] < 0 else bytes([self.byte_of[i]]) for i, t in enumerate(self.texts)]
 
-    def keyed(self, stream: int, sym: np.ndarray) -> np.ndarray:
-        """Key of the dropout decisions in each chunk (row of symbols, -1 at the end)."""
-        s = np.uint64((self.seed * 1_000_003 + stream) % 2**64)
-        for c in sym.T:
-            s = np.where(c < 0, s, mix((s ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)))
-        return s
+    def clear(self) -> None:
+        """Forget all nodes."""
+        self.roots: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.node_chunk: list[str] = []
+        self.node_ids: list[bytes] = []
+        # places and pieces of the candidates that a node skips
+        self.node_drops: list[tuple[tuple[int, int], ...]] = []
+        # a node's merges are at start to start + many
+        self.start, self.many, self.place, self.piece = (np.zeros(0, np.int64) for _ in range(4))
+        # place and piece as they enter the hash
+        self.mark = np.zeros(0, np.uint64)
 
     def skips(self, key, place, piece):
         """True where the candidate that makes ``piece`` at ``place`` is dropped."""
-        h = np.uint64(key) ^ (np.uint64(place) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(piece) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return self.drawn(np.uint64(key) ^ (np.uint64(place) * _PLACE + np.uint64(piece) * _PIECE))
+
+    def drawn(self, h):
+        """True where the hash of ``h`` is below the rate."""
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (h ^ (h >> np.uint64(32))) < self.bar
@@ -131,12 +146,11 @@ class Pieces:
                 out += self.byte_ids[list(chars[p].encode())].tolist()
         return np.array(out, np.uint32).tobytes()
 
-    def chunk_slow(self, stream: int, chunk: str) -> bytes:
-        """One chunk with a heap as its agenda; the meaning of ``chunks``, and the way for long ones."""
+    def chunk_slow(self, key: int, chunk: str) -> bytes:
+        """One occurrence with a heap as its agenda; the meaning of ``chunks``, and the way for long ones."""
         import heapq
 
         sym = [self.char_id[c] for c in chunk]
-        key = self.keyed(stream, np.array([sym]))[0]
         n = len(sym)
         nxt, prv, live = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
         agenda: list = []
@@ -162,18 +176,22 @@ class Pieces:
         at = [i for i in range(n) if live[i]]
         return self.written([sym[i] for i in at], chunk, at)
 
-    def chunks(self, stream: int, want: list[str]) -> list[bytes]:
-        """Ids of many chunks; their agendas advance together, one step each at a time.
+    def grown(self, want: list[str], drops: list[tuple]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many chunks that skip the given candidates, and the merges made: row, place, piece, by row and in order.
 
-        ``prio`` holds the rank of the score of the candidate that begins at
-        each symbol (``none`` where there is none), so the first smallest entry
-        of a row is the top of that row's agenda.
+        Agendas advance together, one step each at a time. ``prio`` holds the
+        rank of the score of the candidate that begins at each symbol (``none``
+        where there is none), so the first smallest entry of a row is the top
+        of that row's agenda.
         """
         n, width, none = len(want), max(map(len, want)), self.none
         sym = np.full((n, width), -1, np.int32)
         sym[np.arange(width) < np.fromiter(map(len, want), np.int64, n)[:, None]] = np.fromiter(map(self.char_id.__getitem__, "".join(want)), np.int32)
         place = np.broadcast_to(np.arange(width, dtype=np.int16), (n, width)).copy()
-        key = self.keyed(stream, sym)
+        skip = np.full((n, max(map(len, drops))), -1, np.int64)
+        for r, d in enumerate(drops):
+            skip[r, : len(d)] = [p * self.symbols + i for p, i in d]
+        made: list[tuple] = []
         prio = np.full((n, width), none, np.int32)
         pair = (sym[:, :-1] >= 0) & (sym[:, 1:] >= 0)
         prio[:, :-1][pair] = self.rank[self.merged(sym[:, :-1][pair], sym[:, 1:][pair])]
@@ -185,19 +203,20 @@ class Pieces:
             if over.any():
                 self._finish(over, rows, sym, place, want, done)
                 go = ~over
-                rows, sym, place, prio, best, key = rows[go], sym[go], place[go], prio[go], best[go], key[go]
+                rows, sym, place, prio, best = rows[go], sym[go], place[go], prio[go], best[go]
                 if not len(rows):
                     break
                 w = int((sym >= 0).sum(1).max())
                 sym, place, prio = (np.ascontiguousarray(a[:, :w]) for a in (sym, place, prio))
             at, w = np.arange(len(rows)), sym.shape[1]
             piece = self.merged(sym[at, best], sym[at, best + 1])
-            drop = self.skips(key, place[at, best], piece)
+            drop = (skip[rows] == (place[at, best].astype(np.int64) * self.symbols + piece)[:, None]).any(1)
             prio[at[drop], best[drop]] = none
             m = at[~drop]
             if not len(m):
                 continue
             b, piece = best[m], piece[m]
+            made.append((rows[m], place[m, b].astype(np.int64), piece))
             # close the gap behind the merged symbol
             cols = np.arange(w - 1)
             take = cols + (cols > b[:, None])
@@ -211,7 +230,9 @@ class Pieces:
                 inner = c + 1 < w
                 right = np.where(inner, sym[r, np.minimum(c + 1, w - 1)], -1)
                 prio[r, c] = np.where(right >= 0, self.rank[self.merged(sym[r, c], np.maximum(right, 0))], none)
-        return done
+        row, at, piece = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(row, kind="stable")
+        return done, row[order], at[order], piece[order]
 
     def _finish(self, over, rows, sym, place, want, done) -> None:
         """Write the ids of the rows whose agendas are empty."""
@@ -226,35 +247,95 @@ class Pieces:
         for k in np.flatnonzero(odd).tolist():
             done[who[k]] = self.written(s[k][real[k]].tolist(), want[who[k]], place[over][k][real[k]].tolist())
 
-    def fill(self, stream: int, missing: set[str]) -> None:
-        """Encode chunks of a stream into its cache."""
-        cache = self.cache[stream]
-        short = sorted((c for c in missing if 1 < len(c) <= LONG), key=len)
-        for at in range(0, len(short), GROUP):
-            group = short[at : at + GROUP]
-            cache.update(zip(group, self.chunks(stream, group), strict=True))
-        for c in missing:
-            if len(c) > LONG:
-                cache[c] = self.chunk_slow(stream, c)
-            elif c == LITERAL:
-                cache[c] = self.byte_ids[list(MARK.encode())].astype(np.uint32).tobytes()
-            elif len(c) == 1:
-                i = self.normal.get(c, -1)
-                cache[c] = np.array([i] if i >= 0 else self.byte_ids[list(c.encode())], np.uint32).tobytes()
-
-    def stream_of(self, text: str) -> int:
-        return zlib.crc32(f"{self.seed}/{text}".encode()) % self.streams
+    def add(self, chunks: list[str], drops: list[tuple]) -> None:
+        """Nodes of chunks of at most ``LONG`` characters, in order."""
+        order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
+        ids: list[bytes] = [b""] * len(chunks)
+        rows, places, pieces = [], [], []
+        one = [k for k in order if len(chunks[k]) == 1]
+        for k in one:
+            c = chunks[k]
+            i = self.normal.get(c, -1)
+            ids[k] = np.array([i] if i >= 0 and c != LITERAL else self.byte_ids[list((MARK if c == LITERAL else c).encode())], np.uint32).tobytes()
+        for at in range(len(one), len(order), GROUP):
+            group = np.array(order[at : at + GROUP])
+            done, row, place, piece = self.grown([chunks[k] for k in group], [drops[k] for k in group])
+            for k, x in zip(group.tolist(), done, strict=True):
+                ids[k] = x
+            rows, places, pieces = [*rows, group[row]], [*places, place], [*pieces, piece]
+        many = np.bincount(np.concatenate(rows), minlength=len(chunks)) if rows else np.zeros(len(chunks), np.int64)
+        if rows:
+            by_node = np.argsort(np.concatenate(rows), kind="stable")
+            self.start = np.append(self.start, len(self.place) + np.cumsum(many) - many)
+            old = len(self.place)
+            self.place, self.piece = np.append(self.place, np.concatenate(places)[by_node]), np.append(self.piece, np.concatenate(pieces)[by_node])
+            self.mark = np.append(self.mark, self.place[old:].astype(np.uint64) * _PLACE + self.piece[old:].astype(np.uint64) * _PIECE)
+        else:
+            self.start = np.append(self.start, np.full(len(chunks), len(self.place)))
+        self.many = np.append(self.many, many)
+        self.node_chunk += chunks
+        self.node_ids += ids
+        self.node_drops += drops
+
+    def chunks(self, keys, want: list[str]) -> list[bytes]:
+        """Ids of occurrences of chunks, each with the key (one for all, or one each) of its draws."""
+        keys = np.broadcast_to(np.asarray(keys, np.uint64), len(want))
+        out: list[bytes] = []
+        for at in range(0, len(want), OCCURRENCES):
+            out += self._walk(keys[at : at + OCCURRENCES], want[at : at + OCCURRENCES])
+        return out
+
+    def _walk(self, keys: np.ndarray, want: list[str]) -> list[bytes]:
+        if len(self.node_ids) > CACHE_NODES:
+            self.clear()
+        long = [k for k, c in enumerate(want) if len(c) > LONG]
+        slow = {k: self.chunk_slow(keys[k], want[k]) for k in long}
+        if long:
+            want = [LITERAL if k in slow else c for k, c in enumerate(want)]
+        new = sorted(set(want) - self.roots.keys())
+        if new:
+            self.roots.update(zip(new, range(len(self.node_ids), len(self.node_ids) + len(new)), strict=True))
+            self.add(new, [()] * len(new))
+        node = np.fromiter(map(self.roots.__getitem__, want), np.int64, len(want))
+        on = np.arange(len(want))
+        while len(on):
+            many = self.many[node[on]]
+            on = on[many > 0]
+            many = self.many[node[on]]
+            begin = np.cumsum(many) - many
+            at = np.repeat(self.start[node[on]] - begin, many) + np.arange(many.sum())
+            hit = np.flatnonzero(self.drawn(np.repeat(keys[on], many) ^ self.mark[at]))
+            # the first merge skipped of each occurrence
+            who, first = np.unique(np.searchsorted(begin, hit, "right") - 1, return_index=True)
+            step = hit[first] - begin[who]
+            on = on[who]
+            code, back = np.unique(node[on] * (LONG + 1) + step, return_inverse=True)
+            code = code.tolist()
+            new = [c for c in code if c not in self.child]
+            if new:
+                self.child.update(zip(new, range(len(self.node_ids), len(self.node_ids) + len(new)), strict=True))
+                parent = [c // (LONG + 1) for c in new]
+                last = self.start[parent] + np.array(new) % (LONG + 1)
+                skipped = zip(self.place[last].tolist(), self.piece[last].tolist(), strict=True)
+                self.add([self.node_chunk[p] for p in parent], [(*self.node_drops[p], d) for p, d in zip(parent, skipped, strict=True)])
+            if len(code):
+                node[on] = np.array([self.child[c] for c in code])[back]
+        done = list(map(self.node_ids.__getitem__, node.tolist()))
+        for k, x in slow.items():
+            done[k] = x
+        return done
+
+    def keys_of(self, text: str, n: int) -> np.ndarray:
+        """Keys of the n chunks of a text."""
+        h = hashlib.blake2b(text.encode(), digest_size=8, key=f"{self.seed}/{self.run}".encode()).digest()
+        return mix(mix(np.uint64(int.from_bytes(h, "little")) + np.arange(1, n + 1, dtype=np.uint64) * _PLACE))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text."""
-        if sum(map(len, self.cache)) > CACHE_CHUNKS:
-            for c in self.cache:
-                c.clear()
-        stream = [self.stream_of(t) if t else 0 for t in texts]
         parts = [self.split(t) if t else [] for t in texts]
-        for k, cache in enumerate(self.cache):
-            self.fill(k, set().union(*(p for p, s in zip(parts, stream, strict=True) if s == k)) - cache.keys())
-        return [None if t is None else np.frombuffer(b"".join(map(self.cache[s].__getitem__, p)), np.uint32) for t, p, s in zip(texts, parts, stream, strict=True)]
+        keys = [self.keys_of(t, len(p)) for t, p in zip(texts, parts, strict=True) if p]
+        ids = iter(self.chunks(np.concatenate(keys), [c for p in parts for c in p]) if keys else [])
+        return [None if t is None else np.frombuffer(b"".join(islice(ids, len(p))), np.uint32) for t, p in zip(texts, parts, strict=True)]
 
     def split(self, t: str) -> list[str]:
         """Chunks of a text, with marks for spaces and LITERAL for marks."""
@@ -291,10 +372,10 @@ def _mapped(df: DataFrame, keep: list[str], added: list[T.StructField], fn, mode
     return arrow_map(df, lambda b: {c: b.column(c) for c in keep} | fn(opened(known.value, *args), b), schema)
 
 
-def encode(df: DataFrame, text_col: str = "text", out: str = "ids", model: str | None = None, seed: int = SEED, rate: float = RATE, streams: int = STREAMS) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", out: str = "ids", model: str | None = None, seed: int = SEED, rate: float = RATE, run: int = RUN) -> DataFrame:
     """``df`` with ids (array of int) of each text."""
     fn = lambda p, b: {out: p.encode(b.column(text_col).to_pylist())}
-    return _mapped(df, df.columns, [T.StructField(out, T.ArrayType(T.IntegerType()))], fn, model, seed, rate, streams)
+    return _mapped(df, df.columns, [T.StructField(out, T.ArrayType(T.IntegerType()))], fn, model, seed, rate, run)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", model: str | None = None) -> DataFrame:
@@ -304,7 +385,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", model: str |
     return _mapped(df, keep, [T.StructField(out, T.StringType())], fn, model)
 
 
-def round_trip(df: DataFrame, keep: list[str], text_col: str = "text", model: str | None = None, seed: int = SEED, rate: float = RATE, streams: int = STREAMS) -> DataFrame:
+def round_trip(df: DataFrame, keep: list[str], text_col: str = "text", model: str | None = None, seed: int = SEED, rate: float = RATE, run: int = RUN) -> DataFrame:
     """Columns ``keep`` with what encoding each text and decoding its ids gives.
 
     n_pieces; ids_sha256 (of the ids as little-endian 32-bit integers);
@@ -324,7 +405,7 @@ def round_trip(df: DataFrame, keep: list[str], text_col: str = "text", model: st
             "lossless": [t == u for t, u in zip(texts, back, strict=True)],
         }
 
-    return _mapped(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]), keep, added, fn, model, seed, rate, streams)
+    return _mapped(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]), keep, added, fn, model, seed, rate, run)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,40 @@ def test_dropout_is_keyed_and_agendas_agree(model):
             assert a.chunks(1, [chunk]) == [a.chunk_slow(1, chunk)]
 
 
+def test_every_occurrence_of_a_chunk_has_its_own_draws(model):
+    rate, word = 0.1, " representation"
+    p = pieces.Pieces(model, 5, rate)
+    (chunk,) = set(p.split(word * 2)[1:])
+    (usual,), _, place, piece = p.grown([chunk], [()])
+
+    def varied(texts):
+        keys, got = [], []
+        for t in texts:
+            parts = p.split(t)
+            at = p.keys_of(t, len(parts))
+            here = [k for k, c in enumerate(parts) if c == chunk]
+            keys += at[here].tolist()
+            got += [x for k, x in enumerate(p.chunks(at, parts)) if parts[k] == chunk]
+        return np.array(keys, np.uint64), got
+
+    # within one text, and at one place of many texts
+    for keys, got in (varied([word * 20001]), varied([f"w{k}{word}" for k in range(5000)])):
+        assert len(set(got)) > 50 and len(got) >= 5000
+        # each merge is skipped at the rate, independently; without any skip the ids are the usual ones
+        skipped = np.array([p.skips(keys, a, i) for a, i in zip(place, piece, strict=True)])
+        assert (abs(skipped.mean(1) - rate) < 0.02).all() and abs((~skipped.any(0)).mean() - (1 - rate) ** len(place)) < 0.02
+        assert {got[k] for k in np.flatnonzero(~skipped.any(0))} == {usual}
+    # the same as with an agenda for each occurrence, however often a chunk is met and whatever the cache holds
+    text = "the learning of unbelievable representation learning words " * 40
+    parts = p.split(text)
+    keys = p.keys_of(text, len(parts))
+    want = [p.chunk_slow(k, c) if 1 < len(c) else p.chunks(0, [c])[0] for k, c in zip(keys, parts, strict=True)]
+    assert p.chunks(keys, parts) == want
+    p.clear()
+    assert p.chunks(keys, parts) == want and p.encode([text])[0].tobytes() == b"".join(want)
+    assert pieces.Pieces(model, 5, rate, 1).encode([text])[0].tobytes() != b"".join(want)
+
+
 def test_arc_versions_and_lengths():
     v1 = b"filedesc://x 0.0.0.0 20240101 text/plain 10\n1 0 Some\nX\n"
     rec = b"http://a.b/c d 1.2.3.4 20240203040506 text/html 5\nhel\nl\n"
