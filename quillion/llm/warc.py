@@ -52,12 +52,33 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def resync(raw: bytes, at: int, version: int) -> tuple[int, int] | None:
+    """Place and version of the first whole record from the line at ``at`` on; None if there is none.
+
+    Its header has the fields of a version (the given one is tried first), an
+    address with a colon, a date of 14 digits, and a length that ends before a
+    line feed or with the archive.
+    """
+    while 0 <= at < len(raw) and (end := raw.find(b"\n", at)) >= 0:
+        line = raw[at:end].rstrip(b"\r").decode("utf-8", "replace")
+        for v in (version, 3 - version):
+            got, names = line.split(" "), FIELDS[v]
+            rec = dict(zip(names[1:], got[len(got) - len(names) + 1 :], strict=True)) if len(got) >= len(names) else {}
+            if rec and ":" in got[0] and rec["date"].isascii() and rec["date"].isdigit() and len(rec["date"]) == 14 and rec["length"].isascii() and rec["length"].isdigit():
+                stop = end + 1 + int(rec["length"])
+                if stop == len(raw) or raw[stop : stop + 1] == b"\n":
+                    return at, v
+        at = end + 1
+    return None
+
+
 def parse_arc(raw: bytes) -> Iterator[dict]:
     """Records of one ARC archive, without its version block.
 
     Each has ordinal, version, url, ip, date, type, payload and error (null if
-    the record is whole). Parsing stops at the first broken record: past it no
-    length can be trusted.
+    the record is whole). Past a broken record no length can be trusted, so
+    parsing goes on at the next line that is the header of a whole record, and
+    the error says how many bytes were skipped; it stops if there is none.
     """
     version, at, ordinal = 1, 0, 0
     while at < len(raw):
@@ -76,15 +97,19 @@ def parse_arc(raw: bytes) -> Iterator[dict]:
         size = int(rec["length"]) if ok else 0
         body = raw[end + 1 : end + 1 + size] if ok else b""
         error = None if ok and len(body) == size else "malformed header line" if not ok else "cut off"
+        # after a broken record: where the next whole one begins
+        after = resync(raw, end + 1, version) if error and end >= 0 else None
+        if after:
+            error = f"{error}; {after[0] - at} bytes skipped"
         if head and error is None:
             first = body.split(b"\n", 1)[0].split()
             version = int(first[0]) if first and first[0] in (b"1", b"2") else 1
         else:
             yield {"ordinal": ordinal, "version": version, "url": rec.get("url"), "ip": rec.get("ip"), "date": rec.get("date"), "type": rec.get("type"), "payload": None if error else body, "error": error}
             ordinal += 1
-        if error:
+        if error and not after:
             return
-        at = end + 1 + size
+        at, version = after or (end + 1 + size, version)
 
 
 def warc_date(date: str | None) -> str:

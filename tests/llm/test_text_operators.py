@@ -98,6 +98,17 @@ def test_arc_versions_and_lengths():
     assert warc.warc_date("20240203040506") == "2024-02-03T04:05:06Z" and warc.warc_date("2024") == "2024-01-01T00:00:00Z" and warc.warc_date("x") == "1970-01-01T00:00:00Z"
 
 
+def test_arc_records_after_a_broken_one_are_kept():
+    v1 = b"filedesc://x 0.0.0.0 20240101 text/plain 10\n1 0 Some\nX\n"
+    good = [b"http://a/%d 1.2.3.4 20240203040506 text/html 5\nhel\nl\n" % k for k in range(3)]
+    for bad, error in ((b"http://b/ 1.2.3.4 2024 text/html x5\nhel 5\nl\n", "malformed header line"), (b"http://b/ 1.2.3.4 20240203040506 text/html 9999\nhello\n", "cut off")):
+        got = list(warc.parse_arc(v1 + good[0] + bad + good[1] + good[2]))
+        assert [(r["url"], r["payload"]) for r in got] == [("http://a/0", b"hel\nl"), ("http://b/", None), ("http://a/1", b"hel\nl"), ("http://a/2", b"hel\nl")]
+        assert [r["error"] for r in got] == [None, f"{error}; {len(bad)} bytes skipped", None, None] and [r["ordinal"] for r in got] == [0, 1, 2, 3]
+    v2 = b"http://e/%d 1.1.1.1 20240203040506 text/html 200 - - 0 f.arc 2\nhi\n"
+    assert [(r["version"], r["payload"]) for r in warc.parse_arc(b"filedesc://x broken\n" + v2 % 0 + v2 % 1)][1:] == [(2, b"hi")] * 2
+
+
 def test_wu_manber_equals_brute_force():
     rng = np.random.default_rng(0)
     text = lambda n: " ".join(rng.choice(list("abcd"), n))
