@@ -196,8 +196,7 @@ class Store:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, through a store: twelve small and two larger arrivals, compacted and read back."""
     docs = read(spark, sf_dir, "documents")
-    schema = T.StructType([docs.schema[c] for c in ("doc_id", "text", "lang", "source")])
-    store = Store(spark, shared_path(spark, "shards"), schema)
+    store = Store(spark, shared_path(spark, "shards"), docs.schema)
     h = F.pmod(F.xxhash64("doc_id"), F.lit(24))
     store.append(docs.withColumn("_by", F.when(h < 12, h).when(h < 18, 12).otherwise(13)), "_by")
     store.compact()

@@ -155,6 +155,14 @@ def test_large_arrivals_of_small_files_become_whole_files(spark):
     assert store.runs().where("sealed").count() == 2 and store.plan() is None
 
 
+def test_shards_hold_every_column_of_documents(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "web", 6, k * 0.5) for k in range(50)], "doc_id long, text string, lang string, source string, n_chars long, extra double")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = shards.op10_sharding(spark, str(tmp_path))
+    stored = spark.read.parquet(*out.inputFiles())
+    assert stored.columns == docs.columns and stored.exceptAll(docs).count() == 0 and stored.count() == out.count() == 50
+
+
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_on_small_tables(spark, module, label):
     docs = spark.createDataFrame([(i, f"fine words number {i}" if i % 2 else f"scum$$$ scum {i}", "x") for i in range(80)] + [(90, None, "x"), (91, "", "x")], "doc_id long, text string, label string")
