@@ -11,13 +11,11 @@ With rate 0 the result is that of the usual encoder.
 
 So every occurrence of a chunk has draws of its own, while an occurrence's
 result depends on nothing but seed, run, text and position: any retry gives the
-same ids. ``run`` tells passes over the same texts apart. What a chunk becomes
-is fixed by the candidates that it skips; these outcomes are nodes of a tree,
-each with the merges made on its way. An occurrence starts at the node without
-skips, draws for its merges, and at the first one skipped goes on to the node
-that skips this one too, until nothing is skipped. Nodes are kept in a cache of
-bounded size, draws never are. Agendas of many nodes advance together as numpy
-arrays.
+same ids. ``run`` tells passes over the same texts apart. A cache of bounded
+size keeps each chunk's merges without skips. An occurrence draws for those; if
+none of them is skipped its ids are the cached ones, else its own agenda is
+processed with its own draws. Agendas of many occurrences advance together as
+numpy arrays.
 
 Decoding joins pieces and byte pieces. Characters that the model lacks, and
 U+2581 itself (which stands for the space), are written as bytes, so decoding
@@ -48,9 +46,10 @@ RATE, SEED, RUN = 0.1, 20240601, 0
 MARK = "▁"
 #: Chunk that stands for U+2581 in a text; no other chunk holds a space.
 LITERAL = " "
-CACHE_NODES, GROUP, OCCURRENCES = 400_000, 20_000, 200_000
+CACHE_CHUNKS, GROUP, OCCURRENCES = 400_000, 10_000, 200_000
 #: Chunks longer than this keep their agendas in a heap instead of arrays.
 LONG = 48
+_NONE = np.int32(2**31 - 1)
 _PLACE, _PIECE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -96,29 +95,45 @@ class Pieces:
         self.rank = np.append(np.searchsorted(order, -score), self.none).astype(np.int32)
         known = self.char_id | normal
         merges = {known[t[:k]] * self.symbols + known[t[k:]]: i for t, i in normal.items() if len(t) > 1 for k in range(1, len(t)) if t[:k] in known and t[k:] in known}
-        self.keys = np.fromiter(sorted(merges), np.int64, len(merges))
-        self.made = np.array([merges[k] for k in self.keys.tolist()], np.int64)
         self.merges = merges
+        self._lay_out(np.fromiter(merges.keys(), np.int64, len(merges)), np.fromiter(merges.values(), np.int32, len(merges)))
         crossing = any(re.search(f"[^{MARK}]{MARK}", t) for t in normal)
         inner = "".join(re.escape(c) for c in sorted(merging - {MARK}))
         # a run of spaces with the word after it; or characters that take part in no merge, one by one
         self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|." if not crossing else f"[{MARK}{inner}]+|.", re.S)
         self.seed, self.bar, self.run = seed, np.uint64(min(int(rate * 2.0**64), 2**64 - 1)), run
         self.clear()
-        self.raw = [b" " if t == MARK else t.replace(MARK, " ").encode() if self.byte_of[i] < 0 else bytes([self.byte_of[i]]) for i, t in enumerate(self.texts)]
+        raw = [b" " if t == MARK else t.replace(MARK, " ").encode() if self.byte_of[i] < 0 else bytes([self.byte_of[i]]) for i, t in enumerate(self.texts)]
+        self.raw_flat, self.raw_count = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64)
+        self.raw_start = np.cumsum(self.raw_count) - self.raw_count
+        # ids of each symbol: itself, or the bytes of a character that is no piece
+        ids = [[i] for i in range(n)] + [self.byte_ids[list(c.encode())].tolist() for c, i in sorted(self.char_id.items(), key=lambda x: x[1]) if i >= n]
+        self.id_flat, self.id_count = np.array([i for x in ids for i in x], np.int64), np.fromiter(map(len, ids), np.int64)
+        self.id_start = np.cumsum(self.id_count) - self.id_count
+
+    def _lay_out(self, keys: np.ndarray, made: np.ndarray) -> None:
+        """The table of merges as a hash table with linear probing, at most an eighth full."""
+        bits = max(4, int(len(keys) * 8).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slot_keys, self.slot_made = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        slot = (keys.astype(np.uint64) * _PLACE) >> self.shift
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slot_keys[slot[todo]] < 0]
+            _, some = np.unique(slot[free], return_index=True)  # one key for each free slot
+            won = free[some]
+            self.slot_keys[slot[won]], self.slot_made[slot[won]] = keys[won], made[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + np.uint64(1)) & np.uint64((1 << bits) - 1)
 
     def clear(self) -> None:
-        """Forget all nodes."""
-        self.roots: dict[str, int] = {}
-        self.child: dict[int, int] = {}
-        self.node_chunk: list[str] = []
-        self.node_ids: list[bytes] = []
-        # places and pieces of the candidates that a node skips
-        self.node_drops: list[tuple[tuple[int, int], ...]] = []
-        # a node's merges are at start to start + many
-        self.start, self.many, self.place, self.piece = (np.zeros(0, np.int64) for _ in range(4))
-        # place and piece as they enter the hash
-        self.mark = np.zeros(0, np.uint64)
+        """Forget all chunks."""
+        self.known: dict[str, int] = {}
+        # by chunk: where its symbols, its ids and its merges begin in the flat arrays below; one more entry for the end
+        self.at_symbol, self.at_id, self.at_mark = (np.zeros(1, np.int64) for _ in range(3))
+        self.flat_symbols, self.flat_ids = np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        # place and piece of each merge, as they enter the hash
+        self.flat_marks = np.zeros(0, np.uint64)
 
     def skips(self, key, place, piece):
         """True where the candidate that makes ``piece`` at ``place`` is dropped."""
@@ -131,10 +146,19 @@ class Pieces:
         return (h ^ (h >> np.uint64(32))) < self.bar
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Piece that each pair of symbols makes, or -1."""
+        """Piece that each pair of symbols makes, or -1: a hash table with linear probing."""
         key = left.astype(np.int64) * self.symbols + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        slot = (key.astype(np.uint64) * _PLACE) >> self.shift
+        have = self.slot_keys[slot]
+        out = np.where(have == key, self.slot_made[slot], -1)
+        todo = np.flatnonzero((have != key) & (have >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + np.uint64(1)) & np.uint64(len(self.slot_keys) - 1)
+            have = self.slot_keys[slot[todo]]
+            found = have == key[todo]
+            out[todo[found]] = self.slot_made[slot[todo[found]]]
+            todo = todo[~found & (have >= 0)]
+        return out
 
     def written(self, symbols: list[int], chars: str, places: list[int]) -> bytes:
         """Ids (2 or 4 bytes each) of final symbols; those that are no pieces become bytes."""
@@ -176,154 +200,144 @@ class Pieces:
         at = [i for i in range(n) if live[i]]
         return self.written([sym[i] for i in at], chunk, at)
 
-    def grown(self, want: list[str], drops: list[tuple]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of many chunks that skip the given candidates, and the merges made: row, place, piece, by row and in order.
+    def advanced(self, sym: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Symbols (place, row; -1 past the end) with all merges made, and (row, place, piece) of the merges by step.
 
-        Agendas advance together, one step each at a time. ``prio`` holds the
-        rank of the score of the candidate that begins at each symbol (``none``
-        where there is none), so the first smallest entry of a row is the top
-        of that row's agenda.
+        Agendas of all rows advance together, one step each at a time. ``prio``
+        holds, at each symbol that begins a candidate, the rank of its score and
+        its place in one number, so a row's smallest entry is the top of its
+        agenda. Without ``keys`` nothing is skipped.
         """
-        n, width, none = len(want), max(map(len, want)), self.none
-        sym = np.full((n, width), -1, np.int32)
-        sym[np.arange(width) < np.fromiter(map(len, want), np.int64, n)[:, None]] = np.fromiter(map(self.char_id.__getitem__, "".join(want)), np.int32)
-        place = np.broadcast_to(np.arange(width, dtype=np.int16), (n, width)).copy()
-        skip = np.full((n, max(map(len, drops))), -1, np.int64)
-        for r, d in enumerate(drops):
-            skip[r, : len(d)] = [p * self.symbols + i for p, i in d]
-        made: list[tuple] = []
-        prio = np.full((n, width), none, np.int32)
-        pair = (sym[:, :-1] >= 0) & (sym[:, 1:] >= 0)
-        prio[:, :-1][pair] = self.rank[self.merged(sym[:, :-1][pair], sym[:, 1:][pair])]
-        done: list[bytes] = [b""] * n
-        rows = np.arange(n)
-        while len(rows):
-            best = prio.argmin(1)
-            over = prio[np.arange(len(rows)), best] == none
-            if over.any():
-                self._finish(over, rows, sym, place, want, done)
-                go = ~over
-                rows, sym, place, prio, best = rows[go], sym[go], place[go], prio[go], best[go]
-                if not len(rows):
+        width, n = sym.shape
+        out, steps, of = sym.copy(), [], np.arange(n)
+        place = np.arange(width, dtype=np.int32)[:, None]
+        cand = np.full((width, n), -1, np.int32)
+        pair = sym[1:] >= 0
+        cand[:-1][pair] = self.merged(sym[:-1][pair], sym[1:][pair])
+        prio = np.where(cand >= 0, self.rank[cand] * 64 + place, _NONE).astype(np.int32)
+        sym = out.copy()
+        nxt = np.where(np.vstack([pair, np.zeros((1, n), bool)]), place + 1, -1).astype(np.int32)
+        prv = np.broadcast_to(place - 1, (width, n)).copy()
+        while n:
+            best = prio.min(0)
+            act = np.flatnonzero(best != _NONE)
+            if len(act) < 0.7 * n:  # rows that are done leave
+                out[:, of] = sym
+                sym, cand, prio, nxt, prv = (a.take(act, 1) for a in (sym, cand, prio, nxt, prv))
+                of, best, n = of[act], best[act], len(act)
+                keys, act = None if keys is None else keys[act], np.arange(n)
+                if not n:
                     break
-                w = int((sym >= 0).sum(1).max())
-                sym, place, prio = (np.ascontiguousarray(a[:, :w]) for a in (sym, place, prio))
-            at, w = np.arange(len(rows)), sym.shape[1]
-            piece = self.merged(sym[at, best], sym[at, best + 1])
-            drop = (skip[rows] == (place[at, best].astype(np.int64) * self.symbols + piece)[:, None]).any(1)
-            prio[at[drop], best[drop]] = none
-            m = at[~drop]
-            if not len(m):
-                continue
-            b, piece = best[m], piece[m]
-            made.append((rows[m], place[m, b].astype(np.int64), piece))
-            # close the gap behind the merged symbol
-            cols = np.arange(w - 1)
-            take = cols + (cols > b[:, None])
-            for a, empty in ((sym, -1), (place, 0), (prio, none)):
-                a[m, : w - 1] = a[m[:, None], take]
-                a[m, w - 1] = empty
-            sym[m, b] = piece
-            for left in (b, b - 1):
-                ok = left >= 0
-                r, c = m[ok], left[ok]
-                inner = c + 1 < w
-                right = np.where(inner, sym[r, np.minimum(c + 1, w - 1)], -1)
-                prio[r, c] = np.where(right >= 0, self.rank[self.merged(sym[r, c], np.maximum(right, 0))], none)
-        row, at, piece = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64),) * 3
-        order = np.argsort(row, kind="stable")
-        return done, row[order], at[order], piece[order]
-
-    def _finish(self, over, rows, sym, place, want, done) -> None:
-        """Write the ids of the rows whose agendas are empty."""
-        s, who = sym[over], rows[over].tolist()
-        real = s >= 0
-        ends = np.cumsum(real.sum(1)) * 4
-        flat, at = s[real].astype(np.uint32).tobytes(), 0
-        odd = (s >= len(self.texts)).any(1)
-        for r, end in zip(who, ends.tolist(), strict=True):
-            done[r] = flat[at:end]
-            at = end
-        for k in np.flatnonzero(odd).tolist():
-            done[who[k]] = self.written(s[k][real[k]].tolist(), want[who[k]], place[over][k][real[k]].tolist())
-
-    def add(self, chunks: list[str], drops: list[tuple]) -> None:
-        """Nodes of chunks of at most ``LONG`` characters, in order."""
-        order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
-        ids: list[bytes] = [b""] * len(chunks)
-        rows, places, pieces = [], [], []
-        one = [k for k in order if len(chunks[k]) == 1]
-        for k in one:
-            c = chunks[k]
-            i = self.normal.get(c, -1)
-            ids[k] = np.array([i] if i >= 0 and c != LITERAL else self.byte_ids[list((MARK if c == LITERAL else c).encode())], np.uint32).tobytes()
-        for at in range(len(one), len(order), GROUP):
-            group = np.array(order[at : at + GROUP])
-            done, row, place, piece = self.grown([chunks[k] for k in group], [drops[k] for k in group])
-            for k, x in zip(group.tolist(), done, strict=True):
-                ids[k] = x
-            rows, places, pieces = [*rows, group[row]], [*places, place], [*pieces, piece]
-        many = np.bincount(np.concatenate(rows), minlength=len(chunks)) if rows else np.zeros(len(chunks), np.int64)
-        if rows:
-            by_node = np.argsort(np.concatenate(rows), kind="stable")
-            self.start = np.append(self.start, len(self.place) + np.cumsum(many) - many)
-            old = len(self.place)
-            self.place, self.piece = np.append(self.place, np.concatenate(places)[by_node]), np.append(self.piece, np.concatenate(pieces)[by_node])
-            self.mark = np.append(self.mark, self.place[old:].astype(np.uint64) * _PLACE + self.piece[old:].astype(np.uint64) * _PIECE)
-        else:
-            self.start = np.append(self.start, np.full(len(chunks), len(self.place)))
-        self.many = np.append(self.many, many)
-        self.node_chunk += chunks
-        self.node_ids += ids
-        self.node_drops += drops
+            s, c, p, x, v = (a.reshape(-1) for a in (sym, cand, prio, nxt, prv))
+            at = best[act] & 63
+            i = at * n + act
+            piece = c[i]
+            if keys is not None:
+                drop = self.drawn(keys[act] ^ (at.astype(np.uint64) * _PLACE + piece.astype(np.uint64) * _PIECE))
+                p[i[drop]] = _NONE
+                go = ~drop
+                act, at, i, piece = act[go], at[go], i[go], piece[go]
+            else:
+                steps.append((of[act], at, piece))
+            j = x[i] * n + act
+            after, before = x[j], v[i]
+            s[i], s[j], p[j], x[i] = piece, -1, _NONE, after
+            has = after >= 0
+            v[after[has] * n + act[has]] = at[has]
+            p[i[~has]] = _NONE
+            # the merged symbol with what follows it, and what precedes it with the merged symbol
+            back = before >= 0
+            left = np.concatenate([i[has], before[back] * n + act[back]])
+            right = np.concatenate([after[has] * n + act[has], i[back]])
+            new = self.merged(s[left], s[right])
+            c[left] = new
+            p[left] = np.where(new >= 0, self.rank[new] * 64 + left // n, _NONE)
+        out[:, of] = sym
+        return out, steps
+
+    def flattened(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of columns of final symbols, one column after the other, and how many each has; symbols that are no pieces become bytes."""
+        real = sym.T >= 0
+        many, flat = real.sum(1), sym.T[real]
+        if (flat >= len(self.texts)).any():
+            size = self.id_count[flat]
+            begin = np.cumsum(size) - size
+            row = np.repeat(np.arange(len(many)), many)
+            many = np.bincount(row, size, len(many)).astype(np.int64)
+            flat = self.id_flat[np.repeat(self.id_start[flat] - begin, size) + np.arange(size.sum())]
+        return flat.astype(np.uint32), many
+
+    def symbols_of(self, chunks: list[str]) -> np.ndarray:
+        """Symbols (place, row) of the characters of chunks, -1 past their ends."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        rows = np.full((len(chunks), size.max(initial=0)), -1, np.int32)
+        rows[np.arange(rows.shape[1]) < size[:, None]] = np.fromiter(map(self.char_id.__getitem__, "".join(chunks)), np.int32)
+        return np.ascontiguousarray(rows.T)
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of chunks of at most ``LONG`` characters in the cache, to which new ones are added."""
+        new = sorted(set(chunks) - self.known.keys(), key=len)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        one = [c for c in new if len(c) == 1]
+        ids = [[self.normal[c]] if c in self.normal and c != LITERAL else self.byte_ids[list((MARK if c == LITERAL else c).encode())] for c in one]
+        added = [(np.zeros(0, np.int32), np.zeros(len(one), np.int64), np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.uint32), np.fromiter(map(len, ids), np.int64), np.zeros(0, np.uint64), np.zeros(len(one), np.int64))]
+        for at in range(len(one), len(new), GROUP):
+            sym = self.symbols_of(new[at : at + GROUP])
+            out, steps = self.advanced(sym, None)
+            row, place, piece = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 3
+            order = np.argsort(row, kind="stable")
+            marks = place[order].astype(np.uint64) * _PLACE + piece[order].astype(np.uint64) * _PIECE
+            real = sym.T >= 0
+            added.append((sym.T[real], real.sum(1), *self.flattened(out), marks, np.bincount(row, minlength=sym.shape[1])))
+        if new:
+            symbols, n_symbols, ids, n_ids, marks, n_marks = (np.concatenate(x) for x in zip(*added, strict=True))
+            self.flat_symbols, self.flat_ids, self.flat_marks = np.append(self.flat_symbols, symbols), np.append(self.flat_ids, ids), np.append(self.flat_marks, marks)
+            self.at_symbol, self.at_id, self.at_mark = (np.append(a, a[-1] + np.cumsum(n)) for a, n in ((self.at_symbol, n_symbols), (self.at_id, n_ids), (self.at_mark, n_marks)))
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
-    def chunks(self, keys, want: list[str]) -> list[bytes]:
-        """Ids of occurrences of chunks, each with the key (one for all, or one each) of its draws."""
+    def chunk_ids(self, keys, want: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of occurrences of chunks, one after the other, and how many each has; ``keys`` (one for all, or one each) key the draws."""
         keys = np.broadcast_to(np.asarray(keys, np.uint64), len(want))
-        out: list[bytes] = []
-        for at in range(0, len(want), OCCURRENCES):
-            out += self._walk(keys[at : at + OCCURRENCES], want[at : at + OCCURRENCES])
-        return out
+        got = [self._block(keys[at : at + OCCURRENCES], want[at : at + OCCURRENCES]) for at in range(0, len(want), OCCURRENCES)]
+        return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.uint32), np.zeros(0, np.int64)), *got, strict=True))
+
+    def chunks(self, keys, want: list[str]) -> list[bytes]:
+        """Ids of occurrences of chunks, each as bytes."""
+        ids, many = self.chunk_ids(keys, want)
+        raw, ends = ids.tobytes(), (4 * np.cumsum(many)).tolist()
+        return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
-    def _walk(self, keys: np.ndarray, want: list[str]) -> list[bytes]:
-        if len(self.node_ids) > CACHE_NODES:
+    def _block(self, keys: np.ndarray, want: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > CACHE_CHUNKS:
             self.clear()
-        long = [k for k, c in enumerate(want) if len(c) > LONG]
-        slow = {k: self.chunk_slow(keys[k], want[k]) for k in long}
-        if long:
+        slow = {k: np.frombuffer(self.chunk_slow(keys[k], c), np.uint32) for k, c in enumerate(want) if len(c) > LONG} if max(map(len, want)) > LONG else {}
+        if slow:
             want = [LITERAL if k in slow else c for k, c in enumerate(want)]
-        new = sorted(set(want) - self.roots.keys())
-        if new:
-            self.roots.update(zip(new, range(len(self.node_ids), len(self.node_ids) + len(new)), strict=True))
-            self.add(new, [()] * len(new))
-        node = np.fromiter(map(self.roots.__getitem__, want), np.int64, len(want))
-        on = np.arange(len(want))
-        while len(on):
-            many = self.many[node[on]]
-            on = on[many > 0]
-            many = self.many[node[on]]
-            begin = np.cumsum(many) - many
-            at = np.repeat(self.start[node[on]] - begin, many) + np.arange(many.sum())
-            hit = np.flatnonzero(self.drawn(np.repeat(keys[on], many) ^ self.mark[at]))
-            # the first merge skipped of each occurrence
-            who, first = np.unique(np.searchsorted(begin, hit, "right") - 1, return_index=True)
-            step = hit[first] - begin[who]
-            on = on[who]
-            code, back = np.unique(node[on] * (LONG + 1) + step, return_inverse=True)
-            code = code.tolist()
-            new = [c for c in code if c not in self.child]
-            if new:
-                self.child.update(zip(new, range(len(self.node_ids), len(self.node_ids) + len(new)), strict=True))
-                parent = [c // (LONG + 1) for c in new]
-                last = self.start[parent] + np.array(new) % (LONG + 1)
-                skipped = zip(self.place[last].tolist(), self.piece[last].tolist(), strict=True)
-                self.add([self.node_chunk[p] for p in parent], [(*self.node_drops[p], d) for p, d in zip(parent, skipped, strict=True)])
-            if len(code):
-                node[on] = np.array([self.child[c] for c in code])[back]
-        done = list(map(self.node_ids.__getitem__, node.tolist()))
-        for k, x in slow.items():
-            done[k] = x
-        return done
+        which = self.numbers(want)
+        n_marks = self.at_mark[which + 1] - self.at_mark[which]
+        owner = np.repeat(np.arange(len(want)), n_marks)
+        begin = np.cumsum(n_marks) - n_marks
+        at = np.repeat(self.at_mark[which] - begin, n_marks) + np.arange(len(owner))
+        # an occurrence none of whose merges is skipped has the cached ids
+        varied = np.unique(owner[self.drawn(keys[owner] ^ self.flat_marks[at])])
+        start, many = self.at_id[which], self.at_id[which + 1] - self.at_id[which]
+        size = self.at_symbol[which[varied] + 1] - self.at_symbol[which[varied]]
+        order = np.argsort(size, kind="stable")
+        varied, size = varied[order], size[order]
+        more, end = [self.flat_ids], len(self.flat_ids)
+        for at in range(0, len(varied), GROUP):
+            v, n = varied[at : at + GROUP], size[at : at + GROUP]
+            place = np.arange(n[-1])[:, None]
+            sym = np.where(place < n, self.flat_symbols[np.minimum(self.at_symbol[which[v]] + place, len(self.flat_symbols) - 1)], -1)
+            ids, many[v] = self.flattened(self.advanced(sym, keys[v])[0])
+            start[v] = end + np.cumsum(many[v]) - many[v]
+            more.append(ids)
+            end += len(ids)
+        for k, ids in slow.items():
+            start[k], many[k] = end, len(ids)
+            more.append(ids)
+            end += len(ids)
+        return np.concatenate(more)[np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())], many
 
     def keys_of(self, text: str, n: int) -> np.ndarray:
         """Keys of the n chunks of a text."""
@@ -334,8 +348,9 @@ class Pieces:
         """Ids of each text."""
         parts = [self.split(t) if t else [] for t in texts]
         keys = [self.keys_of(t, len(p)) for t, p in zip(texts, parts, strict=True) if p]
-        ids = iter(self.chunks(np.concatenate(keys), [c for p in parts for c in p]) if keys else [])
-        return [None if t is None else np.frombuffer(b"".join(islice(ids, len(p))), np.uint32) for t, p in zip(texts, parts, strict=True)]
+        ids, many = self.chunk_ids(np.concatenate(keys) if keys else 0, [c for p in parts for c in p])
+        ends = np.append(0, np.cumsum(many))[np.cumsum([len(p) for p in parts])] if parts else []
+        return [None if t is None else x for t, x in zip(texts, np.split(ids, ends[:-1]), strict=True)] if parts else []
 
     def split(self, t: str) -> list[str]:
         """Chunks of a text, with marks for spaces and LITERAL for marks."""
@@ -349,7 +364,8 @@ class Pieces:
         """The text of ids, without the mark in front."""
         if ids is None:
             return None
-        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        size = self.raw_count[ids]
+        raw = self.raw_flat[np.repeat(self.raw_start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 

@@ -57,7 +57,9 @@ def test_every_occurrence_of_a_chunk_has_its_own_draws(model):
     rate, word = 0.1, " representation"
     p = pieces.Pieces(model, 5, rate)
     (chunk,) = set(p.split(word * 2)[1:])
-    (usual,), _, place, piece = p.grown([chunk], [()])
+    _, steps = p.advanced(p.symbols_of([chunk]), None)
+    place, piece = (np.concatenate(x) for x in list(zip(*steps, strict=True))[1:])
+    (usual,) = pieces.Pieces(model, 5, 0.0).chunks(0, [chunk])
 
     def varied(texts):
         keys, got = [], []
