@@ -81,7 +81,7 @@ def untraceable(evidence: DataFrame, papers: DataFrame) -> DataFrame:
     checks += [(f, "citation isn't in the source", F.exists(spans(f), misplaced)) for f in FIELDS]
     checks += [(f, "value isn't in its citation", F.col(f"{f}.value").isNotNull() & uncited(F.col(f"{f}.value"), f)) for f in ("population", "intervention", "comparator")]
     checks += [(f, "value isn't in its citation", F.exists(f"{f}.values", _uncited_in(squash(joined(f)), squash))) for f in ("outcomes", "limitations")]
-    plain = squash(_as_digits(F.when(F.col("sample_size.status") != "unavailable", joined("sample_size"))))
+    plain = squash(as_digits(F.when(F.col("sample_size.status") != "unavailable", joined("sample_size"))))
     for n in ("participants", "studies"):
         count = F.col(f"sample_size.{n}")
         checks.append(("sample_size", f"{n} aren't in the citation", count.isNotNull() & ~F.contains(plain, count.cast("string")) & ~F.contains(plain, F.format_number(count, 0))))
@@ -95,7 +95,7 @@ def _uncited_in(cited: Column, squash):
 
 
 @F.pandas_udf(T.StringType())
-def _as_digits(s: pd.Series) -> pd.Series:
+def as_digits(s: pd.Series) -> pd.Series:
     return s.map(rules.digits, na_action="ignore")
 
 

@@ -2,59 +2,95 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillion.config import Settings
 from quillion.operators import control, dedup, evidence, query, ranking
-from quillion.session import ship
+from quillion.schemas import PAPER
+from quillion.session import cut, delete, ship
 from quillion.sources.base import Source, SourceError, united
 
+OUTCOME = "qid string, provider string, failure string, seconds double, budget double, paper_count long"
+
 
 @dataclass(frozen=True)
 class Results:
     questions: DataFrame
     papers: DataFrame
-    evidence: DataFrame
+    evidence: DataFrame | None
     provider_status: DataFrame
     codes: DataFrame
+    #: qid, raw_count, unique_count, removed
+    counts: DataFrame
+    #: folders that these frames read
+    paths: tuple[str, ...] = ()
+
+    def release(self) -> None:
+        """Delete what the frames read; they can't be used afterwards."""
+        for p in self.paths:
+            delete(self.questions.sparkSession, p)
 
 
-def research(questions: DataFrame, sources: list[Source], with_evidence: bool = True) -> Results:
+def asked(source: Source, questions: DataFrame, budget: float) -> tuple[DataFrame | None, DataFrame, list[str]]:
+    """(records, outcomes, folders) of one source: its records are written here, so whatever fails does so here and costs no other source.
+
+    Outcomes have a row for each question. A question that the source rejects
+    is in error by itself; a source that fails as a whole, or takes longer than
+    ``budget`` seconds for all questions, is in error for all of them.
+    """
+    began, failure, records, bad, paths = time.monotonic(), None, None, None, []
+    try:
+        records, path = cut(source.search(questions), f"source-{source.name}")
+        paths.append(path)
+        bad, path = cut(source.failures(questions), f"failures-{source.name}")
+        paths.append(path)
+    except SourceError as e:
+        failure = e.message
+    except Exception:  # noqa: BLE001  a source's defect costs no other source; details stay out of results
+        failure = control.UNEXPECTED
+    seconds = time.monotonic() - began
+    o = questions.select("qid", F.lit(source.name).alias("provider"), F.lit(failure).cast("string").alias("failure"), F.lit(float(seconds)).alias("seconds"), F.lit(float(budget)).alias("budget"))
+    if failure is not None or bad is None:
+        return None, o.withColumn("paper_count", F.lit(0).cast("long")), paths
+    counts = records.groupBy("qid").agg(F.count("*").alias("paper_count"))
+    o = o.drop("failure").join(bad.groupBy("qid").agg(F.min("error").alias("failure")), "qid", "left").join(counts, "qid", "left")
+    o = o.select("qid", "provider", "failure", "seconds", "budget", F.coalesce("paper_count", F.lit(0)).alias("paper_count"))
+    return (records if seconds <= budget else None), o, paths
+
+
+def research(questions: DataFrame, sources: list[Source], with_evidence: bool = True, settings: Settings | None = None) -> Results:
     """Answers for all ``questions`` (qid, question) at once.
 
-    Sources answer side by side and one that fails leaves the others' records
-    alone: it has an error status for every question. Records are united in the
-    order of the sources, merged by identity, ranked, and their evidence
-    extracted after merging, when there are fewest.
+    Sources answer one after the other, each within the time that the settings
+    give it for each started thousand questions, and one that fails leaves the
+    others' records alone. Records are united in the order of the sources,
+    merged by identity, ranked, and their evidence extracted after merging,
+    when there are fewest. Without sources there are no papers.
     """
     spark = questions.sparkSession
     ship(spark)
+    settings = settings or Settings()
     q = query.process(questions)
-    valid = q.where("valid")
-    parts, outcomes = [], []
-    for k, s in enumerate(sources):
-        failure = None
-        try:
-            got = s.search(valid)
-            parts.append(got)
-        except SourceError as e:
-            failure = e.message
-        except Exception:  # noqa: BLE001  a source's defect costs no other source; details stay out of results
-            failure = control.UNEXPECTED
-        counts = parts[-1].groupBy("qid").agg(F.count("*").alias("paper_count")) if failure is None else None
-        o = valid.select("qid", F.lit(s.name).alias("provider"), F.lit(failure).cast("string").alias("failure"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("double").alias("budget"))
-        outcomes.append(o.join(counts, "qid", "left").withColumn("paper_count", F.coalesce("paper_count", F.lit(0))) if counts is not None else o.withColumn("paper_count", F.lit(0).cast("long")))
-    statuses = outcomes[0] if outcomes else None
-    for o in outcomes[1:]:
-        statuses = statuses.unionByName(o)
+    valid, path = cut(q.where("valid"), "questions")
+    paths = [path]
+    budget = settings.provider_timeout * -(-max(1, valid.count()) // 1000) if sources else 0.0
+    parts, statuses = [], spark.createDataFrame([], OUTCOME)
+    for s in sources:
+        got, outcome, made = asked(s, valid, budget)
+        paths += made
+        parts += [got] if got is not None else []
+        statuses = statuses.unionByName(outcome)
     status = control.provider_status(statuses)
-    if parts:
-        papers = ranking.ranked(ranking.scored(dedup.deduplicate(united(parts)), valid))
-    else:
-        from quillion.schemas import PAPER
-
-        papers = spark.createDataFrame([], PAPER).withColumn("rank", F.lit(None).cast("int"))
+    raw = united(parts) if parts else spark.createDataFrame([], PAPER)
+    papers = ranking.ranked(ranking.scored(dedup.deduplicate(raw), valid))
+    papers, path = cut(papers, "papers")
+    paths.append(path)
     found = evidence.extract(papers, ["qid"]) if with_evidence else None
-    return Results(q, papers, found, status, control.response_code(status))
+    n = lambda df, c: df.groupBy("qid").agg(F.count("*").alias(c))
+    counts = valid.select("qid").join(n(raw, "raw_count"), "qid", "left").join(n(papers, "unique_count"), "qid", "left")
+    counts = counts.select("qid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw_count", "unique_count")]).withColumn("removed", F.col("raw_count") - F.col("unique_count"))
+    return Results(q, papers, found, status, control.response_code(status), counts, tuple(paths))

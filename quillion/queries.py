@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quillion import sample_papers
 from quillion.functions import text
-from quillion.operators import control, dedup, evaluate, evidence, invariants, query, ranking
+from quillion.operators import control, dedup, evaluate, evidence, query, ranking, rules
 from quillion.plans.research import research
 from quillion.session import read as table
 from quillion.session import shared_path, ship
@@ -124,11 +124,6 @@ def abstract_status(spark, sf_dir):
     return papers(spark, sf_dir).groupBy(evidence.abstract_status(F.col("abstract")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def sentence_split(spark, sf_dir):
-    p = papers(spark, sf_dir).where("abstract is not null")
-    return evidence.sentences(p.withColumn("doc_id", F.col("ord")), ["doc_id"])
-
-
 def sentence_offsets(spark, sf_dir):
     """Sentences whose offsets don't give their text: none."""
     p = papers(spark, sf_dir).where("abstract is not null")
@@ -137,12 +132,12 @@ def sentence_offsets(spark, sf_dir):
 
 
 def statistics_in(spark, sf_dir):
-    f = evidence.with_facts(papers(spark, sf_dir), ["ord"])
-    return f.select(F.col("ord").alias("doc_id"), F.explode("s").alias("x")).where(F.size("x.statistics") > 0).select("doc_id", F.col("x.idx").alias("sent_idx"), F.array_join("x.statistics", "; ").alias("statistics"))
+    f = evidence.with_facts(sample_papers.papers(spark, sf_dir), ["doc_id"])
+    return f.select("doc_id", F.explode("s").alias("x")).where(F.size("x.statistics") > 0).select("doc_id", F.col("x.text").alias("text"), F.array_join("x.statistics", "; ").alias("statistics"))
 
 
 def sentence_cues(spark, sf_dir):
-    f = evidence.with_facts(papers(spark, sf_dir), ["ord"])
+    f = evidence.with_facts(sample_papers.papers(spark, sf_dir), ["doc_id"])
     return f.select(F.explode("s").alias("x")).select(F.explode("x.cues").alias("cue")).groupBy("cue").agg(F.count("*").alias("n"))
 
 
@@ -154,20 +149,6 @@ def evidence_full(spark, sf_dir):
     return _evidence(spark, sf_dir)
 
 
-def evidence_availability(spark, sf_dir):
-    return evaluate.field_availability(_evidence(spark, sf_dir))
-
-
-def evidence_violations(spark, sf_dir):
-    e = _evidence(spark, sf_dir)
-    return invariants.violations(e).agg(F.count("*").alias("violations"))
-
-
-def evidence_untraceable(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    return invariants.untraceable(evidence.extract(p), p).agg(F.count("*").alias("untraceable"))
-
-
 def _rankings(spark, sf_dir):
     r = ranking.ranked(ranking.scored(papers(spark, sf_dir), query.process(questions(spark)))).select("qid", F.lit("ranked").alias("system"), "rank", "source_ids")
     b = with_positions(papers(spark, sf_dir).withColumns({"pos": F.col("ord"), "_s": F.col("source"), "source": F.lit("all")})).select("qid", F.lit("baseline").alias("system"), F.col("pos").alias("rank"), "source_ids")
@@ -296,16 +277,38 @@ def research_ranked(spark, sf_dir):
 
 
 def research_replies(spark, sf_dir):
+    """The JSON replies, read again: a row for each paper of each question."""
     r = _research(spark, sf_dir)
-    return snapshot.envelopes(r.questions, r.papers, r.evidence, r.provider_status, r.codes)
+    e = snapshot.envelopes(r.questions, r.papers, r.evidence, r.provider_status, r.codes)
+    body = F.from_json("body", "queries_used array<string>, papers array<struct<id string, rank_score double, provider_ranks map<string,int>>>, provider_status map<string,struct<status string,paper_count int>>, evidence map<string,struct<paper_id string,abstract_status string>>")
+    x = e.select("qid", F.col("code").cast("long").alias("code"), body.alias("b")).select("qid", "code", "b", F.posexplode("b.papers").alias("pos", "p"))
+    return x.select(
+        "qid", "code", (F.col("pos") + 1).cast("long").alias("rank"), F.col("p.id").alias("id"), F.col("p.rank_score").alias("score"), F.array_join("b.queries_used", "|").alias("queries_used"),
+        F.aggregate(F.map_values("b.provider_status"), F.lit(0).cast("long"), lambda a, v: a + F.when(v["status"] == "ok", v["paper_count"]).otherwise(0)).alias("raw_count"),
+        F.element_at("b.evidence", F.col("p.id"))["abstract_status"].alias("abstract_status"),
+    )
+
+
+def research_counts(spark, sf_dir):
+    """Records given by the sources, papers after merging, and how many merging removed, by question."""
+    return _research(spark, sf_dir).counts
+
+
+def dedup_chains(spark, sf_dir):
+    """Chains of ten records: each shares a DOI with one neighbour and a PubMed id with the other."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"))
+    pmid = F.when(F.pmod(F.col("ord"), F.lit(10)).between(1, 8), F.concat(F.lit("pubmed:"), F.floor((F.col("ord") + 1) / 2).cast("string")))
+    p = d.select("ord", F.concat(F.lit("DOI: 10.1/X"), F.floor(F.col("ord") / 2).cast("string")).alias("doi"), F.array_compact(F.array(pmid)).alias("source_ids"), F.lit("one title").alias("title"))
+    keys = p.select("ord", F.explode(dedup.identity_keys(F.col("doi"), F.col("source_ids"), F.col("title"))).alias("key"))
+    return dedup.leaders(p, keys).select(F.col("ord").alias("doc_id"), "leader")
 
 
 QUERIES = {f.__name__: f for f in (
     query_terms, lexical_score, topk_ranked, date_key_sort, title_keys, unmerged_titles, dedup_components, merged_papers, merged_provider_ranks, provider_positions, per_source_limit,
-    strip_tags, abstract_status, sentence_split, sentence_offsets, statistics_in, sentence_cues, evidence_full, evidence_availability, evidence_violations, evidence_untraceable,
+    strip_tags, abstract_status, sentence_offsets, statistics_in, sentence_cues, evidence_full,
     recall_mrr, recall_macro, unretrieved, judge_outcomes, latency_percentile, semi_relevant, anti_gold, left_evidence, rate_limit_schedule, provider_status, all_failed, retry_decisions,
-    request_rates, crossref_parse, pubmed_parse, snapshot_round_trip, research_ranked, research_replies,
-)}
+    request_rates, crossref_parse, pubmed_parse, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains,
+)} | sample_papers.QUERIES
 
 # SQL
 
@@ -349,9 +352,38 @@ o AS (SELECT CAST(user_id % 50 AS VARCHAR) AS qid, CASE WHEN event_id % 2 = 0 TH
 e AS (SELECT *, CASE WHEN seconds > 300 THEN 'exceeded time budget' ELSE failure END AS error FROM o)
 """
 
+#: What the sources give (100 records each for a question), merged within questions, scored and ranked.
+_RESEARCH = f"""
+{_PAPERS}, raw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, src ORDER BY doc_id) AS pos FROM papers WHERE lang IN ('en', 'fr', 'de', 'es')) WHERE pos <= 100),
+k AS (SELECT *, CASE src WHEN 'pubmed' THEN 0 WHEN 'crossref' THEN 1000 ELSE 2000 END + pos AS ord, CASE WHEN kind < 2 THEN 'doi:' || lower(doi) ELSE 'title:' || trim(regexp_replace(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) END AS key FROM raw),
+g AS (SELECT lang, arg_min(src || ':' || doc_id, ord) AS id, arg_min(title, ord) AS title, CASE WHEN count(*) = 1 THEN max(abstract) ELSE arg_max(abstract, {{'n': length(abstract), 'o': -ord}}) FILTER (WHERE abstract <> '') END AS abstract, arg_max(pdate, {{'n': length(pdate), 'o': -ord}}) AS pdate
+  FROM k GROUP BY lang, CASE WHEN key = 'title:' THEN 'own:' || ord ELSE key END),
+w AS (SELECT *, {_words_sql('title')} AS tw, {_words_sql('abstract')} AS aw FROM g),
+s AS (SELECT *, round_even(0.75 * (len(list_filter({_TERM_LIST}, lambda t: list_contains(tw, t))) / 6.0) + 0.25 * (list_sum(list_transform({_TERM_LIST}, lambda t: least(3, len(list_filter(aw, lambda x: x = t))))) / 3.0 / 6.0), 6) AS score FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, (abstract IS NOT NULL AND abstract <> '') DESC, CAST(substr(pdate, 1, 4) AS INTEGER) DESC,
+  CASE WHEN length(pdate) >= 7 THEN CAST(substr(pdate, 6, 2) AS INTEGER) ELSE 0 END DESC, CASE WHEN length(pdate) = 10 THEN CAST(substr(pdate, 9, 2) AS INTEGER) ELSE 0 END DESC, id) AS rank FROM s)
+"""
+_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_flat = lambda c: f"trim(regexp_replace(regexp_replace(coalesce({c}, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFE}}\\x{{FFFF}}]', ' ', 'g'), '{_BLANK}', ' ', 'g'))"
+#: Patterns of cues, without the guards that DuckDB's regular expressions lack (no sample needs them but one).
+_CUES = {name: p for name, p in {**rules.CUES, **rules.DESIGNS_FIRST, **rules.DESIGNS_LAST, "limitation": rules.LIMITATION}.items()} | {"randomized controlled trial": r"\brandomi[sz]ed\b[^.;]{0,60}?\b(?:trial|study)\b", "cross-sectional study": r"\bcross[- ]sectional plan\b"}
+
 ORACLES = {
+    "statistics_in": f"WITH {sample_papers.ALL} SELECT d AS doc_id, s AS text, statistics FROM found WHERE statistics <> ''",
+    "sentence_cues": f"WITH {sample_papers.ALL}, s AS ({sample_papers.SPLIT}), c AS ({' UNION ALL '.join(f"SELECT '{n}' AS cue FROM s WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}', 'i')" for n, p in _CUES.items())}) SELECT cue, count(*) AS n FROM c GROUP BY cue",
+    "strip_tags": r"""
+WITH a AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '<[^<>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</?(?:p|br|jats:[a-z-]+)\b[^<>]*>', '', 'gi'), '[ \t\r\f\x0B]+', ' ', 'g') AS t FROM a)
+SELECT page_id, nullif(regexp_replace(t, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g'), '') AS plain FROM b""",
+    "pubmed_parse": f"""
+WITH {_PAPERS}, c AS (SELECT *, {_flat('title')} AS t, {_flat('abstract')} AS a, {_flat('journal')} AS j FROM papers)
+SELECT 'pubmed:' || doc_id AS id, t AS title, CASE WHEN j = '' THEN '' ELSE 'A ' || j END AS authors, CASE WHEN a <> '' THEN 'METHODS: ' || a END AS abstract, '2024-03' AS publication_date, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url FROM c WHERE t <> ''""",
+    "research_ranked": f"WITH {_RESEARCH} SELECT lang AS qid, rank, id, score FROM r",
+    "research_replies": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang) SELECT r.lang AS qid, CAST(200 AS BIGINT) AS code, rank, id, score, 'effect thereing erly ntion anea ering' AS queries_used, raw_count, CASE WHEN abstract IS NULL THEN 'missing' WHEN regexp_full_match(abstract, '\\s*') THEN 'empty' ELSE 'present' END AS abstract_status FROM r JOIN n ON n.lang = r.lang",
+    "research_counts": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang), u AS (SELECT lang, count(*) AS unique_count FROM g GROUP BY lang) SELECT n.lang AS qid, raw_count, unique_count, raw_count - unique_count AS removed FROM n JOIN u ON u.lang = n.lang",
+    "dedup_chains": "SELECT doc_id, min(doc_id) OVER (PARTITION BY CAST(floor(doc_id / 10) AS BIGINT)) AS leader FROM documents",
     "query_terms": rf"""
-WITH q AS (SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 400), '^\s+|\s+$', '', 'g')) AS question FROM conversations WHERE role = 'user'),
+WITH q AS (SELECT conv_id, turn, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS question FROM conversations WHERE role = 'user'),
 t AS (SELECT *, regexp_extract_all(replace(question, '’', ''''), '[\p{{L}}\p{{N}}_]+(?:[''-][\p{{L}}\p{{N}}_]+)*') AS toks, NOT regexp_matches(question, '\p{{Ll}}') AS shouting FROM q),
 k AS (SELECT *, list_transform(list_filter(list_zip(toks, range(0, len(toks))), lambda z: NOT list_contains({_STOP}, lower(z[1])) OR (NOT shouting AND upper(z[1]) = z[1] AND lower(z[1]) <> z[1] AND NOT list_contains(['or', 'not', 'and'], lower(z[1])) AND (length(z[1]) > 1 OR z[2] > 0))),
   lambda z: CASE WHEN list_contains(['or', 'not'], lower(z[1])) THEN lower(z[1]) ELSE z[1] END) AS kept FROM t),
@@ -375,8 +407,6 @@ FROM l GROUP BY leader""",
     "per_source_limit": f"WITH {_PAPERS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, src ORDER BY doc_id) AS rn FROM papers) SELECT doc_id, lang AS qid, src AS source FROM r WHERE rn <= {TOP}",
     "abstract_status": f"WITH {_PAPERS} SELECT CASE WHEN abstract IS NULL THEN 'missing' WHEN regexp_full_match(abstract, '\\s*') THEN 'empty' ELSE 'present' END AS status, count(*) AS n FROM papers GROUP BY 1",
     "sentence_offsets": "SELECT CAST(0 AS BIGINT) AS misplaced",
-    "evidence_violations": "SELECT CAST(0 AS BIGINT) AS violations",
-    "evidence_untraceable": "SELECT CAST(0 AS BIGINT) AS untraceable",
     "recall_mrr": f"WITH {_RECALL} SELECT qid, system, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, round(recall_20, 9) AS recall_20, round(mrr, 9) AS mrr FROM m",
     "recall_macro": f"WITH {_RECALL} SELECT system, round(avg(recall_5), 9) AS recall_5, round(avg(recall_10), 9) AS recall_10, round(avg(recall_20), 9) AS recall_20, round(avg(mrr), 9) AS mrr FROM m GROUP BY system",
     "unretrieved": "SELECT CAST(0 AS BIGINT) AS missing",
@@ -405,4 +435,4 @@ SELECT event_id, outcome, CASE WHEN outcome IN ('timeout', 'network', '404') THE
 c AS (SELECT *, trim(regexp_replace(replace(title, chr(11), ' '), '[ \t\r\f]+', ' ', 'g')) AS t, list_filter(list_transform(string_split(abstract, chr(10)), lambda x: trim(regexp_replace(replace(x, chr(11), ' '), '[ \t\r\f]+', ' ', 'g'))), lambda x: NOT regexp_full_match(x, '[: ]*')) AS ls FROM papers)
 SELECT 'crossref:10.1/' || doc_id AS id, t AS title, 'Ada ' || journal AS authors, nullif(array_to_string(ls, chr(10)), '') AS abstract,
   CASE WHEN doc_id % 14 BETWEEN 1 AND 12 THEN '2024-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') ELSE '2024' END AS publication_date, 'https://example.org/' AS url FROM c WHERE t <> ''""",
-}
+} | sample_papers.ORACLES

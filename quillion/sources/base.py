@@ -29,6 +29,10 @@ class Source(ABC):
     def search(self, questions: DataFrame) -> DataFrame:
         """Records (qid, pos, and the columns of ``record``) for the questions."""
 
+    def failures(self, questions: DataFrame) -> DataFrame:
+        """(qid, error) of the questions that this source can't answer; they have no records. Default: none."""
+        return questions.select("qid", F.lit("").alias("error")).where("false")
+
 
 def with_provenance(records: DataFrame) -> DataFrame:
     """source_ids default to the record's own, and id is source:source_id."""
@@ -54,11 +58,28 @@ def united(parts: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    # ordered within a question; unique overall by the question's hash in the high bits
     w = Window.partitionBy("qid").orderBy("_source_ord", "pos", "source_id")
-    local = F.row_number().over(w).cast("long")
-    q = F.pmod(F.xxhash64("qid"), F.lit(1 << 40)) * F.lit(1 << 22)
-    return out.withColumn("ord", q + local).withColumn("rank_score", F.lit(None).cast("double")).select(*[f.name for f in PAPER])
+    out = out.withColumn("_local", F.row_number().over(w).cast("long"))
+    # questions in their order, counted up: no two share a number
+    n = out.groupBy("qid").agg(F.max("_local").alias("_n"))
+    return numbered(out, n).withColumn("rank_score", F.lit(None).cast("double")).select(*[f.name for f in PAPER])
+
+
+def numbered(records: DataFrame, sizes: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``records`` (qid, _local) with ord: unique, ascending with (bucket of the question, question, _local).
+
+    ``sizes`` has a row for each question. Running sums go by bucket, then over
+    the buckets' totals, so no task sees all questions.
+    """
+    b = F.pmod(F.xxhash64("qid"), F.lit(buckets))
+    q = sizes.select("qid", "_n", b.alias("_b"))
+    w = Window.partitionBy("_b").orderBy("qid").rowsBetween(Window.unboundedPreceding, -1)
+    q = q.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    totals = q.groupBy("_b").agg(F.sum("_n").alias("_t"))
+    # one row for each bucket
+    first = F.broadcast(totals.withColumn("_first", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t"))
+    q = q.join(first, "_b").select(F.col("qid").alias("_q"), (F.col("_first") + F.col("_before")).alias("_base"))
+    return records.join(q, F.col("qid").eqNullSafe(F.col("_q"))).withColumn("ord", F.col("_base") + F.col("_local")).drop("_q", "_base", "_local")
 
 
 def text_or_null(c: Column) -> Column:

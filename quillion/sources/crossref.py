@@ -7,14 +7,15 @@ to text and lose whole listings to one bad element.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillion.functions import text
-from quillion.sources.base import Source, SourceError, with_positions, with_provenance
+from quillion.sources.base import Source, with_positions, with_provenance
 
 NAME = "crossref"
 #: Date fields by preference, and the fields that a request selects.
+ARTICLE_TYPE = "journal-article"
 DATE_FIELDS = ("issued", "published", "published-print", "published-online")
 SELECTED = ("DOI", "title", "author", "abstract", "container-title", "URL", *DATE_FIELDS)
 
@@ -102,15 +103,36 @@ def parse(replies: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 class Crossref(Source):
-    """Replies from a snapshot (qid, payload)."""
+    """Replies from a snapshot (qid, payload).
+
+    Where the snapshot has the fields of works as columns (``items`` with ``type``), ask ``works`` instead.
+    """
 
     name = NAME
 
     def __init__(self, replies: DataFrame, rows: int = 20):
         self.replies, self.rows = replies, rows
 
+    def _mine(self, questions: DataFrame) -> DataFrame:
+        return self.replies.join(questions.select("qid"), "qid", "left_semi")
+
     def search(self, questions: DataFrame) -> DataFrame:
-        mine = self.replies.join(questions.select("qid"), "qid", "left_semi")
-        if not rejected(mine).isEmpty():
-            raise SourceError(NAME, "unexpected search response")
-        return with_positions(parse(mine), self.rows)
+        """Records of the replies that are listings; the others are in ``failures``."""
+        return with_positions(parse(self._mine(questions)), self.rows)
+
+    def failures(self, questions: DataFrame) -> DataFrame:
+        return rejected(self._mine(questions)).select("qid", F.lit("unexpected search response").alias("error"))
+
+
+def works(table: DataFrame, rows: int = 20) -> DataFrame:
+    """Replies (qid, payload) from a table of works (qid, pos, type and the fields of a work as JSON text or columns).
+
+    Only articles of journals are asked for, the fields in ``SELECTED`` and the
+    first ``rows`` of a question; filter and projection reach the scan.
+    """
+    have = [c for c in SELECTED if c in table.columns]
+    some = table.where(F.col("type") == ARTICLE_TYPE).select("qid", "pos", *[F.col(f"`{c}`") for c in have])
+    w = Window.partitionBy("qid").orderBy("pos")
+    some = some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("_r", F.to_json(F.struct(*[F.col(f"`{c}`") for c in have])).alias("j")))), lambda x: x["j"])
+    return some.groupBy("qid").agg(F.concat(F.lit('{"status":"ok","message":{"items":['), F.array_join(items, ","), F.lit("]}}")).alias("payload"))

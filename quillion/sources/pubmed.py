@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillion.functions import text
 from quillion.schemas import STR, struct
-from quillion.sources.base import Source, SourceError, with_positions, with_provenance
+from quillion.sources.base import Source, with_positions, with_provenance
 from quillion.sources.crossref import array_at, of_type, string_at
 
 NAME = "pubmed"
@@ -154,18 +154,19 @@ class PubMed(Source):
         self.searches, self.fetched, self.most = searches, fetched, most
 
     def search(self, questions: DataFrame) -> DataFrame:
-        """Articles in the order of the id lists; ids without article drop out."""
-        q = questions.select("qid")
-        ids = id_lists(self.searches.join(q, "qid", "left_semi"))
-        bad = ids.where(F.col("error").isNotNull()).select("error").head()
-        if bad is not None:
-            raise SourceError(NAME, bad["error"])
+        """Articles in the order of the id lists; ids without article drop out, rejected questions are in ``failures``."""
+        ids = id_lists(self.searches.join(questions.select("qid"), "qid", "left_semi"))
         wanted = ids.where(F.col("pmid").isNotNull() & (F.col("pos") < self.most)).select("qid", F.col("pos").alias("_pos"), F.col("pmid").alias("source_id"))
         mine = self.fetched.join(wanted.select("qid").distinct(), "qid", "left_semi")
-        if not articles(mine).where("articles is null").isEmpty():
-            raise SourceError(NAME, "unreadable article response")
         got = parse(mine).join(wanted, ["qid", "source_id"])
         return with_positions(got.withColumn("pos", F.col("_pos")).drop("_pos"), self.most)
 
+    def failures(self, questions: DataFrame) -> DataFrame:
+        q = questions.select("qid")
+        ids = id_lists(self.searches.join(q, "qid", "left_semi"))
+        bad = ids.where(F.col("error").isNotNull()).select("qid", "error")
+        unread = articles(self.fetched.join(ids.where(F.col("pmid").isNotNull()).select("qid").distinct(), "qid", "left_semi")).where("articles is null")
+        return bad.unionByName(unread.select("qid", F.lit("unreadable article response").alias("error")))
+
 
 __all__ = ["PubMed", "parse", "id_lists", "string_at"]
