@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm.common import arrow_map
-from quillion.session import cut
+from quillion.llm.common import arrow_map, columns, free
+from quillion.session import cut, delete
 
 WINDOW, CHUNK_WORDS, BLOCK = 10, 100_000, 3
 
@@ -37,7 +37,7 @@ WINDOW, CHUNK_WORDS, BLOCK = 10, 100_000, 3
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-ADDED = [T.StructField("_n_words", T.LongType()), T.StructField("_spans", SPANS), T.StructField("_item_ids", T.ArrayType(T.StringType()))]
+ADDED = {"_n_words": T.LongType(), "_spans": SPANS, "_item_ids": T.ArrayType(T.StringType())}
 
 
 def words(raw: bytes | None) -> list[bytes]:
@@ -124,7 +124,7 @@ def chunks(items: DataFrame, id_col: str, text_col: str, window: int, most: int
 
 
 def annotate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, chunk_words: int = CHUNK_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) of ``docs`` with _n_words, _spans and _item_ids.
+    """The columns ``keep`` (default: all) of ``docs`` and as the last three _n_words, _spans and _item_ids (underscores behind names that are taken).
 
     _spans are disjoint, sorted ranges of word positions inside occurrences of
     any window; _item_ids the sorted ids of the items with occurring windows.
@@ -132,23 +132,26 @@ def annotate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     carried = list(dict.fromkeys([*keep, text_col]))
-    df = docs.select(*[F.col(f"`{c}`") for c in carried])
+    names = [free(c, carried) for c in ADDED]
+    df, held = columns(docs, carried), None
     parts = chunks(items, item_id, item_text, window, chunk_words)
     part = next(parts)
     while part is not None:
         after = next(parts, None)
         known = spark.sparkContext.broadcast(part)
-        held = "_spans" in df.columns
         cols = keep if after is None else carried
-        schema = T.StructType([*[df.schema[c] for c in cols], *ADDED])
-        df = arrow_map(df, _scan(known, window, text_col, cols, held), schema)
+        schema = T.StructType([*[df.schema[c] for c in cols], *[T.StructField(n, k) for n, k in zip(names, ADDED.values(), strict=True)]])
+        df = arrow_map(df, _scan(known, window, text_col, cols, names, held is not None), schema)
         if after is not None:
-            df, _ = cut(df, "decontaminate")
+            df, path = cut(df, "decontaminate")
+            if held:
+                delete(spark, held)
+            held = path
         part = after
     return df
 
 
-def _scan(known, window: int, text_col: str, cols: list[str], held: bool):
+def _scan(known, window: int, text_col: str, cols: list[str], names: list[str], held: bool):
     state: dict = {}
 
     def scan(b: pa.RecordBatch) -> dict:
@@ -156,7 +159,7 @@ def _scan(known, window: int, text_col: str, cols: list[str], held: bool):
             state["by"] = matchers(known.value, window)
         out: dict = {c: b.column(c) for c in cols}
         n, spans, ids = [], [], []
-        old = zip(b.column("_spans").to_pylist(), b.column("_item_ids").to_pylist(), strict=True) if held else None
+        old = zip(b.column(names[1]).to_pylist(), b.column(names[2]).to_pylist(), strict=True) if held else None
         for raw in b.column(text_col).cast(pa.binary()).to_pylist():
             ws = words(raw)
             found, items = search(ws, state["by"])
@@ -166,27 +169,29 @@ def _scan(known, window: int, text_col: str, cols: list[str], held: bool):
             n.append(len(ws))
             spans.append([{"start": s, "end": e} for s, e in found])
             ids.append(sorted(items))
-        return out | {"_n_words": n, "_spans": spans, "_item_ids": ids}
+        return out | dict(zip(names, (n, spans, ids), strict=True))
 
     return scan
 
 
 def digest(annotated: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's columns from ``annotate``."""
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    words, spans, ids = annotated.columns[-3:]
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return annotated.select(
         id_col,
-        F.col("_n_words").alias("n_words"),
+        F.col(words).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("_item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """Rows of ``docs`` in which no benchmark window occurs, with their columns."""
-    return annotate(docs, items, **kw).where(F.size("_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = annotate(docs, items, **kw)
+    return columns(found.where(F.size(found.columns[-2]) == 0), docs.columns)
 
 
 def brute(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, int, str]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm.common import arrow_map
+from quillion.llm.common import arrow_map, columns, free
 from quillion.session import read
 
 LEAST = 0.75
@@ -200,9 +200,9 @@ MATCH = T.ArrayType(T.StructType([T.StructField("first_line", T.LongType()), T.S
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (default: all) with _matches: the segments that match a template."""
+    """Columns ``keep`` of ``docs`` (default: all) and as the last one _matches, the segments that match a template (underscores behind the name if it is taken)."""
     keep = docs.columns if keep is None else keep
-    df = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+    df, name = columns(docs, [*keep, text_col]), free("_matches", keep)
     texts = TEMPLATES if templates is None else templates
     state: dict = {}
 
@@ -210,9 +210,9 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text",
         if "t" not in state:
             state["t"] = Templates(texts, least)
         found = [[{"first_line": a, "end_line": e, "dice": d, "template": n} for a, e, d, n in state["t"].scan(t)] for t in b.column(text_col).to_pylist()]
-        return {c: b.column(c) for c in keep} | {"_matches": found}
+        return {c: b.column(c) for c in keep} | {name: found}
 
-    return arrow_map(df, fn, T.StructType([*[df.schema[c] for c in keep], T.StructField("_matches", MATCH)]))
+    return arrow_map(df, fn, T.StructType([*[df.schema[c] for c in keep], T.StructField(name, MATCH)]))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm.common import arrow_map, small_batches
+from quillion.llm.common import arrow_map, columns, small_batches
 from quillion.llm.features import _P, BLOCK, _tables, mix, runs
 from quillion.session import cut, delete, read
 
@@ -193,30 +193,34 @@ def block_links(members: DataFrame, percent: int, temporary: list[str]) -> DataF
 
     Members of a list are dealt into blocks: a component with more than a
     block of members has blocks of its own, the others share blocks by
-    component. Every two blocks, except of one component, meet in one task.
+    component; members of a block have sets of about one size. Every two blocks
+    whose sizes allow the threshold, except of one component, meet in one task.
     """
-    counts = members.groupBy("v", "comp").agg(F.count("*").alias("of_comp"))
+    # sets of classes that aren't neighbours differ in size by more than the threshold allows
+    size = F.floor(F.log(F.octet_length("set") / 8) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    members = members.withColumn("size", size)
+    counts = members.groupBy("v", "size", "comp").agg(F.count("*").alias("of_comp"))
     own = F.col("of_comp") > BLOCK_ROWS
-    rest = counts.groupBy("v").agg(F.sum(F.when(own, 0).otherwise(F.col("of_comp"))).alias("of_rest"))
-    deal = counts.join(rest, "v").select(
-        "v", "comp", own.alias("own"),
+    rest = counts.groupBy("v", "size").agg(F.sum(F.when(own, 0).otherwise(F.col("of_comp"))).alias("of_rest"))
+    deal = counts.join(rest, ["v", "size"]).select(
+        "v", "size", "comp", own.alias("own"),
         F.ceil(F.when(own, F.col("of_comp")).otherwise(F.col("of_rest")) / BLOCK_ROWS).cast("int").alias("deals"),
     )
     deal, path = cut(deal, "deal")
     temporary.append(path)
     spread = F.pmod(F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("comp")), F.greatest(F.col("deals"), F.lit(1)))
-    block = F.concat(F.when(F.col("own"), F.col("comp").cast("string")).otherwise("r"), F.lit("/"), spread.cast("string"))
-    dealt = members.join(deal, ["v", "comp"]).select("v", block.alias("block"), "id", "comp", "set")
+    named = lambda k: F.concat_ws("/", F.col("size").cast("string"), F.when(F.col("own"), F.concat(F.lit("c"), F.col("comp").cast("string"))).otherwise("r"), k.cast("string"))
+    dealt = members.join(deal, ["v", "size", "comp"]).select("v", named(spread).alias("block"), "id", "comp", "set")
     dealt, path = cut(dealt, "dealt")
     temporary.append(path)
     # a list has as many blocks as thousands of members: few rows for each list
-    blocks = deal.select("v", "own", "comp", F.explode(F.sequence(F.lit(0), F.greatest(F.col("deals"), F.lit(1)) - 1)).alias("k"))
-    blocks = blocks.select("v", F.when(F.col("own"), F.col("comp")).alias("pure"), F.concat(F.when(F.col("own"), F.col("comp").cast("string")).otherwise("r"), F.lit("/"), F.col("k").cast("string")).alias("block")).distinct()
+    blocks = deal.select("v", "size", "own", "comp", F.explode(F.sequence(F.lit(0), F.greatest(F.col("deals"), F.lit(1)) - 1)).alias("k"))
+    blocks = blocks.select("v", "size", F.when(F.col("own"), F.col("comp")).alias("pure"), named(F.col("k")).alias("block")).distinct()
     blocks, path = cut(blocks, "blocks")
     temporary.append(path)
-    left = blocks.select("v", F.col("pure").alias("p1"), F.col("block").alias("b1"))
-    right = blocks.select("v", F.col("pure").alias("p2"), F.col("block").alias("b2"))
-    tasks = left.join(right, "v").where((F.col("b1") <= F.col("b2")) & ~(F.col("p1").eqNullSafe(F.col("p2")) & F.col("p1").isNotNull()))
+    left = blocks.select("v", F.col("size").alias("z1"), F.col("pure").alias("p1"), F.col("block").alias("b1"))
+    right = blocks.select("v", F.col("size").alias("z2"), F.col("pure").alias("p2"), F.col("block").alias("b2"))
+    tasks = left.join(right, "v").where((F.col("b1") <= F.col("b2")) & (F.abs(F.col("z1") - F.col("z2")) <= 1) & ~(F.col("p1").eqNullSafe(F.col("p2")) & F.col("p1").isNotNull()))
     tasks, path = cut(tasks.select("v", "b1", "b2"), "tasks")
     temporary.append(path)
     one = dealt.join(tasks.withColumnRenamed("b1", "block"), ["v", "block"]).select("v", F.col("block").alias("b1"), "b2", F.lit(0).alias("side"), "id", "comp", "set")
@@ -224,11 +228,12 @@ def block_links(members: DataFrame, percent: int, temporary: list[str]) -> DataF
     small_batches(members.sparkSession)
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, comps = t.column("id").to_numpy(), t.column("comp").to_numpy()
-        found = exact_links([np.frombuffer(s, np.int64) for s in t.column("set").to_pylist()], comps, t.column("side").to_numpy(), percent)
-        return pa.table({"a": ids[[i for i, _ in found]], "b": ids[[j for _, j in found]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        ids, comps = t.column("id").combine_chunks(), np.unique(np.array(t.column("comp").to_pylist()), return_inverse=True)[1]
+        found = np.array([*exact_links([np.frombuffer(s, np.int64) for s in t.column("set").to_pylist()], comps, t.column("side").to_numpy(), percent)], np.int64).reshape(-1, 2)
+        return pa.table({"a": ids.take(pa.array(found[:, 0])), "b": ids.take(pa.array(found[:, 1]))})
 
-    return one.unionByName(two).groupBy("v", "b1", "b2").applyInArrow(compare, "a long, b long").distinct()
+    kind = members.schema["id"].dataType
+    return one.unionByName(two).groupBy("v", "b1", "b2").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
 
 
 def incidence(sets: list[np.ndarray], cols: np.ndarray) -> np.ndarray:
@@ -355,7 +360,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """Rows of ``docs`` that their near-duplicates keep, with their columns; of rows with one id, all."""
     gone = classes(docs, id_col, **kw).where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return columns(docs.join(gone, id_col, "left_anti"), docs.columns)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

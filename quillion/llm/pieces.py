@@ -35,10 +35,9 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm.common import arrow_map
+from quillion.llm.common import arrow_map, columns, free
 from quillion.llm.features import mix
 from quillion.session import read
 
@@ -385,20 +384,21 @@ def _mapped(df: DataFrame, keep: list[str], added: list[T.StructField], fn, mode
     with open(model or default_model(), "rb") as f:
         known = df.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([*[df.schema[c] for c in keep], *added])
-    return arrow_map(df, lambda b: {c: b.column(c) for c in keep} | fn(opened(known.value, *args), b), schema)
+    names = [f.name for f in added]
+    return arrow_map(df, lambda b: {c: b.column(c) for c in keep} | dict(zip(names, fn(opened(known.value, *args), b), strict=True)), schema)
 
 
 def encode(df: DataFrame, text_col: str = "text", out: str = "ids", model: str | None = None, seed: int = SEED, rate: float = RATE, run: int = RUN) -> DataFrame:
-    """``df`` with ids (array of int) of each text."""
-    fn = lambda p, b: {out: p.encode(b.column(text_col).to_pylist())}
-    return _mapped(df, df.columns, [T.StructField(out, T.ArrayType(T.IntegerType()))], fn, model, seed, rate, run)
+    """``df`` and as the last column ``out``, ids (array of int) of each text (underscores behind the name if it is taken)."""
+    fn = lambda p, b: [p.encode(b.column(text_col).to_pylist())]
+    return _mapped(df, df.columns, [T.StructField(free(out, df.columns), T.ArrayType(T.IntegerType()))], fn, model, seed, rate, run)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", model: str | None = None) -> DataFrame:
-    """``df`` with the text of each array of ids in place of the ids."""
+    """``df`` without the ids and as the last column ``out``, the text of each array of ids (underscores behind the name if it is taken)."""
     keep = [c for c in df.columns if c != ids_col]
-    fn = lambda p, b: {out: [p.decode(None if x is None else np.array(x, np.int64)) for x in b.column(ids_col).to_pylist()]}
-    return _mapped(df, keep, [T.StructField(out, T.StringType())], fn, model)
+    fn = lambda p, b: [[p.decode(None if x is None else np.array(x, np.int64)) for x in b.column(ids_col).to_pylist()]]
+    return _mapped(df, keep, [T.StructField(free(out, keep), T.StringType())], fn, model)
 
 
 def round_trip(df: DataFrame, keep: list[str], text_col: str = "text", model: str | None = None, seed: int = SEED, rate: float = RATE, run: int = RUN) -> DataFrame:
@@ -408,20 +408,21 @@ def round_trip(df: DataFrame, keep: list[str], text_col: str = "text", model: st
     decoded_sha256 (of the decoded text); lossless (it equals the text). Null
     texts have 0 pieces and null digests, and are lossless.
     """
-    added = [T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
+    kinds = {"n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "lossless": T.BooleanType()}
+    added = [T.StructField(free(n, keep), k) for n, k in kinds.items()]
 
-    def fn(p: Pieces, b: pa.RecordBatch) -> dict:
+    def fn(p: Pieces, b: pa.RecordBatch) -> list:
         texts = b.column(text_col).to_pylist()
         ids = p.encode(texts)
         back = [p.decode(i) for i in ids]
-        return {
-            "n_pieces": [0 if i is None else len(i) for i in ids],
-            "ids_sha256": [None if i is None else hashlib.sha256(i.tobytes()).hexdigest() for i in ids],
-            "decoded_sha256": [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in back],
-            "lossless": [t == u for t, u in zip(texts, back, strict=True)],
-        }
-
-    return _mapped(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]), keep, added, fn, model, seed, rate, run)
+        return [
+            [0 if i is None else len(i) for i in ids],
+            [None if i is None else hashlib.sha256(i.tobytes()).hexdigest() for i in ids],
+            [None if t is None else hashlib.sha256(t.encode()).hexdigest() for t in back],
+            [t == u for t, u in zip(texts, back, strict=True)],
+        ]
+
+    return _mapped(columns(df, [*keep, text_col]), keep, added, fn, model, seed, rate, run)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

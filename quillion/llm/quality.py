@@ -6,15 +6,15 @@ Vectors and layer are trained together by stochastic gradient descent in numpy
 (steps scaled for each bucket by its past gradients).
 
 Training rows: at most ``PER_CLASS`` labelled documents of each label (those
-with the smallest hashes of their ids, never held-out ones), featurised on the
-executors into at most ``2**BITS`` counts each, so what reaches the driver is
-bounded. The labels' true proportions, counted over the whole table, weigh the
+with the smallest hashes of their ids, never held-out ones; of rows with one id
+the first text), featurised on the executors into at most ``MOST_BUCKETS``
+counts each, so what reaches the driver is bounded. The labels' true proportions, counted over the whole table, weigh the
 two classes. Scoring covers every whole text where it lies, without a shuffle;
 as averaging and layer are linear, a bucket needs one number then, and the
 broadcast table has 2**BITS of them.
 
 Defined results: null and empty texts have no features and score the bias
-alone; repeated rows repeat; conflicting labels of one id count as the larger;
+alone; repeated rows repeat; other columns pass through, whatever their names; conflicting labels of one id count as the larger;
 where labels of one kind are missing, every score is ``fallback``.
 """
 
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm.common import arrow_map, held_out_id
+from quillion.llm.common import arrow_map, columns, free, held_out_id
 from quillion.llm.features import blocks, code_points, mix, run_hashes, runs
 from quillion.session import read
 
 BITS, DIM, PER_CLASS, EPOCHS, RATE, THRESHOLD = 16, 8, 2000, 10, 0.3, 0.3
+#: Buckets of one training text that reach the driver (8 bytes each): its most frequent ones. Scoring has no such bound.
+MOST_BUCKETS = 8192
 NGRAMS = (3, 4)
 #: Odd multipliers, one for each place of an n-gram.
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -80,6 +82,8 @@ def featurise(labelled: DataFrame, text_col: str = "text") -> DataFrame:
             for _, parts in blocks([t]):
                 tally += np.bincount(buckets(parts)[1], minlength=1 << BITS)
             at = np.flatnonzero(tally)
+            if len(at) > MOST_BUCKETS:
+                at = np.sort(at[np.argsort(-tally[at], kind="stable")[:MOST_BUCKETS]])
             ids.append(at.astype(np.uint32).tobytes())
             counts.append(tally[at].astype(np.float32).tobytes())
         return {"doc_id": b.column("doc_id"), "label": b.column("label"), "ids": ids, "counts": counts}
@@ -92,8 +96,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out_id()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picks = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    # two times per_class ids at most, so the broadcast is bounded
-    return docs.select("doc_id", text_col).join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id"), totals
+    # two times per_class ids at most, so the broadcast is bounded; one text an id, so the rows are as well
+    some = columns(docs, ["doc_id", text_col]).join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
+    return some.groupBy("doc_id", "label").agg(F.min(F.col(text_col)).alias(text_col)), totals
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], totals: dict[int, int], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -138,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     if len(totals) < 2:
         return None
     got = sorted(((r["doc_id"], bytes(r["ids"]), bytes(r["counts"]), r["label"]) for r in featurise(sample, text_col).toLocalIterator()), key=lambda r: r[:3])
-    rows = [(np.frombuffer(i, np.uint32).astype(np.int64), np.frombuffer(c, np.float32).astype(np.float64), y) for _, i, c, y in got]
+    rows = [(np.frombuffer(i, np.uint32), np.frombuffer(c, np.float32), y) for _, i, c, y in got]
     return train(rows, totals) if len({r[2] for r in rows}) == 2 else None
 
 
@@ -153,27 +158,29 @@ def score_texts(texts: list[str | None], table: np.ndarray, bias: float) -> np.n
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep: list[str] | None = None, text_col: str = "text", fallback: float = 0.5) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (default: all) with ``_score``, the probability of label 1."""
+    """Columns ``keep`` of ``docs`` (default: all) and as the last one ``_score``, the probability of label 1 (underscores behind the name if it is taken)."""
     keep = docs.columns if keep is None else keep
-    df = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+    df, name = columns(docs, [*keep, text_col]), free("_score", keep)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(b: pa.RecordBatch) -> dict:
         texts = b.column(text_col).to_pylist()
         got = np.full(len(texts), fallback) if known.value is None else score_texts(texts, *known.value)
-        return {c: b.column(c) for c in keep} | {"_score": pa.array(got)}
+        return {c: b.column(c) for c in keep} | {name: pa.array(got)}
 
-    return arrow_map(df, fn, T.StructType([*[df.schema[c] for c in keep], T.StructField("_score", T.DoubleType())]))
+    return arrow_map(df, fn, T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.DoubleType())]))
 
 
 def good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that score at least ``threshold``, with their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(docs, fit(docs, labels))
+    return columns(scored.where(F.col(scored.columns[-1]) >= threshold), docs.columns)
 
 
 def decided(scored: DataFrame, threshold: float) -> DataFrame:
     """The contract's columns from ``score``."""
-    return scored.select("doc_id", held_out_id().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    s = F.col(scored.columns[-1])
+    return scored.select("doc_id", held_out_id().alias("held_out"), s.alias("score"), (s >= threshold).cast("int").alias("predicted"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

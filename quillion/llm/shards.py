@@ -12,9 +12,11 @@ arrives in a large run of small files.
 
 A version is a manifest: a table of the live runs. It is written beside the
 others under a temporary name and renamed to its number; the rename fails if
-that number exists, so of two writers one wins and the other starts again from
-the newer version. Readers see the runs of one version and nothing else: files
-of failed or unfinished writes are in no manifest. Superseded runs are deleted
+that number exists (by FileContext, on HDFS and local file systems; a store that
+can't rename atomically needs another commit), so of two writers one wins and
+the other starts again from the newer version. Readers see the runs of one version and nothing else: files
+of failed or unfinished writes are in no manifest, and ``sweep`` deletes them.
+Superseded runs are deleted
 only once no kept version names them.
 
 Merging reads runs and coalesces their partitions: no shuffle, and each task
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillion.llm.common import columns, free
 from quillion.session import read, shared_path
 
 FAN_IN, TARGET_BYTES, KEEP_VERSIONS = 4, 64 << 20, 1
@@ -102,6 +105,19 @@ class Store:
                 self.fs.delete(self._path(row["path"]), True)
             self.fs.delete(self._path(f"{self.root}/manifests/v{v:08d}"), True)
 
+    def sweep(self, seconds: float) -> int:
+        """Delete runs that no kept version names and nothing has changed for ``seconds``: what failed writers left. Returns how many.
+
+        Writers that take longer than that between writing and committing would lose their run.
+        """
+        named = {r["path"].rsplit("/", 1)[-1] for v in self.versions() for r in self.runs(v).select("path").toLocalIterator()}
+        runs = self._path(f"{self.root}/runs")
+        now = self.jvm.java.lang.System.currentTimeMillis()
+        old = [s.getPath() for s in self.fs.listStatus(runs) if now - s.getModificationTime() >= 1000 * seconds and s.getPath().getName() not in named] if self.fs.exists(runs) else []
+        for p in old:
+            self.fs.delete(p, True)
+        return len(old)
+
     # runs
 
     def tier(self, size: int) -> int:
@@ -111,7 +127,7 @@ class Store:
         return t
 
     def describe(self, path: str, merged: bool = False) -> tuple | None:
-        """Manifest row of the run at ``path``; None if it has no data files.
+        """Manifest row of the run at ``path``; None if it has no rows, and then it is deleted.
 
         A run of the target size is sealed if a merge made it or if its own files are whole.
         """
@@ -119,6 +135,9 @@ class Store:
         if not files:
             return None
         sizes = [s.getLen() for s in files]
+        if sum(sizes) < LEAST_BYTES and self.spark.read.schema(self.schema).parquet(path).isEmpty():
+            self.fs.delete(self._path(path), True)
+            return None
         size, small = sum(sizes), sum(2 * n < self.target for n in sizes)
         return (path.rsplit("/", 1)[-1], path, self.tier(size), size, len(files), size >= self.target and (merged or small <= 1))
 
@@ -130,13 +149,16 @@ class Store:
         name = f"{self.root}/runs/a-{uuid.uuid4().hex}"
         cols = [f.name for f in self.schema]
         if by is None:
-            arrivals.select(*cols).write.parquet(name)
+            columns(arrivals, cols).write.parquet(name)
             made = [name]
         else:
-            arrivals.select(*cols, F.col(by).alias("_arrival")).write.partitionBy("_arrival").parquet(name)
+            arrival = free("_arrival", cols)
+            arrivals.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{by}`").alias(arrival)).write.partitionBy(arrival).parquet(name)
             made = [s.getPath().toString() for s in self.fs.listStatus(self._path(name)) if s.isDirectory()]
             made = [self._moved(p, f"{name}-{k:04d}") for k, p in enumerate(sorted(made))]
         rows = [r for p in made if (r := self.describe(p)) is not None]
+        if not rows:
+            return (self.versions() or [0])[-1]
         while True:
             version = (self.versions() or [0])[-1]
             try:
@@ -178,7 +200,8 @@ class Store:
             # packed one after the other, two neighbours have more than the target: so many parts at most
             files = max(1, 2 * -(-sum(b for _, _, b in runs) // self.target) - 1)
             self._packed().read.schema(self.schema).parquet(*[p for _, p, _ in runs]).coalesce(files).write.parquet(path)
-            made = self.spark.createDataFrame([self.describe(path, merged=True)], MANIFEST)
+            row = self.describe(path, merged=True)
+            made = self.spark.createDataFrame([] if row is None else [row], MANIFEST)
             merged = self.spark.createDataFrame([(r,) for r, _, _ in runs], "run string")
             try:
                 self.commit(self.runs(version).join(F.broadcast(merged), "run", "left_anti").select(*[f.name for f in MANIFEST]).unionByName(made), version + 1)
@@ -198,7 +221,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     store = Store(spark, shared_path(spark, "shards"), docs.schema)
     h = F.pmod(F.xxhash64("doc_id"), F.lit(24))
-    store.append(docs.withColumn("_by", F.when(h < 12, h).when(h < 18, 12).otherwise(13)), "_by")
+    by = free("_by", docs.columns)
+    store.append(docs.withColumn(by, F.when(h < 12, h).when(h < 18, 12).otherwise(13)), by)
     store.compact()
     rows = store.read()
     text = F.coalesce("text", F.lit("")).cast("binary")

@@ -11,11 +11,12 @@ Training rows: at most ``PER_CLASS`` labelled documents of each label, never
 held-out ones, whose distinct word buckets (not texts) reach the driver, and of
 near copies among them the first; words
 take part when their document frequencies differ between the labels by at least
-``SCREEN`` standard errors and they occur in ``LEAST_SHARE`` of one label's rows. Scoring covers every whole text where it lies,
+``SCREEN`` standard errors and they occur in ``LEAST_SHARE`` of one label's
+rows, and rarer ones when they differ by ``CERTAIN``. Scoring covers every whole text where it lies,
 without a shuffle; what is broadcast is at most 2**BITS weights.
 
 Defined results: null and empty texts score the bias alone; repeated rows
-repeat; conflicting labels of one id count as the larger; where labels of one
+repeat; other columns pass through, whatever their names; conflicting labels of one id count as the larger; where labels of one
 kind are missing, every score is ``fallback``.
 """
 
@@ -29,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm.common import arrow_map
+from quillion.llm.common import arrow_map, columns, free
 from quillion.llm.features import blocks, code_points, run_hashes, runs
 from quillion.llm.quality import decided, labelled_sample
 from quillion.session import read
 
-BITS, PER_CLASS, SCREEN, LEAST_DOCS, LEAST_SHARE = 18, 4000, 4.0, 3, 0.015
+BITS, PER_CLASS, SCREEN, CERTAIN, LEAST_DOCS, LEAST_SHARE = 18, 4000, 4.0, 6.0, 3, 0.015
 SWAP_WEIGHT, RIDGE, STEPS, RATE, THRESHOLD = 10.0, 2e-5, 600, 0.2, 0.5
 
 #: Share of the loss of each label, whatever their counts.
@@ -129,7 +130,7 @@ def screen(rows: list[np.ndarray], y: np.ndarray, kinds: list[tuple[int, ...]],
     p = (df[0] + df[1] + 1) / (n[0] + n[1] + 2)
     z = (df[1] / n[1] - df[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
     often = np.where(z > 0, df[1] >= LEAST_SHARE * n[1], df[0] >= LEAST_SHARE * n[0])
-    some = (np.abs(z) >= least) & (df[0] + df[1] >= LEAST_DOCS) & often
+    some = (np.abs(z) >= least) & (df[0] + df[1] >= LEAST_DOCS) & (often | (np.abs(z) >= CERTAIN))
     some[[t for k in kinds for t in k]] = True
     return np.flatnonzero(some)
 
@@ -205,22 +206,23 @@ def score_texts(texts: list[str | None], table: np.ndarray, bias: float) -> np.n
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep: list[str] | None = None, text_col: str = "text", fallback: float = 0.0) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (default: all) with ``_score``, the probability of label 1."""
+    """Columns ``keep`` of ``docs`` (default: all) and as the last one ``_score``, the probability of label 1 (underscores behind the name if it is taken)."""
     keep = docs.columns if keep is None else keep
-    df = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+    df, name = columns(docs, [*keep, text_col]), free("_score", keep)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(b: pa.RecordBatch) -> dict:
         texts = b.column(text_col).to_pylist()
         got = np.full(len(texts), fallback) if known.value is None else score_texts(texts, *known.value)
-        return {c: b.column(c) for c in keep} | {"_score": pa.array(got)}
+        return {c: b.column(c) for c in keep} | {name: pa.array(got)}
 
-    return arrow_map(df, fn, T.StructType([*[df.schema[c] for c in keep], T.StructField("_score", T.DoubleType())]))
+    return arrow_map(df, fn, T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.DoubleType())]))
 
 
 def harmless(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``, with their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score(docs, fit(docs, labels))
+    return columns(scored.where(F.col(scored.columns[-1]) < threshold), docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
