@@ -22,7 +22,8 @@ Broadcast are the classifier's weights: parts times dimensions, both bounded.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold a null or non-finite component take no part; repeated ids count once; a
-query has fewer than k rows only if there are fewer candidates in all.
+query has fewer than k rows only if there are fewer candidates in all, as one
+whose parts hold too few goes on to the others.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillion.llm.common import small_batches
-from quillion.session import cut, read
+from quillion.session import cut, delete, read
 
 NEAREST, SAMPLE, DEGREE, TARGET, LEAST_PARTS, MOST_PARTS, ROWS_PER_PART = 5, 8192, 10, 0.96, 8, 256, 2048
 BLOCK_ROWS, BLOCK_QUERIES, HIDDEN, EPOCHS = 8192, 2048, 64, 30
@@ -219,40 +220,68 @@ def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(got, -1, 1)
 
 
+def _order(x, y):
+    """Nearest first, ties to the smaller id."""
+    return F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)
+
+
+def probed(asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """(query, nearest): the k + 1 best of ``placed`` (vec, ids, part) for each of ``asked`` (vec, ids, parts)."""
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    loads = asked.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("m"))
+    plan = sizes.join(loads, "part").select("part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("cb"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qb"))
+    plan = F.broadcast(plan)  # a row for each part, at most MOST_PARTS
+    h = F.xxhash64(F.element_at("ids", 1))
+    cand = placed.join(plan, "part").select("part", F.pmod(h, F.col("cb")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(1).alias("side"), "ids", "vec")
+    ask = asked.select("vec", "ids", F.explode("parts").alias("part")).join(plan, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("c"), F.pmod(h, F.col("qb")).cast("int").alias("q"), F.lit(0).alias("side"), "ids", "vec")
+    small_batches(placed.sparkSession)
+    found = cand.unionByName(ask).groupBy("part", "c", "q").applyInArrow(lambda t: block_search(t, k), "query long, nearest array<struct<score:double,id:long>>")
+    return found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("nearest")), _order), 1, k + 1).alias("nearest"))
+
+
 def search(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEAREST, every: int = 50, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """The k nearest other rows of each query: query_id, rank, vec_id, score.
 
     Without ``queries`` (a column of ids) those are the rows whose id is divisible by ``every``.
     """
-    rows, _ = cut(usable(vectors, id_col, vec_col), "vectors")
+    paths: list[str] = []
+    rows, path = cut(usable(vectors, id_col, vec_col), "vectors")
+    lasting = [path]
     # equal vectors: their k + 1 smallest ids. Salted, then merged.
     ids = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
     least = lambda c: F.slice(F.sort_array(c), 1, k + 1)
     ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("vec", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
     distinct = ranked.groupBy("vec").agg(least(F.collect_list("id")).alias("ids"))
-    distinct, _ = cut(distinct, "distinct")
+    distinct, path = cut(distinct, "distinct")
+    paths.append(path)
+    n_ids = rows.count()
     weights, probes = fit(distinct, distinct.count(), sample, k, target)
-    placed, _ = cut(_assigned(distinct, weights, 1).select("vec", "ids", F.element_at("parts", 1).alias("part")), "placed")
+    placed, path = cut(_assigned(distinct, weights, 1).select("vec", "ids", F.element_at("parts", 1).alias("part")), "placed")
+    paths.append(path)
 
     chosen = rows.where(F.col("id") % every == 0) if queries is None else rows.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi")
     # each vector is searched once for all queries that have it
     asked = chosen.groupBy("vec").agg(F.min("id").alias("lead"))
-    asked, _ = cut(_assigned(asked.select("vec", F.array("lead").alias("ids")), weights, probes), "asked")
-
-    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
-    loads = asked.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("m"))
-    plan = sizes.join(loads, "part").select("part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("cb"), F.ceil(F.col("m") / BLOCK_QUERIES).cast("int").alias("qb"))
-    plan = F.broadcast(plan)  # a row for each part, at most MOST_PARTS
-    h = F.xxhash64(F.element_at("ids", 1))
-    cand = placed.join(plan, "part").select("part", F.pmod(h, F.col("cb")).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(1).alias("side"), "ids", "vec")
-    ask = asked.select("vec", "ids", F.explode("parts").alias("part")).join(plan, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("c"), F.pmod(h, F.col("qb")).cast("int").alias("q"), F.lit(0).alias("side"), "ids", "vec")
-    small_batches(vectors.sparkSession)
-    found = cand.unionByName(ask).groupBy("part", "c", "q").applyInArrow(lambda t: block_search(t, k), "query long, nearest array<struct<score:double,id:long>>")
-    order = F.expr("array_sort(flatten(collect_list(nearest)), (x, y) -> case when x.score > y.score then -1 when x.score < y.score then 1 when x.id < y.id then -1 when x.id > y.id then 1 else 0 end)")
-    merged = found.groupBy("query").agg(F.slice(order, 1, k + 1).alias("nearest"))
-    merged, _ = cut(merged, "nearest")
+    asked, path = cut(_assigned(asked.select("vec", F.array("lead").alias("ids")), weights, probes), "asked")
+    lasting.append(path)
+
+    merged, path = cut(probed(asked, placed, k), "nearest")
+    paths.append(path)
+    # queries whose parts hold too few candidates search the parts that are left
+    most = min(k + 1, n_ids)
+    few, path = cut(asked.join(merged.where(F.size("nearest") >= most).select(F.col("query").alias("q")), F.element_at("ids", 1) == F.col("q"), "left_anti"), "few")
+    paths.append(path)
+    if not few.isEmpty():
+        parts = F.array(*[F.lit(r["part"]) for r in placed.select("part").distinct().orderBy("part").collect()])  # at most MOST_PARTS
+        rest = few.select("vec", "ids", F.array_except(parts, "parts").alias("parts"))
+        again = probed(rest, placed, k).withColumnRenamed("nearest", "more")
+        merged, path = cut(merged.join(again, "query", "full").select("query", F.slice(F.array_sort(F.concat(*[F.coalesce(c, F.array().cast("array<struct<score:double,id:bigint>>")) for c in ("nearest", "more")]), _order), 1, k + 1).alias("nearest")), "nearest")
+        paths.append(path)
     lead = chosen.join(asked.select("vec", F.element_at("ids", 1).alias("query")), "vec").select(F.col("id").alias("query_id"), "query")
     own = lead.join(merged, "query").select("query_id", F.slice(F.filter("nearest", lambda x: x["id"] != F.col("query_id")), 1, k).alias("nearest"))
+    own, _ = cut(own, "neighbours")  # k rows a query: all that the caller's frame reads
+    for path in [*paths, *lasting]:
+        delete(vectors.sparkSession, path)
     return own.select("query_id", F.posexplode("nearest").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 

@@ -153,7 +153,7 @@ class Store:
             made = [name]
         else:
             arrival = free("_arrival", cols)
-            arrivals.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{by}`").alias(arrival)).write.partitionBy(arrival).parquet(name)
+            columns(arrivals, [*cols, by]).withColumnRenamed(by, arrival).write.partitionBy(arrival).parquet(name)
             made = [s.getPath().toString() for s in self.fs.listStatus(self._path(name)) if s.isDirectory()]
             made = [self._moved(p, f"{name}-{k:04d}") for k, p in enumerate(sorted(made))]
         rows = [r for p in made if (r := self.describe(p)) is not None]

@@ -5,8 +5,11 @@ names the version and, for version 2, the longer header line); every record is
 one header line, a body of the declared length, and a line feed. The
 converter reads the version, splits each header line by its version's fields,
 takes exactly the declared number of bytes, and makes up what WARC wants:
-record id (a UUID of version 5 over address, date and ordinal, so a retry
-gives the same), date, type, content type, and SHA-1 digests in base 32.
+record id (a UUID of version 5 over archive, address, date and ordinal, so a
+retry gives the same), date, type, content type, and SHA-1 digests in base 32 of
+payload and block. The version block becomes a ``warcinfo`` record. A body that
+begins with an HTTP status line is a ``response`` of type ``application/http``,
+whose payload is what follows its header; any other body is a ``resource``.
 
 Of records with equal payloads one is the response and the others revisit it,
 with a revisit record that has no payload but names the response, the digest
@@ -16,7 +19,9 @@ splits where a payload holds many rows; payloads travel once.
 
 Archives are written by Spark as plain text whose line separator is the record
 separator of WARC, so any file system that Spark writes will do, and read back
-by ``binaryFile``; ``PER_FILE`` bounds the records of a file.
+by ``binaryFile``, which takes a file whole: ``PER_FILE`` bounds a file's
+records, and must be smaller where payloads of megabytes are usual. Reading
+resolves ``WARC-Refers-To`` by a join on the ids of the responses read.
 
 Defined results: a null payload is empty; a null address is written as ``-``;
 records cut off by the end of an archive, or with malformed header lines, are
@@ -35,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillion.llm.common import arrow_map, small_batches
 from quillion.session import cut, read, shared_path
 
-PER_FILE = 4000
+PER_FILE, ARC_BYTES = 1000, 4 << 20
 #: The header lines of ARC 1 and ARC 2.
 FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
@@ -119,31 +125,48 @@ def warc_date(date: str | None) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
+def http_split(body: bytes) -> tuple[bytes, bytes]:
+    """(header with its empty line, payload); the header is empty if the body is no HTTP response."""
+    end = body.find(b"\r\n\r\n") if body.startswith(b"HTTP/") else -1
+    return (body[: end + 4], body[end + 4 :]) if end >= 0 else (b"", body)
+
+
 CONVERTED = [
-    T.StructField("key", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("arc_version", T.IntegerType()), T.StructField("record_id", T.StringType()), T.StructField("target_uri", T.StringType()),
+    T.StructField("key", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("http", T.BinaryType()), T.StructField("ordinal", T.LongType()), T.StructField("arc_version", T.IntegerType()), T.StructField("record_id", T.StringType()), T.StructField("target_uri", T.StringType()),
     T.StructField("ip", T.StringType()), T.StructField("date", T.StringType()), T.StructField("content_type", T.StringType()), T.StructField("payload", T.BinaryType()),
-    T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("error", T.StringType()),
+    T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("block_digest", T.StringType()), T.StructField("error", T.StringType()),
 ]
 
 
-def convert(arcs: DataFrame, key_col: str = "key", arc_col: str = "arc") -> DataFrame:
-    """WARC fields of every record of every ARC archive (binary ``arc_col``, named by ``key_col``)."""
+def convert(arcs: DataFrame, key_col: str = "key", arc_col: str = "arc", keys_col: str | None = None) -> DataFrame:
+    """WARC fields of every record of every ARC archive (binary ``arc_col``, named by ``key_col``).
+
+    kind is warcinfo (one for each archive), response or resource. The key of a
+    record is its archive's, or where ``keys_col`` has a list of keys, the one at
+    the record's place.
+    """
     small_batches(arcs.sparkSession)
-    names = [f.name for f in CONVERTED]
+    schema = to_arrow_schema(T.StructType(CONVERTED))
+
+    def made(key: str, r: dict, kind: str, http: bytes, body: bytes, of: str) -> dict:
+        return {
+            "key": key, "kind": kind, "http": http, "ordinal": r["ordinal"], "arc_version": r["version"], "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{of} {r["ordinal"]} {r["url"]} {r["date"]}')}",
+            "target_uri": r["url"], "ip": r["ip"], "date": warc_date(r["date"]), "content_type": "application/http; msgtype=response" if http else r["type"], "payload": body,
+            "payload_bytes": len(body), "payload_digest": base32_sha1(body), "block_digest": base32_sha1(http + body), "error": r["error"],
+        }
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.string()), ("ordinal", pa.int64()), ("arc_version", pa.int32()), *((n, pa.string()) for n in names[3:8]), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
         for b in batches:
             out: list[dict] = []
             held = 0
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, raw, keys in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                info = f"software: quillion\r\nformat: WARC File Format 1.0\r\nisPartOf: {key}\r\n".encode()
+                if raw:
+                    out.append(made(key, {"ordinal": -1, "version": None, "url": None, "ip": None, "date": None, "type": "application/warc-fields", "error": None}, "warcinfo", b"", info, key))
                 for r in parse_arc(raw or b""):
-                    body = r["payload"] or b""
-                    out.append({
-                        "key": key, "ordinal": r["ordinal"], "arc_version": r["version"], "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {r["ordinal"]} {r["url"]} {r["date"]}')}",
-                        "target_uri": r["url"], "ip": r["ip"], "date": warc_date(r["date"]), "content_type": r["type"], "payload": body,
-                        "payload_bytes": len(body), "payload_digest": base32_sha1(body), "error": r["error"],
-                    })
+                    http, body = http_split(r["payload"] or b"")
+                    own = keys[r["ordinal"]] if keys is not None and r["ordinal"] < len(keys) else key
+                    out.append(made(own, r, "response" if http else "resource", http, body, key))
                     held += len(body)
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_pylist(out, schema)
@@ -151,7 +174,8 @@ def convert(arcs: DataFrame, key_col: str = "key", arc_col: str = "arc") -> Data
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return arcs.select(F.col(key_col).cast("string").alias("key"), F.col(arc_col).cast("binary").alias("arc")).mapInArrow(rows, T.StructType(CONVERTED))
+    keys = F.lit(None) if keys_col is None else F.col(keys_col)
+    return arcs.select(F.col(key_col).cast("string").alias("key"), F.col(arc_col).cast("binary").alias("arc"), keys.cast("array<string>").alias("keys")).mapInArrow(rows, T.StructType(CONVERTED))
 
 
 def with_revisits(records: DataFrame, least_bytes: int = 0, order: str = "key") -> DataFrame:
@@ -162,15 +186,15 @@ def with_revisits(records: DataFrame, least_bytes: int = 0, order: str = "key")
     tie with it in that order are responses as well.
     """
     of = F.expr(order)
-    some = records.where(F.col("error").isNull() & (F.col("payload_bytes") >= least_bytes))
+    own = F.col("error").isNull() & (F.col("kind") != "warcinfo") & (F.col("payload_bytes") >= least_bytes)
+    some = records.where(own)
     heads = some.groupBy("payload_digest").agg(F.max(F.struct(of.alias("o"), "key", "record_id")).alias("h"), F.count("*").alias("n")).where("n > 1")
     heads, _ = cut(heads.select("payload_digest", "h"), "warc-heads")
     df = records.join(heads, "payload_digest", "left")
-    again = F.col("error").isNull() & (F.col("payload_bytes") >= least_bytes) & F.col("h").isNotNull() & (of < F.col("h.o"))
+    again = own & F.col("h").isNotNull() & (of < F.col("h.o"))
     return df.select(
         *records.columns,
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("h.key")).alias("refers_key"),
+        F.when(again, "revisit").otherwise(F.col("kind")).alias("record_type"),
         F.when(again, F.col("h.record_id")).alias("refers_id"),
     )
 
@@ -178,8 +202,9 @@ def with_revisits(records: DataFrame, least_bytes: int = 0, order: str = "key")
 def written(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     """Write WARC/1.0 archives to ``path``: one record per row, without errors."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), "[\r\n]+", " "), F.lit("\r\n"))).otherwise("")
-    revisit = F.col("record_type") == "revisit"
-    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    revisit, info = F.col("record_type") == "revisit", F.col("record_type") == "warcinfo"
+    # a revisit has the HTTP header alone
+    body = F.concat(F.col("http"), F.when(revisit, F.lit(b"")).otherwise(F.col("payload")))
     head = F.concat(
         F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.col("record_type")),
@@ -187,13 +212,13 @@ def written(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
         line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.col("target_uri")),
         line("WARC-IP-Address", F.when(F.col("ip") != "-", F.col("ip"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
+        line("WARC-Payload-Digest", F.when(~info, F.concat(F.lit("sha1:"), "payload_digest"))),
+        line("WARC-Block-Digest", F.when(~revisit, F.concat(F.lit("sha1:"), "block_digest"))),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         line("WARC-Refers-To", F.when(revisit, F.format_string("<%s>", "refers_id"))),
         line("WARC-Truncated", F.when(revisit, F.lit("length"))),
         line("X-Source-Key", F.col("key")),
-        line("X-Refers-To-Key", F.col("refers_key")),
-        line("X-Payload-Length", F.col("payload_bytes")),
+        line("X-Payload-Length", F.when(~info, F.col("payload_bytes"))),
         line("Content-Type", F.col("content_type")),
         F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
@@ -223,68 +248,114 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 READ = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("target_uri", T.StringType()), T.StructField("date", T.StringType()),
-    T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_key", T.StringType()), T.StructField("intact", T.BooleanType()),
+    T.StructField("content_type", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_id", T.StringType()), T.StructField("intact", T.BooleanType()),
 ])
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in ``path``.
+    """One row per record of the archives in ``path``, without those of type warcinfo; refers_key is the key of the response that a revisit names.
 
-    intact: the digest and length of the block are those that the header names
-    (revisits have an empty block and only name theirs).
+    intact: digests and length are those that the header names (revisits have
+    no payload and only name its digest and length).
     """
     small_batches(spark)
     archives = spark.read.format("binaryFile").load(path).select("content")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(f.name, pa.int64() if f.name == "payload_bytes" else pa.bool_() if f.name == "intact" else pa.string()) for f in READ])
+        schema = to_arrow_schema(READ)
         for b in batches:
             for raw in b.column(0):
                 out = []
                 for f, block in parse_warc(raw.as_py()):
+                    if f["warc-type"] == "warcinfo":
+                        continue
                     revisit = f["warc-type"] == "revisit"
                     said, size = f["warc-payload-digest"].removeprefix("sha1:"), int(f["x-payload-length"])
-                    digest = said if revisit else base32_sha1(block)
+                    payload = http_split(block)[1] if f.get("content-type", "").startswith("application/http") else block
+                    digest = said if revisit else base32_sha1(payload)
+                    whole = not payload if revisit else digest == said and len(payload) == size and f["warc-block-digest"] == "sha1:" + base32_sha1(block)
                     out.append({
-                        "key": f.get("x-source-key"), "record_id": f["warc-record-id"].strip("<>"), "record_type": f["warc-type"], "target_uri": f.get("warc-target-uri"), "date": f["warc-date"],
-                        "payload_bytes": size if revisit else len(block), "payload_digest": digest, "refers_key": f.get("x-refers-to-key"), "intact": (not block) if revisit else (digest == said and len(block) == size),
+                        "key": f.get("x-source-key"), "record_id": f["warc-record-id"].strip("<>"), "record_type": f["warc-type"], "target_uri": f.get("warc-target-uri"), "date": f["warc-date"], "content_type": f.get("content-type"),
+                        "payload_bytes": size if revisit else len(payload), "payload_digest": digest, "refers_id": f["warc-refers-to"].strip("<>") if revisit else None, "intact": whole,
                     })
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return archives.mapInArrow(rows, READ)
+    # read once: what the records are without their payloads
+    got, _ = cut(archives.mapInArrow(rows, READ), "warc-read")
+    named = got.where(F.col("refers_id").isNotNull()).select(F.col("refers_id").alias("named")).distinct()
+    heads = got.where(F.col("record_type") != "revisit").join(named, F.col("record_id") == F.col("named"), "left_semi").select(F.col("record_id").alias("refers_id"), F.col("key").alias("refers_key"))
+    return got.join(heads, "refers_id", "left")
 
 
 def arc_bytes(url, payload, date, version):
     """An ARC archive of one record (binary column), with its version block; for tests and the query."""
-    size = F.octet_length(payload).cast("string")
+    block = F.when(version == 2, F.lit(version_block(2))).otherwise(F.lit(version_block(1)))
+    return F.concat(block, record_head(url, payload, date, version).cast("binary"), payload, F.lit(b"\n"))
+
+
+def version_block(version: int) -> bytes:
+    """The version block of an ARC archive."""
+    said = {1: "1 0 quillion\nURL IP-address Archive-date Content-type Archive-length\n", 2: "2 0 quillion\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"}[version]
+    return f"filedesc://pages.arc 0.0.0.0 20240101000000 text/plain {len(said)}\n{said}\n".encode()
+
+
+def record_head(url, body, date, version):
+    """The header line of an ARC record (string column) of the given version."""
+    size = F.octet_length(body).cast("string")
     clean = F.regexp_replace(F.coalesce(url.cast("string"), F.lit("-")), "\\s+", "%20")
     clean = F.when(clean == "", "-").otherwise(clean)
-    body1, body2 = "1 0 quillion\nURL IP-address Archive-date Content-type Archive-length\n", "2 0 quillion\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
-    block = lambda b: f"filedesc://pages.arc 0.0.0.0 20240101000000 text/plain {len(b)}\n{b}\n"
-    head = F.when(version == 2, F.concat(F.lit(block(body2)), clean, F.lit(" 0.0.0.0 "), date, F.lit(" text/html 200 - - 0 pages.arc "), size, F.lit("\n")))
-    head = head.otherwise(F.concat(F.lit(block(body1)), clean, F.lit(" 0.0.0.0 "), date, F.lit(" text/html "), size, F.lit("\n")))
-    return F.concat(head.cast("binary"), payload, F.lit(b"\n"))
+    return F.concat(clean, F.lit(" 0.0.0.0 "), date, F.when(version == 2, " text/html 200 - - 0 pages.arc ").otherwise(" text/html "), size, F.lit("\n"))
+
+
+def archives_of(records: DataFrame, key: str, most: int = ARC_BYTES) -> DataFrame:
+    """ARC archives (key, keys, arc) of rows (key, version, head, body): each holds neighbouring rows of one version, about ``most`` bytes of them or a larger row."""
+    small_batches(records.sparkSession)
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("arc", T.BinaryType())])
+    want = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            open_: dict[int, tuple[list, list, list]] = {}
+            for k, v, head, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                keys, parts, size = open_.setdefault(v, ([], [version_block(v)], [0]))
+                keys.append(k)
+                parts.append(head.encode() + body + b"\n")
+                size[0] += len(body)
+                if size[0] >= most:
+                    yield pa.RecordBatch.from_pylist([{"key": f"{v}-{keys[0]}", "keys": keys, "arc": b"".join(parts)}], want)
+                    del open_[v]
+            for v, (keys, parts, _) in open_.items():
+                yield pa.RecordBatch.from_pylist([{"key": f"{v}-{keys[0]}", "keys": keys, "arc": b"".join(parts)}], want)
+
+    return records.select(F.col(key).cast("string"), "version", "head", "body").mapInArrow(rows, schema)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as ARC archives of both versions, with HTTP headers where the address is one of the web; converted, written as WARC and read back."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     version = F.when(F.pmod(F.xxhash64("page_id"), F.lit(2)) == 0, 1).otherwise(2)
-    arcs = pages.select(F.col("page_id").cast("string").alias("key"), arc_bytes(F.col("url"), F.col("payload"), F.lit("20240101000000"), version).alias("arc"))
+    # a payload that looks like an HTTP response needs a header in front of it, so that it isn't taken for one
+    web = F.coalesce(F.col("url").rlike("(?i)^https?://"), F.lit(False)) | (F.substring("payload", 1, 5) == F.lit(b"HTTP/"))
+    http = F.when(web, F.lit(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n")).otherwise(F.lit(b""))
+    body = F.concat(http, "payload")
+    arcs = archives_of(pages.select("page_id", version.alias("version"), record_head(F.col("url"), body, F.lit("20240101000000"), version).alias("head"), body.alias("body")), "page_id")
     path = shared_path(spark, "warc")
-    written(with_revisits(convert(arcs), 0, "cast(key as bigint)"), path)
+    written(with_revisits(convert(arcs, keys_col="keys"), 0, "cast(key as bigint)"), path)
     back = read_back(spark, path)
-    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_key").cast("long").alias("refers_to"))
+    kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response")  # in the sense of the contract
+    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", kind.alias("record_type"), F.col("refers_key").cast("long").alias("refers_to"), F.col("record_type").alias("warc_type"))
 
 
 #: Payload digests in base 32 from the hexadecimal SHA-1, five bits a letter.
 OP2_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
+WITH p AS (SELECT page_id, url, starts_with(coalesce(html, ''), 'HTTP/') AS web, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, url, web, octet_length(b) AS n, sha1(b) AS x FROM p),
 m AS (SELECT x, max(page_id) AS head FROM h GROUP BY x),
 d AS (SELECT x, head, list_transform(range(1, 40, 5), lambda i: CAST(('0x' || substr(x, i, 5)) AS BIGINT)) AS v FROM m),
 e AS (SELECT x, head, array_to_string(list_transform(v, lambda g: array_to_string(list_transform([32768, 1024, 32, 1], lambda q: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((g // q) % 32 AS INTEGER), 1)), '')), '') AS d32 FROM d)
 SELECT h.page_id, CAST(h.n AS BIGINT) AS payload_bytes, e.d32 AS payload_digest,
        CASE WHEN h.page_id = e.head THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN h.page_id = e.head THEN NULL ELSE e.head END AS refers_to
+       CASE WHEN h.page_id = e.head THEN NULL ELSE e.head END AS refers_to,
+       CASE WHEN h.page_id <> e.head THEN 'revisit' WHEN regexp_matches(coalesce(h.url, ''), '^https?://', 'i') OR h.web THEN 'response' ELSE 'resource' END AS warc_type
 FROM h JOIN e ON e.x = h.x
 """

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillion.llm import ann, chat, neardup, quality, shards, toxicity, warc
+from quillion.llm import ann, chat, licenses, neardup, quality, shards, toxicity, warc
 from quillion.llm import decontaminate as dec
 from quillion.llm import pieces
 from quillion.session import shared_path
@@ -74,11 +74,103 @@ def test_warc_round_trip(spark, tmp_path):
         path = shared_path(spark, "warc-test")
         warc.written(warc.with_revisits(warc.convert(arcs), 0, "cast(key as bigint)"), path, per_file=3)
         got = {int(r["key"]): r for r in warc.read_back(spark, path).collect()}
-        assert len(got) == 8 and all(r["intact"] for r in got.values())
+        assert len(got) == 8 and all(r["intact"] for r in got.values()) and {r["record_type"] for r in got.values()} == {"resource", "revisit"}
         assert {k: (r["record_type"], r["refers_key"]) for k, r in got.items() if r["record_type"] == "revisit"} == {1: ("revisit", "5"), 2: ("revisit", "5"), 3: ("revisit", "4")}
         assert got[8]["payload_digest"] == warc.base32_sha1(bytes(range(256))) and got[1]["payload_bytes"] == 4
     least = warc.with_revisits(warc.convert(arcs), 1, "cast(key as bigint)").where("payload_bytes = 0").select("record_type").distinct().collect()
-    assert [r[0] for r in least] == ["response"]
+    assert {r[0] for r in least} == {"resource"}
+
+
+def test_archives_of_many_records_with_http_headers(spark, tmp_path):
+    html = ["one", "two", "two", "", None, "HTTP/1.1 no\r\n\r\nx", "\r\n\r\n", "two"]
+    urls = ["http://a/", "https://b b/", None, "dns:x", "", "http://c/", "http://d/", "HTTP://e/"]
+    pages = spark.createDataFrame([(i, u, h, "x") for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string, http string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in warc.op2_warc(spark, str(tmp_path)).collect()}
+    assert {i: (r["payload_bytes"], r["payload_digest"]) for i, r in got.items()} == {i: (len((h or "").encode()), warc.base32_sha1((h or "").encode())) for i, h in enumerate(html)}
+    assert {i: r["refers_to"] for i, r in got.items() if r["record_type"] == "revisit"} == {1: 7, 2: 7, 3: 4}
+    assert {i: r["warc_type"] for i, r in got.items()} == {0: "response", 1: "revisit", 2: "revisit", 3: "revisit", 4: "resource", 5: "response", 6: "response", 7: "response"}
+    assert warc.op2_warc(spark, str(tmp_path)).columns[:5] == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # one archive holds several records, its version block becomes a warcinfo record
+    head = warc.record_head(F.lit("http://x/"), F.lit(b"abc"), F.lit("20240101000000"), F.lit(1))
+    arcs = warc.archives_of(spark.range(5).coalesce(1).select("id", F.lit(1).alias("version"), head.alias("head"), F.lit(b"abc").alias("body")), "id")
+    assert [len(r["keys"]) for r in arcs.collect()] == [5]
+    assert sorted(r["key"] for r in warc.convert(arcs, keys_col="keys").collect()) == ["0", "1", "1-0", "2", "3", "4"]
+    (tmp_path / "none").mkdir()
+    pages.where("false").write.parquet(str(tmp_path / "none/pages.parquet"))
+    assert warc.op2_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+HOSTILE = ("_score", "_spans", "_n_words", "_item_ids", "_matches", "ids", "label", "a.b", "_by", "_arrival", "n_pieces", "comp", "c0", "o0", "quo`te")
+
+
+def test_columns_with_any_names_pass_through(spark, tmp_path):
+    rows = [(1, "some plain words here and there", *["x"] * len(HOSTILE)), (1, "some plain words here and there", *["x"] * len(HOSTILE)), (2, None, *["y"] * len(HOSTILE)), (3, "", *["z"] * len(HOSTILE)), (4, "word " * 30000, *["w"] * len(HOSTILE))]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *HOSTILE])
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(9, "plain words here")], "item_id long, text string")
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    for df, want in ((dec.clean(docs, items), [2, 3, 4]), (quality.good(docs, labels.where("false")), [1, 1, 2, 3, 4]), (toxicity.harmless(docs, labels.where("false")), [1, 1, 2, 3, 4]), (neardup.one_of_each(docs), [1, 1, 2, 3, 4])):
+        assert df.columns == docs.columns and ids(df) == want
+    for df, name in ((dec.annotate(docs, items, chunk_words=1), "_item_ids_"), (pieces.encode(docs), "ids_"), (licenses.scan(docs), "_matches_"), (quality.score(docs, None), "_score_")):
+        assert df.columns[: len(docs.columns)] == docs.columns and df.columns[-1] == name and df.count() == 5
+    back = pieces.decode(pieces.encode(docs), ids_col="ids_", out="back").collect()
+    assert all(r["back"] == r["text"] for r in back)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert shards.op10_sharding(spark, str(tmp_path)).count() == 5
+
+
+def test_operators_on_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert pieces.op1_sentencepiece(spark, str(tmp_path)).count() == 0 and licenses.op4_license_scan(spark, str(tmp_path)).count() == 0 and shards.op10_sharding(spark, str(tmp_path)).count() == 0
+    store = shards.Store(spark, shared_path(spark, "store-empty"), docs.schema)
+    assert store.append(docs) == 0 and store.runs().count() == 0
+    one = spark.createDataFrame([(1, None, "en", "s")], docs.schema)
+    assert store.append(one) == 1 and store.append(docs) == 1 and store.read().count() == 1
+    one.write.parquet(f"{store.root}/runs/a-orphan")
+    assert store.sweep(3600) == 0 and store.sweep(0) == 1 and store.read().count() == 1
+
+
+def test_licenses_of_rows(spark):
+    text = "one two three four five six\n" + licenses.TEMPLATES["MIT/notice"]
+    rows = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (4, "Licensed under CC BY 4.0. " + "word " * 200000), (5, licenses.TEMPLATES["Unlicense"])], "doc_id long, text string")
+    got = sorted((r["doc_id"], [(m["template"], round(m["dice"], 6)) for m in r["_matches"]]) for r in licenses.scan(rows).collect())
+    assert got == [(1, [("MIT/notice", 1.0)]), (1, [("MIT/notice", 1.0)]), (2, []), (3, []), (4, []), (5, [("Unlicense", 1.0)])]
+    # of templates with one text the smaller name wins
+    tied = licenses.scan(rows.where("doc_id = 5"), templates={"B": licenses.TEMPLATES["Unlicense"], "A": licenses.TEMPLATES["Unlicense"]}).first()
+    assert [m["template"] for m in tied["_matches"]] == ["A"]
+
+
+def test_near_duplicates_with_ids_of_text(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 60)]
+    texts = {}
+    for i in range(30):
+        w = base[: 60 - 2 * (i % 10)] + [f"x{i}y{k}" for k in range(2 * (i % 5))]
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame([(f"d{i:02d}", t) for i, t in texts.items()], "doc_id string, text string")
+    want = components_of(texts)
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.classes(df).collect()} == {(f"d{i:02d}", f"d{c:02d}") for i, (_, c) in want.items()}
+
+
+def test_queries_of_thin_parts_search_the_others(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    # a router that sends rows near one direction to a part of their own and probes that part only
+    w = [np.eye(4), np.zeros(4), np.array([[1.0, 0], [0, 0], [0, 0], [0, 0]]), np.array([-1.5, 0.0])]
+    monkeypatch.setattr(ann, "fit", lambda *a: (w, 1))
+    got = {}
+    for r in ann.search(df, every=1).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    thin = np.flatnonzero(ann.routed(ann.unit(x), w)[:, 0] == 0)
+    assert len(got) == 120 and all(len(v) == 5 for v in got.values()) and len(thin) <= 5
+    u = ann.unit(x)
+    for q in thin:
+        assert sorted(got[q]) == sorted(i for i in np.argsort(-(u @ u[q]))[:6] if i != q)[:5]
 
 
 def test_chat_parts_and_hostile_texts(spark):
