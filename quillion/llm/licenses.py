@@ -13,13 +13,18 @@ a template's (both as multisets) have the Dice coefficient
 must lie within a factor of (2 - least) / least, so templates are kept by size
 and only those within the bounds of a segment are compared; a segment of which
 less than least / (2 - least) are bigrams of some template can't match and is
-passed over. A run that begins or ends with a line without such bigrams is worse
+passed over. In lines of which no segment matches, stretches of words as long
+as a template are compared with it, so that a notice amid other words is found,
+too. A run that begins or ends with a line without such bigrams is worse
 than the run without that line, so it isn't compared either.
 
+Templates are those below, or any others: ``templates_of`` reads a folder of
+whole licence texts on the driver.
+
 Everything happens where a document lies, without a shuffle; what is broadcast
 are the templates, a fixed list. Memory is that of one batch of texts.
 
-Defined results: null, empty and wordless texts match nothing; single words
+Defined results: null, empty and wordless texts match nothing; other columns pass through, whatever their names; single words
 have no bigrams; of equal coefficients the template with the smaller name
 wins; one row per input row, so repeated rows repeat.
 """
@@ -27,8 +32,9 @@ wins; one row per input row, so repeated rows repeat.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +45,7 @@ from pyspark.sql import types as T
 from quillion.llm.common import arrow_map, columns, free
 from quillion.session import read
 
-LEAST = 0.75
+LEAST, LEAST_WINDOW = 0.75, 4
 _WORD = re.compile(r"[^\W_]+")
 
 #: Texts of licences and usual notices that refer to them.
@@ -84,6 +90,11 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum(min(n, b[g]) for g, n in a.items() if g in b) / total if total else 0.0
 
 
+def templates_of(folder: str) -> dict[str, str]:
+    """The texts of the files in a folder of the driver's, by name; the fixed templates beside them."""
+    return TEMPLATES | {f.name: f.read_text("utf-8", "replace") for f in sorted(Path(folder).iterdir()) if f.is_file() and not f.is_symlink()}
+
+
 class Templates:
     """Templates by size, with the bigrams that any of them holds."""
 
@@ -152,13 +163,64 @@ class Templates:
                         out.append((a, b, -d, name))
         return out
 
+    def windows(self, words: list[str], hits: list[int]) -> list[tuple[int, int, float, str]]:
+        """(first word, word after the last, coefficient, template) of stretches as long as a template that match it.
+
+        Of stretches that overlap the one with the largest coefficient counts,
+        then the longer. Templates of fewer than ``LEAST_WINDOW`` bigrams are too
+        short to be looked for inside lines.
+        """
+        places: dict[int, list[int]] = {}
+        for i in hits:
+            for t, _ in self.known[words[i], words[i + 1]]:
+                places.setdefault(t, []).append(i)
+        found = []
+        for t, at in places.items():
+            size, name, grams = self.by_size[t]
+            if size < LEAST_WINDOW or len(at) < self.least * size:
+                continue
+            seen: Counter = Counter()
+            shared = left = 0
+            for p in at:
+                g = (words[p], words[p + 1])
+                seen[g] += 1
+                shared += seen[g] <= grams[g]
+                while p - at[left] >= size:
+                    g = (words[at[left]], words[at[left] + 1])
+                    shared -= seen[g] <= grams[g]
+                    seen[g] -= 1
+                    left += 1
+                if shared >= self.least * size - 1e-9:
+                    found.append((-shared / size, -size, at[left], name, p + 2))
+        taken, out = bytearray(len(words)), []
+        for d, _, start, name, end in sorted(found):
+            if not any(taken[start:end]):
+                taken[start:end] = b"\1" * (end - start)
+                out.append((start, end, -d, name))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[int, int, float, str]]:
         """(first line, line after the last, coefficient, template) of the matching segments, in order.
 
         Lines come first, then the runs of lines without a blank one, then the
-        whole text, then other runs; a segment of the same lines as one before
-        it isn't repeated.
+        whole text, then other runs, then what matches inside lines of which no
+        segment does; a segment of the same lines as one before it isn't repeated.
         """
+        words, ends, hits, found = self._segments(text)
+        if not hits:
+            return []
+        held = bytearray(len(ends) - 1)
+        for a, b, _, _ in found:
+            held[a:b] = b"\1" * (b - a)
+        inside = []
+        for start, end, d, name in self.windows(words, hits):
+            a, b = bisect_right(ends, start) - 1, bisect_left(ends, end)
+            if not any(held[a:b]):
+                inside.append((a, b, d, name))
+        return found + sorted(dict.fromkeys(inside))
+
+    def _segments(self, text: str | None) -> tuple[list[str], list[int], list[int], list[tuple[int, int, float, str]]]:
+        """Words, where each line's begin, the places of known bigrams, and the matches of whole lines and their runs."""
         lines = text.lower().split("\n") if text else []
         words: list[str] = []
         ends = [0]
@@ -167,7 +229,7 @@ class Templates:
             ends.append(len(words))
         hits = [i for i, g in enumerate(zip(words, words[1:], strict=False)) if g in self.known]
         if not hits:
-            return []
+            return words, ends, hits, []
         segments = [(i, i + 1) for i in range(len(lines))]
         start = 0
         for i in range(len(lines) + 1):
@@ -181,7 +243,7 @@ class Templates:
             if bisect_left(hits, end - 1) - bisect_left(hits, first) >= self.least * (end - first - 1) / (2 - self.least) - 1e-9 and (hit := self.best(words[first:end])) is not None:
                 out.append((a, b, *hit))
         if len(lines) < 3:
-            return out
+            return words, ends, hits, out
         fixed = set(segments) | {(0, len(lines))}
         size = {name: n for n, name, _ in self.by_size}
         kept: list[tuple] = []
@@ -193,7 +255,7 @@ class Templates:
         over = {m: [o for o in kept if o[0] <= m[0] and m[1] <= o[1] and grams[o] > grams[m] + 1e-9] for m in kept}
         # a part of one licence may be most of another
         parts = {m for m in out if any(o[2] >= m[2] and o[3].split("/")[0] != m[3].split("/")[0] for o in over[m])}
-        return [m for m in out if m not in parts] + sorted(m for m in kept if m[:2] not in fixed and not over[m])
+        return words, ends, hits, [m for m in out if m not in parts] + sorted(m for m in kept if m[:2] not in fixed and not over[m])
 
 
 MATCH = T.ArrayType(T.StructType([T.StructField("first_line", T.LongType()), T.StructField("end_line", T.LongType()), T.StructField("dice", T.DoubleType()), T.StructField("template", T.StringType())]))

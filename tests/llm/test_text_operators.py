@@ -213,6 +213,42 @@ def test_other_runs_of_lines_equal_comparing_all():
             assert any(g == (top, name) for g in got.values())
 
 
+def test_notices_amid_other_words():
+    t = licenses.Templates(licenses.TEMPLATES)
+    assert t.scan("My code. Released under the MIT License. See the docs for more of the same.") == [(0, 1, 1.0, "MIT/notice")]
+    text = "a b c\nwe say that this picture is licensed under CC BY-SA 4.0 or later, as\nyou like; all rights reserved by us and them and others\nx"
+    assert t.scan(text) == [(1, 2, 1.0, "CC-BY-SA-4.0/short")]
+    # brute force: every stretch of a template's length, the best of those that overlap
+    t = licenses.Templates({"A": "a b c d e f", "B": "c d e f g h i", "C": "a b"})
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        words = [*rng.choice(list("abcdefghixyz"), rng.integers(0, 6)), *"abcdef"[: rng.integers(3, 7)], *"cdefghi"[rng.integers(0, 3) :], *rng.choice(list("abcxyz"), 4)]
+        hits = [i for i, g in enumerate(zip(words, words[1:])) if g in t.known]
+        best = {}
+        for size, name, grams in t.by_size:
+            if size >= licenses.LEAST_WINDOW:
+                for i in range(len(words) - 1):
+                    d = sum((licenses.bigrams(words[i : i + size + 1]) & grams).values()) / size
+                    best[name] = max(best.get(name, 0), d)
+        got = t.windows(words, hits)
+        assert all(d >= licenses.LEAST and abs(sum((licenses.bigrams(words[s:e]) & dict((n, g) for _, n, g in t.by_size)[name]).values()) / dict((n, z) for z, n, _ in t.by_size)[name] - d) < 1e-9 for s, e, d, name in got)
+        top = max(best.values())
+        assert (max((d for _, _, d, _ in got), default=0) == top) if top >= licenses.LEAST else not got
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0"])
+def test_whole_license_files(name):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    if not (folder / name).is_file():
+        pytest.skip("no folder of licence texts here")
+    t = licenses.Templates(licenses.templates_of(str(folder)))
+    text = "Copyright 2020 Somebody. All rights reserved.\n\n" + (folder / name).read_text("utf-8", "replace")
+    top = max(t.scan(text), key=lambda m: (m[1] - m[0], m[2]))
+    assert top[3] == name and top[2] > 0.98
+
+
 def t_names(want):
     return {n for _, n in want.values()}
 
