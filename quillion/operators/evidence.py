@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quillion.functions import text
 from quillion.operators import rules
 from quillion.schemas import EXTRACTOR, INT, LONG, STR, struct
+from quillion.session import spread
 
 PHRASE = struct(field=STR, pattern=INT, at=INT, text=STR, items=T.ArrayType(STR))
 SENTENCE = struct(
@@ -62,7 +63,7 @@ def with_facts(papers: DataFrame, keep: list[str]) -> DataFrame:
         return {"s": [g and g["sentences"] for g in got], "title_cues": [g and g["title_cues"] for g in got], "title_population": [g and g["title_population"] for g in got]}
 
     keep = list(dict.fromkeys([*keep, "title", "abstract"]))
-    return _mapped(papers.select(*keep), added, keep, fn)
+    return _mapped(spread(papers.select(*keep), *keep), added, keep, fn)
 
 
 def sentences(papers: DataFrame, keep: list[str]) -> DataFrame:
@@ -73,7 +74,8 @@ def sentences(papers: DataFrame, keep: list[str]) -> DataFrame:
         names = ("text", "start", "end", "section")
         return {"_s": [[dict(zip(names, x, strict=True)) for x in rules.sentences(a or "")] for a in b.column("abstract").to_pylist()]}
 
-    df = _mapped(papers.select(*dict.fromkeys([*keep, "abstract"])), struct(_s=kind), keep, fn)
+    cols = list(dict.fromkeys([*keep, "abstract"]))
+    df = _mapped(spread(papers.select(*cols), *cols), struct(_s=kind), keep, fn)
     return df.select(*keep, F.posexplode("_s").alias("sent_idx", "x")).select(*keep, "sent_idx", "x.*")
 
 

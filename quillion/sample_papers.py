@@ -197,7 +197,7 @@ QUERIES = {
 
 # SQL
 
-_UNITS, _TEENS, _TENS = rules.UNITS, rules.TEENS, rules.TENS
+_UNITS, _TEENS, _TENS = (tuple(w for w, n in rules.NUMBERS.items() if low <= n < high) for low, high in ((1, 10), (10, 20), (20, 100)))
 _X = "(10 + d % 990)"
 _HUNDREDS, _REST = f"CAST(floor({_X} / 100) AS INT)", f"{_X} % 100"
 _pick = lambda n, words: f"CASE {n} " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in words) + " END"

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders of applications with a local master and no setting.
+_OWN: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,19 +34,32 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out over the cores by the columns ``by`` if it comes from fewer files than there are cores.
+
+    A file may be one row group, which one task reads whole; work of
+    milliseconds a row is worth the exchange then. Tables of many files stay
+    where they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if 0 < len(df._jdf.inputFiles()) < cores else df
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Only a local master, whose executors live in the driver, may do without
-    that setting; there it is set to a folder of its own.
+    that setting; it gets a folder of its own, one for an application.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{os.path.realpath(tempfile.gettempdir())}/quillion-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir, before the session starts, to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = Path(tempfile.mkdtemp(prefix="quillion-")).as_uri()
+    return _OWN[app]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

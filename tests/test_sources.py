@@ -1,27 +1,28 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillion.config import Settings
 from quillion.plans.research import research
 from quillion.sources import crossref, pubmed, snapshot
-from quillion.sources.base import Source, SourceError, united
+from quillion.sources.base import Source, united
 
 
 def works(spark, items, qid="q", **top):
     return spark.createDataFrame([(qid, json.dumps({"status": "ok", "message": {"items": items}, **top}))], "qid string, payload string")
 
 
-WORK = {"DOI": "https://doi.org/10.1/AbC", "title": ["<i>A</i> title &amp; more"], "container-title": ["J &amp; K"], "author": [{"given": "Ada", "family": "B"}, {"family": "C"}, {"name": "Group"}, 7, {"given": None}], "issued": {"date-parts": [[2024, 3, 15]]}, "URL": "https://x.org/1", "abstract": "<jats:title>Abstract</jats:title><jats:sec><jats:title>Methods</jats:title><jats:p>We &lt;p&gt;did  x.</jats:p></jats:sec><jats:p>p &lt; 0.05</jats:p>"}
+WORK = {"DOI": "doi:10.77/Knee-9", "title": ["Walking <b>barefoot</b> &lt;daily&gt; &amp; knees"], "container-title": ["Gait &amp; Feet"], "author": [{"given": "Noor", "family": "Haddad"}, {"family": "Osei"}, {"name": "Walkers' Union"}, 7, {"given": None}], "issued": {"date-parts": [[2019, 11, 2]]}, "URL": "https://x.org/1", "abstract": "<jats:title>Abstract</jats:title><jats:sec><jats:title>Aims</jats:title><jats:p>Who &lt;p&gt;walks  far?</jats:p></jats:sec><jats:p>n &gt; 30</jats:p>"}
 
 
 def test_work_is_read(spark):
     r = crossref.parse(works(spark, [WORK])).collect()
     assert len(r) == 1
     r = r[0]
-    assert (r["id"], r["title"], r["journal"], r["publication_date"], r["url"]) == ("crossref:10.1/AbC", "A title & more", "J & K", "2024-03-15", "https://x.org/1")
-    assert r["authors"] == ["Ada B", "C", "Group"] and r["source_ids"] == ["crossref:10.1/AbC"]
-    assert r["abstract"] == "Methods: We did x.\np < 0.05"
+    assert (r["id"], r["title"], r["journal"], r["publication_date"], r["url"]) == ("crossref:10.77/Knee-9", "Walking barefoot <daily> & knees", "Gait & Feet", "2019-11-02", "https://x.org/1")
+    assert r["authors"] == ["Noor Haddad", "Osei", "Walkers' Union"] and r["source_ids"] == ["crossref:10.77/Knee-9"]
+    assert r["abstract"] == "Aims: Who walks far?\nn > 30"
 
 
 def test_bad_works_cost_no_other(spark):
@@ -91,9 +92,12 @@ def test_search_keeps_the_order_of_ids(spark):
 
 @pytest.mark.parametrize("payload, message", [('{"esearchresult": {"ERROR": "x"}}', "search request was rejected"), ("{}", "unexpected search response"), ('{"esearchresult": {"idlist": 4}}', "unexpected search response")])
 def test_rejected_searches(spark, payload, message):
-    s = pubmed.PubMed(spark.createDataFrame([("q", payload)], "qid string, payload string"), fetched(spark))
-    with pytest.raises(SourceError, match=message):
-        s.search(spark.createDataFrame([("q",)], "qid string"))
+    """A rejected question has an error of its own and costs no other question its records."""
+    good = json.dumps({"esearchresult": {"idlist": ["7"]}})
+    s = pubmed.PubMed(spark.createDataFrame([("bad", payload), ("q", good)], "qid string, payload string"), fetched(spark, article("7")))
+    q = spark.createDataFrame([("q",), ("bad",)], "qid string")
+    assert [(r["qid"], r["source_id"]) for r in s.search(q).collect()] == [("q", "7")]
+    assert [tuple(r) for r in s.failures(q).collect()] == [("bad", message)]
 
 
 class Broken(Source):
@@ -103,6 +107,61 @@ class Broken(Source):
         raise ValueError("secret detail")
 
 
+class Late(Source):
+    """Fails when its records are computed, not when they are asked for."""
+
+    name = "late"
+
+    def __init__(self, parts):
+        self.parts = parts
+
+    def search(self, questions):
+        return self.parts.withColumn("title", F.raise_error(F.lit("secret detail")).cast("string"))
+
+
+def test_research_without_sources(spark):
+    r = research(spark.createDataFrame([("q", "Does yoga help?")], "qid string, question string"), [])
+    assert r.papers.count() == r.evidence.count() == r.provider_status.count() == r.codes.count() == 0
+    assert [tuple(x) for x in r.counts.collect()] == [("q", 0, 0, 0)]
+
+
+def test_failures_stay_with_their_question_and_source(spark):
+    q = spark.createDataFrame([("a", "Does yoga help knees?"), ("b", "Does rest help?")], "qid string, question string")
+    ids = spark.createDataFrame([("a", json.dumps({"esearchresult": {"idlist": ["7", "7"]}})), ("b", "{}")], "qid string, payload string")
+    pm = pubmed.PubMed(ids, fetched(spark, article("7"), qid="a"))
+    cr = crossref.Crossref(works(spark, [WORK], "a").unionByName(works(spark, [WORK], "b")))
+    r = research(q, [pm, Late(cr.search(q)), cr])
+    got = {(s["qid"], s["provider"]): (s["status"], s["paper_count"], s["error"]) for s in r.provider_status.collect()}
+    assert got == {
+        ("a", "pubmed"): ("ok", 2, None), ("b", "pubmed"): ("error", 0, "unexpected search response"), ("a", "late"): ("error", 0, "unexpected error"), ("b", "late"): ("error", 0, "unexpected error"),
+        ("a", "crossref"): ("ok", 1, None), ("b", "crossref"): ("ok", 1, None),
+    }
+    assert {x["qid"]: x["code"] for x in r.codes.collect()} == {"a": 200, "b": 200}
+    assert {x["qid"]: tuple(x)[1:] for x in r.counts.collect()} == {"a": (3, 2, 1), "b": (1, 1, 0)}
+    r.release()
+    slow = research(q, [cr], settings=Settings(provider_timeout=1e-6))
+    assert {s["error"] for s in slow.provider_status.collect()} == {"exceeded time budget"} and slow.papers.count() == 0
+
+
+def test_order_is_unique_over_questions(spark):
+    p = None
+    for k in range(3):
+        x = works(spark, [{**WORK, "DOI": f"10.1/{i}"} for i in range(4)], f"q{k}")
+        p = x if p is None else p.unionByName(x)
+    rows = united([crossref.Crossref(p).search(spark.createDataFrame([(f"q{k}",) for k in range(3)], "qid string"))]).collect()
+    assert sorted(r["ord"] for r in rows) == list(range(1, 13))
+    assert all([r["source_id"] for r in sorted(rows, key=lambda r: r["ord"]) if r["qid"] == f"q{k}"] == [f"10.1/{i}" for i in range(4)] for k in range(3))
+
+
+def test_works_are_filtered_and_projected(spark, tmp_path):
+    path = str(tmp_path / "works")
+    spark.createDataFrame([("q", i, "journal-article" if i % 2 else "book", f"10.1/{i}", ["A title"], "unread") for i in range(10)], "qid string, pos int, type string, DOI string, title array<string>, other string").write.parquet(path)
+    replies = crossref.works(spark.read.parquet(path), rows=3)
+    plan = replies._jdf.queryExecution().toString()
+    assert "EqualTo(type,journal-article)" in plan and "other" not in plan.split("ReadSchema")[1]
+    assert [r["source_id"] for r in crossref.parse(replies).orderBy("pos").collect()] == ["10.1/1", "10.1/3", "10.1/5"]
+
+
 def test_research_end_to_end(spark):
     q = spark.createDataFrame([("q", "Does a mixed title help?"), ("z", "What is it?")], "qid string, question string")
     ids = spark.createDataFrame([("q", json.dumps({"esearchresult": {"idlist": ["7", "8"]}}))], "qid string, payload string")
