@@ -32,19 +32,29 @@ def decide(attempts: DataFrame) -> DataFrame:
     return attempts.withColumns({"action": action, "wait": F.when(again, retry_wait(o, F.col("retry_after"), F.col("backoff"))), "message": message})
 
 
-def schedule(arrivals: DataFrame, by: str, at_us: str, rate: Column, order: list[str]) -> DataFrame:
+def schedule(arrivals: DataFrame, by: str, at_us: str, rate: Column, order: list[str], blocks: int = 1024) -> DataFrame:
     """Adds start_us: the earliest start of each request under its source's rate.
 
     start(i) = max(arrival(i), start(i-1) + gap), in closed form: the running
-    maximum of arrival(i) - i * gap, plus i * gap. One window by source; within a
-    source the order is inherent, so its requests are sorted in one task.
+    maximum of arrival(i) - i * gap, plus i * gap. A source's time is cut into
+    ``blocks``; counts and maxima of whole blocks are carried from one to the
+    next, so a task sorts a block of a source, not a source. ``order`` begins
+    with ``at_us``; a source's rate is the same for all its requests.
     """
-    w = Window.partitionBy(by).orderBy(*order)
     gap = (F.lit(1_000_000) / rate).cast("long")
-    i = F.row_number().over(w) - 1
-    df = arrivals.withColumns({"_i": i.cast("long"), "_gap": gap})
-    reach = F.max(F.col(at_us) - F.col("_i") * F.col("_gap")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("start_us", reach + F.col("_i") * F.col("_gap")).drop("_i", "_gap")
+    span = arrivals.groupBy(by).agg(F.min(at_us).alias("_a"), F.max(at_us).alias("_z"))
+    block = F.floor((F.col(at_us) - F.col("_a")) / F.greatest((F.col("_z") - F.col("_a") + 1) / blocks, F.lit(1))).cast("int")
+    df = arrivals.join(span, by).withColumns({"_gap": gap, "_block": block}).drop("_a", "_z")
+    w = Window.partitionBy(by, "_block").orderBy(*order)
+    df = df.withColumn("_i", (F.row_number().over(w) - 1).cast("long")).withColumn("_own", F.col(at_us) - F.col("_i") * F.col("_gap"))
+    whole = df.groupBy(by, "_block").agg(F.count("*").alias("_n"), F.max("_own").alias("_most"), F.max("_gap").alias("_g"))
+    past = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("_first", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    whole = whole.withColumn("_carried", F.max(F.col("_most") - F.col("_first") * F.col("_g")).over(past)).select(by, "_block", "_first", "_carried")
+    df = df.join(whole, [by, "_block"])
+    here = F.max("_own").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_first") * F.col("_gap")
+    start = F.greatest(here, F.col("_carried")) + (F.col("_first") + F.col("_i")) * F.col("_gap")
+    return df.withColumn("start_us", start).drop("_i", "_gap", "_own", "_block", "_first", "_carried")
 
 
 def provider_rate(provider: Column, has_key: Column, has_contact: Column) -> Column:

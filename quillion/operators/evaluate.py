@@ -86,6 +86,11 @@ def ungrounded(gold: DataFrame, papers: DataFrame) -> DataFrame:
     return gold.join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_anti")
 
 
+def in_both(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Papers of both gold sets; what was tuned on one set is tested on the other only if there are none."""
+    return one.select("paper_id").distinct().join(two.select("paper_id").distinct(), "paper_id", "left_semi")
+
+
 def statistics_recall(gold: DataFrame, evidence: DataFrame) -> DataFrame:
     """(found, expected) statistics, compared without white space and case."""
     want = gold.select("paper_id", F.explode("statistics").alias("s")).select("paper_id", squashed(F.col("s")).alias("s"))
@@ -108,12 +113,50 @@ def latency(samples: DataFrame, by: list[str], item: str, ms: str) -> DataFrame:
     p95 is the value at position floor(0.95 (n - 1)), not interpolated: the
     smallest value that floor(0.95 (n - 1)) + 1 values don't exceed.
     """
-    best = samples.groupBy(*by, item).agg(F.min(ms).alias("_ms"))
-    w = Window.partitionBy(*by)
-    # ranks are global within a group, so each group is sorted in one task; items are one row each
-    r = best.withColumn("_r", F.row_number().over(w.orderBy("_ms", item))).withColumn("_n", F.count("*").over(w))
-    at = F.floor(F.lit(0.95) * (F.col("_n") - 1)) + 1
-    return r.groupBy(*by).agg(F.avg("_ms").alias("mean"), F.median("_ms").alias("median"), F.max(F.when(F.col("_r") == at, F.col("_ms"))).alias("p95"), F.max("_ms").alias("max"))
+    best = samples.groupBy(*by, item).agg(F.min(ms).cast("double").alias("_ms"))
+    n = F.col("n")
+    places = {"p95": F.floor(F.lit(0.95) * (n - 1)), "low": F.floor((n - 1) / 2), "high": F.floor(n / 2)}
+    p = values_at(best, by, "_ms", places)
+    return best.groupBy(*by).agg(F.avg("_ms").alias("mean"), F.max("_ms").alias("max")).join(p, by).select(*by, "mean", ((F.col("low") + F.col("high")) / 2).alias("median"), "p95", "max")
+
+
+def values_at(rows: DataFrame, by: list[str], value: str, places: dict[str, Column], bins: int = 1024) -> DataFrame:
+    """Per group: the values at places (from 0, given by the group's size ``n``) of its sorted values, exactly.
+
+    Values are counted by bins of equal width first; only the bins that hold a
+    place are then looked into, value by value. So no task sorts a group: it sees
+    at most ``bins`` counts, or the distinct values of a bin.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    span = v.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.count("*").alias("n"))
+    wanted = span.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), c.cast("long").alias("at")) for name, c in places.items()])).alias("w")).select(*by, "w.*")
+    place = F.when(F.col("_z") > F.col("_a"), F.least(F.floor((F.col("_v") - F.col("_a")) / (F.col("_z") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0)
+    counted = v.groupBy(*by, "_v").agg(F.count("*").alias("_c")).join(span, by).select(*by, "_v", "_c", place.alias("_bin"))
+    before = lambda keys, order: F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    binned = counted.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c")).withColumn("_first", before(by, "_bin"))
+    some = binned.join(wanted, by).where((F.col("at") >= F.col("_first")) & (F.col("at") < F.col("_first") + F.col("_c")))
+    inner = counted.join(some.select(*by, "_bin", "_first").distinct(), [*by, "_bin"]).withColumn("_first", F.col("_first") + before([*by, "_bin"], "_v"))
+    hit = inner.join(wanted, by).where((F.col("at") >= F.col("_first")) & (F.col("at") < F.col("_first") + F.col("_c")))
+    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in places])
+
+
+def retrieval_report(metrics: DataFrame) -> str:
+    """Both systems of each question, and their means, as text: a report's few rows are collected."""
+    cols = [*[f"recall_{k}" for k in CUTS], "mrr"]
+    each, mean = metrics.orderBy("qid", "system").collect(), macro_means(metrics).orderBy("system").collect()
+    return "\n\n".join(["# Retrieval", markdown(each, ["qid", "system", *cols]), "## Means", markdown(mean, ["system", *cols])]) + "\n"
+
+
+def evidence_report(outcomes: DataFrame, availability: DataFrame, untraceable: DataFrame) -> str:
+    """Outcomes and accuracy by field, statuses by field, and how many citations or values can't be traced."""
+    counts, statuses = outcome_counts(outcomes).orderBy("field"), availability.orderBy("field")
+    parts = ["# Evidence", markdown(counts.collect(), counts.columns), "## Availability", markdown(statuses.collect(), statuses.columns), f"Not traceable: {untraceable.count()}"]
+    return "\n\n".join(parts) + "\n"
+
+
+def write_report(spark, report: str, path: str) -> None:
+    """The report as one text file in the folder ``path``, on any file system."""
+    spark.createDataFrame([(report.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def markdown(rows: list, columns: list[str], digits: int = 2) -> str:

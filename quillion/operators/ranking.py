@@ -17,10 +17,11 @@ def score(terms: Column, title_words: Column, abstract_words: Column) -> Column:
     """Weighted share of terms in the title, and of saturating mentions in the abstract; 0 without terms."""
     n = F.size(terms)
     in_title = F.size(F.array_intersect(terms, title_words)) / n
-    mentions = F.aggregate(terms, F.lit(0), lambda a, t: a + F.least(F.lit(FULL_MENTIONS), F.size(F.filter(abstract_words, lambda w: w == t))))
+    # one pass over the abstract leaves the words that are terms; bound to a variable, they are found once, not once a term
+    hits = F.array(F.filter(abstract_words, lambda w: F.array_contains(terms, w)))
+    of = lambda h: F.aggregate(terms, F.lit(0), lambda a, t: a + F.least(F.lit(FULL_MENTIONS), F.size(F.filter(h, lambda w: w == t))))
+    mentions = F.element_at(F.transform(hits, of), 1)
     # rounded half to even, so that noise can't reorder ties
-    # the second use of the words keeps the optimiser from computing them anew for each term
-    mentions = F.when(F.size(abstract_words) > 0, mentions).otherwise(0)
     return F.when(n > 0, F.bround(TITLE_WEIGHT * in_title + ABSTRACT_WEIGHT * (mentions / FULL_MENTIONS / n), 6)).otherwise(0.0)
 
 

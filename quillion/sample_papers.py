@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillion.operators import evaluate, evidence, invariants, rules
-from quillion.schemas import EXTRACTOR, FIELDS, STATUSES
+from quillion.schemas import FIELDS, STATUSES
 from quillion.session import read, ship
 
 
@@ -156,6 +156,13 @@ def gold_ungrounded(spark, sf_dir):
     return u.select(F.substring_index("paper_id", ":", -1).cast("long").alias("doc_id"))
 
 
+def gold_in_both(spark, sf_dir):
+    """Papers that two gold sets share: ids divisible by 6, and by 10."""
+    g = _gold(spark, sf_dir).withColumn("d", F.substring_index("paper_id", ":", -1).cast("long"))
+    both = evaluate.in_both(g.where("d % 6 = 0"), g.where("d % 10 = 0"))
+    return both.select(F.substring_index("paper_id", ":", -1).cast("long").alias("doc_id"))
+
+
 def evidence_violations(spark, sf_dir):
     """Problems by kind in evidence of which some was damaged, by d modulo 31."""
     e = extracted(spark, sf_dir)
@@ -191,7 +198,7 @@ def evidence_untraceable(spark, sf_dir):
 QUERIES = {
     "sentence_split": sentence_split, "evidence_design": evidence_design, "evidence_sample_size": evidence_sample_size, **{f"evidence_{n}": _texts(n) for n in ("population", "intervention", "comparator")},
     "evidence_outcomes": evidence_outcomes, "evidence_findings": evidence_findings, "evidence_limitations": evidence_limitations, "number_words": number_words, "evidence_availability": evidence_availability,
-    "available_fields": available_fields, "gold_outcomes": gold_outcomes, "gold_accuracy": gold_accuracy, "statistics_recall": statistics_recall, "gold_ungrounded": gold_ungrounded,
+    "available_fields": available_fields, "gold_outcomes": gold_outcomes, "gold_accuracy": gold_accuracy, "statistics_recall": statistics_recall, "gold_ungrounded": gold_ungrounded, "gold_in_both": gold_in_both,
     "evidence_violations": evidence_violations, "evidence_untraceable": evidence_untraceable,
 }
 
@@ -268,6 +275,7 @@ ORACLES = {
     "gold_outcomes": f"WITH {_GOLD} SELECT doc_id, field, outcome FROM o",
     "gold_accuracy": f"WITH {_GOLD} SELECT field, count(*) FILTER (WHERE outcome = 'correct') AS correct, count(*) FILTER (WHERE outcome = 'correct-null') AS correct_null, round(count(*) FILTER (WHERE outcome LIKE 'correct%') / count(*), 9) AS accuracy FROM o GROUP BY field",
     "statistics_recall": f"WITH {ALL} SELECT count(*) FILTER (WHERE statistics <> '' AND d % 17 < 2) AS found, CAST(2 * (SELECT count(*) FROM x) AS BIGINT) AS expected FROM findings",
+    "gold_in_both": "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 30 = 0",
     "gold_ungrounded": "SELECT doc_id FROM documents WHERE doc_id % 7 = 3",
     "evidence_violations": f"""WITH {ALL}, v AS (
 SELECT 'blank paper_id' AS problem FROM f WHERE d % 31 = 0 UNION ALL SELECT 'blank extractor' FROM f WHERE d % 31 = 1 UNION ALL SELECT 'unknown abstract_status' FROM f WHERE d % 31 = 2

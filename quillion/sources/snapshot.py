@@ -20,10 +20,10 @@ def load(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     return spark.read.schema(schema).format(format).load(path).select(*[f.name for f in PAPER])
 
 
-def last_wins(papers: DataFrame, order: str = "ord") -> DataFrame:
-    """One row for each id: that of the last question that holds it."""
+def last_wins(papers: DataFrame, order: tuple[str, ...] = ("qid", "ord")) -> DataFrame:
+    """One row for each id: that of the last question that holds it, in the order of the columns ``order``."""
     cols = [c for c in papers.columns if c != "id"]
-    return papers.groupBy("id").agg(F.max_by(F.struct(*cols), F.col(order)).alias("r")).select("id", "r.*")
+    return papers.groupBy("id").agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("r")).select("id", "r.*")
 
 
 class Snapshot(Source):

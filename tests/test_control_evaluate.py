@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,34 @@ def test_streaming_answers_files(spark, tmp_path):
     papers = spark.read.parquet(str(tmp_path / "out" / "papers"))
     assert [r["id"] for r in papers.collect()] == ["crossref:10.1/a"]
     assert abs(fused(papers).collect()[0]["fused_score"] - 1 / 61) < 1e-12
+
+
+def test_schedules_of_blocks_and_values_at_places(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k % 2}", i, int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 200), rng.integers(0, 50_000_000, 200), strict=True))] + [("one", 999, 5)]
+    df = spark.createDataFrame(rows, "source string, id long, at long")
+    for blocks in (1, 7, 1024):
+        got = {r["id"]: r["start_us"] for r in control.schedule(df, "source", "at", F.lit(2.0), ["at", "id"], blocks).collect()}
+        for s in ("s0", "s1", "one"):
+            free = 0
+            for _, i, at in sorted((x for x in rows if x[0] == s), key=lambda x: (x[2], x[1])):
+                assert got[i] == max(at, free)
+                free = got[i] + 500_000
+    values = [float(v) for v in [*rng.integers(0, 30, 101), 1e6]]
+    v = spark.createDataFrame([("a", x) for x in values] + [("b", 4.0)] * 3 + [("c", None)], "g string, v double")
+    places = {"first": F.lit(0), "late": F.floor(0.95 * (F.col("n") - 1)), "last": F.col("n") - 1}
+    got = {r["g"]: (r["first"], r["late"], r["last"]) for r in evaluate.values_at(v, ["g"], "v", places, bins=8).collect()}
+    values.sort()
+    assert got == {"a": (values[0], values[int(0.95 * 101)], values[-1]), "b": (4.0, 4.0, 4.0)}
+
+
+def test_reports_and_shared_papers(spark, tmp_path):
+    m = spark.createDataFrame([("q1", "ranked", 0.5, 0.5, 1.0, 1.0), ("q2", "ranked", 0.0, 0.5, 0.5, 0.25)], "qid string, system string, recall_5 double, recall_10 double, recall_20 double, mrr double")
+    text = evaluate.retrieval_report(m)
+    assert "| q2 | ranked | 0.00 | 0.50 | 0.50 | 0.25 |" in text and "| ranked | 0.25 | 0.50 | 0.75 | 0.62 |" in text
+    o = spark.createDataFrame([("1", "population", "correct"), ("2", "population", "missed")], "paper_id string, field string, outcome string")
+    text = evaluate.evidence_report(o, spark.createDataFrame([("population", 1, 0, 1)], "field string, stated long, inferred long, unavailable long"), m.where("false"))
+    assert "| population | 1 | 0 | 1 | 0 | 0 | 0.50 |" in text and text.endswith("Not traceable: 0\n")
+    evaluate.write_report(spark, text, str(tmp_path / "r"))
+    assert "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()) + "\n" == text
+    assert [r["paper_id"] for r in evaluate.in_both(o, o.where("paper_id = '2'")).collect()] == ["2"]
