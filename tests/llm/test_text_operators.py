@@ -319,3 +319,92 @@ def test_counterfactuals_take_the_weight_off_identity_terms():
     assert gap(held) < 0.1 * gap(plain)
     s = toxicity.score_texts([neutral, "those are scum", None, ""], *held)
     assert s[0] < 0.5 < s[1] and s[2] == s[3]
+
+
+def test_quality_scores_equal_those_of_plain_loops():
+    """Features one by one with whole numbers, their weights averaged; and the same from batches."""
+    from quillion.llm import features
+
+    mask, mul = (1 << 64) - 1, [int(m) for m in quality._MULTIPLIERS]
+
+    def mix(h):
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * int(features._MIX)) & mask
+        return h ^ (h >> 32)
+
+    def word(w):
+        return mix((sum((ord(c) + 1) * pow(features._P, k, 1 << 64) for k, c in enumerate(w)) + len(w)) & mask)
+
+    def plain(text):
+        words = text.split()
+        hs = [word(w) for w in words]
+        got = hs + [mix(1 if a == b else (a * mul[1] + b) & mask) for a, b in zip(hs, hs[1:])]
+        y = " " + re.sub(r"[\t-\r]", " ", text) + " "
+        for n in quality.NGRAMS:
+            for k in range(len(y) - n + 1):
+                if " " not in y[k + 1 : k + n - 1]:
+                    got.append(mix((n + sum(ord(c) * mul[j] for j, c in enumerate(y[k : k + n]))) & mask))
+        return [h >> (64 - quality.BITS) for h in got]
+
+    table = np.random.default_rng(1).normal(size=1 << quality.BITS)
+    texts = ["one two two three\nfour", "é ß 𝔘x", "a", "the same the same the same"]
+    want = [1 / (1 + np.exp(-(np.mean([table[b] for b in plain(t)]) + 0.25))) for t in texts]
+    assert np.abs(quality.score_texts(texts, table, 0.25) - want).max() < 1e-9
+
+
+def test_quality_steps_go_down_the_loss():
+    """One step for one text moves every weight against the numeric gradient of its loss."""
+    rng = np.random.default_rng(7)
+    at, counts = np.array([3, 9, 20]), np.array([1.0, 2.0, 1.0])
+    emb, layer = rng.normal(0, 0.1, (32, 4)), rng.normal(0, 0.1, (4, 2))
+    start = emb @ (layer[:, 1] - layer[:, 0])
+
+    def loss(e, w):
+        z = (counts / counts.sum()) @ e[at] @ w
+        return np.log(np.exp(z).sum()) - z[1]
+
+    moved, bias = quality.train([(at, counts, 1)], {0: 1, 1: 1}, bits=5, dim=4, epochs=1, rate=1e-3)
+    step = lambda g: -1e-3 * np.sign(g)  # noqa: E731  the first step of each weight has the size of the rate
+    num = lambda a, f: np.array([[(f(a + d) - f(a - d)) / 2e-6 for j in range(a.shape[1]) for d in [np.eye(1, a.size, i * a.shape[1] + j).reshape(a.shape) * 1e-6]] for i in range(a.shape[0])])
+    ge, gl = num(emb, lambda e: loss(e, layer)), num(layer, lambda w: loss(emb, w))
+    new_layer = layer + step(gl)
+    scale = np.where(np.abs(ge).sum(1, keepdims=True) > 0, ge / np.sqrt(np.maximum((ge**2).mean(1, keepdims=True), 1e-30)), 0)
+    want = (emb - 1e-3 * scale) @ (new_layer[:, 1] - new_layer[:, 0])
+    assert np.abs(moved - want).max() < 2e-4 and np.abs(moved - start).max() > 2e-4 and abs(bias - 2e-3) < 1e-5
+
+
+def test_toxicity_training_ends_where_the_penalised_loss_is_least():
+    kinds = toxicity.swaps(10)
+    rng = np.random.default_rng(2)
+    texts = [f"{a} {b} {c}" for a, b, c in zip(rng.choice(["scum", "nice", "day", "rain"], 120), rng.choice(["muslims", "women", "town", "old"], 120), (f"w{k}" for k in range(120)), strict=True)]
+    y = np.array([int("scum" in t or ("muslims" in t and "rain" in t)) for t in texts])
+    rows = toxicity.present(texts, 10)
+    table, bias = toxicity.train(rows, y, bits=10, kinds=kinds)
+    some = toxicity.distinct(rows, y)
+    rows, y = [rows[i] for i in some], y[some]
+    other = toxicity.counterfactuals(rows, kinds)
+    used = toxicity.screen(rows, y, kinds, 10)
+    share = [w / max(1, (y == c).sum()) for c, w in enumerate(toxicity.LABEL_WEIGHTS)]
+
+    def loss(w, b):
+        """Sums text by text: weighted log loss, ridge, and mean squared change under swaps."""
+        z = [w[r].sum() + b for r in rows]
+        fit = sum(share[t] * (np.log1p(np.exp(v)) - t * v) for v, t in zip(z, y, strict=True))
+        swapped = sum((w[r].sum() - w[rows[i]].sum()) ** 2 for i, r in other) / max(1, len(other))
+        return fit + toxicity.RIDGE * (w**2).sum() + toxicity.SWAP_WEIGHT * swapped
+
+    assert other and len(used) < 1 << 10
+    eps = 1e-5
+    slope = [(loss(table + d, bias) - loss(table - d, bias)) / (2 * eps) for k in used for d in [np.eye(1, 1 << 10, k)[0] * eps]]
+    assert np.abs(slope).max() < 5e-3 and abs((loss(table, bias + eps) - loss(table, bias - eps)) / (2 * eps)) < 5e-3
+
+
+def test_rare_words_that_separate_take_part():
+    """A word in 1 % of the toxic rows and in no other is let in by its certainty."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    toxic = [f"{word()} {word()} {'rareslur' if k % 80 == 0 else 'scum'}" for k in range(4000)]
+    clean = [f"{word()} {word()} {word()}" for _ in range(4000)]
+    rows, y = toxicity.present(toxic + clean), np.repeat([1, 0], 4000)
+    (bucket,) = toxicity.present(["rareslur"])[0].tolist()
+    assert bucket in toxicity.screen(rows, y, toxicity.swaps())
