@@ -1,11 +1,19 @@
-"""The corpus pipeline: five stages from raw documents to encoded training texts."""
+"""The corpus pipeline: five stages from raw documents to encoded training texts.
+
+Defined results: null and empty texts are documents like others (the
+classifiers score their bias, they have no near-duplicates and no benchmark
+words, and encode to no pieces); very long texts are read whole; repeated rows
+stay as they are, as rows with one id are one document; of near-duplicates that
+tie the smallest id stays; empty tables give empty tables; further columns, of
+any names, pass through all stages but the last, which returns its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillion.llm import decontaminate, neardup, pieces, quality, toxicity
-from quillion.session import cut, read
+from quillion.session import cut, delete, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is a table in the shared folder."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is a table in the shared folder, until the next one is written."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            delete(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
