@@ -47,20 +47,20 @@ def _mapped(df: DataFrame, added: T.StructType, keep: list[str], fn) -> DataFram
 
 
 def with_facts(papers: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with title, abstract, s (facts by sentence), title_cues and title_population.
+    """Columns ``keep`` with title, abstract, s (facts by sentence), title_cues, title_population and error.
 
-    A paper on which the rules fail has null facts: it costs no other paper its evidence.
+    A paper on which the rules fail has null facts and the name of the error: it costs no other paper its evidence.
     """
-    added = struct(s=T.ArrayType(SENTENCE), title_cues=T.ArrayType(STR), title_population=STR)
+    added = struct(s=T.ArrayType(SENTENCE), title_cues=T.ArrayType(STR), title_population=STR, error=STR)
 
     def fn(b: pa.RecordBatch) -> dict:
         got = []
         for t, a in zip(b.column("title").to_pylist(), b.column("abstract").to_pylist(), strict=True):
             try:
-                got.append(rules.facts(t, a))
-            except Exception:  # noqa: BLE001
-                got.append(None)
-        return {"s": [g and g["sentences"] for g in got], "title_cues": [g and g["title_cues"] for g in got], "title_population": [g and g["title_population"] for g in got]}
+                got.append(rules.facts(t, a) | {"error": None})
+            except Exception as e:  # noqa: BLE001
+                got.append({"sentences": None, "title_cues": None, "title_population": None, "error": type(e).__name__})
+        return {"s": [g["sentences"] for g in got], **{k: [g[k] for g in got] for k in ("title_cues", "title_population", "error")}}
 
     keep = list(dict.fromkeys([*keep, "title", "abstract"]))
     return _mapped(spread(papers.select(*keep), *keep), added, keep, fn)
@@ -224,6 +224,12 @@ def assembled(facts: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def failures(papers: DataFrame) -> DataFrame:
+    """(paper_id, error) of the papers on which the rules fail; ``extract`` leaves them out."""
+    f = with_facts(papers.withColumn("paper_id", F.col("id")), ["paper_id"])
+    return f.where(F.col("error").isNotNull()).select("paper_id", "error")
+
+
 def extract(papers: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Evidence of papers (id, title, abstract): paper_id, further columns ``keep``, and the fields."""
     keep = ["paper_id", *(keep or [])]

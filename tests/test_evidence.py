@@ -151,3 +151,13 @@ def test_invariants_catch_wrong_evidence(spark):
     assert {r["field"] for r in invariants.untraceable(e, other).collect()} == {"sample_size"}
     a = invariants.availability(e).collect()[0]
     assert a["available_fields"] == ["sample_size"] and len(a["unavailable_fields"]) == 7
+
+
+
+def test_papers_on_which_rules_fail_cost_no_other(spark):
+    """Rows whose facts couldn't be read are left out and listed with the name of the error."""
+    df = spark.createDataFrame([("1", "T", "We saw 40%."), ("2", "T", "More.")], "id string, title string, abstract string")
+    facts = evidence.with_facts(df.withColumn("paper_id", F.col("id")), ["paper_id"])
+    hurt = facts.withColumns({"s": F.when(F.col("paper_id") != "2", F.col("s")), "error": F.when(F.col("paper_id") == "2", "ValueError")})
+    assert [r["paper_id"] for r in evidence.assembled(hurt, ["paper_id"]).collect()] == ["1"]
+    assert evidence.failures(df).count() == 0
