@@ -295,3 +295,32 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert all(r["lossless"] for r in got)
     assert {r["doc_id"] for r in got} == set(clean) - {59}
     assert [n for n, _ in corpus_pipeline.STAGES][2] == "near_duplicates"
+
+
+def test_repeated_rows_and_very_long_texts(spark, tmp_path):
+    """Rows that are equal have equal results, and a text of a million characters is read to its end."""
+    long = "plain word " * 100000
+    rows = [(1, "You scum, said nobody.", "en", "a", 22), (1, "You scum, said nobody.", "en", "a", 22), (2, long + "scum", "en", "b", 1100004), (3, None, "fr", None, None), (4, "", None, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in (1, 2, 9)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    both = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    for op in (pieces.op1_sentencepiece, quality.op5_quality_classifier, toxicity.op6_toxicity, shards.op10_sharding):
+        got = both(op(spark, str(tmp_path)))
+        assert [r[0] for r in got] == [1, 1, 2, 3, 4] and got[0] == got[1]
+    (one,) = pieces.round_trip(docs.where("doc_id = 2"), ["doc_id"]).collect()
+    assert one["lossless"] and one["n_pieces"] > 100000 and one["decoded_sha256"] == hashlib.sha256((long + "scum").encode()).hexdigest()
+    weights = np.zeros(1 << toxicity.BITS)
+    weights[toxicity.present(["scum"])[0]] = 5.0
+    scored = {r["doc_id"]: r["_score"] for r in toxicity.score(docs, (weights, -1.0)).collect()}
+    assert scored[2] == scored[1] > 0.9 and scored[3] == scored[4] < 0.5
+    # chats: a long turn, repeated rows and rows that tie in their turn
+    chats = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (None, 0, None, None)], "conv_id long, turn long, role string, text string")
+    chats.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat.op8_chat_formatting(spark, str(tmp_path)).collect()}
+    turns = [("user", long), ("assistant", "a"), ("assistant", "a"), ("assistant", "b")]
+    assert got[1]["n_turns"] == 4 and got[1]["loss_chars"] == 3 and got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got[None]["n_turns"] == 1 and got[-1]["n_turns"] == 2
+    # windows at the very end of a long text count
+    items = spark.createDataFrame([(9, "word scum")], "item_id long, text string")
+    assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in dec.digest(dec.annotate(docs, items, keep=["doc_id"])).where("doc_id = 2").collect()} == {2: (2, 1)}

@@ -408,3 +408,40 @@ def test_rare_words_that_separate_take_part():
     rows, y = toxicity.present(toxic + clean), np.repeat([1, 0], 4000)
     (bucket,) = toxicity.present(["rareslur"])[0].tolist()
     assert bucket in toxicity.screen(rows, y, toxicity.swaps())
+
+
+def test_dropout_equals_a_plain_simulation(model):
+    """Merging by looking over the whole list each time, with draws from whole numbers, outside the class."""
+    import hashlib
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    score = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    mask, place_by, piece_by, rate = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0.3
+
+    def mixed(h):
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return h ^ (h >> 32)
+
+    def skipped(key, at, piece):
+        h = key ^ ((at * place_by + piece * piece_by) & mask)
+        h = ((h ^ (h >> 31)) * 0xD6E8FEB86659FD93) & mask
+        h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & mask
+        return (h ^ (h >> 32)) < int(rate * 2.0**64)
+
+    def simulated(key, chunk):
+        parts = [(i, c) for i, c in enumerate(chunk)]
+        while True:
+            able = [(-score[a + b][1], i, k) for k, ((i, a), (_, b)) in enumerate(zip(parts, parts[1:])) if a + b in score and not skipped(key, i, score[a + b][0])]
+            if not able:
+                return [x for _, p in parts for x in ([score[p][0]] if p in score else [sp.piece_to_id(f"<0x{b:02X}>") for b in p.encode()])]
+            _, i, k = min(able)
+            parts[k : k + 2] = [(i, parts[k][1] + parts[k + 1][1])]
+
+    p = pieces.Pieces(model, 11, rate, 4)
+    for text in ("representation learning of unbelievable representation words", "naïve café-ÿ \U0001f600 internationalisation, 12345", "the " * 30):
+        first = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8, key=b"11/4").digest(), "little")
+        want = [x for n, c in enumerate(p.split(text), 1) for x in simulated(mixed(mixed((first + n * place_by) & mask)), c)]
+        assert p.encode([text])[0].tolist() == want
