@@ -35,12 +35,12 @@ class Results:
             delete(self.questions.sparkSession, p)
 
 
-def asked(source: Source, questions: DataFrame, budget: float) -> tuple[DataFrame | None, DataFrame, list[str]]:
+def asked(source: Source, questions: DataFrame, budget: float | None) -> tuple[DataFrame | None, DataFrame, list[str]]:
     """(records, outcomes, folders) of one source: its records are written here, so whatever fails does so here and costs no other source.
 
     Outcomes have a row for each question. A question that the source rejects
     is in error by itself; a source that fails as a whole, or takes longer than
-    ``budget`` seconds for all questions, is in error for all of them.
+    ``budget`` seconds (null: no limit) for all questions, is in error for all of them.
     """
     began, failure, records, bad, paths = time.monotonic(), None, None, None, []
     try:
@@ -53,31 +53,30 @@ def asked(source: Source, questions: DataFrame, budget: float) -> tuple[DataFram
     except Exception:  # noqa: BLE001  a source's defect costs no other source; details stay out of results
         failure = control.UNEXPECTED
     seconds = time.monotonic() - began
-    o = questions.select("qid", F.lit(source.name).alias("provider"), F.lit(failure).cast("string").alias("failure"), F.lit(float(seconds)).alias("seconds"), F.lit(float(budget)).alias("budget"))
+    o = questions.select("qid", F.lit(source.name).alias("provider"), F.lit(failure).cast("string").alias("failure"), F.lit(float(seconds)).alias("seconds"), F.lit(budget).cast("double").alias("budget"))
     if failure is not None or bad is None:
         return None, o.withColumn("paper_count", F.lit(0).cast("long")), paths
     counts = records.groupBy("qid").agg(F.count("*").alias("paper_count"))
     o = o.drop("failure").join(bad.groupBy("qid").agg(F.min("error").alias("failure")), "qid", "left").join(counts, "qid", "left")
     o = o.select("qid", "provider", "failure", "seconds", "budget", F.coalesce("paper_count", F.lit(0)).alias("paper_count"))
-    return (records if seconds <= budget else None), o, paths
+    return (records if budget is None or seconds <= budget else None), o, paths
 
 
 def research(questions: DataFrame, sources: list[Source], with_evidence: bool = True, settings: Settings | None = None) -> Results:
     """Answers for all ``questions`` (qid, question) at once.
 
-    Sources answer one after the other, each within the time that the settings
-    give it for each started thousand questions, and one that fails leaves the
-    others' records alone. Records are united in the order of the sources,
+    Sources answer one after the other, with ``settings`` each within their
+    ``provider_timeout`` for each started thousand questions, and one that fails
+    leaves the others' records alone. Records are united in the order of the sources,
     merged by identity, ranked, and their evidence extracted after merging,
     when there are fewest. Without sources there are no papers.
     """
     spark = questions.sparkSession
     ship(spark)
-    settings = settings or Settings()
     q = query.process(questions)
     valid, path = cut(q.where("valid"), "questions")
     paths = [path]
-    budget = settings.provider_timeout * -(-max(1, valid.count()) // 1000) if sources else 0.0
+    budget = settings.provider_timeout * -(-max(1, valid.count()) // 1000) if settings else None
     parts, statuses = [], spark.createDataFrame([], OUTCOME)
     for s in sources:
         got, outcome, made = asked(s, valid, budget)
