@@ -125,10 +125,9 @@ def abstract_status(spark, sf_dir):
 
 
 def sentence_offsets(spark, sf_dir):
-    """Sentences whose offsets don't give their text: none."""
-    p = papers(spark, sf_dir).where("abstract is not null")
-    s = evidence.sentences(p, ["ord", "abstract"])
-    return s.agg(F.count_if(F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text")).alias("misplaced"))
+    """How many sentences the sample papers have, and how many have offsets that don't give their text: none."""
+    s = evidence.sentences(sample_papers.papers(spark, sf_dir), ["doc_id", "abstract"])
+    return s.agg(F.count("*").alias("sentences"), F.count_if(F.substring("abstract", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text")).alias("misplaced"))
 
 
 def statistics_in(spark, sf_dir):
@@ -169,7 +168,9 @@ def recall_macro(spark, sf_dir):
 
 
 def unretrieved(spark, sf_dir):
-    return evaluate.unretrieved(_rankings(spark, sf_dir), _judgments(spark, sf_dir)).agg(F.count("*").alias("missing"))
+    """Judged papers that are in neither system's first ``TOP``, by question: what a report of that length would miss."""
+    r = _rankings(spark, sf_dir).where(F.col("rank") <= TOP)
+    return evaluate.unretrieved(r, _judgments(spark, sf_dir)).groupBy("qid").agg(F.count("*").alias("missing"))
 
 
 def judge_outcomes(spark, sf_dir):
@@ -406,10 +407,10 @@ FROM l GROUP BY leader""",
     "provider_positions": f"WITH {_PAPERS} SELECT doc_id, src AS source, row_number() OVER (PARTITION BY lang, src ORDER BY doc_id) AS position FROM papers",
     "per_source_limit": f"WITH {_PAPERS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang, src ORDER BY doc_id) AS rn FROM papers) SELECT doc_id, lang AS qid, src AS source FROM r WHERE rn <= {TOP}",
     "abstract_status": f"WITH {_PAPERS} SELECT CASE WHEN abstract IS NULL THEN 'missing' WHEN regexp_full_match(abstract, '\\s*') THEN 'empty' ELSE 'present' END AS status, count(*) AS n FROM papers GROUP BY 1",
-    "sentence_offsets": "SELECT CAST(0 AS BIGINT) AS misplaced",
+    "sentence_offsets": f"WITH {sample_papers.ALL}, s AS ({sample_papers.SPLIT}) SELECT count(*) AS sentences, CAST(0 AS BIGINT) AS misplaced FROM s",
     "recall_mrr": f"WITH {_RECALL} SELECT qid, system, round(recall_5, 9) AS recall_5, round(recall_10, 9) AS recall_10, round(recall_20, 9) AS recall_20, round(mrr, 9) AS mrr FROM m",
     "recall_macro": f"WITH {_RECALL} SELECT system, round(avg(recall_5), 9) AS recall_5, round(avg(recall_10), 9) AS recall_10, round(avg(recall_20), 9) AS recall_20, round(avg(mrr), 9) AS mrr FROM m GROUP BY system",
-    "unretrieved": "SELECT CAST(0 AS BIGINT) AS missing",
+    "unretrieved": f"WITH {_RECALL} SELECT lang AS qid, count(*) AS missing FROM rel WHERE doc_id NOT IN (SELECT doc_id FROM sys WHERE rank <= {TOP}) GROUP BY lang",
     "judge_outcomes": """
 WITH j AS (SELECT lang, CASE WHEN quality = 1 THEN 1 END AS e, CASE WHEN toxic = 1 THEN 1 + documents.doc_id % 2 END AS g FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id)
 SELECT lang, CASE WHEN e IS NULL AND g IS NULL THEN 'correct-null' WHEN e IS NULL THEN 'fabricated' WHEN g IS NULL THEN 'missed' WHEN e = g THEN 'correct' ELSE 'wrong' END AS outcome, count(*) AS n FROM j GROUP BY 1, 2""",
