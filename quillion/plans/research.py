@@ -46,8 +46,10 @@ def asked(source: Source, questions: DataFrame, budget: float | None) -> tuple[D
     try:
         records, path = cut(source.search(questions), f"source-{source.name}")
         paths.append(path)
-        bad, path = cut(source.failures(questions), f"failures-{source.name}")
-        paths.append(path)
+        bad = source.failures(questions)
+        if type(source).failures is not Source.failures:
+            bad, path = cut(bad, f"failures-{source.name}")
+            paths.append(path)
     except SourceError as e:
         failure = e.message
     except Exception:  # noqa: BLE001  a source's defect costs no other source; details stay out of results
