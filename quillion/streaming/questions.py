@@ -22,6 +22,7 @@ def answer(spark: SparkSession, incoming: str, out: str, checkpoint: str, plan:
         r = plan(questions)
         r.papers.write.mode("overwrite").parquet(f"{out}/papers/batch={number}")
         r.provider_status.write.mode("overwrite").parquet(f"{out}/status/batch={number}")
+        r.release()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
