@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillion.llm import ann, chat, decontaminate, licenses, neardup, pieces, quality, shards, toxicity, warc
+from quillion.llm import ann, chat, codes, decontaminate, licenses, neardup, pieces, quality, shards, toxicity, urls, warc, whitening
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_learned_partitions": ann.op9_learned_partitions,
     "op10_sharding": shards.op10_sharding,
+    "op11_elkan_codes": codes.op11_elkan_codes,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_url_filter": urls.op13_url_filter,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_sharding": shards.OP10_SQL,
+    "op11_elkan_codes": codes.OP11_SQL,
+    "op13_url_filter": urls.OP13_SQL,
 }
