@@ -63,7 +63,7 @@ def with_facts(papers: DataFrame, keep: list[str]) -> DataFrame:
         return {"s": [g["sentences"] for g in got], **{k: [g[k] for g in got] for k in ("title_cues", "title_population", "error")}}
 
     keep = list(dict.fromkeys([*keep, "title", "abstract"]))
-    return _mapped(spread(papers.select(*keep), *keep), added, keep, fn)
+    return _mapped(spread(papers.select(*keep)), added, keep, fn)
 
 
 def sentences(papers: DataFrame, keep: list[str]) -> DataFrame:
@@ -75,7 +75,7 @@ def sentences(papers: DataFrame, keep: list[str]) -> DataFrame:
         return {"_s": [[dict(zip(names, x, strict=True)) for x in rules.sentences(a or "")] for a in b.column("abstract").to_pylist()]}
 
     cols = list(dict.fromkeys([*keep, "abstract"]))
-    df = _mapped(spread(papers.select(*cols), *cols), struct(_s=kind), keep, fn)
+    df = _mapped(spread(papers.select(*cols)), struct(_s=kind), keep, fn)
     return df.select(*keep, F.posexplode("_s").alias("sent_idx", "x")).select(*keep, "sent_idx", "x.*")
 
 

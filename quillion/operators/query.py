@@ -50,7 +50,7 @@ def process(questions: DataFrame, col: str = "question") -> DataFrame:
     A question is valid if it has 3 to 1000 characters after trimming and at
     least one term.
     """
-    q = spread(questions, col).withColumn(col, text.strip(F.col(col)))
+    q = spread(questions).withColumn(col, text.strip(F.col(col)))
     # a column of its own: Python functions may not stand inside lambda functions
     q = q.withColumn("_plain", plain(F.col(col))).withColumn("search_query", search_query(F.col("_plain"))).drop("_plain")
     return q.withColumn("valid", F.coalesce(F.length(col).between(LEAST_CHARS, MOST_CHARS) & F.col("search_query").isNotNull(), F.lit(False)))

@@ -39,7 +39,7 @@ def scored(papers: DataFrame, questions: DataFrame) -> DataFrame:
     Questions are few and joined by qid; the optimiser broadcasts them if they are small.
     """
     q = questions.select("qid", query.terms(F.col("search_query")).alias("_terms"))
-    p = spread(papers.drop("rank_score"), "id").withColumns({"_title": text.words(F.col("title")), "_abstract": text.words(F.col("abstract"))}).join(q, "qid", "left")
+    p = spread(papers.drop("rank_score")).withColumns({"_title": text.words(F.col("title")), "_abstract": text.words(F.col("abstract"))}).join(q, "qid", "left")
     return p.withColumn("rank_score", F.coalesce(score(F.col("_terms"), F.col("_title"), F.col("_abstract")), F.lit(0.0))).drop("_terms", "_title", "_abstract")
 
 

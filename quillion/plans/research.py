@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillion.config import Settings
 from quillion.operators import control, dedup, evidence, query, ranking
+from quillion.plans import fanout
 from quillion.schemas import PAPER
 from quillion.session import cut, delete, ship
 from quillion.sources.base import Source, SourceError, united
@@ -35,43 +35,42 @@ class Results:
             delete(self.questions.sparkSession, p)
 
 
-def asked(source: Source, questions: DataFrame, budget: float | None) -> tuple[DataFrame | None, DataFrame, list[str]]:
-    """(records, outcomes, folders) of one source: its records are written here, so whatever fails does so here and costs no other source.
+def asked(source: Source, questions: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, failures by question) of one source: what it answers is written here, so whatever fails does so here.
 
-    Outcomes have a row for each question. A question that the source rejects
-    is in error by itself; a source that fails as a whole, or takes longer than
-    ``budget`` seconds (null: no limit) for all questions, is in error for all of them.
+    A question that the source rejects is in error by itself and has no records.
     """
-    began, failure, records, bad, paths = time.monotonic(), None, None, None, []
-    try:
-        records, path = cut(source.search(questions), f"source-{source.name}")
-        paths.append(path)
-        bad = source.failures(questions)
-        if type(source).failures is not Source.failures:
-            bad, path = cut(bad, f"failures-{source.name}")
-            paths.append(path)
-    except SourceError as e:
-        failure = e.message
-    except Exception:  # noqa: BLE001  a source's defect costs no other source; details stay out of results
-        failure = control.UNEXPECTED
-    seconds = time.monotonic() - began
-    o = questions.select("qid", F.lit(source.name).alias("provider"), F.lit(failure).cast("string").alias("failure"), F.lit(float(seconds)).alias("seconds"), F.lit(budget).cast("double").alias("budget"))
-    if failure is not None or bad is None:
-        return None, o.withColumn("paper_count", F.lit(0).cast("long")), paths
+    found, _ = cut(source.answers(questions), f"source-{source.name}", paths)
+    bad = found.where("error is not null").groupBy("qid").agg(F.min("error").alias("failure"))
+    good = found.where("error is null").drop("error")
+    return (good if type(source).answers is Source.answers and type(source).failures is Source.failures else good.join(bad, "qid", "left_anti")), bad
+
+
+def failure(o: fanout.Outcome) -> str | None:
+    """What may be shown of a source's error: its own message, or none of its details."""
+    return None if o.error is None else o.error.message if isinstance(o.error, SourceError) else control.UNEXPECTED
+
+
+def outcome(o: fanout.Outcome, questions: DataFrame, budget: float | None) -> DataFrame:
+    """A row for each question: a source that failed or was stopped is in error for all of them."""
+    rows = questions.select("qid", F.lit(o.name).alias("provider"), F.lit(failure(o)).cast("string").alias("failure"), F.lit(float(o.seconds)).alias("seconds"), F.lit(budget).cast("double").alias("budget"))
+    if o.value is None:
+        return rows.withColumn("paper_count", F.lit(0).cast("long"))
+    records, bad = o.value
     counts = records.groupBy("qid").agg(F.count("*").alias("paper_count"))
-    o = o.drop("failure").join(bad.groupBy("qid").agg(F.min("error").alias("failure")), "qid", "left").join(counts, "qid", "left")
-    o = o.select("qid", "provider", "failure", "seconds", "budget", F.coalesce("paper_count", F.lit(0)).alias("paper_count"))
-    return (records if budget is None or seconds <= budget else None), o, paths
+    rows = rows.drop("failure").join(bad, "qid", "left").join(counts, "qid", "left")
+    return rows.select("qid", "provider", "failure", "seconds", "budget", F.coalesce("paper_count", F.lit(0)).alias("paper_count"))
 
 
 def research(questions: DataFrame, sources: list[Source], with_evidence: bool = True, settings: Settings | None = None) -> Results:
     """Answers for all ``questions`` (qid, question) at once.
 
-    Sources answer one after the other, with ``settings`` each within their
-    ``provider_timeout`` for each started thousand questions, and one that fails
-    leaves the others' records alone. Records are united in the order of the sources,
-    merged by identity, ranked, and their evidence extracted after merging,
-    when there are fewest. Without sources there are no papers.
+    Sources answer at the same time, with ``settings`` each within their
+    ``provider_timeout`` for each started thousand questions: a source over its
+    budget is stopped. One that fails or is stopped leaves the others' records
+    alone. Records are united in the order of the sources, merged by identity,
+    ranked, and their evidence extracted after merging, when there are fewest.
+    Without sources there are no papers.
     """
     spark = questions.sparkSession
     ship(spark)
@@ -79,12 +78,19 @@ def research(questions: DataFrame, sources: list[Source], with_evidence: bool =
     valid, path = cut(q.where("valid"), "questions")
     paths = [path]
     budget = settings.provider_timeout * -(-max(1, valid.count()) // 1000) if settings else None
-    parts, statuses = [], spark.createDataFrame([], OUTCOME)
-    for s in sources:
-        got, outcome, made = asked(s, valid, budget)
-        paths += made
-        parts += [got] if got is not None else []
-        statuses = statuses.unionByName(outcome)
+    made: list[list[str]] = [[] for _ in sources]
+    work = [(s.name, lambda s=s, m=m: asked(s, valid, m), budget) for s, m in zip(sources, made, strict=True)]
+    answers, parts, statuses = fanout.at_once(spark, work), [], spark.createDataFrame([], OUTCOME)
+    for o, m in zip(answers, made, strict=True):
+        over = o.stopped or (budget is not None and o.seconds > budget)
+        if o.value is None or over:
+            for p in m:  # what a source that failed has left
+                delete(spark, p)
+            o.value = None
+        else:
+            paths += m
+            parts.append(o.value[0])
+        statuses = statuses.unionByName(outcome(o, valid, budget))
     status = control.provider_status(statuses)
     raw = united(parts) if parts else spark.createDataFrame([], PAPER)
     papers = ranking.ranked(ranking.scored(dedup.deduplicate(raw), valid))

@@ -34,15 +34,16 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` dealt out over the cores by the columns ``by`` if it comes from fewer files than there are cores.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly over the cores, whatever its rows hold, if it comes from fewer files than there are cores.
 
     A file may be one row group, which one task reads whole; work of
     milliseconds a row is worth the exchange then. Tables of many files stay
-    where they lie.
+    where they lie. Rows go round-robin after a sort within their task, so a
+    task that runs again deals them out the same way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if 0 < len(df._jdf.inputFiles()) < cores else df
+    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -71,13 +72,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def cut(df: DataFrame, name: str, paths: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     A lost executor costs nothing that was written. Returns the new frame and
-    its path, which the caller may delete once nothing reads it any more.
+    its path, which the caller may delete once nothing reads it any more;
+    ``paths``, if given, has it from before the first row is written.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -33,6 +33,14 @@ class Source(ABC):
         """(qid, error) of the questions that this source can't answer; they have no records. Default: none."""
         return questions.select("qid", F.lit("").alias("error")).where("false")
 
+    def answers(self, questions: DataFrame) -> DataFrame:
+        """Records and failures as one table: error is null for records, and has the message in a failure's row.
+
+        A source that finds both in one pass over its replies says so here.
+        """
+        found = self.search(questions).withColumn("error", F.lit(None).cast("string"))
+        return found if type(self).failures is Source.failures else found.unionByName(self.failures(questions), allowMissingColumns=True)
+
 
 def with_provenance(records: DataFrame) -> DataFrame:
     """source_ids default to the record's own, and id is source:source_id."""
@@ -42,11 +50,15 @@ def with_provenance(records: DataFrame) -> DataFrame:
 
 
 def with_positions(records: DataFrame, most: int | None = None) -> DataFrame:
-    """provider_ranks: each record's position, from 1, in its source's own order for a question; limited per question."""
-    w = Window.partitionBy("qid", "source").orderBy("pos", "source_id")
-    r = records.withColumn("_r", F.row_number().over(w))
-    r = r if most is None else r.where(F.col("_r") <= most)
-    return r.withColumn("provider_ranks", F.create_map("source", F.col("_r").cast("int"))).withColumn("pos", F.col("_r")).drop("_r")
+    """provider_ranks: each record's position, from 1, in its source's own order for a question; limited per question.
+
+    Rows with an ``error``, where there is such a column, have no position, take none from others and stay.
+    """
+    failed = F.col("error").isNotNull() if "error" in records.columns else F.lit(False)
+    w = Window.partitionBy("qid", "source").orderBy(failed, "pos", "source_id")
+    r = records.withColumn("_r", F.when(~failed, F.row_number().over(w)))
+    r = r if most is None else r.where(failed | (F.col("_r") <= most))
+    return r.withColumn("provider_ranks", F.when(~failed, F.create_map("source", F.col("_r").cast("int")))).withColumn("pos", F.col("_r")).drop("_r")
 
 
 def united(parts: list[DataFrame]) -> DataFrame:

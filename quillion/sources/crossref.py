@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillion.config import Settings
 from quillion.functions import text
 from quillion.sources.base import Source, with_positions, with_provenance
 
@@ -113,6 +114,10 @@ class Crossref(Source):
     def __init__(self, replies: DataFrame, rows: int = 20):
         self.replies, self.rows = replies, rows
 
+    @classmethod
+    def of(cls, replies: DataFrame, settings: Settings) -> Crossref:
+        return cls(replies, settings.crossref_limit)
+
     def _mine(self, questions: DataFrame) -> DataFrame:
         return self.replies.join(questions.select("qid"), "qid", "left_semi")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillion.config import Settings
 from quillion.functions import text
 from quillion.schemas import STR, struct
 from quillion.sources.base import Source, with_positions, with_provenance
@@ -123,17 +124,23 @@ def own_doi(a: Column) -> Column:
     return F.coalesce(F.try_element_at(dois(a["article_ids"]), F.lit(1)), F.try_element_at(dois(a["locations"]), F.lit(1)))
 
 
-def parse(replies: DataFrame, payload: str = "payload") -> DataFrame:
-    """Records of replies (qid, payload): qid, pos and the fields of a paper; articles without id or title are skipped."""
-    x = articles(replies, payload).select("qid", F.posexplode("articles").alias("pos", "a"))
+def parsed(replies: DataFrame, payload: str = "payload") -> DataFrame:
+    """Records of replies (qid, payload), and a row with an error for each reply that can't be read, from one pass."""
+    error = F.when(F.col("articles").isNull(), "unreadable article response").alias("error")
+    x = articles(replies, payload).select("qid", error, F.posexplode_outer("articles").alias("pos", "a"))
     a = F.col("a")
-    r = x.where("a.pmid is not null and a.title is not null").select(
-        "qid", "pos", a["title"].alias("title"), people(a).alias("authors"), sectioned(a).alias("abstract"), F.coalesce(a["journal"], a["journal_short"]).alias("journal"),
+    r = x.where("error is not null or (a.pmid is not null and a.title is not null)").select(
+        "qid", "error", "pos", a["title"].alias("title"), people(a).alias("authors"), sectioned(a).alias("abstract"), F.coalesce(a["journal"], a["journal_short"]).alias("journal"),
         F.coalesce(partial_date(a["printed"]), partial_date(a["online"])).alias("publication_date"), own_doi(a).alias("doi"), a["pmid"].alias("source_id"), F.format_string(ADDRESS, a["pmid"]).alias("url"),
     )
     return with_provenance(r.withColumn("source", F.lit(NAME)))
 
 
+def parse(replies: DataFrame, payload: str = "payload") -> DataFrame:
+    """Records of replies (qid, payload): qid, pos and the fields of a paper; articles without id or title are skipped."""
+    return parsed(replies, payload).where("error is null").drop("error")
+
+
 def id_lists(replies: DataFrame, payload: str = "payload") -> DataFrame:
     """(qid, pos, pmid, error) of search replies; a reply that isn't a list of ids gives one row with an error."""
     v = F.try_parse_json(F.col(payload))
@@ -153,20 +160,23 @@ class PubMed(Source):
     def __init__(self, searches: DataFrame, fetched: DataFrame, most: int = 20):
         self.searches, self.fetched, self.most = searches, fetched, most
 
-    def search(self, questions: DataFrame) -> DataFrame:
-        """Articles in the order of the id lists; ids without article drop out, rejected questions are in ``failures``."""
+    @classmethod
+    def of(cls, searches: DataFrame, fetched: DataFrame, settings: Settings) -> PubMed:
+        return cls(searches, fetched, settings.pubmed_limit)
+
+    def answers(self, questions: DataFrame) -> DataFrame:
+        """Articles in the order of the id lists, ids without article left out; rejected searches and unreadable replies as errors."""
         ids = id_lists(self.searches.join(questions.select("qid"), "qid", "left_semi"))
         wanted = ids.where(F.col("pmid").isNotNull() & (F.col("pos") < self.most)).select("qid", F.col("pos").alias("_pos"), F.col("pmid").alias("source_id"))
         mine = self.fetched.join(wanted.select("qid").distinct(), "qid", "left_semi")
-        got = parse(mine).join(wanted, ["qid", "source_id"])
-        return with_positions(got.withColumn("pos", F.col("_pos")).drop("_pos"), self.most)
+        got = parsed(mine).join(wanted, ["qid", "source_id"], "left").where("_pos is not null or error is not null").withColumn("pos", F.col("_pos")).drop("_pos")
+        return with_positions(got.unionByName(ids.where("error is not null").select("qid", "error"), allowMissingColumns=True), self.most)
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        return self.answers(questions).where("error is null").drop("error")
 
     def failures(self, questions: DataFrame) -> DataFrame:
-        q = questions.select("qid")
-        ids = id_lists(self.searches.join(q, "qid", "left_semi"))
-        bad = ids.where(F.col("error").isNotNull()).select("qid", "error")
-        unread = articles(self.fetched.join(ids.where(F.col("pmid").isNotNull()).select("qid").distinct(), "qid", "left_semi")).where("articles is null")
-        return bad.unionByName(unread.select("qid", F.lit("unreadable article response").alias("error")))
+        return self.answers(questions).where("error is not null").select("qid", "error")
 
 
 __all__ = ["PubMed", "parse", "id_lists", "string_at"]

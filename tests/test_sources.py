@@ -1,9 +1,11 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillion.config import Settings
+from quillion.plans.fanout import at_once
 from quillion.plans.research import research
 from quillion.sources import crossref, pubmed, snapshot
 from quillion.sources.base import Source, united
@@ -197,3 +199,63 @@ def test_settings():
     for bad in ({"pubmed_limit": 0}, {"crossref_limit": 101}, {"provider_timeout": 0}, {"contact_email": "nobody"}):
         with pytest.raises(ValueError):
             Settings(**bad)
+
+
+class Sleeper(Source):
+    """Answers as ``inner`` does, after ``seconds`` in a task."""
+
+    def __init__(self, name, inner, seconds):
+        self.name, self.inner, self.seconds = name, inner, seconds
+
+    def search(self, questions):
+        def wait(batches, seconds=self.seconds):
+            import time
+
+            for b in batches:
+                time.sleep(seconds if b.num_rows else 0)
+                yield b
+
+        return self.inner.search(questions.coalesce(1).mapInArrow(wait, questions.schema))
+
+
+def test_sources_answer_at_the_same_time(spark):
+    """Three sources of four seconds overlap; rows and order are those of one after the other."""
+    q = spark.createDataFrame([("q", "Does yoga help knees?")], "qid string, question string")
+    inner = [crossref.Crossref(works(spark, [{**WORK, "DOI": f"10.1/{k}"}])) for k in range(3)]
+    slow = [Sleeper(f"s{k}", c, 4) for k, c in enumerate(inner)]
+    began = time.monotonic()
+    out = at_once(spark, [(s.name, lambda s=s: s.search(q).collect(), None) for s in slow])
+    assert time.monotonic() - began < 0.6 * sum(o.seconds for o in out) and [o.value[0]["source_id"] for o in out] == ["10.1/0", "10.1/1", "10.1/2"]
+    plain, r = research(q, inner, with_evidence=False), research(q, slow, with_evidence=False)
+    rows = lambda x: [(p["id"], p["rank"], p["ord"]) for p in x.papers.orderBy("rank").collect()]
+    assert rows(r) == rows(plain) and len(rows(r)) == 3
+    r.release()
+    plain.release()
+
+
+def test_a_source_over_its_budget_is_stopped(spark):
+    """Its task ends, it is in error, its files go; another source's records stay."""
+    q = spark.createDataFrame([("q", "Does yoga help knees?")], "qid string, question string")
+    cr = crossref.Crossref(works(spark, [WORK]))
+    cr.name = "quick"
+    began = time.monotonic()
+    out = at_once(spark, [("slow", lambda: Sleeper("slow", cr, 60).search(q).collect(), 3.0), ("quick", lambda: cr.search(q).collect(), 3000.0)])
+    assert time.monotonic() - began < 4.5 or out[1].seconds > 3
+    assert out[0].stopped and out[0].value is None and not out[1].stopped and len(out[1].value) == 1
+    end = time.monotonic() + 5
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    r = research(q, [Sleeper("slow", cr, 60), cr], with_evidence=False, settings=Settings(provider_timeout=12))
+    got = {s["provider"]: (s["status"], s["error"]) for s in r.provider_status.collect()}
+    assert got == {"slow": ("error", "exceeded time budget"), "quick": ("ok", None)}
+    assert r.papers.count() == 1 and not any("source-slow" in p for p in r.paths)
+
+
+def test_one_pass_gives_records_and_unreadable_replies(spark):
+    ids = spark.createDataFrame([(k, json.dumps({"esearchresult": {"idlist": ["2", "1"]}})) for k in ("a", "b")], "qid string, payload string")
+    pm = pubmed.PubMed.of(ids, fetched(spark, article("1"), article("2"), qid="a").unionByName(spark.createDataFrame([("b", "<broken")], "qid string, payload string")), Settings(pubmed_limit=1))
+    q = spark.createDataFrame([("a",), ("b",)], "qid string")
+    rows = sorted((r["qid"], r["source_id"], r["pos"], r["error"]) for r in pm.answers(q).collect())
+    assert rows == [("a", "2", 1, None), ("b", None, None, "unreadable article response")]
+    assert pm.answers(q)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
