@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillion import sample_papers
+from quillion.config import Settings
 from quillion.functions import text
 from quillion.operators import control, dedup, evaluate, evidence, query, ranking, rules
 from quillion.plans.research import research
+from quillion.session import cut, delete, shared_path, ship
 from quillion.session import read as table
-from quillion.session import shared_path, ship
-from quillion.sources import crossref, pubmed, snapshot
+from quillion.sources import crossref, pubmed, recorded, snapshot
 from quillion.sources.base import Source, with_positions, with_provenance
 
 QUESTION = "What is the effect of thereing and erly ntion on the anea in ering?"
@@ -243,16 +244,46 @@ def crossref_parse(spark, sf_dir):
     return r.select("id", "title", F.array_join("authors", ";").alias("authors"), "abstract", "publication_date", "url")
 
 
-def pubmed_parse(spark, sf_dir):
+def _article_replies(spark, sf_dir):
+    """documents as replies of the biomedical index: one reply for each 20 documents."""
     p = papers(spark, sf_dir)
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     clean = lambda c: esc(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", " "))
     x = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("ord").cast("string"), F.lit("</PMID><Article><Journal><JournalIssue><PubDate><Year>2024</Year><Month>Mar</Month></PubDate></JournalIssue></Journal><ArticleTitle>"), clean(F.col("title")), F.lit("</ArticleTitle><Abstract><AbstractText Label=\"METHODS\">"), clean(F.col("abstract")), F.lit("</AbstractText></Abstract><AuthorList><Author><LastName>"), clean(F.col("journal")), F.lit("</LastName><Initials>A</Initials></Author></AuthorList></Article></MedlineCitation></PubmedArticle>"))
-    replies = p.groupBy(F.floor(F.col("ord") / 20).cast("string").alias("qid")).agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list(x), ""), F.lit("</PubmedArticleSet>")).alias("payload"))
-    r = pubmed.parse(replies)
+    return p.groupBy(F.floor(F.col("ord") / 20).cast("string").alias("qid")).agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list(x), ""), F.lit("</PubmedArticleSet>")).alias("payload"))
+
+
+def pubmed_parse(spark, sf_dir):
+    r = pubmed.parse(_article_replies(spark, sf_dir))
     return r.select("id", "title", F.array_join("authors", ";").alias("authors"), "abstract", "publication_date", "url")
 
 
+def _exchanges(spark, sf_dir) -> str:
+    """The folder of exchanges with the biomedical index: a search of 20 documents, newest first, and one fetch, for each question.
+
+    Some searches are answered after a retry or rejected, some fetches fail or can't be read.
+    """
+    n = F.col("qid").cast("long")
+    ids = F.transform(F.sort_array(F.collect_list("ord"), asc=False), lambda x: x.cast("string"))
+    found = papers(spark, sf_dir).groupBy(F.floor(F.col("ord") / 20).cast("string").alias("qid")).agg(F.concat(F.array(F.lit("none")), ids).alias("ids"))
+    listed = F.to_json(F.struct(F.struct(F.col("ids").alias("idlist")).alias("esearchresult")))
+    search = found.select("qid", F.lit(recorded.SEARCH).alias("endpoint"), F.when(n % 5 == 2, 1).otherwise(0).alias("attempt"), F.lit("200").alias("status"), F.when(n % 7 == 3, '{"esearchresult":{"ERROR":"x"}}').otherwise(listed).alias("body"))
+    busy = found.where(n % 5 == 2).select("qid", F.lit(recorded.SEARCH).alias("endpoint"), F.lit(0).alias("attempt"), F.lit("503").alias("status"), F.lit(None).cast("string").alias("body"))
+    fetch = _article_replies(spark, sf_dir).select("qid", F.lit(recorded.FETCH).alias("endpoint"), F.lit(0).alias("attempt"), F.when(n % 13 == 6, "404").otherwise("200").alias("status"), F.when(n % 11 == 5, "<broken").otherwise(F.col("payload")).alias("body"))
+    path = shared_path(spark, "exchanges")
+    search.unionByName(busy).unionByName(fetch).select(F.to_json(F.struct("*", F.lit(pubmed.NAME).alias("provider")))).write.text(path)
+    return path
+
+
+def recorded_articles(spark, sf_dir):
+    """Articles in the order of the recorded id lists, and (at 0) what kept a question from being answered."""
+    path = _exchanges(spark, sf_dir)
+    q = papers(spark, sf_dir).select(F.floor(F.col("ord") / 20).cast("string").alias("qid")).distinct()
+    out, _ = cut(recorded.RecordedPubMed(spark, path, Settings(pubmed_limit=15)).answers(q).select("qid", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), "source_id", "title", "error"), "recorded")
+    delete(spark, path)
+    return out
+
+
 def snapshot_round_trip(spark, sf_dir):
     path = shared_path(spark, "snapshot")
     snapshot.write(papers(spark, sf_dir), path)
@@ -308,7 +339,7 @@ QUERIES = {f.__name__: f for f in (
     query_terms, lexical_score, topk_ranked, date_key_sort, title_keys, unmerged_titles, dedup_components, merged_papers, merged_provider_ranks, provider_positions, per_source_limit,
     strip_tags, abstract_status, sentence_offsets, statistics_in, sentence_cues, evidence_full,
     recall_mrr, recall_macro, unretrieved, judge_outcomes, latency_percentile, semi_relevant, anti_gold, left_evidence, rate_limit_schedule, provider_status, all_failed, retry_decisions,
-    request_rates, crossref_parse, pubmed_parse, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains,
+    request_rates, crossref_parse, pubmed_parse, recorded_articles, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains,
 )} | sample_papers.QUERIES
 
 # SQL
@@ -379,6 +410,13 @@ SELECT page_id, nullif(regexp_replace(t, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$'
     "pubmed_parse": f"""
 WITH {_PAPERS}, c AS (SELECT *, {_flat('title')} AS t, {_flat('abstract')} AS a, {_flat('journal')} AS j FROM papers)
 SELECT 'pubmed:' || doc_id AS id, t AS title, CASE WHEN j = '' THEN '' ELSE 'A ' || j END AS authors, CASE WHEN a <> '' THEN 'METHODS: ' || a END AS abstract, '2024-03' AS publication_date, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url FROM c WHERE t <> ''""",
+    "recorded_articles": f"""
+WITH {_PAPERS}, c AS (SELECT doc_id, doc_id // 20 AS n, {_flat('title')} AS t, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id DESC) AS place FROM papers),
+q AS (SELECT DISTINCT n, CASE WHEN n % 7 = 3 THEN 'search request was rejected' END AS rejected, CASE WHEN n % 13 = 6 THEN 'HTTP 404' END AS lost, CASE WHEN n % 11 = 5 AND n % 13 <> 6 AND n % 7 <> 3 THEN 'unreadable article response' END AS broken FROM c),
+e AS (SELECT n, unnest([rejected, lost, broken]) AS error FROM q)
+SELECT CAST(n AS VARCHAR) AS qid, row_number() OVER (PARTITION BY n ORDER BY place) AS pos, CAST(doc_id AS VARCHAR) AS source_id, t AS title, NULL AS error
+FROM c JOIN q USING (n) WHERE rejected IS NULL AND lost IS NULL AND broken IS NULL AND place < 15 AND t <> ''
+UNION ALL SELECT CAST(n AS VARCHAR), 0, NULL, NULL, error FROM e WHERE error IS NOT NULL""",
     "research_ranked": f"WITH {_RESEARCH} SELECT lang AS qid, rank, id, score FROM r",
     "research_replies": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang) SELECT r.lang AS qid, CAST(200 AS BIGINT) AS code, rank, id, score, 'effect thereing erly ntion anea ering' AS queries_used, raw_count, CASE WHEN abstract IS NULL THEN 'missing' WHEN regexp_full_match(abstract, '\\s*') THEN 'empty' ELSE 'present' END AS abstract_status FROM r JOIN n ON n.lang = r.lang",
     "research_counts": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang), u AS (SELECT lang, count(*) AS unique_count FROM g GROUP BY lang) SELECT n.lang AS qid, raw_count, unique_count, raw_count - unique_count AS removed FROM n JOIN u ON u.lang = n.lang",
