@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillion import sample_papers
 from quillion.config import Settings
 from quillion.functions import text
-from quillion.operators import control, dedup, evaluate, evidence, query, ranking, rules
+from quillion.operators import control, dedup, evaluate, evidence, index, query, ranking, rules
 from quillion.plans.research import research
 from quillion.session import cut, delete, shared_path, ship
 from quillion.session import read as table
@@ -71,6 +71,23 @@ def topk_ranked(spark, sf_dir):
     return r.select("qid", "rank", F.col("ord").alias("doc_id"), F.col("rank_score").alias("score"))
 
 
+def index_topk(spark, sf_dir):
+    """The rows of topk_ranked, from an inverted index."""
+    i = index.build(papers(spark, sf_dir), "qid")
+    out = index.top(i, query.process(questions(spark)), TOP, "qid")
+    i.release()
+    return out.select("qid", "rank", F.col("ord").alias("doc_id"), F.col("rank_score").alias("score"))
+
+
+def index_questions(spark, sf_dir):
+    """The first five of all papers for every question that a user asks in a conversation."""
+    c = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("qid"), F.col("text").alias("question"))
+    i = index.build(papers(spark, sf_dir))
+    out = index.top(i, query.process(c).where("valid"), 5)
+    i.release()
+    return out.select("qid", F.col("rank").cast("long").alias("rank"), F.col("ord").alias("doc_id"), F.col("rank_score").alias("score"))
+
+
 def date_key_sort(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     n = F.element_at(F.array(F.lit(4), F.lit(7), F.lit(10), F.lit(5)), F.pmod("o_orderkey", F.lit(4)).cast("int") + 1)
@@ -336,7 +353,7 @@ def dedup_chains(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    query_terms, lexical_score, topk_ranked, date_key_sort, title_keys, unmerged_titles, dedup_components, merged_papers, merged_provider_ranks, provider_positions, per_source_limit,
+    query_terms, lexical_score, topk_ranked, index_topk, index_questions, date_key_sort, title_keys, unmerged_titles, dedup_components, merged_papers, merged_provider_ranks, provider_positions, per_source_limit,
     strip_tags, abstract_status, sentence_offsets, statistics_in, sentence_cues, evidence_full,
     recall_mrr, recall_macro, unretrieved, judge_outcomes, latency_percentile, semi_relevant, anti_gold, left_evidence, rate_limit_schedule, provider_status, all_failed, retry_decisions,
     request_rates, crossref_parse, pubmed_parse, recorded_articles, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains,
@@ -367,6 +384,13 @@ s AS (SELECT *, round_even(0.75 * (len(list_filter({_TERM_LIST}, lambda t: list_
 r AS (SELECT *, src || ':' || doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY score DESC, (abstract IS NOT NULL AND abstract <> '') DESC, CAST(substr(pdate, 1, 4) AS INTEGER) DESC,
   CASE WHEN length(pdate) >= 7 THEN CAST(substr(pdate, 6, 2) AS INTEGER) ELSE 0 END DESC, CASE WHEN length(pdate) = 10 THEN CAST(substr(pdate, 9, 2) AS INTEGER) ELSE 0 END DESC, src || ':' || doc_id) AS rank FROM s)
 """
+_ASKED = rf"""
+q AS (SELECT conv_id, turn, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS question FROM conversations WHERE role = 'user'),
+t AS (SELECT *, regexp_extract_all(replace(question, '’', ''''), '[\p{{L}}\p{{N}}_]+(?:[''-][\p{{L}}\p{{N}}_]+)*') AS toks, NOT regexp_matches(question, '\p{{Ll}}') AS shouting FROM q),
+k AS (SELECT *, list_transform(list_filter(list_zip(toks, range(0, len(toks))), lambda z: NOT list_contains({_STOP}, lower(z[1])) OR (NOT shouting AND upper(z[1]) = z[1] AND lower(z[1]) <> z[1] AND NOT list_contains(['or', 'not', 'and'], lower(z[1])) AND (length(z[1]) > 1 OR z[2] > 0))),
+  lambda z: CASE WHEN list_contains(['or', 'not'], lower(z[1])) THEN lower(z[1]) ELSE z[1] END) AS kept FROM t),
+s AS (SELECT *, nullif(array_to_string(kept, ' '), '') AS search_query FROM k)
+"""
 _KEYED = f"""
 {_PAPERS}, k AS (SELECT *, CASE WHEN kind < 2 THEN 'doi:' || lower(doi) ELSE 'title:' || trim(regexp_replace(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) END AS key FROM papers),
 l AS (SELECT *, CASE WHEN key = 'title:' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY key) END AS leader FROM k)
@@ -421,16 +445,22 @@ UNION ALL SELECT CAST(n AS VARCHAR), 0, NULL, NULL, error FROM e WHERE error IS
     "research_replies": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang) SELECT r.lang AS qid, CAST(200 AS BIGINT) AS code, rank, id, score, 'effect thereing erly ntion anea ering' AS queries_used, raw_count, CASE WHEN abstract IS NULL THEN 'missing' WHEN regexp_full_match(abstract, '\\s*') THEN 'empty' ELSE 'present' END AS abstract_status FROM r JOIN n ON n.lang = r.lang",
     "research_counts": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang), u AS (SELECT lang, count(*) AS unique_count FROM g GROUP BY lang) SELECT n.lang AS qid, raw_count, unique_count, raw_count - unique_count AS removed FROM n JOIN u ON u.lang = n.lang",
     "dedup_chains": "SELECT doc_id, min(doc_id) OVER (PARTITION BY CAST(floor(doc_id / 10) AS BIGINT)) AS leader FROM documents",
-    "query_terms": rf"""
-WITH q AS (SELECT conv_id, turn, trim(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS question FROM conversations WHERE role = 'user'),
-t AS (SELECT *, regexp_extract_all(replace(question, '’', ''''), '[\p{{L}}\p{{N}}_]+(?:[''-][\p{{L}}\p{{N}}_]+)*') AS toks, NOT regexp_matches(question, '\p{{Ll}}') AS shouting FROM q),
-k AS (SELECT *, list_transform(list_filter(list_zip(toks, range(0, len(toks))), lambda z: NOT list_contains({_STOP}, lower(z[1])) OR (NOT shouting AND upper(z[1]) = z[1] AND lower(z[1]) <> z[1] AND NOT list_contains(['or', 'not', 'and'], lower(z[1])) AND (length(z[1]) > 1 OR z[2] > 0))),
-  lambda z: CASE WHEN list_contains(['or', 'not'], lower(z[1])) THEN lower(z[1]) ELSE z[1] END) AS kept FROM t),
-s AS (SELECT *, nullif(array_to_string(kept, ' '), '') AS search_query FROM k)
+    "query_terms": f"""
+WITH {_ASKED}
 SELECT conv_id, turn, search_query, length(question) BETWEEN 3 AND 1000 AND search_query IS NOT NULL AS valid,
   array_to_string(list_sort(list_distinct(list_filter({_words_sql('search_query')}, lambda w: NOT list_contains({_STOP}, w)))), ',') AS terms FROM s""",
     "lexical_score": f"WITH {_SCORED} SELECT doc_id, score FROM r",
     "topk_ranked": f"WITH {_SCORED} SELECT lang AS qid, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= {TOP}",
+    "index_topk": f"WITH {_SCORED} SELECT lang AS qid, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= {TOP}",
+    "index_questions": f"""
+WITH {_ASKED}, v AS (SELECT conv_id || ':' || turn AS qid, list_distinct(list_filter({_words_sql('search_query')}, lambda w: NOT list_contains({_STOP}, w))) AS ts FROM s WHERE length(question) BETWEEN 3 AND 1000 AND search_query IS NOT NULL),
+{_PAPERS}, a AS (SELECT doc_id, unnest({_words_sql('title')}) AS term, 1 AS t FROM papers UNION ALL SELECT doc_id, unnest({_words_sql('abstract')}), 0 FROM papers),
+post AS (SELECT doc_id, term, max(t) AS t, least(3, sum(1 - t)) AS m FROM a GROUP BY doc_id, term),
+hit AS (SELECT qid, doc_id, sum(t) AS t, sum(m) AS m FROM (SELECT qid, unnest(ts) AS term FROM v) JOIN post USING (term) GROUP BY qid, doc_id),
+x AS (SELECT v.qid, p.doc_id, p.src || ':' || p.doc_id AS id, abstract, pdate, CASE WHEN len(ts) = 0 THEN 0.0 ELSE round_even(0.75 * (CAST(coalesce(t, 0) AS DOUBLE) / len(ts)) + 0.25 * (CAST(coalesce(m, 0) AS DOUBLE) / 3.0 / len(ts)), 6) END AS score FROM v, papers p LEFT JOIN hit ON hit.qid = v.qid AND hit.doc_id = p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, (abstract IS NOT NULL AND abstract <> '') DESC, CAST(substr(pdate, 1, 4) AS INTEGER) DESC,
+  CASE WHEN length(pdate) >= 7 THEN CAST(substr(pdate, 6, 2) AS INTEGER) ELSE 0 END DESC, CASE WHEN length(pdate) = 10 THEN CAST(substr(pdate, 9, 2) AS INTEGER) ELSE 0 END DESC, id) AS rank FROM x)
+SELECT qid, rank, doc_id, score FROM r WHERE rank <= 5""",
     "date_key_sort": """
 WITH o AS (SELECT o_orderkey, substr(strftime(o_orderdate, '%Y-%m-%d'), 1, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 7 WHEN 2 THEN 10 ELSE 5 END) AS p FROM orders)
 SELECT o_orderkey, CASE WHEN length(p) = 5 THEN 0 ELSE CAST(substr(p, 1, 4) AS BIGINT) END AS y, CASE WHEN length(p) >= 7 THEN CAST(substr(p, 6, 2) AS BIGINT) ELSE 0 END AS m, CASE WHEN length(p) = 10 THEN CAST(substr(p, 9, 2) AS BIGINT) ELSE 0 END AS d FROM o""",

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillion.functions import text
-from quillion.operators import query, ranking
+from quillion.operators import index, query, ranking
 
 QUESTIONS = [
     ("Does yoga help back pain?", "yoga help back pain"),
@@ -91,3 +92,35 @@ def test_score_rounds_half_to_even_and_needs_terms(spark):
 def test_date_key(spark, date, key):
     df = spark.createDataFrame([(date,)], "d string")
     assert tuple(df.select(ranking.date_key(F.col("d")).alias("k")).collect()[0]["k"]) == key
+
+
+def test_index_gives_the_rows_of_a_scan(spark):
+    """Frequent and rare terms, ties, no abstracts, no terms, fewer hits than asked for, an empty table; every k, both scopes."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    pick = lambda n: " ".join(rng.choices(words, weights=[60, 40, 20, 9, 5, 4, 3, 2, 1, 1, 0.3, 0.3], k=n))
+    rows = [(k, f"s{k % 2}", f"p{k}", pick(rng.randint(0, 4)), pick(rng.randint(0, 9)) if k % 5 else None, rng.choice(["2020", "2021-03", "", None, "2021-03-09"])) for k in range(400)]
+    papers = spark.createDataFrame(rows, "ord long, qid string, id string, title string, abstract string, publication_date string")
+    asked = [("s0", "w0"), ("s1", "w0 w1 w2"), ("s0", "w11 w10 w9"), ("s1", "nothing"), ("s0", None), ("s1", "w3 w0 w11 w1"), ("s0", "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    for scoped in (False, True):
+        q = spark.createDataFrame([(s if scoped and k < 2 else f"q{k}", s, t) for k, (s, t) in enumerate(asked)][: 2 if scoped else None], "qid string, s string, search_query string")
+        i = index.build(papers, "qid" if scoped else None)
+        own = q.select("qid", "search_query")
+        whole = papers if scoped else papers.drop("qid").join(q.select("qid"))
+        want = ranking.ranked(ranking.scored(whole, own)).select("qid", "rank", "ord", "rank_score").collect()
+        for k in (1, 5, 30):
+            got = index.top(i, q, k, "s" if scoped else None).select("qid", "rank", "ord", "rank_score").collect()
+            assert sorted(got) == sorted(r for r in want if r["rank"] <= k)
+        i.release()
+    none = index.build(papers.limit(0))
+    assert index.top(none, q, 3).count() == 0
+
+
+def test_index_reads_only_what_may_lead(spark):
+    """A term that most papers have brings up none where a rarer one suffices, and only its best postings where it stands alone."""
+    rows = [(k, f"p{k}", "common" if k % 2 else "other", "common rare common common" if k % 50 == 1 else "common", "2020") for k in range(1000)]
+    i = index.build(spark.createDataFrame(rows, "ord long, id string, title string, abstract string, publication_date string"))
+    q = spark.createDataFrame([("a", "", ["common"]), ("b", "", ["common", "rare"])], "qid string, scope string, terms array<string>")
+    got = {(r["qid"], r["term"]): (r["floor"], r["least"], r["leads"]) for r in index.needs(i.levels, q, 5).collect()}
+    assert got == {("a", "common"): (12, 12, True), ("b", "common"): (12, 11, True), ("b", "rare"): (12, 1, True)}
+    i.release()
