@@ -8,7 +8,7 @@ recording its reference and how many tokens it expands to. Turns are framed as
 points of the formatted text) cover the contents of the trained roles.
 
 Escaping keeps every control string out of texts: ``<`` and ``|`` with k
-backslashes between them get k + 1, and back. A role has its backslashes and
+backslashes between them get k + 1, and back, also where neighbouring text parts meet. A role has its backslashes and
 line feeds escaped as well, as a line feed ends it.
 
 One exchange by conversation serves both the window that places the turns and
@@ -29,6 +29,8 @@ from quillion.session import read
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Tokens that one unit (tile, second, page) of an attachment expands to.
 TOKENS = {"image": 256, "audio": 25, "document": 512}
+#: Stands for an attachment while texts are escaped.
+MARK = "\u0001"
 PART = "struct<type:string,text:string,ref:string,units:double>"
 
 
@@ -64,9 +66,19 @@ def placeholder(part: Column, turn: Column, at: Column) -> Column:
 
 
 def flattened(parts: Column, turn: Column) -> tuple[Column, Column]:
-    """The content of a message, and its attachments in order."""
+    """The content of a message, and its attachments in order.
+
+    Neighbouring texts are one text when they are escaped, so no control string
+    can arise where two parts meet. For that all parts are joined, with a mark
+    for each attachment (what of the mark stands in texts is written longer),
+    escaped, and cut at the marks again.
+    """
     some = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    content = F.array_join(F.transform(some, lambda p, j: F.when(kind(p) == "text", escape(p["text"])).otherwise(placeholder(p, turn, j))), "")
+    marked = lambda p: F.when(kind(p) == "text", F.replace(F.coalesce(p["text"], F.lit("")), F.lit(MARK), F.lit(MARK + "t"))).otherwise(MARK + "a")
+    texts = F.split(escape(F.array_join(F.transform(some, marked), "")), MARK + "a")
+    places = F.filter(F.transform(some, lambda p, j: F.when(kind(p) != "text", placeholder(p, turn, j))), lambda p: p.isNotNull())
+    content = F.replace(F.array_join(F.zip_with(texts, places, lambda t, p: F.concat(t, F.coalesce(p, F.lit("")))), ""), F.lit(MARK + "t"), F.lit(MARK))
+
     def tokens(p: Column) -> Column:
         per = F.when(kind(p) == "image", TOKENS["image"]).when(kind(p) == "audio", TOKENS["audio"]).otherwise(TOKENS["document"])
         return F.ceil(F.coalesce(p["units"], F.lit(1.0)) * per).cast("long")
