@@ -6,8 +6,8 @@ without a blank line between them, the whole text, and every other run of
 lines, blank ones or not, so that a licence of several paragraphs is found
 inside a longer text. Of these other runs only the best count: one that
 overlaps a better match of the same template, or lies within a match that
-shares more bigrams, is left out; so is any segment within a match of another
-licence with more shared bigrams and no smaller coefficient. A segment's bigrams and
+shares more bigrams, is left out; so is any segment within a match with more
+shared bigrams of another licence whose template has the segment's words. A segment's bigrams and
 a template's (both as multisets) have the Dice coefficient
 2 * |both| / (|segment| + |template|). For a coefficient of ``least`` the sizes
 must lie within a factor of (2 - least) / least, so templates are kept by size
@@ -18,8 +18,19 @@ as a template are compared with it, so that a notice amid other words is found,
 too. A run that begins or ends with a line without such bigrams is worse
 than the run without that line, so it isn't compared either.
 
-Templates are those below, or any others: ``templates_of`` reads a folder of
-whole licence texts on the driver.
+Long templates (over ``LONG`` bigrams: whole texts of licences) are looked for
+first, as stretches of their own length anywhere in the text, lines or not, in
+time linear in the text; of stretches that overlap the one with most shared
+bigrams counts. What lies in one isn't looked at again, so a licence's own
+parts name no other licence.
+
+Templates of one family differ by a number: what follows "version" or a
+licence's short name in a template must follow it in the text, too. A bare
+reservation of rights within ``NEAR`` lines of a licence is part of its
+copyright notice.
+
+Templates are those below and the whole texts in ``license_texts``, or any
+others: ``templates_of`` reads a folder of whole licence texts on the driver.
 
 Everything happens where a document lies, without a shuffle; what is broadcast
 are the templates, a fixed list. Memory is that of one batch of texts.
@@ -45,7 +56,7 @@ from pyspark.sql import types as T
 from quillion.llm.common import arrow_map, columns, free
 from quillion.session import read
 
-LEAST, LEAST_WINDOW = 0.75, 4
+LEAST, LEAST_WINDOW, LONG, NEAR = 0.75, 4, 400, 8
 _WORD = re.compile(r"[^\W_]+")
 
 #: Texts of licences and usual notices that refer to them.
@@ -64,6 +75,10 @@ TEMPLATES = {
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0/notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0-or-later/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0-or-later/header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "AGPL-3.0-or-later/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "LGPL-2.0-or-later/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
     "LGPL-2.1-or-later/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -90,6 +105,28 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * sum(min(n, b[g]) for g, n in a.items() if g in b) / total if total else 0.0
 
 
+#: Words that a version's number follows.
+VERSIONED = frozenset("version v gpl lgpl agpl mpl by sa nc nd attribution sharealike noncommercial".split())
+
+
+def versions(words: list[str]) -> set[tuple[str, ...]]:
+    """Numbers (all digits in a row) with the word before them that tells they are versions."""
+    out = set()
+    for i, w in enumerate(words[:-1]):
+        if w in VERSIONED and words[i + 1].isdigit():
+            j = i + 2
+            while j < len(words) and words[j].isdigit():
+                j += 1
+            out.add(("by" if w not in ("version", "v") else "version", *words[i + 1 : j]))
+    return out
+
+
+def whole_texts() -> dict[str, str]:
+    """The fixed templates and the whole texts that come with the package; read on the driver."""
+    folder = Path(__file__).resolve().parent / "license_texts"
+    return TEMPLATES | {f"{f.name}/text": f.read_text("utf-8", "replace") for f in sorted(folder.iterdir())}
+
+
 def templates_of(folder: str) -> dict[str, str]:
     """The texts of the files in a folder of the driver's, by name; the fixed templates beside them."""
     return TEMPLATES | {f.name: f.read_text("utf-8", "replace") for f in sorted(Path(folder).iterdir()) if f.is_file() and not f.is_symlink()}
@@ -100,8 +137,17 @@ class Templates:
 
     def __init__(self, texts: dict[str, str], least: float = LEAST):
         self.least, self.ratio = least, (2 - least) / least
-        got = ((name, bigrams(_WORD.findall(t.lower()))) for name, t in texts.items())
-        self.by_size = sorted((sum(b.values()), name, b) for name, b in got if b)
+        split = {name: _WORD.findall(t.lower()) for name, t in texts.items()}
+        got = [(name, bigrams(w)) for name, w in split.items()]
+        sized = sorted((sum(b.values()), name, b) for name, b in got if b)
+        self.by_size = [t for t in sized if t[0] <= LONG]
+        self.long = [t for t in sized if t[0] > LONG]
+        # the first number is the template's own, others may be of what it refers to
+        self.needs = {name: v for name, w in split.items() if (v := versions(w if len(w) <= LONG else w[:60]))}
+        self.long_known: dict[tuple, list[tuple[int, int]]] = {}
+        for k, (_, _, b) in enumerate(self.long):
+            for g, many in b.items():
+                self.long_known.setdefault(g, []).append((k, many))
         self.known: dict[tuple, list[tuple[int, int]]] = {}
         for k, (_, _, b) in enumerate(self.by_size):
             for g, many in b.items():
@@ -123,10 +169,14 @@ class Templates:
             grams = bigrams(words) if grams is None else grams
             self.compared += 1
             d = dice(grams, b)
-            if d >= self.least and (top is None or (-d, name) < (-top[0], top[1])):
+            if d >= self.least and (top is None or (-d, name) < (-top[0], top[1])) and self.fits(name, words):
                 top = (d, name)
         return top
 
+    def fits(self, name: str, words: list[str]) -> bool:
+        """Do the words hold the template's versions?"""
+        return name not in self.needs or self.needs[name] <= versions(words)
+
     def runs(self, words: list[str], ends: list[int], hits: list[int], known: set[tuple[int, int]]) -> list[tuple[int, int, float, str]]:
         """Matches of runs of two lines or more, without the segments ``known``; as ``scan`` has them."""
         share = self.least / (2 - self.least)
@@ -158,25 +208,38 @@ class Templates:
                             shared[t] += seen[g] <= many
                 at, n = max(at, ends[b] - 1), ends[b] - begin - 1
                 if (a, b) not in known:
-                    d, name = min((-2 * x / (n + size), name) for x, (size, name, _) in zip(shared, self.by_size, strict=True))
-                    if -d >= self.least:
-                        out.append((a, b, -d, name))
+                    near = sorted((-2 * x / (n + size), name) for x, (size, name, _) in zip(shared, self.by_size, strict=True) if 2 * x >= self.least * (n + size))
+                    if fit := next((m for m in near if self.fits(m[1], words[begin : ends[b]])), None):
+                        out.append((a, b, -fit[0], fit[1]))
         return out
 
-    def windows(self, words: list[str], hits: list[int]) -> list[tuple[int, int, float, str]]:
+    def stretches(self, words: list[str]) -> list[tuple[int, int, float, str]]:
+        """(first word, word after the last, coefficient, template) of long templates' matches, none overlapping another."""
+        hits = [i for i, g in enumerate(zip(words, words[1:], strict=False)) if g in self.long_known]
+        if not self.long or len(hits) < self.least * self.long[0][0]:
+            return []
+        size, out = {name: n for n, name, _ in self.long}, []
+        found = [m for m in self.windows(words, hits, self.long, self.long_known) if self.fits(m[3], words[m[0] : m[1]])]
+        for m in sorted(found, key=lambda m: (-m[2] * size[m[3]], m)):
+            if not any(m[0] < o[1] and o[0] < m[1] for o in out):
+                out.append(m)
+        return sorted(out)
+
+    def windows(self, words: list[str], hits: list[int], templates: list | None = None, known: dict | None = None) -> list[tuple[int, int, float, str]]:
         """(first word, word after the last, coefficient, template) of stretches as long as a template that match it.
 
         Of stretches that overlap the one with the largest coefficient counts,
         then the longer. Templates of fewer than ``LEAST_WINDOW`` bigrams are too
         short to be looked for inside lines.
         """
+        templates, known = templates or self.by_size, known or self.known
         places: dict[int, list[int]] = {}
         for i in hits:
-            for t, _ in self.known[words[i], words[i + 1]]:
+            for t, _ in known[words[i], words[i + 1]]:
                 places.setdefault(t, []).append(i)
         found = []
         for t, at in places.items():
-            size, name, grams = self.by_size[t]
+            size, name, grams = templates[t]
             if size < LEAST_WINDOW or len(at) < self.least * size:
                 continue
             seen: Counter = Counter()
@@ -204,32 +267,46 @@ class Templates:
 
         Lines come first, then the runs of lines without a blank one, then the
         whole text, then other runs, then what matches inside lines of which no
-        segment does; a segment of the same lines as one before it isn't repeated.
+        segment does, then long templates; a segment of the same lines as one
+        before it isn't repeated.
         """
-        words, ends, hits, found = self._segments(text)
-        if not hits:
-            return []
+        return [m[:4] for m in self.matches(text)]
+
+    def matches(self, text: str | None) -> list[tuple[int, int, float, str, int]]:
+        """As ``scan`` has them, with the number of shared bigrams."""
+        words, ends, lines = self._words(text)
+        size = {name: n for n, name, _ in self.by_size + self.long}
+        spans = self.stretches(words)
+        whole = [(bisect_right(ends, start) - 1, bisect_left(ends, end), d, name, round(d * size[name])) for start, end, d, name in spans]
+        hits = [i for i, g in enumerate(zip(words, words[1:], strict=False)) if g in self.known]
+        for start, end, _, _ in spans:  # what lies in a long match names no other
+            hits = hits[: bisect_left(hits, start)] + hits[bisect_left(hits, end - 1) :]
+        found = [(*m, round(m[2] * (ends[m[1]] - ends[m[0]] - 1 + size[m[3]]) / 2)) for m in self._segments(lines, words, ends, hits)] if hits else []
         held = bytearray(len(ends) - 1)
-        for a, b, _, _ in found:
+        for a, b, *_ in found:
             held[a:b] = b"\1" * (b - a)
         inside = []
-        for start, end, d, name in self.windows(words, hits):
+        for start, end, d, name in self.windows(words, hits) if hits else []:
             a, b = bisect_right(ends, start) - 1, bisect_left(ends, end)
-            if not any(held[a:b]):
-                inside.append((a, b, d, name))
-        return found + sorted(dict.fromkeys(inside))
-
-    def _segments(self, text: str | None) -> tuple[list[str], list[int], list[int], list[tuple[int, int, float, str]]]:
-        """Words, where each line's begin, the places of known bigrams, and the matches of whole lines and their runs."""
+            if not any(held[a:b]) and self.fits(name, words[start : end + 2]):
+                inside.append((a, b, d, name, round(d * size[name])))
+        out = found + sorted(dict.fromkeys(inside)) + whole
+        granted = [m for m in out if not m[3].startswith("Proprietary/")]
+        return [m for m in out if m[3] != "Proprietary/short" or not any(m[0] < g[1] + NEAR and g[0] - NEAR < m[1] for g in granted)]
+
+    @staticmethod
+    def _words(text: str | None) -> tuple[list[str], list[int], list[str]]:
+        """Words, where each line's begin, and the lines."""
         lines = text.lower().split("\n") if text else []
         words: list[str] = []
         ends = [0]
         for line in lines:
             words += _WORD.findall(line)
             ends.append(len(words))
-        hits = [i for i, g in enumerate(zip(words, words[1:], strict=False)) if g in self.known]
-        if not hits:
-            return words, ends, hits, []
+        return words, ends, lines
+
+    def _segments(self, lines: list[str], words: list[str], ends: list[int], hits: list[int]) -> list[tuple[int, int, float, str]]:
+        """The matches of whole lines and their runs; ``hits`` are the places of known bigrams."""
         segments = [(i, i + 1) for i in range(len(lines))]
         start = 0
         for i in range(len(lines) + 1):
@@ -243,7 +320,7 @@ class Templates:
             if bisect_left(hits, end - 1) - bisect_left(hits, first) >= self.least * (end - first - 1) / (2 - self.least) - 1e-9 and (hit := self.best(words[first:end])) is not None:
                 out.append((a, b, *hit))
         if len(lines) < 3:
-            return words, ends, hits, out
+            return out
         fixed = set(segments) | {(0, len(lines))}
         size = {name: n for n, name, _ in self.by_size}
         kept: list[tuple] = []
@@ -253,34 +330,40 @@ class Templates:
                 kept.append(m)
         grams = {m: m[2] * (ends[m[1]] - ends[m[0]] - 1 + size[m[3]]) / 2 for m in kept}
         over = {m: [o for o in kept if o[0] <= m[0] and m[1] <= o[1] and grams[o] > grams[m] + 1e-9] for m in kept}
-        # a part of one licence may be most of another
-        parts = {m for m in out if any(o[2] >= m[2] and o[3].split("/")[0] != m[3].split("/")[0] for o in over[m])}
-        return words, ends, hits, [m for m in out if m not in parts] + sorted(m for m in kept if m[:2] not in fixed and not over[m])
+        held = {name: b for _, name, b in self.by_size}
+
+        def part(m: tuple, o: tuple) -> bool:
+            """Are the words of m those of another licence's template?"""
+            own = bigrams(words[ends[m[0]] : ends[m[1]]])
+            return o[3].split("/")[0] != m[3].split("/")[0] and sum((own & held[o[3]]).values()) >= self.least * sum(own.values())
+
+        parts = {m for m in out if any(part(m, o) for o in over[m])}
+        return [m for m in out if m not in parts] + sorted(m for m in kept if m[:2] not in fixed and not over[m])
 
 
-MATCH = T.ArrayType(T.StructType([T.StructField("first_line", T.LongType()), T.StructField("end_line", T.LongType()), T.StructField("dice", T.DoubleType()), T.StructField("template", T.StringType())]))
+MATCH = T.ArrayType(T.StructType([T.StructField("first_line", T.LongType()), T.StructField("end_line", T.LongType()), T.StructField("dice", T.DoubleType()), T.StructField("template", T.StringType()), T.StructField("shared", T.LongType())]))
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """Columns ``keep`` of ``docs`` (default: all) and as the last one _matches, the segments that match a template (underscores behind the name if it is taken)."""
     keep = docs.columns if keep is None else keep
     df, name = columns(docs, [*keep, text_col]), free("_matches", keep)
-    texts = TEMPLATES if templates is None else templates
+    texts = whole_texts() if templates is None else templates
     state: dict = {}
 
     def fn(b: pa.RecordBatch) -> dict:
         if "t" not in state:
             state["t"] = Templates(texts, least)
-        found = [[{"first_line": a, "end_line": e, "dice": d, "template": n} for a, e, d, n in state["t"].scan(t)] for t in b.column(text_col).to_pylist()]
+        found = [[{"first_line": a, "end_line": e, "dice": d, "template": n, "shared": k} for a, e, d, n, k in state["t"].matches(t)] for t in b.column(text_col).to_pylist()]
         return {c: b.column(c) for c in keep} | {name: found}
 
     return arrow_map(df, fn, T.StructType([*[df.schema[c] for c in keep], T.StructField(name, MATCH)]))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: how many segments match, the best match and the licences found."""
+    """Per document: how many segments match, the match with most shared bigrams and the licences found."""
     m = scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
-    order = F.expr("array_sort(_matches, (x, y) -> case when x.dice > y.dice then -1 when x.dice < y.dice then 1 when x.template < y.template then -1 when x.template > y.template then 1 else cast(sign(x.first_line - y.first_line) as int) end)")
+    order = F.expr("array_sort(_matches, (x, y) -> case when x.shared > y.shared then -1 when x.shared < y.shared then 1 when x.dice > y.dice then -1 when x.dice < y.dice then 1 when x.template < y.template then -1 when x.template > y.template then 1 else cast(sign(x.first_line - y.first_line) as int) end)")
     top = F.try_element_at(order, F.lit(1))
     names = F.array_sort(F.array_distinct(F.transform("_matches", lambda x: F.substring_index(x["template"], "/", 1))))
     return m.select("doc_id", F.size("_matches").cast("long").alias("n_matches"), top["template"].alias("template"), top["dice"].alias("dice"), F.array_join(names, ",").alias("licenses"))
