@@ -47,7 +47,7 @@ def test_reserved_rights_of_a_notice_and_alone():
     t = licenses.Templates(licenses.whole_texts())
     assert [m[3] for m in t.scan("a b c\nAll rights reserved.\nd e f")] == ["Proprietary/short"]
     assert {m[3].split("/")[0] for m in t.scan("Copyright 1999 someone.\nAll rights reserved.\n\n" + wrapped(licenses.TEMPLATES["BSD-2-Clause"], 10))} == {"BSD-2-Clause"}
-    far = licenses.TEMPLATES["MIT"] + "\n" + "some words\n" * 30 + "All rights reserved."
+    far = licenses.TEMPLATES["MIT"] + "\n" + "some words\n" * 300 + "All rights reserved."
     assert {m[3] for m in t.scan(far)} == {"MIT", "Proprietary/short"}
 
 
