@@ -1,11 +1,14 @@
 """Toxicity: a classifier regularised by counterfactuals.
 
 Features are which hashed words occur in a text (lower case, letters and
-digits). A logistic layer is trained on labelled documents; for every training
-document that names a group, copies with the identity term swapped for another
-of its kind, and for a neutral word, must score alike: the squared change of the logit is penalised, so
+digits). Identity terms are told by the word, not by its bucket: each has a
+bucket of its own that no other word shares, and so do the pairs of a term and
+its neighbour in the sentence, among the others' buckets. A logistic layer is
+trained on labelled documents; in every sentence of a training document that
+names a group the identity term is swapped for another of its kind, and for a
+neutral word, and the squared change of the sentence's logit is penalised, so
 that terms for groups carry no weight of their own and neutral mentions are
-left alone.
+left alone. Without such sentences nothing is penalised.
 
 Training rows: at most ``PER_CLASS`` labelled documents of each label, never
 held-out ones, whose distinct word buckets (not texts) reach the driver, and of
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillion.llm.common import arrow_map, columns, free
-from quillion.llm.features import blocks, code_points, run_hashes, runs
+from quillion.llm.features import blocks, code_points, mix, run_hashes, runs
 from quillion.llm.quality import decided, labelled_sample
 from quillion.session import read
 
@@ -51,25 +54,92 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"), ("muslime", "christen", "juden"), ("musulmans", "chrétiens", "juifs"), ("musulmanes", "cristianos", "judíos"),
 )
 
+#: Swaps of one training text that are learnt from at most.
+MOST_SWAPS = 256
+#: Characters that end a sentence.
+ENDERS = np.frombuffer(".!?\n".encode("utf-32-le"), np.uint32)
+
 _WORDS: dict[str, np.ndarray] = {}
 
 
 def _word_table() -> np.ndarray:
     """For each code point of the first plane (and one for all others), if it belongs to words."""
-    if not _WORDS:
+    if "in" not in _WORDS:
         _WORDS["in"] = np.fromiter((unicodedata.category(chr(c))[0] in "LNM" for c in range(1 << 16)), bool, 1 << 16)
     return _WORDS["in"]
 
 
-def word_buckets(parts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(part, bucket) of each word of each part."""
+def identity() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the identity terms, and the number of each."""
+    if "terms" not in _WORDS:
+        terms = [t for kind in IDENTITY_TERMS for t in kind]
+        x, starts = code_points(terms)
+        h = run_hashes(x, starts, starts + np.array([len(t) for t in terms]))
+        order = np.argsort(h)
+        _WORDS["terms"], _WORDS["numbers"] = h[order], order
+    return _WORDS["terms"], _WORDS["numbers"]
+
+
+def words(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, hash, sentence, number of the identity term or -1) of each word of each part."""
     x, starts = code_points([p.lower() for p in parts])
     inside = _word_table()[np.minimum(x, (1 << 16) - 1)]
     inside[0] = inside[-1] = False
     s, e = runs(inside)
     if not len(s):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.searchsorted(starts, s, "right") - 1, (run_hashes(x, s, e) >> np.uint64(64 - bits)).astype(np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    ends = np.isin(x, ENDERS)
+    ends[starts[1:] - 1] = True  # parts are sentences' ends, too
+    h, (terms, numbers) = run_hashes(x, s, e), identity()
+    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    return np.searchsorted(starts, s, "right") - 1, h, np.cumsum(ends)[s], np.where(terms[at] == h, numbers[at], -1)
+
+
+def bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of hashes, none of them an identity term's."""
+    kept = len(identity()[0])
+    return (kept + (h >> np.uint64(64 - bits)) % np.uint64((1 << bits) - kept)).astype(np.int64)
+
+
+def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of two words in a row."""
+    with np.errstate(over="ignore"):
+        return mix(first * np.uint64(3) + second)
+
+
+def word_buckets(parts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(part, bucket) of each word of each part: an identity term has one of its own, and each pair of it and its neighbour in the sentence another."""
+    owner, h, sentence, term = words(parts)
+    if not len(h):
+        return owner, owner
+    got = np.where(term >= 0, term, bucket(h, bits))
+    both = np.flatnonzero(((term[1:] >= 0) | (term[:-1] >= 0)) & (sentence[1:] == sentence[:-1]))
+    return np.concatenate([owner, owner[both]]), np.concatenate([got, bucket(pair(h[both], h[both + 1]), bits)])
+
+
+def sentence_swaps(text: str | None, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets that go, buckets that come) when the identity term of a sentence becomes the next of its kind, and when it becomes a neutral word.
+
+    One pair for each sentence, term and replacement; all that the term has in the sentence is replaced.
+    """
+    out = []
+    flat = [t for kind in IDENTITY_TERMS for t in kind]
+    terms, numbers = identity()
+    hash_of = {int(n): h for n, h in zip(numbers, terms, strict=True)}
+    for _, parts in blocks([text]):
+        _, h, sentence, term = words(parts)
+        places: dict[tuple[int, int], list[int]] = {}
+        for p in np.flatnonzero(term >= 0).tolist():
+            places.setdefault((int(sentence[p]), int(term[p])), []).append(p)
+        for (_, t), at in places.items():
+            near = [(p + d, d) for p in at for d in (-1, 1) if 0 <= p + d < len(h) and sentence[p + d] == sentence[p]]
+            with_ = lambda x, near=near, h=h: [pair(h[q : q + 1], np.array([x])) if d < 0 else pair(np.array([x]), h[q : q + 1]) for q, d in near]
+            pairs = lambda x, with_=with_: bucket(np.concatenate(w), bits) if (w := with_(x)) else np.empty(0, np.int64)
+            kind = next(k for k in IDENTITY_TERMS if flat[t] in k)
+            other = flat.index(kind[(kind.index(flat[t]) + 1) % len(kind)])
+            gone = np.unique(np.append(pairs(hash_of[t]), t))
+            out += [(gone, np.unique(np.append(pairs(hash_of[other]), other))), (gone, np.empty(0, np.int64))]
+    return out
 
 
 def present(texts: list[str | None], bits: int = BITS) -> list[np.ndarray]:
@@ -135,12 +205,18 @@ def screen(rows: list[np.ndarray], y: np.ndarray, kinds: list[tuple[int, ...]],
     return np.flatnonzero(some)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = STEPS, bits: int = BITS, kinds: list[tuple[int, ...]] | None = None) -> tuple[np.ndarray, float]:
-    """Weights by bucket, and the bias, by Adam on the weighted, penalised log loss."""
+def train(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = SWAP_WEIGHT, ridge: float = RIDGE, steps: int = STEPS, bits: int = BITS, kinds: list[tuple[int, ...]] | None = None, swapped: list[list[tuple[np.ndarray, np.ndarray]]] | None = None) -> tuple[np.ndarray, float]:
+    """Weights by bucket, and the bias, by Adam on the weighted, penalised log loss.
+
+    ``swapped`` has what the swaps in each row's sentences change; without it whole rows are swapped.
+    """
     kinds = swaps(bits) if kinds is None else kinds
     some = distinct(rows, y)
     rows, y = [rows[i] for i in some], y[some]
+    changes = None if swapped is None else [c for i in some for c in swapped[i]]
     use = screen(rows, y, kinds, bits)
+    if changes:  # pairs that hold a term take part as the terms do
+        use = np.union1d(use, np.concatenate([b for c in changes for b in c]))
     place = np.full(1 << bits, -1)
     place[use] = np.arange(len(use))
 
@@ -152,8 +228,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = SWAP_WEIGH
 
     n, k = len(rows), len(use)
     row, col = entries(rows)
-    other = counterfactuals(rows, kinds)
-    new, was = entries([r for _, r in other]), entries([rows[i] for i, _ in other])
+    other = [(rows[i], r) for i, r in counterfactuals(rows, kinds)] if changes is None else changes
+    new, was = entries([r for _, r in other]), entries([r for r, _ in other])
     crow, ccol = np.concatenate([new[0], was[0]]), np.concatenate([new[1], was[1]])
     csign = np.repeat([1.0, -1.0], [len(new[0]), len(was[0])])
     per_row = np.array([w / max(1, (y == c).sum()) for c, w in enumerate(LABEL_WEIGHTS)])[y]
@@ -175,21 +251,26 @@ def train(rows: list[np.ndarray], y: np.ndarray, swap_weight: float = SWAP_WEIGH
 
 
 def featurise(labelled: DataFrame, text_col: str = "text") -> DataFrame:
-    schema = T.StructType([labelled.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    """doc_id, label, the packed buckets of each text, and what the swaps in its sentences change."""
+    swap = T.ArrayType(T.StructType([T.StructField("gone", T.ArrayType(T.LongType())), T.StructField("come", T.ArrayType(T.LongType()))]))
+    schema = T.StructType([labelled.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("swaps", swap)])
 
     def fn(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column("doc_id"), "label": b.column("label"), "ids": [r.astype(np.uint32).tobytes() for r in present(b.column(text_col).to_pylist())]}
+        texts = b.column(text_col).to_pylist()
+        changes = [[{"gone": g.tolist(), "come": c.tolist()} for g, c in sentence_swaps(t)[:MOST_SWAPS]] for t in texts]
+        return {"doc_id": b.column("doc_id"), "label": b.column("label"), "ids": [r.astype(np.uint32).tobytes() for r in present(texts)], "swaps": changes}
 
     return arrow_map(labelled.select("doc_id", "label", text_col), fn, schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, text_col: str = "text") -> tuple[np.ndarray, float] | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, text_col: str = "text", swap_weight: float = SWAP_WEIGHT) -> tuple[np.ndarray, float] | None:
     sample, totals = labelled_sample(docs, labels, label, per_class, text_col)
     if len(totals) < 2:
         return None
-    got = sorted(((r["doc_id"], bytes(r["ids"]), r["label"]) for r in featurise(sample, text_col).toLocalIterator()), key=lambda r: r[:2])
+    got = sorted(((r["doc_id"], bytes(r["ids"]), r["label"], r["swaps"]) for r in featurise(sample, text_col).toLocalIterator()), key=lambda r: r[:2])
     y = np.array([r[2] for r in got], np.int64)
-    return train([np.frombuffer(r[1], np.uint32).astype(np.int64) for r in got], y) if len({*y.tolist()}) == 2 else None
+    changes = [[(np.array(c["gone"], np.int64), np.array(c["come"], np.int64)) for c in r[3]] for r in got]
+    return train([np.frombuffer(r[1], np.uint32).astype(np.int64) for r in got], y, swap_weight, swapped=changes) if len({*y.tolist()}) == 2 else None
 
 
 def score_texts(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:

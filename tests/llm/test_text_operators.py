@@ -445,3 +445,51 @@ def test_dropout_equals_a_plain_simulation(model):
         first = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8, key=b"11/4").digest(), "little")
         want = [x for n, c in enumerate(p.split(text), 1) for x in simulated(mixed(mixed((first + n * place_by) & mask)), c)]
         assert p.encode([text])[0].tolist() == want
+
+
+def test_toxicity_scores_equal_those_of_plain_loops():
+    """Words by a plain loop, each once a text; terms and their pairs have buckets of their own."""
+    texts = ["Those MUSLIMS, are nice. Women met men! old\ndeaf", "muslims muslims", "été naïve_word x2", "", None, "the women"]
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=1 << 12)
+    terms = [t for kind in toxicity.IDENTITY_TERMS for t in kind]
+    one = lambda w: int(toxicity.present([w], 12)[0][0])
+    hash_of = lambda w: toxicity.words([w])[1]
+
+    def features(text):
+        out = set()
+        for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+            w = re.findall(r"[^\W_]+", sentence)
+            out |= {one(x) for x in w}
+            out |= {int(toxicity.bucket(toxicity.pair(hash_of(a), hash_of(b)), 12)[0]) for a, b in zip(w, w[1:], strict=False) if a in terms or b in terms}
+        return out
+
+    want = [1 / (1 + np.exp(-(sum(table[f] for f in features(t)) - 0.5))) for t in texts]
+    assert np.allclose(toxicity.score_texts(texts, table, -0.5), want)
+    assert [sorted(features(t)) for t in texts] == [p.tolist() for p in toxicity.present(texts, 12)]
+    assert sorted(one(t) for t in terms) == list(range(len(terms))) and all(one(w) >= len(terms) for w in ("scum", "nice", "x2"))
+
+
+def test_swaps_stay_in_their_sentence():
+    got = toxicity.sentence_swaps("The women left. Old men, old men stay. None here.")
+    assert len(got) == 2 * 3  # women; old; men: each for another term and for a neutral word
+    gone, come = got[0]
+    assert len(gone) == 3 and len(come) == 3 and len(got[1][1]) == 0 and not set(gone) & set(come)
+    assert toxicity.sentence_swaps(None) == [] == toxicity.sentence_swaps("no group in here")
+
+
+def test_penalty_lowers_false_alarms_on_neutral_mentions():
+    """Groups are named mostly in toxic texts; neutral texts that name them are rejected without the penalty, and kept with it."""
+    rng = np.random.default_rng(9)
+    filler = lambda n: " ".join(rng.choice([f"w{k}" for k in range(300)], n))
+    groups = ["muslims", "christians", "jews", "women", "immigrants"]
+    toxic = [f"{filler(8)}. those {rng.choice(groups)} are {rng.choice(['scum', 'vermin', 'filth'])}. {filler(4)}" for _ in range(250)] + [f"{filler(9)} {rng.choice(groups)} {filler(3)}" for _ in range(150)]
+    clean = [f"{filler(10)}. {filler(5)}" for _ in range(390)] + [f"{filler(6)}. the {rng.choice(groups)} met at noon" for _ in range(10)]
+    rows, y = toxicity.present(toxic + clean), np.repeat([1, 0], 400)
+    changes = [toxicity.sentence_swaps(t) for t in toxic + clean]
+    plain, held = (toxicity.train(rows, y, w, swapped=changes) for w in (0.0, toxicity.SWAP_WEIGHT))
+    neutral = [f"{filler(9)}. the {g} of {filler(2)} sang" for g in groups for _ in range(20)]
+    bad = [f"{filler(9)}. all {g} are {w}" for g in groups for w in ("scum", "vermin", "filth")]
+    alarms = lambda m, t: int((toxicity.score_texts(t, *m) >= 0.5).sum())
+    assert alarms(plain, neutral) >= 20 and alarms(held, neutral) <= 0.2 * alarms(plain, neutral) and alarms(held, bad) >= 0.9 * len(bad)
+    assert alarms(held, [f"{filler(12)}" for _ in range(50)]) == 0
