@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillion.operators.order import values_at
+
 #: Cut-offs, outcomes and compared fields.
 CUTS = (5, 10, 20)
 OUTCOMES = ("correct", "correct-null", "missed", "wrong", "fabricated")
@@ -120,26 +122,6 @@ def latency(samples: DataFrame, by: list[str], item: str, ms: str) -> DataFrame:
     return best.groupBy(*by).agg(F.avg("_ms").alias("mean"), F.max("_ms").alias("max")).join(p, by).select(*by, "mean", ((F.col("low") + F.col("high")) / 2).alias("median"), "p95", "max")
 
 
-def values_at(rows: DataFrame, by: list[str], value: str, places: dict[str, Column], bins: int = 1024) -> DataFrame:
-    """Per group: the values at places (from 0, given by the group's size ``n``) of its sorted values, exactly.
-
-    Values are counted by bins of equal width first; only the bins that hold a
-    place are then looked into, value by value. So no task sorts a group: it sees
-    at most ``bins`` counts, or the distinct values of a bin.
-    """
-    v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    span = v.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.count("*").alias("n"))
-    wanted = span.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), c.cast("long").alias("at")) for name, c in places.items()])).alias("w")).select(*by, "w.*")
-    place = F.when(F.col("_z") > F.col("_a"), F.least(F.floor((F.col("_v") - F.col("_a")) / (F.col("_z") - F.col("_a")) * bins), F.lit(bins - 1))).otherwise(0)
-    counted = v.groupBy(*by, "_v").agg(F.count("*").alias("_c")).join(span, by).select(*by, "_v", "_c", place.alias("_bin"))
-    before = lambda keys, order: F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    binned = counted.groupBy(*by, "_bin").agg(F.sum("_c").alias("_c")).withColumn("_first", before(by, "_bin"))
-    some = binned.join(wanted, by).where((F.col("at") >= F.col("_first")) & (F.col("at") < F.col("_first") + F.col("_c")))
-    inner = counted.join(some.select(*by, "_bin", "_first").distinct(), [*by, "_bin"]).withColumn("_first", F.col("_first") + before([*by, "_bin"], "_v"))
-    hit = inner.join(wanted, by).where((F.col("at") >= F.col("_first")) & (F.col("at") < F.col("_first") + F.col("_c")))
-    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in places])
-
-
 def retrieval_report(metrics: DataFrame) -> str:
     """Both systems of each question, and their means, as text: a report's few rows are collected."""
     cols = [*[f"recall_{k}" for k in CUTS], "mrr"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillion.functions import text
 from quillion.operators import query
+from quillion.operators.order import positions
 from quillion.session import spread
 
 #: Weights, and mentions that earn an abstract full credit.
@@ -43,10 +44,20 @@ def scored(papers: DataFrame, questions: DataFrame) -> DataFrame:
     return p.withColumn("rank_score", F.coalesce(score(F.col("_terms"), F.col("_title"), F.col("_abstract")), F.lit(0.0))).drop("_terms", "_title", "_abstract")
 
 
-def ranked(scored_papers: DataFrame, by: str = "qid", most: int | None = None) -> DataFrame:
-    """Adds rank, from 1 within ``by``: score, then an abstract, then the newer date, then id."""
+def order(papers_id: str = "id") -> list[tuple[Column, bool]]:
+    """What orders papers: (column, whether descending): score, an abstract, the newer date, id."""
     date = date_key(F.col("publication_date"))
     has = F.coalesce(F.col("abstract") != "", F.lit(False))
-    w = Window.partitionBy(by).orderBy(F.desc("rank_score"), has.desc(), date["y"].desc(), date["m"].desc(), date["d"].desc(), "id")
+    return [(F.col("rank_score"), True), (has, True), (date["y"], True), (date["m"], True), (date["d"], True), (F.col(papers_id), False)]
+
+
+def ranked_large(scored_papers: DataFrame, by: str = "qid", only: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """As ``ranked``, for groups too large for a task; and the folder that the frame reads."""
+    return positions(scored_papers, [by], order(), "rank", only)
+
+
+def ranked(scored_papers: DataFrame, by: str = "qid", most: int | None = None) -> DataFrame:
+    """Adds rank, from 1 within ``by``: score, then an abstract, then the newer date, then id."""
+    w = Window.partitionBy(by).orderBy(*[c.desc() if down else c.asc() for c, down in order()])
     out = scored_papers.withColumn("rank", F.row_number().over(w))
     return out if most is None else out.where(F.col("rank") <= most)

@@ -14,6 +14,7 @@ from quillion import sample_papers
 from quillion.config import Settings
 from quillion.functions import text
 from quillion.operators import control, dedup, evaluate, evidence, index, query, ranking, rules
+from quillion.operators.order import positions
 from quillion.plans.research import research
 from quillion.session import cut, delete, shared_path, ship
 from quillion.session import read as table
@@ -124,8 +125,10 @@ def merged_provider_ranks(spark, sf_dir):
 
 
 def provider_positions(spark, sf_dir):
-    p = papers(spark, sf_dir).withColumn("pos", F.col("ord"))
-    return with_positions(p).select(F.col("ord").alias("doc_id"), "source", F.col("pos").cast("long").alias("position"))
+    p, path = positions(papers(spark, sf_dir).select("ord", "qid", "source"), ["qid", "source"], [F.col("ord")])
+    out, _ = cut(p.select(F.col("ord").alias("doc_id"), "source", "position"), "provider-positions")
+    delete(spark, path)
+    return out
 
 
 def per_source_limit(spark, sf_dir):
@@ -172,17 +175,33 @@ def _rankings(spark, sf_dir):
     return r.unionByName(b)
 
 
+def _judged(spark, sf_dir):
+    return papers(spark, sf_dir).select("ord", "qid", F.col("id").alias("paper_id")).join(read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
+
+
 def _judgments(spark, sf_dir):
-    p = papers(spark, sf_dir).select("ord", "qid", F.col("id").alias("paper_id"))
-    return p.join(read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("ord")), "ord", "left_semi").select("qid", "paper_id")
+    return _judged(spark, sf_dir).select("qid", "paper_id")
+
+
+def _metrics(spark, sf_dir):
+    """Both systems' metrics: a language's papers are ranked by ranges, and only the judged ones are looked at."""
+    only = _judged(spark, sf_dir).select("ord")
+    p = papers(spark, sf_dir).select("ord", "qid", "id", "title", "abstract", "publication_date", "source_ids")
+    r, one = ranking.ranked_large(ranking.scored(p, query.process(questions(spark))), only=only)
+    b, two = positions(p, ["qid"], [F.col("ord")], "rank", only)
+    both = r.select("qid", F.lit("ranked").alias("system"), "rank", "source_ids").unionByName(b.select("qid", F.lit("baseline").alias("system"), "rank", "source_ids"))
+    out, _ = cut(evaluate.retrieval_metrics(both, _judgments(spark, sf_dir)), "metrics")
+    for path in (one, two):
+        delete(spark, path)
+    return out
 
 
 def recall_mrr(spark, sf_dir):
-    return evaluate.retrieval_metrics(_rankings(spark, sf_dir), _judgments(spark, sf_dir)).select("qid", "system", *[F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "recall_20", "mrr")])
+    return _metrics(spark, sf_dir).select("qid", "system", *[F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "recall_20", "mrr")])
 
 
 def recall_macro(spark, sf_dir):
-    return evaluate.macro_means(evaluate.retrieval_metrics(_rankings(spark, sf_dir), _judgments(spark, sf_dir))).select("system", *[F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "recall_20", "mrr")])
+    return evaluate.macro_means(_metrics(spark, sf_dir)).select("system", *[F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "recall_20", "mrr")])
 
 
 def unretrieved(spark, sf_dir):
