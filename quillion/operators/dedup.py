@@ -54,23 +54,32 @@ def leaders(records: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def merged(papers: DataFrame, lead: DataFrame) -> DataFrame:
-    """One paper per leader, in the order of first appearance; a single record stays as it is."""
+    """One paper per leader, in the order of first appearance; a single record stays as it is.
+
+    Everything is combined in the tasks that read the records before it is
+    shuffled: fields by the smallest or largest, identifiers once each with
+    their first place, positions once for each source. So a group of any size
+    comes to one task as a row a task, and its own distinct identifiers.
+    """
     p = papers.join(lead, "ord")
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     first = lambda c: F.min_by(F.col(c), F.when(filled(c).isNotNull(), F.col("ord")))
     longest = lambda c: F.max_by(F.col(c), F.when(filled(c).isNotNull(), F.struct(F.length(c), -F.col("ord"))))
-    members = F.sort_array(F.collect_list(F.struct("ord", "source_ids")))
-    ranks = F.flatten(F.collect_list(F.map_entries(F.coalesce("provider_ranks", F.create_map().cast("map<string,int>")))))
-    least = F.expr("map_from_entries(transform(array_sort(array_distinct(transform(_ranks, r -> r.key))), k -> struct(k, array_min(transform(filter(_ranks, r -> r.key = k), r -> r.value)))))")
     base = {c: F.min_by(F.col(c), "ord").alias(f"_b_{c}") for c in papers.columns if c != "ord"}
     g = p.groupBy("leader").agg(
         F.count("*").alias("_n"), *base.values(),
-        F.array_distinct(F.flatten(F.transform(members, lambda x: x["source_ids"]))).alias("_source_ids"),
         F.max_by("authors", F.struct(F.size("authors"), -F.col("ord"))).alias("_authors"),
         longest("abstract").alias("_abstract"), longest("publication_date").alias("_publication_date"),
-        first("journal").alias("_journal"), first("doi").alias("_doi"), first("url").alias("_url"), ranks.alias("_ranks"),
+        first("journal").alias("_journal"), first("doi").alias("_doi"), first("url").alias("_url"),
     )
-    g = g.withColumn("_provider_ranks", least).withColumn("_rank_score", F.lit(None).cast("double"))
+    # records that share their leader with another
+    several = lead.groupBy("leader").agg(F.count("*").alias("_n")).where("_n > 1").select("leader")
+    q = papers.select("ord", "source_ids", "provider_ranks").join(lead.join(several, "leader", "left_semi"), "ord")
+    ids = q.select("leader", "ord", F.posexplode("source_ids").alias("_at", "_id")).groupBy("leader", "_id").agg(F.min(F.struct("ord", "_at")).alias("_place"))
+    ids = ids.groupBy("leader").agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_id"))), lambda x: x["_id"]).alias("_source_ids"))
+    ranks = q.select("leader", F.explode("provider_ranks").alias("_source", "_rank")).groupBy("leader", "_source").agg(F.min("_rank").alias("_rank"))
+    ranks = ranks.groupBy("leader").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_source", "_rank")))).alias("_provider_ranks"))
+    g = g.join(ids, "leader", "left").join(ranks, "leader", "left").withColumns({"_rank_score": F.lit(None).cast("double"), "_source_ids": F.coalesce("_source_ids", F.array().cast("array<string>")), "_provider_ranks": F.coalesce("_provider_ranks", F.create_map().cast("map<string,int>"))})
     many = F.col("_n") > 1
     cols = [F.when(many, F.col(f"_{c}")).otherwise(F.col(f"_b_{c}")).alias(c) if f"_{c}" in g.columns else F.col(f"_b_{c}").alias(c) for c in papers.columns if c != "ord"]
     return g.select(F.col("leader").alias("ord"), *cols)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillion import sample_papers
 from quillion.config import Settings
 from quillion.functions import text
-from quillion.operators import control, dedup, evaluate, evidence, index, query, ranking, rules
+from quillion.operators import control, dedup, evaluate, evidence, identity, index, query, ranking, rules
 from quillion.operators.order import positions
 from quillion.plans.research import research
 from quillion.session import cut, delete, shared_path, ship
@@ -362,20 +362,36 @@ def research_counts(spark, sf_dir):
     return _research(spark, sf_dir).counts
 
 
-def dedup_chains(spark, sf_dir):
-    """Chains of ten records: each shares a DOI with one neighbour and a PubMed id with the other."""
+def _chains(spark, sf_dir):
+    """(ord, key): chains of ten records, each with a DOI that one neighbour has and a PubMed id that the other has."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"))
     pmid = F.when(F.pmod(F.col("ord"), F.lit(10)).between(1, 8), F.concat(F.lit("pubmed:"), F.floor((F.col("ord") + 1) / 2).cast("string")))
     p = d.select("ord", F.concat(F.lit("DOI: 10.1/X"), F.floor(F.col("ord") / 2).cast("string")).alias("doi"), F.array_compact(F.array(pmid)).alias("source_ids"), F.lit("one title").alias("title"))
-    keys = p.select("ord", F.explode(dedup.identity_keys(F.col("doi"), F.col("source_ids"), F.col("title"))).alias("key"))
-    return dedup.leaders(p, keys).select(F.col("ord").alias("doc_id"), "leader")
+    return p.select("ord", F.explode(dedup.identity_keys(F.col("doi"), F.col("source_ids"), F.col("title"))).alias("key"))
+
+
+def dedup_chains(spark, sf_dir):
+    """Chains of ten records are one component each."""
+    keys = _chains(spark, sf_dir)
+    return dedup.leaders(keys.select("ord").distinct(), keys).select(F.col("ord").alias("doc_id"), "leader")
+
+
+def dedup_incremental(spark, sf_dir):
+    """The components of dedup_chains, from records that arrive in three batches."""
+    keys, store = _chains(spark, sf_dir), identity.Identity()
+    for k in range(3):
+        batch = keys.where(F.pmod("ord", F.lit(3)) == k)
+        store, _ = identity.extend(store, batch.select("ord"), batch)
+    out, _ = cut(store.labels(spark).select(F.col("ord").alias("doc_id"), "leader"), "identity")
+    store.release(spark)
+    return out
 
 
 QUERIES = {f.__name__: f for f in (
     query_terms, lexical_score, topk_ranked, index_topk, index_questions, date_key_sort, title_keys, unmerged_titles, dedup_components, merged_papers, merged_provider_ranks, provider_positions, per_source_limit,
     strip_tags, abstract_status, sentence_offsets, statistics_in, sentence_cues, evidence_full,
     recall_mrr, recall_macro, unretrieved, judge_outcomes, latency_percentile, semi_relevant, anti_gold, left_evidence, rate_limit_schedule, provider_status, all_failed, retry_decisions,
-    request_rates, crossref_parse, pubmed_parse, recorded_articles, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains,
+    request_rates, crossref_parse, pubmed_parse, recorded_articles, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains, dedup_incremental,
 )} | sample_papers.QUERIES
 
 # SQL
@@ -463,6 +479,7 @@ UNION ALL SELECT CAST(n AS VARCHAR), 0, NULL, NULL, error FROM e WHERE error IS
     "research_ranked": f"WITH {_RESEARCH} SELECT lang AS qid, rank, id, score FROM r",
     "research_replies": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang) SELECT r.lang AS qid, CAST(200 AS BIGINT) AS code, rank, id, score, 'effect thereing erly ntion anea ering' AS queries_used, raw_count, CASE WHEN abstract IS NULL THEN 'missing' WHEN regexp_full_match(abstract, '\\s*') THEN 'empty' ELSE 'present' END AS abstract_status FROM r JOIN n ON n.lang = r.lang",
     "research_counts": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang), u AS (SELECT lang, count(*) AS unique_count FROM g GROUP BY lang) SELECT n.lang AS qid, raw_count, unique_count, raw_count - unique_count AS removed FROM n JOIN u ON u.lang = n.lang",
+    "dedup_incremental": "SELECT doc_id, min(doc_id) OVER (PARTITION BY CAST(floor(doc_id / 10) AS BIGINT)) AS leader FROM documents",
     "dedup_chains": "SELECT doc_id, min(doc_id) OVER (PARTITION BY CAST(floor(doc_id / 10) AS BIGINT)) AS leader FROM documents",
     "query_terms": f"""
 WITH {_ASKED}

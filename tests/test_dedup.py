@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillion.operators import dedup
+from quillion.operators import dedup, identity
 from quillion.schemas import PAPER
 
 
@@ -69,3 +69,52 @@ def test_empty_and_same_titles(spark):
     assert dedup.deduplicate(frame(spark, [])).count() == 0
     df = frame(spark, [paper(1, title="A b"), paper(2, title="a  B!"), paper(3, title="a b"), paper(4, title="c")])
     assert dedup.unmerged_same_titles(df).collect()[0]["pairs"] == 2
+
+
+def test_batches_in_any_split_equal_one_run(spark):
+    """Random graphs in batches: the store's labels are those of one run; listed changes lead from old labels to new ones."""
+    rng = random.Random(11)
+    edges = [(k, f"k{rng.randint(0, 60)}") for k in range(70) for _ in range(rng.randint(0, 2))]
+    every = spark.createDataFrame([(k,) for k in range(70)], "ord long")
+    whole = {r["ord"]: r["leader"] for r in dedup.leaders(every, spark.createDataFrame(edges, "ord long, key string")).collect()}
+    for order in (list(range(70)), rng.sample(range(70), 70)):
+        store, seen = identity.Identity(), {}
+        for part in (order[:30], order[30:32], order[32:]):
+            batch = spark.createDataFrame([(k,) for k in part], "ord long")
+            mine = spark.createDataFrame([e for e in edges if e[0] in part], "ord long, key string")
+            store, changed = identity.extend(store, batch, mine)
+            moves = {r["old"]: r["new"] for r in changed.collect()}
+            now = {r["ord"]: r["leader"] for r in identity.Identity.from_json(store.to_json()).labels(spark).collect()}
+            assert all(now[o] == moves.get(was, was) for o, was in seen.items())
+            seen = now
+        assert seen == whole
+        store.release(spark)
+
+
+def test_an_arrival_touches_only_its_component(spark):
+    a = spark.createDataFrame([(k, f"k{k // 2}") for k in range(100)], "ord long, key string")
+    store, changed = identity.extend(identity.Identity(), a.select("ord"), a)
+    assert changed.count() == 0
+    b = spark.createDataFrame([(200, "k3"), (200, "k7"), (201, "new")], "ord long, key string")
+    more, changed = identity.extend(store, b.select("ord"), b)
+    assert [tuple(r) for r in changed.collect()] == [(14, 6)]
+    assert spark.read.parquet(more.hubs[1]).collect()[0]["key"] == "new" and spark.read.parquet(more.records[1]).count() == 2
+    again, changed = identity.extend(more, b.select("ord").limit(0), b.limit(0))
+    assert changed.count() == 0 and again.labels(spark).count() == 102
+
+
+def test_one_large_component_merges_from_partial_rows(spark):
+    """20,000 records of one DOI: no task gathers them; ids in order of first appearance, ranks by source, as for two."""
+    n = 20_000
+    rows = [(k, "q", f"s:{k % 7}", f"t{k}", ["a"] * (k % 3), "x" * (k % 50), f"j{k}" if k % 2 else None, "2020", "10.1/x", "pubmed" if k % 2 else "crossref", "1", None, [f"crossref:{k % 7}", f"pubmed:{k % 5}"], {"pubmed" if k % 2 else "crossref": 1 + (k * 31) % 977}, None) for k in range(n)]
+    p = spark.createDataFrame(rows, PAPER)
+    got = dedup.deduplicate(p).collect()
+    assert len(got) == 1
+    seen = list(dict.fromkeys(s for r in rows for s in r[12]))
+    ranks = {}
+    for r in rows:
+        for s, v in r[13].items():
+            ranks[s] = min(v, ranks.get(s, v))
+    assert got[0]["source_ids"] == seen and got[0]["provider_ranks"] == ranks and got[0]["ord"] == 0 and len(got[0]["abstract"]) == 49 and got[0]["journal"] == "j1"
+    plan = dedup.merged(p, p.select("ord", F.lit(0).cast("long").alias("leader")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 2  # distinct ids and sources only
