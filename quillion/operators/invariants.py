@@ -58,6 +58,12 @@ def violations(evidence: DataFrame) -> DataFrame:
     return evidence.select("paper_id", F.explode(found).alias("problem"))
 
 
+def filed(evidence: DataFrame, papers: DataFrame) -> DataFrame:
+    """Evidence (qid, paper_id) that belongs to a paper of its question, once for each; what an extractor says of others is left out."""
+    own = papers.select("qid", F.col("id").alias("paper_id")).distinct()
+    return evidence.join(own, ["qid", "paper_id"], "left_semi").dropDuplicates(["qid", "paper_id"])
+
+
 def availability(evidence: DataFrame) -> DataFrame:
     """Per paper: the names of available and unavailable fields."""
     of = lambda want: F.array_compact(F.array(*[F.when((F.col(f"{f}.status") == "unavailable") == F.lit(not want), F.lit(f)) for f in FIELDS]))

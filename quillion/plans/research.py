@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillion.config import Settings
-from quillion.operators import control, dedup, evidence, query, ranking
+from quillion.operators import control, dedup, evidence, invariants, query, ranking
 from quillion.plans import fanout
 from quillion.schemas import PAPER
 from quillion.session import cut, delete, ship
@@ -62,7 +63,7 @@ def outcome(o: fanout.Outcome, questions: DataFrame, budget: float | None) -> Da
     return rows.select("qid", "provider", "failure", "seconds", "budget", F.coalesce("paper_count", F.lit(0)).alias("paper_count"))
 
 
-def research(questions: DataFrame, sources: list[Source], with_evidence: bool = True, settings: Settings | None = None) -> Results:
+def research(questions: DataFrame, sources: list[Source], with_evidence: bool = True, settings: Settings | None = None, extractor: Callable[[DataFrame, list[str]], DataFrame] = evidence.extract) -> Results:
     """Answers for all ``questions`` (qid, question) at once.
 
     Sources answer at the same time, with ``settings`` each within their
@@ -70,7 +71,8 @@ def research(questions: DataFrame, sources: list[Source], with_evidence: bool =
     budget is stopped. One that fails or is stopped leaves the others' records
     alone. Records are united in the order of the sources, merged by identity,
     ranked, and their evidence extracted after merging, when there are fewest.
-    Without sources there are no papers.
+    Without sources there are no papers. Another ``extractor`` may take the place
+    of the rules; what it says of papers that it wasn't asked about is left out.
     """
     spark = questions.sparkSession
     ship(spark)
@@ -96,7 +98,9 @@ def research(questions: DataFrame, sources: list[Source], with_evidence: bool =
     papers = ranking.ranked(ranking.scored(dedup.deduplicate(raw), valid))
     papers, path = cut(papers, "papers")
     paths.append(path)
-    found = evidence.extract(papers, ["qid"]) if with_evidence else None
+    found = extractor(papers, ["qid"]) if with_evidence else None
+    if with_evidence and extractor is not evidence.extract:
+        found = invariants.filed(found, papers)
     n = lambda df, c: df.groupBy("qid").agg(F.count("*").alias(c))
     counts = valid.select("qid").join(n(raw, "raw_count"), "qid", "left").join(n(papers, "unique_count"), "qid", "left")
     counts = counts.select("qid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw_count", "unique_count")]).withColumn("removed", F.col("raw_count") - F.col("unique_count"))

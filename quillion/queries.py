@@ -280,13 +280,29 @@ def crossref_parse(spark, sf_dir):
     return r.select("id", "title", F.array_join("authors", ";").alias("authors"), "abstract", "publication_date", "url")
 
 
-def _article_replies(spark, sf_dir):
-    """documents as replies of the biomedical index: one reply for each 20 documents."""
+def _articles(spark, sf_dir):
+    """(ord, xml): documents as articles of the biomedical index."""
     p = papers(spark, sf_dir)
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     clean = lambda c: esc(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", " "))
     x = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("ord").cast("string"), F.lit("</PMID><Article><Journal><JournalIssue><PubDate><Year>2024</Year><Month>Mar</Month></PubDate></JournalIssue></Journal><ArticleTitle>"), clean(F.col("title")), F.lit("</ArticleTitle><Abstract><AbstractText Label=\"METHODS\">"), clean(F.col("abstract")), F.lit("</AbstractText></Abstract><AuthorList><Author><LastName>"), clean(F.col("journal")), F.lit("</LastName><Initials>A</Initials></Author></AuthorList></Article></MedlineCitation></PubmedArticle>"))
-    return p.groupBy(F.floor(F.col("ord") / 20).cast("string").alias("qid")).agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list(x), ""), F.lit("</PubmedArticleSet>")).alias("payload"))
+    return p.select("ord", x.alias("xml"))
+
+
+def _article_replies(spark, sf_dir):
+    """Replies of the biomedical index: one for each 20 documents."""
+    a = _articles(spark, sf_dir).groupBy(F.floor(F.col("ord") / 20).cast("string").alias("qid"))
+    return a.agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list("xml"), ""), F.lit("</PubmedArticleSet>")).alias("payload"))
+
+
+def pubmed_files(spark, sf_dir):
+    """The rows of pubmed_parse, from files of articles that are read in splits."""
+    path = shared_path(spark, "articles")
+    _articles(spark, sf_dir).select("xml").write.text(path)
+    r = pubmed.read_files(spark, path).where("error is null").select("id", "title", F.array_join("authors", ";").alias("authors"), "abstract", "publication_date", "url")
+    out, _ = cut(r, "articles-read")
+    delete(spark, path)
+    return out
 
 
 def pubmed_parse(spark, sf_dir):
@@ -391,7 +407,7 @@ QUERIES = {f.__name__: f for f in (
     query_terms, lexical_score, topk_ranked, index_topk, index_questions, date_key_sort, title_keys, unmerged_titles, dedup_components, merged_papers, merged_provider_ranks, provider_positions, per_source_limit,
     strip_tags, abstract_status, sentence_offsets, statistics_in, sentence_cues, evidence_full,
     recall_mrr, recall_macro, unretrieved, judge_outcomes, latency_percentile, semi_relevant, anti_gold, left_evidence, rate_limit_schedule, provider_status, all_failed, retry_decisions,
-    request_rates, crossref_parse, pubmed_parse, recorded_articles, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains, dedup_incremental,
+    request_rates, crossref_parse, pubmed_parse, pubmed_files, recorded_articles, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains, dedup_incremental,
 )} | sample_papers.QUERIES
 
 # SQL
@@ -468,6 +484,9 @@ b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</?(?:p|br|jats:[a-z-]+)
 SELECT page_id, nullif(regexp_replace(t, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$', '', 'g'), '') AS plain FROM b""",
     "pubmed_parse": f"""
 WITH {_PAPERS}, c AS (SELECT *, {_flat('title')} AS t, {_flat('abstract')} AS a, {_flat('journal')} AS j FROM papers)
+SELECT 'pubmed:' || doc_id AS id, t AS title, CASE WHEN j = '' THEN '' ELSE 'A ' || j END AS authors, CASE WHEN a <> '' THEN 'METHODS: ' || a END AS abstract, '2024-03' AS publication_date, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url FROM c WHERE t <> ''""",
+    "pubmed_files": f"""
+WITH {_PAPERS}, c AS (SELECT *, {_flat('title')} AS t, {_flat('abstract')} AS a, {_flat('journal')} AS j FROM papers)
 SELECT 'pubmed:' || doc_id AS id, t AS title, CASE WHEN j = '' THEN '' ELSE 'A ' || j END AS authors, CASE WHEN a <> '' THEN 'METHODS: ' || a END AS abstract, '2024-03' AS publication_date, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url FROM c WHERE t <> ''""",
     "recorded_articles": f"""
 WITH {_PAPERS}, c AS (SELECT doc_id, doc_id // 20 AS n, {_flat('title')} AS t, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id DESC) AS place FROM papers),

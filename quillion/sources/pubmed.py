@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -141,6 +141,29 @@ def parse(replies: DataFrame, payload: str = "payload") -> DataFrame:
     return parsed(replies, payload).where("error is null").drop("error")
 
 
+#: What ends a record in a file, and what begins one.
+RECORD_END, RECORD_START = "</PubmedArticle>", r"(?s)^.*(<PubmedArticle[\s>])"
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Articles of XML files of any size: file, block, at, error and the fields of a paper; (block, at) is the order in a file.
+
+    Files (UTF-8) are split at the ends of records, so one file is many tasks,
+    and each record is parsed by itself. One that is broken or cut off is a row
+    with an error; a file that declares entities, wherever that stands, is one
+    row with an error and no records. What lies between records is skipped.
+    """
+    lines = spark.read.option("lineSep", RECORD_END).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    start = F.length(F.regexp_extract("value", RECORD_START, 0)) - F.length(F.regexp_extract("value", RECORD_START, 1))
+    declares = F.contains("value", F.lit("<!ENTITY"))
+    bad = lines.where(declares).select("file").distinct()
+    # the last start before an end: text in front of it belongs to no record
+    records = lines.where(F.col("value").rlike(RECORD_START)).join(bad, "file", "left_anti").select("file", "block", "at", F.concat(F.lit("<PubmedArticleSet>"), F.substring("value", start + 1, F.length("value")), F.lit(RECORD_END + "</PubmedArticleSet>")).alias("payload"))
+    got = parsed(records.select(F.struct("file", "block", "at").alias("qid"), "payload"))
+    out = got.select("qid.file", "qid.block", "qid.at", *[c for c in got.columns if c not in ("qid", "pos")])
+    return out.unionByName(bad.select("file", F.lit("the document declares entities").alias("error")), allowMissingColumns=True)
+
+
 def id_lists(replies: DataFrame, payload: str = "payload") -> DataFrame:
     """(qid, pos, pmid, error) of search replies; a reply that isn't a list of ids gives one row with an error."""
     v = F.try_parse_json(F.col(payload))

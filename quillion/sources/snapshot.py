@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillion.schemas import PAPER
 from quillion.sources.base import Source, SourceError
 
 
-def write(papers: DataFrame, path: str, format: str = "parquet") -> None:
-    """Papers (qid, source, ...) in a folder for each question and source."""
-    papers.write.mode("overwrite").partitionBy("qid", "source").format(format).save(path)
+#: Folders of a snapshot, and files of each: as many whatever the questions.
+BUCKETS, FILES = 32, 4
 
 
-def load(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Papers of a snapshot; filters on qid and source prune its folders."""
-    schema = spark.createDataFrame([], PAPER).schema
-    return spark.read.schema(schema).format(format).load(path).select(*[f.name for f in PAPER])
+def bucket(qid: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(qid), F.lit(buckets)).cast("int")
+
+
+def write(papers: DataFrame, path: str, format: str = "parquet", buckets: int = BUCKETS) -> None:
+    """Papers (qid, source, ...) in folders by the hash of their question, sorted by question and source.
+
+    Parquet files have bloom filters on qid, so that a question's read skips
+    what its bucket holds of others. A question of any size is spread over its
+    bucket's files.
+    """
+    p = papers.withColumn("bucket", bucket("qid", buckets))
+    p = p.repartition(buckets * FILES, "bucket", F.pmod(F.xxhash64("ord"), F.lit(FILES))).sortWithinPartitions("bucket", "qid", "source", "ord")
+    p.write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#qid", "true").format(format).save(path)
+
+
+def load(spark: SparkSession, path: str, format: str = "parquet", qids: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Papers of a snapshot: all, or those of a few questions, whose buckets alone are listed and read."""
+    schema = spark.createDataFrame([], PAPER).schema.add("bucket", T.IntegerType())
+    p = spark.read.schema(schema).format(format).load(path)
+    if qids is not None:
+        p = p.where(F.col("qid").isin(qids) & F.col("bucket").isin([r[0] for r in spark.createDataFrame([(q,) for q in qids], "qid string").select(bucket("qid", buckets)).distinct().collect()]))
+    return p.select(*[f.name for f in PAPER])
 
 
 def last_wins(papers: DataFrame, order: tuple[str, ...] = ("qid", "ord")) -> DataFrame:
@@ -29,12 +48,15 @@ def last_wins(papers: DataFrame, order: tuple[str, ...] = ("qid", "ord")) -> Dat
 class Snapshot(Source):
     """One source's records in a snapshot."""
 
-    def __init__(self, spark: SparkSession, path: str, name: str, format: str = "parquet"):
-        self.spark, self.path, self.name, self.format = spark, path, name, format
+    def __init__(self, spark: SparkSession, path: str, name: str, format: str = "parquet", buckets: int = BUCKETS):
+        self.spark, self.path, self.name, self.format, self.buckets = spark, path, name, format, buckets
 
     def search(self, questions: DataFrame) -> DataFrame:
-        p = load(self.spark, self.path, self.format).where(F.col("source") == self.name)
-        return p.join(questions.select("qid"), "qid", "left_semi").withColumn("pos", F.col("ord"))
+        """The questions' records; joined by bucket as well, so that the folders of no question are pruned when the join runs."""
+        schema = self.spark.createDataFrame([], PAPER).schema.add("bucket", T.IntegerType())
+        p = self.spark.read.schema(schema).format(self.format).load(self.path).where(F.col("source") == self.name)
+        q = questions.select("qid", bucket("qid", self.buckets).alias("bucket")).distinct()
+        return p.join(q, ["bucket", "qid"], "left_semi").select(*[f.name for f in PAPER]).withColumn("pos", F.col("ord"))
 
 
 def envelopes(questions: DataFrame, papers: DataFrame, evidence: DataFrame, statuses: DataFrame, codes: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 import json
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillion.config import Settings
+from quillion.operators import evidence
 from quillion.plans.fanout import at_once
 from quillion.plans.research import research
+from quillion.schemas import PAPER
 from quillion.sources import crossref, pubmed, snapshot
 from quillion.sources.base import Source, united
 
@@ -259,3 +262,62 @@ def test_one_pass_gives_records_and_unreadable_replies(spark):
     rows = sorted((r["qid"], r["source_id"], r["pos"], r["error"]) for r in pm.answers(q).collect())
     assert rows == [("a", "2", 1, None), ("b", None, None, "unreadable article response")]
     assert pm.answers(q)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_snapshot_of_many_questions_is_few_files(spark, tmp_path):
+    """2,000 questions and one of a third of all rows: files by hash, a question's read prunes to its bucket, equal rows come back."""
+    path = str(tmp_path / "s")
+    ids = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), (F.col("id") % 2000).cast("string"))).alias("qid"), F.col("id").alias("ord"), F.when(F.col("id") % 2 == 0, "pubmed").otherwise("crossref").alias("source"))
+    empty = spark.createDataFrame([], PAPER)
+    p = ids.select(*[F.col(f.name) if f.name in ids.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PAPER])
+    snapshot.write(p, path, buckets=16)
+    files = [f for f in (tmp_path / "s").rglob("*.parquet")]
+    assert len(files) <= 16 * snapshot.FILES and max(f.stat().st_size for f in files) < 0.2 * sum(f.stat().st_size for f in files)
+    whole = snapshot.load(spark, path, buckets=16)
+    assert sorted((r["ord"], r["qid"], r["source"]) for r in whole.collect()) == sorted((r["ord"], r["qid"], r["source"]) for r in p.collect())
+    one = snapshot.load(spark, path, qids=["q7"], buckets=16)
+    assert sorted(r["ord"] for r in one.collect()) == [k for k in range(6000) if k % 3 and k % 2000 == 7]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", plan) and re.search(r"PushedFilters: \[[^]]*qid", plan)
+    q = spark.createDataFrame([("q7",), ("hot",), ("none",)], "qid string")
+    got = snapshot.Snapshot(spark, path, "pubmed", buckets=16).search(q)
+    assert sorted(r["ord"] for r in got.collect()) == [k for k in range(0, 6000, 2) if k % 3 == 0 or k % 2000 == 7]
+    snapshot.write(empty, str(tmp_path / "e"))
+    assert snapshot.load(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_large_files_of_articles_are_read_in_splits(spark, tmp_path):
+    """One file over many tasks gives the rows of parsing it whole; broken articles cost no other, files with entities are refused."""
+    many = [article(str(k), f"Title {k} &lt;b&gt; é" + "x" * (k % 90)) for k in range(800)]
+    (tmp_path / "big.xml").write_text('<?xml version="1.0"?>\n<!DOCTYPE PubmedArticleSet PUBLIC "-//NLM" "x.dtd">\n<PubmedArticleSet>\n' + "\n".join(many) + "\n<PubmedBookArticle><a/></PubmedBookArticle></PubmedArticleSet>")
+    size = (tmp_path / "big.xml").stat().st_size
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 9))
+    try:
+        got = pubmed.read_files(spark, (tmp_path / "big.xml").as_uri())
+        assert got.rdd.getNumPartitions() >= 9
+        rows = sorted(got.collect(), key=lambda r: (r["block"], r["at"]))
+        whole = sorted(pubmed.parse(fetched(spark, *many)).collect(), key=lambda r: r["pos"])
+        same = [c for c in rows[0].asDict() if c in whole[0].asDict() and c not in ("qid", "pos")]
+        assert [tuple(r[c] for c in same) for r in rows] == [tuple(r[c] for c in same) for r in whole] and len(same) > 9
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two/bad.xml").write_text("<PubmedArticleSet>" + article("1") + "<PubmedArticle><MedlineCitation><PMID>2</PMI></PubmedArticle>" + article("3") + "<PubmedArticle><cut")
+    (tmp_path / "two/evil.xml").write_text('<!DOCTYPE x [<!ENTITY a "b">]><PubmedArticleSet>' + article("4") + article("5") + "</PubmedArticleSet>")
+    (tmp_path / "two/none.xml").write_text("")
+    got = pubmed.read_files(spark, str(tmp_path / "two"))
+    assert sorted((r["file"].rsplit("/", 1)[1], r["source_id"] or "", r["error"] or "") for r in got.collect()) == [("bad.xml", "", "unreadable article response")] * 2 + [("bad.xml", "1", ""), ("bad.xml", "3", ""), ("evil.xml", "", "the document declares entities")]
+
+
+def test_evidence_of_another_paper_is_left_out(spark):
+    q = spark.createDataFrame([("q", "Does yoga help knees?")], "qid string, question string")
+    cr = crossref.Crossref(works(spark, [{**WORK, "DOI": "10.1/a"}, {**WORK, "DOI": "10.1/b", "title": ["Other"]}]))
+
+    def wrong(papers, keep):
+        e = evidence.extract(papers, keep)
+        return e.withColumn("paper_id", F.when(F.col("paper_id") == "crossref:10.1/b", "crossref:10.1/none").otherwise(F.col("paper_id")))
+
+    r = research(q, [cr], extractor=wrong)
+    assert r.papers.count() == 2 and [e["paper_id"] for e in r.evidence.collect()] == ["crossref:10.1/a"]
+    r.release()
