@@ -8,14 +8,16 @@ pattern. A shift of zero leads to the bucket of patterns with that suffix
 block, narrowed by prefix block, and word-by-word comparison confirms.
 
 Scale: documents are scanned once where they lie, without a shuffle. Patterns
-are broadcast in chunks of at most ``CHUNK_WORDS`` words; a larger benchmark
-takes several passes over the same rows instead of one larger broadcast, with
-the rows written to the shared folder between passes.
+are broadcast in chunks of at most ``CHUNK_WORDS`` words, released when their
+pass is over. For a larger benchmark the rows are numbered and written once;
+each chunk's pass then reads their texts alone and writes what it hit, and one
+join by number brings the hits of all passes to their rows.
 
 Defined results: a null or wordless text has no words and no hits; items that
 are null, wordless or without id take no part; equal item ids count once;
 every input row gives one output row, so repeated rows repeat; an empty
-benchmark leaves everything clean.
+benchmark leaves everything clean; texts of any length are searched whole;
+windows that several items share are hits of each, spans that touch are one.
 """
 
 from __future__ import annotations
@@ -133,43 +135,54 @@ def annotate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     keep = docs.columns if keep is None else keep
     carried = list(dict.fromkeys([*keep, text_col]))
     names = [free(c, carried) for c in ADDED]
-    df, held = columns(docs, carried), None
+    added = [T.StructField(n, k) for n, k in zip(names, ADDED.values(), strict=True)]
+    df = columns(docs, carried)
     parts = chunks(items, item_id, item_text, window, chunk_words)
     part = next(parts)
+    after = next(parts, None)
+    if after is None:
+        known = spark.sparkContext.broadcast(part)
+        return arrow_map(df, _scan(known, window, text_col, keep, names), T.StructType([*[df.schema[c] for c in keep], *added]))
+    row = free("_row", [*carried, *names])
+    df, numbered = cut(df.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    texts, hits, schema = columns(df, [row, text_col]), [], T.StructType([df.schema[row], *added])
     while part is not None:
-        after = next(parts, None)
         known = spark.sparkContext.broadcast(part)
-        cols = keep if after is None else carried
-        schema = T.StructType([*[df.schema[c] for c in cols], *[T.StructField(n, k) for n, k in zip(names, ADDED.values(), strict=True)]])
-        df = arrow_map(df, _scan(known, window, text_col, cols, names, held is not None), schema)
-        if after is not None:
-            df, path = cut(df, "decontaminate")
-            if held:
-                delete(spark, held)
-            held = path
-        part = after
-    return df
-
-
-def _scan(known, window: int, text_col: str, cols: list[str], names: list[str], held: bool):
+        found = arrow_map(texts, _scan(known, window, text_col, [row], names), schema)
+        # the first pass counts the words of every row, the others give rows with hits
+        hits.append(cut(found if not hits else found.where(F.size(names[2]) > 0), "decontaminate-hits"))
+        known.unpersist()
+        part, after = after, next(parts, None)
+    every = hits[0][0]
+    for h, _ in hits[1:]:
+        every = every.unionByName(h)
+    words_, spans, ids = names
+    each = every.groupBy(row).agg(F.max(words_).alias(words_), F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(ids)))).alias(ids))
+
+    def whole(b: pa.RecordBatch) -> dict:
+        found = [[{"start": s, "end": e} for s, e in merged((x["start"], x["end"]) for x in all_)] for all_ in b.column(spans).to_pylist()]
+        return {row: b.column(row), words_: b.column(words_), spans: found, ids: b.column(ids)}
+
+    out, _ = cut(columns(df.join(arrow_map(columns(each, [row, *names]), whole, schema), row), [*keep, *names]), "decontaminated")
+    for path in (numbered, *(p for _, p in hits)):
+        delete(spark, path)
+    return out
+
+
+def _scan(known, window: int, text_col: str, cols: list[str], names: list[str]):
     state: dict = {}
 
     def scan(b: pa.RecordBatch) -> dict:
         if "by" not in state:
             state["by"] = matchers(known.value, window)
-        out: dict = {c: b.column(c) for c in cols}
         n, spans, ids = [], [], []
-        old = zip(b.column(names[1]).to_pylist(), b.column(names[2]).to_pylist(), strict=True) if held else None
         for raw in b.column(text_col).cast(pa.binary()).to_pylist():
             ws = words(raw)
             found, items = search(ws, state["by"])
-            if old is not None:
-                was, had = next(old)
-                found, items = merged([*found, *((x["start"], x["end"]) for x in was)]), items | set(had)
             n.append(len(ws))
             spans.append([{"start": s, "end": e} for s, e in found])
             ids.append(sorted(items))
-        return out | dict(zip(names, (n, spans, ids), strict=True))
+        return {c: b.column(c) for c in cols} | dict(zip(names, (n, spans, ids), strict=True))
 
     return scan
 

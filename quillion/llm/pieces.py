@@ -136,7 +136,8 @@ class Pieces:
 
     def skips(self, key, place, piece):
         """True where the candidate that makes ``piece`` at ``place`` is dropped."""
-        return self.drawn(np.uint64(key) ^ (np.uint64(place) * _PLACE + np.uint64(piece) * _PIECE))
+        with np.errstate(over="ignore"):  # modulo 2**64
+            return self.drawn(np.uint64(key) ^ (np.uint64(place) * _PLACE + np.uint64(piece) * _PIECE))
 
     def drawn(self, h):
         """True where the hash of ``h`` is below the rate."""

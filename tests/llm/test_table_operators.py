@@ -324,3 +324,18 @@ def test_repeated_rows_and_very_long_texts(spark, tmp_path):
     # windows at the very end of a long text count
     items = spark.createDataFrame([(9, "word scum")], "item_id long, text string")
     assert {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in dec.digest(dec.annotate(docs, items, keep=["doc_id"])).where("doc_id = 2").collect()} == {2: (2, 1)}
+
+
+def test_large_benchmarks_equal_small_chunks(spark):
+    """Many chunks give the rows of one, with repeated rows and clashing columns; texts aren't written again for each chunk."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = spark.createDataFrame([(f"i{k % 17}", word(rng.randint(0, 9))) for k in range(25)], "item_id string, text string")
+    rows = [(k % 50, word(rng.randint(0, 60)) if k % 9 else None, "s", 1, 2) for k in range(60)] + [(7, "a b c d e f g h " * 5000, "s", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _spans string, `_row` int, _n_words int")
+    want = sorted(map(str, dec.annotate(docs, items, window=4).collect()))
+    for most in (3, 40):
+        got = dec.annotate(docs, items, window=4, chunk_words=most)
+        assert got.columns == [*docs.columns, "_n_words_", "_spans_", "_item_ids"] and sorted(map(str, got.collect())) == want
