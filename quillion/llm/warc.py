@@ -25,14 +25,18 @@ resolves ``WARC-Refers-To`` by a join on the ids of the responses read.
 
 Defined results: a null payload is empty; a null address is written as ``-``;
 records cut off by the end of an archive, or with malformed header lines, are
-reported with an error and no payload; an archive without version block counts
-as version 1.
+reported with an error and no payload, as are damaged records of WARC archives
+when they are read, after which reading goes on at the next record; HTTP headers
+may end with bare line feeds; an archive without version block counts as
+version 1; repeated rows are records of their own, of which those that tie as
+the largest are responses.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -127,8 +131,11 @@ def warc_date(date: str | None) -> str:
 
 def http_split(body: bytes) -> tuple[bytes, bytes]:
     """(header with its empty line, payload); the header is empty if the body is no HTTP response."""
-    end = body.find(b"\r\n\r\n") if body.startswith(b"HTTP/") else -1
-    return (body[: end + 4], body[end + 4 :]) if end >= 0 else (b"", body)
+    if not body.startswith(b"HTTP/"):
+        return b"", body
+    # the first empty line ends it; old crawlers wrote bare line feeds
+    ends = [at + len(gap) for gap in (b"\r\n\r\n", b"\n\n") if (at := body.find(gap)) >= 0]
+    return (body[: min(ends)], body[min(ends) :]) if ends else (b"", body)
 
 
 CONVERTED = [
@@ -227,28 +234,50 @@ def written(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     df.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
+#: How a record begins.
+_FIRST_LINE = re.compile(rb"WARC/1\.[0-9]\r\n[A-Za-z-]+:")
+
+
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of every record of an archive."""
+    """Header fields (lower-case names) and block of every record of an archive.
+
+    What can't be read gives one pair with the field ``error`` and no block;
+    reading goes on where the next record's first lines are.
+    """
     at = 0
     while at < len(raw):
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError(f"a record at byte {at} has no end of header")
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        block = raw[end + 4 : end + 4 + size]
-        if len(block) != size or raw[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, block
-        at = end + 8 + size
+        fields, block, after, error = _record(raw, at)
+        if error is None:
+            yield fields, block
+            at = after
+        else:
+            yield {"error": error}, b""
+            found = _FIRST_LINE.search(raw, at + 1)
+            at = found.start() if found else len(raw)
+
+
+def _record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int, str | None]:
+    """(fields, block, where the next record begins, error) of the record at a byte."""
+    end = raw.find(b"\r\n\r\n", at)
+    lines = raw[at : max(end, at)].decode("utf-8", "replace").split("\r\n")
+    if end < 0 or not lines[0].startswith("WARC/"):
+        return {}, b"", at, f"a record at byte {at} has no end of header" if end < 0 else f"no record begins at byte {at}"
+    if _FIRST_LINE.search(raw, at + 1, end):
+        return {}, b"", at, f"the record at byte {at} is cut off in its header"
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    said = fields.get("content-length", "")
+    if not (said.isascii() and said.isdigit()):
+        return {}, b"", at, f"the record at byte {at} has no length"
+    start = end + 4
+    stop = start + int(said)
+    if raw[stop : stop + 4] != b"\r\n\r\n":
+        return {}, b"", at, f"the record at byte {at} is cut off"
+    return fields, raw[start:stop], stop + 4, None
 
 
 READ = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("target_uri", T.StringType()), T.StructField("date", T.StringType()),
-    T.StructField("content_type", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_id", T.StringType()), T.StructField("intact", T.BooleanType()),
+    T.StructField("content_type", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_id", T.StringType()), T.StructField("intact", T.BooleanType()), T.StructField("error", T.StringType()),
 ])
 
 
@@ -256,7 +285,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives in ``path``, without those of type warcinfo; refers_key is the key of the response that a revisit names.
 
     intact: digests and length are those that the header names (revisits have
-    no payload and only name its digest and length).
+    no payload and only name its digest and length). What can't be read is a row
+    with an error and nothing else, and costs no other record.
     """
     small_batches(spark)
     archives = spark.read.format("binaryFile").load(path).select("content")
@@ -267,16 +297,19 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
             for raw in b.column(0):
                 out = []
                 for f, block in parse_warc(raw.as_py()):
-                    if f["warc-type"] == "warcinfo":
+                    if "error" in f:
+                        out.append({"intact": False, "error": f["error"]})
+                        continue
+                    if f.get("warc-type") == "warcinfo":
                         continue
-                    revisit = f["warc-type"] == "revisit"
-                    said, size = f["warc-payload-digest"].removeprefix("sha1:"), int(f["x-payload-length"])
+                    revisit = f.get("warc-type") == "revisit"
+                    said, size = f.get("warc-payload-digest", "").removeprefix("sha1:"), int(n) if (n := f.get("x-payload-length", "")).isdigit() else -1
                     payload = http_split(block)[1] if f.get("content-type", "").startswith("application/http") else block
                     digest = said if revisit else base32_sha1(payload)
-                    whole = not payload if revisit else digest == said and len(payload) == size and f["warc-block-digest"] == "sha1:" + base32_sha1(block)
+                    whole = not payload if revisit else digest == said and len(payload) == size and f.get("warc-block-digest") == "sha1:" + base32_sha1(block)
                     out.append({
-                        "key": f.get("x-source-key"), "record_id": f["warc-record-id"].strip("<>"), "record_type": f["warc-type"], "target_uri": f.get("warc-target-uri"), "date": f["warc-date"], "content_type": f.get("content-type"),
-                        "payload_bytes": size if revisit else len(payload), "payload_digest": digest, "refers_id": f["warc-refers-to"].strip("<>") if revisit else None, "intact": whole,
+                        "key": f.get("x-source-key"), "record_id": f.get("warc-record-id", "").strip("<>") or None, "record_type": f.get("warc-type"), "target_uri": f.get("warc-target-uri"), "date": f.get("warc-date"), "content_type": f.get("content-type"),
+                        "payload_bytes": size if revisit else len(payload), "payload_digest": digest, "refers_id": f.get("warc-refers-to", "").strip("<>") or None if revisit else None, "intact": whole, "error": None,
                     })
                 yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -341,7 +374,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = archives_of(pages.select("page_id", version.alias("version"), record_head(F.col("url"), body, F.lit("20240101000000"), version).alias("head"), body.alias("body")), "page_id")
     path = shared_path(spark, "warc")
     written(with_revisits(convert(arcs, keys_col="keys"), 0, "cast(key as bigint)"), path)
-    back = read_back(spark, path)
+    back = read_back(spark, path).where("error is null")
     kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response")  # in the sense of the contract
     return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", kind.alias("record_type"), F.col("refers_key").cast("long").alias("refers_to"), F.col("record_type").alias("warc_type"))
 

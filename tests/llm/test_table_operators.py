@@ -339,3 +339,26 @@ def test_large_benchmarks_equal_small_chunks(spark):
     for most in (3, 40):
         got = dec.annotate(docs, items, window=4, chunk_words=most)
         assert got.columns == [*docs.columns, "_n_words_", "_spans_", "_item_ids"] and sorted(map(str, got.collect())) == want
+
+
+def test_damaged_archives_cost_no_other_record(spark, tmp_path):
+    """Damage of every kind in the middle of an archive: one error each, and the records after it are read."""
+    rows = spark.createDataFrame([(k, f"http://x/{k}", f"HTTP/1.0 200 OK\nA: b\n\nbody {k}" if k % 2 else f"plain {k} {'WARC/1.0 ' * k}") for k in range(6)], "page_id long, url string, body string")
+    arcs = rows.select(F.col("page_id").cast("string").alias("key"), warc.arc_bytes(F.col("url"), F.col("body").cast("binary"), F.lit("20240101000000"), F.lit(1)).alias("arc")).coalesce(1)
+    warc.written(warc.with_revisits(warc.convert(arcs)), (tmp_path / "w").as_uri())
+    (file,) = (tmp_path / "w").glob("*.txt")
+    good = file.read_bytes()
+    got = {r["key"]: r for r in warc.read_back(spark, (tmp_path / "w").as_uri()).collect()}
+    assert all(r["intact"] and r["error"] is None for r in got.values()) and got["1"]["payload_bytes"] == len("body 1") and got["1"]["record_type"] == "response" and got["2"]["record_type"] == "resource"
+    heads = [m.start() for m in re.finditer(rb"WARC/1\.0\r\nWARC-Type", good)]
+    at = heads[5]
+    third = good[at : heads[6]]
+    for bad in (third.replace(b"Content-Length: ", b"Content-Length: x"), third.replace(b"Content-Length: ", b"Content-Length: 9"), third.replace(b"WARC/1.0\r\nWARC-T", b"WORC/1.0\r\nWARC-T"), third[: len(third) // 2], b"\0\xff" * 20 + b"\r\n\r\n"):
+        folder = tmp_path / f"d{len(bad)}{bad[:1]!r}".replace("'", "").replace("\\", "")
+        folder.mkdir(exist_ok=True)
+        (folder / "a.warc").write_bytes(good[:at] + bad + good[heads[6] :])
+        rows_ = warc.read_back(spark, folder.as_uri()).collect()
+        assert sum(r["error"] is not None for r in rows_) >= 1 and len({r["key"] for r in rows_ if r["error"] is None and r["intact"]}) >= 5, bad
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/cut.warc").write_bytes(good[:-30])
+    assert [r["error"] is None for r in warc.read_back(spark, (tmp_path / "e").as_uri()).collect()].count(False) == 1
