@@ -295,6 +295,48 @@ def _article_replies(spark, sf_dir):
     return a.agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list("xml"), ""), F.lit("</PubmedArticleSet>")).alias("payload"))
 
 
+def pubmed_identifiers(spark, sf_dir):
+    """Articles' own DOIs (from ids, else from a location that isn't invalid, never from references) and abstracts of several labelled parts."""
+    p = papers(spark, sf_dir)
+    clean = F.regexp_replace(F.coalesce("title", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", " ")
+    title, n = F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.col("ord").cast("string")
+    place = lambda kind, valid, value: F.concat(F.lit(f'<ELocationID EIdType="{kind}" ValidYN="{valid}">'), value, F.lit("</ELocationID>"))
+    kind = F.pmod("ord", F.lit(5))
+    places = F.when(kind == 0, place("doi", "Y", F.lit("10.9/other"))).when(kind == 1, F.concat(place("doi", "N", F.lit("10.9/bad")), place("doi", "Y", F.concat(F.lit("10.2/"), n)))).when(kind == 2, place("doi", "N", F.lit("10.9/bad"))).when(kind == 3, place("pii", "Y", n)).otherwise("")
+    ids = F.when(kind == 0, F.concat(F.lit('<ArticleIdList><ArticleId IdType="doi">10.1/'), n, F.lit("</ArticleId></ArticleIdList>"))).when(kind == 4, '<ReferenceList><Reference><ArticleIdList><ArticleId IdType="doi">10.9/ref</ArticleId></ArticleIdList></Reference></ReferenceList>').otherwise('<ArticleIdList><ArticleId IdType="pubmed">1</ArticleId></ArticleIdList>')
+    parts = F.concat(F.lit('<AbstractText Label="BACKGROUND">'), title, F.lit('</AbstractText><AbstractText Label="EMPTY"> </AbstractText><AbstractText>plain <i>'), n, F.lit("</i> text</AbstractText>"))
+    x = F.concat(F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), n, F.lit("</PMID><Article><ArticleTitle>"), title, F.lit("</ArticleTitle>"), places, F.lit("<Abstract>"), parts, F.lit("</Abstract></Article></MedlineCitation><PubmedData>"), ids, F.lit("</PubmedData></PubmedArticle></PubmedArticleSet>"))
+    return pubmed.parse(p.select(n.alias("qid"), x.alias("payload"))).select(F.col("source_id"), "doi", "abstract")
+
+
+def crossref_odd(spark, sf_dir):
+    """Listings of works with mistyped and missing fields, elements that are no objects, and replies that are no listings."""
+    title = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    doi, n = F.concat(F.lit("10.1/"), F.col("ord").cast("string")).alias("DOI"), F.pmod("ord", F.lit(7))
+    obj = lambda *cols: F.to_json(F.struct(*cols))
+    work = F.when(n == 1, obj(F.array(title).alias("title"))).when(n == 2, obj(doi)).when(n == 3, '"10.1/text"').when(n == 4, obj(doi, title.alias("title"))).when(n == 5, obj(F.col("ord").alias("DOI"), F.array(title).alias("title"))).when(n == 6, obj(doi, F.array(F.lit(" "), title).alias("title"), F.lit(7).alias("abstract"))).otherwise(obj(doi, F.array(title).alias("title")))
+    q = F.floor(F.col("ord") / 20)
+    listed = papers(spark, sf_dir).groupBy(q.alias("q")).agg(F.array_join(F.collect_list(work), ",").alias("items"))
+    reply = F.when(F.col("q") % 9 == 4, F.concat(F.lit('{"status":"failed","message":{"items":['), "items", F.lit("]}}"))).when(F.col("q") % 9 == 5, '{"status":"ok","message":{"items":3}}').otherwise(F.concat(F.lit('{"status":"ok","message":{"items":['), "items", F.lit("]}}")))
+    replies = listed.select(F.col("q").cast("string").alias("qid"), reply.alias("payload"))
+    found = crossref.Crossref(replies, 100).answers(replies)
+    return found.select("qid", F.coalesce("id", F.lit("-")).alias("id"), "title", "error")
+
+
+class _Broken(Source):
+    name = "broken"
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        raise ValueError("a defect")
+
+
+def research_isolated(spark, sf_dir):
+    """Statuses where one of four sources fails: it is in error for every question, the others answer as they do without it."""
+    p = papers(spark, sf_dir)
+    r = research(questions(spark), [_Held(p, "pubmed", 100), _Broken(), *(_Held(p, n, 100) for n in ("crossref", "local"))], with_evidence=False)
+    return r.provider_status.select("qid", "provider", "status", F.col("paper_count").cast("long").alias("paper_count"), "error")
+
+
 def pubmed_files(spark, sf_dir):
     """The rows of pubmed_parse, from files of articles that are read in splits."""
     path = shared_path(spark, "articles")
@@ -407,7 +449,7 @@ QUERIES = {f.__name__: f for f in (
     query_terms, lexical_score, topk_ranked, index_topk, index_questions, date_key_sort, title_keys, unmerged_titles, dedup_components, merged_papers, merged_provider_ranks, provider_positions, per_source_limit,
     strip_tags, abstract_status, sentence_offsets, statistics_in, sentence_cues, evidence_full,
     recall_mrr, recall_macro, unretrieved, judge_outcomes, latency_percentile, semi_relevant, anti_gold, left_evidence, rate_limit_schedule, provider_status, all_failed, retry_decisions,
-    request_rates, crossref_parse, pubmed_parse, pubmed_files, recorded_articles, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains, dedup_incremental,
+    request_rates, crossref_parse, pubmed_parse, pubmed_identifiers, crossref_odd, pubmed_files, recorded_articles, research_isolated, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains, dedup_incremental,
 )} | sample_papers.QUERIES
 
 # SQL
@@ -485,6 +527,16 @@ SELECT page_id, nullif(regexp_replace(t, '^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$'
     "pubmed_parse": f"""
 WITH {_PAPERS}, c AS (SELECT *, {_flat('title')} AS t, {_flat('abstract')} AS a, {_flat('journal')} AS j FROM papers)
 SELECT 'pubmed:' || doc_id AS id, t AS title, CASE WHEN j = '' THEN '' ELSE 'A ' || j END AS authors, CASE WHEN a <> '' THEN 'METHODS: ' || a END AS abstract, '2024-03' AS publication_date, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url FROM c WHERE t <> ''""",
+    "pubmed_identifiers": f"""
+WITH {_PAPERS}, c AS (SELECT *, {_flat('title')} AS t FROM papers)
+SELECT CAST(doc_id AS VARCHAR) AS source_id, CASE doc_id % 5 WHEN 0 THEN '10.1/' || doc_id WHEN 1 THEN '10.2/' || doc_id END AS doi, 'BACKGROUND: ' || t || chr(10) || 'plain ' || doc_id || ' text' AS abstract FROM c WHERE t <> ''""",
+    "crossref_odd": rf"""
+WITH {_PAPERS}, c AS (SELECT *, doc_id // 20 AS q, trim(regexp_replace(replace(title, chr(11), ' '), '[ \t\r\f]+', ' ', 'g')) AS t FROM papers)
+SELECT CAST(q AS VARCHAR) AS qid, 'crossref:10.1/' || doc_id AS id, t AS title, NULL AS error FROM c WHERE t <> '' AND doc_id % 7 IN (0, 4, 6) AND q % 9 NOT IN (4, 5)
+UNION ALL SELECT DISTINCT CAST(q AS VARCHAR), '-', NULL, 'unexpected search response' FROM c WHERE q % 9 IN (4, 5)""",
+    "research_isolated": f"""
+WITH {_RESEARCH}, n AS (SELECT lang, src, count(*) AS n FROM raw GROUP BY lang, src), v(provider) AS (VALUES ('pubmed'), ('crossref'), ('local'), ('broken')), l(lang) AS (VALUES ('en'), ('fr'), ('de'), ('es'))
+SELECT l.lang AS qid, provider, CASE WHEN provider = 'broken' THEN 'error' ELSE 'ok' END AS status, coalesce(n.n, 0) AS paper_count, CASE WHEN provider = 'broken' THEN 'unexpected error' END AS error FROM l CROSS JOIN v LEFT JOIN n ON n.lang = l.lang AND n.src = provider""",
     "pubmed_files": f"""
 WITH {_PAPERS}, c AS (SELECT *, {_flat('title')} AS t, {_flat('abstract')} AS a, {_flat('journal')} AS j FROM papers)
 SELECT 'pubmed:' || doc_id AS id, t AS title, CASE WHEN j = '' THEN '' ELSE 'A ' || j END AS authors, CASE WHEN a <> '' THEN 'METHODS: ' || a END AS abstract, '2024-03' AS publication_date, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url FROM c WHERE t <> ''""",
