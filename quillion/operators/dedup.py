@@ -72,14 +72,14 @@ def merged(papers: DataFrame, lead: DataFrame) -> DataFrame:
         longest("abstract").alias("_abstract"), longest("publication_date").alias("_publication_date"),
         first("journal").alias("_journal"), first("doi").alias("_doi"), first("url").alias("_url"),
     )
-    # records that share their leader with another
-    several = lead.groupBy("leader").agg(F.count("*").alias("_n")).where("_n > 1").select("leader")
-    q = papers.select("ord", "source_ids", "provider_ranks").join(lead.join(several, "leader", "left_semi"), "ord")
-    ids = q.select("leader", "ord", F.posexplode("source_ids").alias("_at", "_id")).groupBy("leader", "_id").agg(F.min(F.struct("ord", "_at")).alias("_place"))
-    ids = ids.groupBy("leader").agg(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_id"))), lambda x: x["_id"]).alias("_source_ids"))
-    ranks = q.select("leader", F.explode("provider_ranks").alias("_source", "_rank")).groupBy("leader", "_source").agg(F.min("_rank").alias("_rank"))
-    ranks = ranks.groupBy("leader").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_source", "_rank")))).alias("_provider_ranks"))
-    g = g.join(ids, "leader", "left").join(ranks, "leader", "left").withColumns({"_rank_score": F.lit(None).cast("double"), "_source_ids": F.coalesce("_source_ids", F.array().cast("array<string>")), "_provider_ranks": F.coalesce("_provider_ranks", F.create_map().cast("map<string,int>"))})
+    # identifiers with their first place and sources with their best rank, each once a task and then once a leader
+    places = F.transform(F.coalesce("source_ids", F.array().cast("array<string>")), lambda x, k: F.struct(F.lit(0).alias("kind"), x.alias("name"), F.col("ord").alias("a"), k.alias("b")))
+    best = F.transform(F.map_entries(F.coalesce("provider_ranks", F.create_map().cast("map<string,int>"))), lambda x: F.struct(F.lit(1).alias("kind"), x["key"].alias("name"), x["value"].cast("long").alias("a"), F.lit(0).alias("b")))
+    each = p.select("leader", F.explode(F.concat(places, best)).alias("x")).groupBy("leader", "x.kind", "x.name").agg(F.min(F.struct("x.a", "x.b")).alias("least"))
+    lists = each.groupBy("leader").agg(F.sort_array(F.collect_list(F.struct("kind", "least", "name"))).alias("x"))
+    ranks = F.map_from_entries(F.array_sort(F.transform(F.filter("x", lambda x: x["kind"] == 1), lambda x: F.struct(x["name"], x["least"]["a"].cast("int")))))
+    lists = lists.select("leader", F.transform(F.filter("x", lambda x: x["kind"] == 0), lambda x: x["name"]).alias("_source_ids"), ranks.alias("_provider_ranks"))
+    g = g.join(lists, "leader", "left").withColumns({"_rank_score": F.lit(None).cast("double"), "_source_ids": F.coalesce("_source_ids", F.array().cast("array<string>")), "_provider_ranks": F.coalesce("_provider_ranks", F.create_map().cast("map<string,int>"))})
     many = F.col("_n") > 1
     cols = [F.when(many, F.col(f"_{c}")).otherwise(F.col(f"_b_{c}")).alias(c) if f"_{c}" in g.columns else F.col(f"_b_{c}").alias(c) for c in papers.columns if c != "ord"]
     return g.select(F.col("leader").alias("ord"), *cols)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +23,18 @@ OUTCOME = "qid string, provider string, failure string, seconds double, budget d
 class Results:
     questions: DataFrame
     papers: DataFrame
-    evidence: DataFrame | None
     provider_status: DataFrame
     codes: DataFrame
     #: qid, raw_count, unique_count, removed
     counts: DataFrame
     #: folders that these frames read
     paths: tuple[str, ...] = ()
+    extracted: Callable[[], DataFrame | None] = lambda: None
+
+    @cached_property
+    def evidence(self) -> DataFrame | None:
+        """Evidence of the papers, planned when it is first asked for."""
+        return self.extracted()
 
     def release(self) -> None:
         """Delete what the frames read; they can't be used afterwards."""
@@ -98,10 +104,12 @@ def research(questions: DataFrame, sources: list[Source], with_evidence: bool =
     papers = ranking.ranked(ranking.scored(dedup.deduplicate(raw), valid))
     papers, path = cut(papers, "papers")
     paths.append(path)
-    found = extractor(papers, ["qid"]) if with_evidence else None
-    if with_evidence and extractor is not evidence.extract:
-        found = invariants.filed(found, papers)
+
+    def extracted() -> DataFrame | None:
+        found = extractor(papers, ["qid"]) if with_evidence else None
+        return found if found is None or extractor is evidence.extract else invariants.filed(found, papers)
+
     n = lambda df, c: df.groupBy("qid").agg(F.count("*").alias(c))
     counts = valid.select("qid").join(n(raw, "raw_count"), "qid", "left").join(n(papers, "unique_count"), "qid", "left")
     counts = counts.select("qid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("raw_count", "unique_count")]).withColumn("removed", F.col("raw_count") - F.col("unique_count"))
-    return Results(q, papers, found, status, control.response_code(status), counts, tuple(paths))
+    return Results(q, papers, status, control.response_code(status), counts, tuple(paths), extracted)
