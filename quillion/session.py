@@ -72,16 +72,17 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame, name: str, paths: list[str] | None = None) -> tuple[DataFrame, str]:
+def cut(df: DataFrame, name: str, paths: list[str] | None = None, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     A lost executor costs nothing that was written. Returns the new frame and
     its path, which the caller may delete once nothing reads it any more;
     ``paths``, if given, has it from before the first row is written.
+    ``compression`` is the session's unless given.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     if paths is not None:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
