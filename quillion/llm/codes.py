@@ -78,11 +78,14 @@ def all_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([((b - row) ** 2).sum(1) for row in a], dtype=kind).reshape(len(a), len(b))
 
 
-def pair_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances of rows of x to the same rows of c, exact."""
-    kind = np.int64 if exact(2 * int(max(np.abs(x).max(initial=0), np.abs(c).max(initial=0))), x.shape[1]) is not object else object
-    gap = x.astype(kind) - c.astype(kind)
-    return (gap * gap).sum(1).astype(kind) if x.shape[1] else np.zeros(len(x), np.int64)
+def pair_distances(x: np.ndarray, c: np.ndarray, rows: np.ndarray | None = None, entries: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of x[rows] to c[entries] (all of both without them), one by one, exact."""
+    kind = exact(2 * int(max(np.abs(x).max(initial=0), np.abs(c).max(initial=0))), x.shape[1])
+    a, b = x.astype(kind), c.astype(kind)
+    gap = (a if rows is None else a[rows]) - (b if entries is None else b[entries])
+    if kind is object:
+        return (gap * gap).sum(1) if x.shape[1] else np.zeros(len(gap), np.int64)
+    return np.einsum("ij,ij->i", gap, gap).astype(np.int64)
 
 
 def packed(lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
@@ -124,14 +127,14 @@ def next_pass(x: np.ndarray, book: Moved, code: np.ndarray, upper: np.ndarray, l
     lower = np.maximum(lower - book.moved - ROOM * (lower + book.moved), 0)
     open_ = np.flatnonzero(~(upper < book.nearest[code]))
     own = np.arange(len(x)) if last else open_
-    exact_own = pair_distances(x[own], book.entries[code[own]])
+    exact_own = pair_distances(x, book.entries, own, code[own])
     best = np.zeros(len(x), exact_own.dtype)
     best[own] = exact_own
     upper[own] = above(exact_own)
     was, rows = code[open_], np.arange(len(open_))
     may = (lower[open_] <= upper[open_][:, None]) & (book.half[was] <= upper[open_][:, None])
     r, j = np.nonzero(may)
-    d = pair_distances(x[open_[r]], book.entries[j])
+    d = pair_distances(x, book.entries, open_[r], j)
     lower[open_[r], j] = below(d)
     lower[open_, was] = below(best[open_])
     table = np.full(may.shape, LONG, np.result_type(d, best) if d.dtype != object and best.dtype != object else object)
@@ -236,7 +239,7 @@ def encode(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     ``trace``, if given, receives the number of distances that each pass but the last took.
     """
     spark = vectors.sparkSession
-    rows, path = cut(integers(vectors, scale, id_col, vec_col, keep), "code-vectors")
+    rows, path = cut(integers(vectors, scale, id_col, vec_col, keep), "code-vectors", compression="zstd")
     first = seeds(rows, entries)
     names = [*keep, free("codes", [id_col, *keep]), free("error", [id_col, *keep])]
     if not len(first):
@@ -245,7 +248,7 @@ def encode(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     d = first.shape[1]
     books, before, had = [first[:, a:z] for a, z in bounds_of(d, parts)], None, path
     for _ in range(rounds):
-        rows, path = cut(assigned(rows, books, before), "code-bounds")
+        rows, path = cut(assigned(rows, books, before), "code-bounds", compression="zstd")
         delete(spark, had)
         had = path
         if trace is not None:

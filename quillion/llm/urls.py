@@ -47,7 +47,7 @@ from quillion.llm.common import free, small_batches
 from quillion.session import cut, delete, read
 
 #: Bits of one shard's cascade, bytes of a piece of a level, keys that the driver finishes, characters of the longest domain name.
-MOST_BITS, PIECE, FEW, LONGEST_HOST = 1 << 28, 4096, 1 << 16, 253
+MOST_BITS, PIECE, FEW, LONGEST_HOST = 1 << 28, 4096, 1 << 12, 253
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
