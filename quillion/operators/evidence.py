@@ -26,22 +26,23 @@ SENTENCE = struct(
     items=T.ArrayType(STR), people=T.ArrayType(LONG), n_equals=T.ArrayType(LONG), studies=T.ArrayType(LONG), statistics=T.ArrayType(STR),
 )
 
+#: Rows whose facts a Python worker holds at a time.
+BATCH_ROWS = 512
+
 
 def abstract_status(abstract: Column) -> Column:
     return F.when(abstract.isNull(), "missing").when(text.strip(abstract) == "", "empty").otherwise("present")
 
 
 def _mapped(df: DataFrame, added: T.StructType, keep: list[str], fn) -> DataFrame:
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     schema = T.StructType([*[df.schema[c] for c in keep], *added.fields])
     want = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = {c: b.column(c) for c in keep} | fn(b)
-                yield pa.RecordBatch.from_arrays([c if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in want], schema=want)
+        # facts are several times their text: few rows of them at a time, whatever the session's batches hold
+        for b in (whole.slice(k, BATCH_ROWS) for whole in batches for k in range(0, whole.num_rows, BATCH_ROWS)):
+            out = {c: b.column(c) for c in keep} | fn(b)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in want], schema=want)
 
     return df.mapInArrow(run, schema)
 

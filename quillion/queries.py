@@ -18,7 +18,7 @@ from quillion.operators.order import positions
 from quillion.plans.research import research
 from quillion.session import cut, delete, shared_path, ship
 from quillion.session import read as table
-from quillion.sources import crossref, pubmed, recorded, snapshot
+from quillion.sources import crossref, evaluation, pubmed, recorded, snapshot
 from quillion.sources.base import Source, with_positions, with_provenance
 
 QUESTION = "What is the effect of thereing and erly ntion on the anea in ering?"
@@ -402,6 +402,30 @@ def research_ranked(spark, sf_dir):
     return _research(spark, sf_dir).papers.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.col("rank_score").alias("score"))
 
 
+def pool_ranked(spark, sf_dir):
+    """The rows of research_ranked, from a recorded pool in JSON: a line for each question and source."""
+    names, path, q = ("pubmed", "crossref", "local"), shared_path(spark, "pool"), questions(spark)
+    fields = [f.name for f in evaluation.RECORD]
+    for n in names:
+        r = _Held(papers(spark, sf_dir), n, 100).search(q).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("r"))), lambda x, y: x["pos"] - y["pos"]).alias("rs"))
+        entry = F.struct("question", F.create_map(F.lit(n), F.transform("rs", lambda x: x["r"])).alias("providers"))
+        r.join(q, "qid").select(F.to_json(F.struct(F.create_map("qid", entry).alias("questions"))).alias("value")).write.mode("append").text(path)
+    r = research(q, [evaluation.Pool(spark, path, n, lines=True) for n in names], with_evidence=False)
+    delete(spark, path)
+    return r.papers.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.col("rank_score").alias("score"))
+
+
+def judgment_files(spark, sf_dir):
+    """How many papers are judged relevant for each question, from judgments in JSON: a line for up to a thousand ids of a question."""
+    path = shared_path(spark, "judgments")
+    j = papers(spark, sf_dir).join(read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
+    part = j.groupBy("qid", F.floor(F.col("ord") / 1000)).agg(F.collect_list(F.struct("id", "title")).alias("relevant"))
+    part.select(F.to_json(F.struct(F.create_map("qid", F.struct("relevant")).alias("questions"))).alias("value")).write.text(path)
+    out, _ = cut(evaluation.judgments(spark, path, lines=True).groupBy("qid").agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("title_chars")), "judged")
+    delete(spark, path)
+    return out
+
+
 def research_replies(spark, sf_dir):
     """The JSON replies, read again: a row for each paper of each question."""
     r = _research(spark, sf_dir)
@@ -449,7 +473,7 @@ QUERIES = {f.__name__: f for f in (
     query_terms, lexical_score, topk_ranked, index_topk, index_questions, date_key_sort, title_keys, unmerged_titles, dedup_components, merged_papers, merged_provider_ranks, provider_positions, per_source_limit,
     strip_tags, abstract_status, sentence_offsets, statistics_in, sentence_cues, evidence_full,
     recall_mrr, recall_macro, unretrieved, judge_outcomes, latency_percentile, semi_relevant, anti_gold, left_evidence, rate_limit_schedule, provider_status, all_failed, retry_decisions,
-    request_rates, crossref_parse, pubmed_parse, pubmed_identifiers, crossref_odd, pubmed_files, recorded_articles, research_isolated, snapshot_round_trip, research_ranked, research_replies, research_counts, dedup_chains, dedup_incremental,
+    request_rates, crossref_parse, pubmed_parse, pubmed_identifiers, crossref_odd, pubmed_files, recorded_articles, research_isolated, snapshot_round_trip, research_ranked, pool_ranked, judgment_files, research_replies, research_counts, dedup_chains, dedup_incremental,
 )} | sample_papers.QUERIES
 
 # SQL
@@ -548,6 +572,8 @@ SELECT CAST(n AS VARCHAR) AS qid, row_number() OVER (PARTITION BY n ORDER BY pla
 FROM c JOIN q USING (n) WHERE rejected IS NULL AND lost IS NULL AND broken IS NULL AND place < 15 AND t <> ''
 UNION ALL SELECT CAST(n AS VARCHAR), 0, NULL, NULL, error FROM e WHERE error IS NOT NULL""",
     "research_ranked": f"WITH {_RESEARCH} SELECT lang AS qid, rank, id, score FROM r",
+    "pool_ranked": f"WITH {_RESEARCH} SELECT lang AS qid, rank, id, score FROM r",
+    "judgment_files": f"WITH {_PAPERS} SELECT lang AS qid, count(*) AS n, CAST(sum(length(title)) AS BIGINT) AS title_chars FROM papers WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang",
     "research_replies": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang) SELECT r.lang AS qid, CAST(200 AS BIGINT) AS code, rank, id, score, 'effect thereing erly ntion anea ering' AS queries_used, raw_count, CASE WHEN abstract IS NULL THEN 'missing' WHEN regexp_full_match(abstract, '\\s*') THEN 'empty' ELSE 'present' END AS abstract_status FROM r JOIN n ON n.lang = r.lang",
     "research_counts": f"WITH {_RESEARCH}, n AS (SELECT lang, count(*) AS raw_count FROM raw GROUP BY lang), u AS (SELECT lang, count(*) AS unique_count FROM g GROUP BY lang) SELECT n.lang AS qid, raw_count, unique_count, raw_count - unique_count AS removed FROM n JOIN u ON u.lang = n.lang",
     "dedup_incremental": "SELECT doc_id, min(doc_id) OVER (PARTITION BY CAST(floor(doc_id / 10) AS BIGINT)) AS leader FROM documents",

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quillion.operators import evaluate, evidence, invariants, rules
 from quillion.schemas import FIELDS, STATUSES
-from quillion.session import read, ship
+from quillion.session import cut, delete, read, shared_path, ship
+from quillion.sources import evaluation
 
 
 def case(n: int, *values: str | None) -> str:
@@ -143,10 +144,26 @@ def gold_outcomes(spark, sf_dir):
 
 
 def gold_accuracy(spark, sf_dir):
-    c = evaluate.outcome_counts(evaluate.field_outcomes(_gold(spark, sf_dir), extracted(spark, sf_dir)))
+    return _accuracy(evaluate.field_outcomes(_gold(spark, sf_dir), extracted(spark, sf_dir)))
+
+
+def _accuracy(outcomes):
+    c = evaluate.outcome_counts(outcomes)
     return c.select("field", F.col("correct").cast("long").alias("correct"), F.col("`correct-null`").cast("long").alias("correct_null"), F.round("accuracy", 9).alias("accuracy"))
 
 
+def gold_from_files(spark, sf_dir):
+    """The rows of gold_accuracy, with the gold read from JSON: a line for up to a thousand papers."""
+    path = shared_path(spark, "gold")
+    g = _gold(spark, sf_dir).withColumnRenamed("paper_id", "id")
+    part = g.groupBy(F.floor(F.substring_index("id", ":", -1).cast("long") / 1000)).agg(F.collect_list(F.struct(*g.columns)).alias("papers"))
+    part.select(F.to_json(F.struct("papers"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    outcomes = evaluate.field_outcomes(evaluation.gold(spark, path, lines=True), extracted(spark, sf_dir))
+    out, _ = cut(_accuracy(outcomes), "gold-outcomes")
+    delete(spark, path)
+    return out
+
+
 def statistics_recall(spark, sf_dir):
     return evaluate.statistics_recall(_gold(spark, sf_dir), extracted(spark, sf_dir)).select("found", "expected")
 
@@ -198,7 +215,7 @@ def evidence_untraceable(spark, sf_dir):
 QUERIES = {
     "sentence_split": sentence_split, "evidence_design": evidence_design, "evidence_sample_size": evidence_sample_size, **{f"evidence_{n}": _texts(n) for n in ("population", "intervention", "comparator")},
     "evidence_outcomes": evidence_outcomes, "evidence_findings": evidence_findings, "evidence_limitations": evidence_limitations, "number_words": number_words, "evidence_availability": evidence_availability,
-    "available_fields": available_fields, "gold_outcomes": gold_outcomes, "gold_accuracy": gold_accuracy, "statistics_recall": statistics_recall, "gold_ungrounded": gold_ungrounded, "gold_in_both": gold_in_both,
+    "available_fields": available_fields, "gold_outcomes": gold_outcomes, "gold_accuracy": gold_accuracy, "gold_from_files": gold_from_files, "statistics_recall": statistics_recall, "gold_ungrounded": gold_ungrounded, "gold_in_both": gold_in_both,
     "evidence_violations": evidence_violations, "evidence_untraceable": evidence_untraceable,
 }
 
@@ -274,6 +291,7 @@ ORACLES = {
     "available_fields": f"WITH {ALL} SELECT d AS doc_id, {', '.join(f"concat_ws(',', {', '.join(f"CASE WHEN ({f} = 'unavailable') = {no} THEN '{f}' END" for f in FIELDS)}) AS {name}" for name, no in (('available', 'false'), ('unavailable', 'true')))} FROM f",
     "gold_outcomes": f"WITH {_GOLD} SELECT doc_id, field, outcome FROM o",
     "gold_accuracy": f"WITH {_GOLD} SELECT field, count(*) FILTER (WHERE outcome = 'correct') AS correct, count(*) FILTER (WHERE outcome = 'correct-null') AS correct_null, round(count(*) FILTER (WHERE outcome LIKE 'correct%') / count(*), 9) AS accuracy FROM o GROUP BY field",
+    "gold_from_files": f"WITH {_GOLD} SELECT field, count(*) FILTER (WHERE outcome = 'correct') AS correct, count(*) FILTER (WHERE outcome = 'correct-null') AS correct_null, round(count(*) FILTER (WHERE outcome LIKE 'correct%') / count(*), 9) AS accuracy FROM o GROUP BY field",
     "statistics_recall": f"WITH {ALL} SELECT count(*) FILTER (WHERE statistics <> '' AND d % 17 < 2) AS found, CAST(2 * (SELECT count(*) FROM x) AS BIGINT) AS expected FROM findings",
     "gold_in_both": "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 30 = 0",
     "gold_ungrounded": "SELECT doc_id FROM documents WHERE doc_id % 7 = 3",

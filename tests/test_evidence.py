@@ -138,8 +138,45 @@ def test_result_does_not_depend_on_partitions_and_gating_loses_nothing(spark):
     df = spark.createDataFrame([(str(i), "t", a) for i, a in enumerate(texts)], "id string, title string, abstract string")
     one = sorted(map(str, evidence.extract(df.coalesce(1)).collect()))
     assert one == sorted(map(str, evidence.extract(df.repartition(5)).collect()))
-    for t in texts:
-        assert rules.cues(t, rules.possible(t)) == rules.cues(t, set(rules.CUE_TESTS))
+
+
+#: Texts of this module, and the same with letters that tests in any case of letters take for ASCII ones.
+GATED = [t for _, a in PAPERS if a for t in (a, a.upper(), a.replace("s", "\u017f").replace("i", "\u0131"), a.replace("i", "\u0130").replace("k", "\u212a"))]
+
+
+def test_no_test_is_skipped_that_would_succeed():
+    every = rules.ALWAYS.union(rules.NEEDS)
+    for t in [*GATED, *(a for a, _ in DESIGNS), *(a for a, _, _ in SIZES)]:
+        for s, *_ in rules.sentences(t):
+            able = rules.possible(s)
+            assert rules.cues(s, able) == rules.cues(s, set(rules.CUE_TESTS)) and rules.counts(s, able) == rules.counts(s, set(every))
+            assert [name for name, _, _, test in rules.PHRASE_TESTS if test.search(s) and name not in able] == []
+            assert not rules.limited(s) or "limitation" in able
+
+
+_PARTS = sorted({p for parts in rules.NEEDS.values() for p in parts} | {"review", "search", "of", "with", "was", "were", "12", "n", "group", "trial", "by"})
+
+
+@settings(max_examples=200)
+@given(st.lists(st.sampled_from(_PARTS), max_size=12).map(" ".join))
+def test_gating_of_random_words(s):
+    able = rules.possible(s)
+    assert rules.cues(s, able) == rules.cues(s, set(rules.CUE_TESTS)) and rules.counts(s, able) == rules.counts(s, set(rules.NEEDS))
+    assert [name for name, _, _, test in rules.PHRASE_TESTS if test.search(s) and name not in able] == []
+
+
+def test_the_session_keeps_its_settings(spark):
+    """Large batches of the session are cut inside the pass; its settings stay as they were."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        many = spark.range(1500).select(F.col("id").cast("string").alias("id"), F.lit("T").alias("title"), F.concat(F.lit("We enrolled "), F.col("id") + 1, F.lit(" patients.")).alias("abstract")).coalesce(1)
+        e = evidence.extract(many).select("paper_id", "sample_size.participants").collect()
+        assert len(e) == 1500 and all(r["participants"] == int(r["paper_id"]) + 1 for r in e)
+        assert spark.conf.get(name) == "10000"
+    finally:
+        spark.conf.set(name, old)
 
 
 def test_invariants_catch_wrong_evidence(spark):
