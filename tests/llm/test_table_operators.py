@@ -247,6 +247,29 @@ def test_large_arrivals_of_small_files_become_whole_files(spark):
     assert store.runs().where("sealed").count() == 2 and store.plan() is None
 
 
+def test_sealed_runs_move_to_segments(spark):
+    """A commit rewrites a row a segment, readers see every run, and sweeping spares what segments name."""
+    df = spark.range(0, 6000, 1, 2).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    store = shards.Store(spark, shared_path(spark, "store-segments"), df.schema, target=128 << 10, segment=2)
+    for k in range(5):  # whole files, sealed as they arrive; ties in size
+        store.append(df.where(F.col("id") % 5 >= 0).withColumn("id", F.col("id") + 6000 * k))
+        if k % 2:
+            store.compact()
+    store.append(df.limit(0))
+    store.append(df.where("id < 10").withColumn("id", F.col("id") - 10))
+    assert store.compact() == store.versions()[-1]
+    entries = store.entries().collect()
+    assert sorted((r["segment"], r["sealed"]) for r in entries) == [(False, False), (False, True), (True, True), (True, True)]
+    assert store.runs().count() == 6 and not store.runs().where("segment").count()
+    assert sum(r["bytes"] for r in entries) == store.runs().agg(F.sum("bytes")).collect()[0][0]
+    rows = store.read()
+    assert rows.count() == 30010 and rows.select("id").distinct().count() == 30010
+    # what a failed writer left goes, what segments hold stays
+    for left in ("runs/a-left", "segments/s-left"):
+        store.fs.mkdirs(store._path(f"{store.root}/{left}"))
+    assert store.sweep(3600) == 0 and store.sweep(0) == 2 and store.sweep(0) == 0 and store.read().count() == 30010
+
+
 def test_shards_hold_every_column_of_documents(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"text {k}", "en", "web", 6, k * 0.5) for k in range(50)], "doc_id long, text string, lang string, source string, n_chars long, extra double")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
