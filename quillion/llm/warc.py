@@ -19,9 +19,9 @@ splits where a payload holds many rows; payloads travel once.
 
 Archives are written by Spark as plain text whose line separator is the record
 separator of WARC, so any file system that Spark writes will do, and read back
-by ``binaryFile``, which takes a file whole: ``PER_FILE`` bounds a file's
-records, and must be smaller where payloads of megabytes are usual. Reading
-resolves ``WARC-Refers-To`` by a join on the ids of the responses read.
+by ``binaryFile``, which takes a file whole: a file holds at most ``PER_FILE``
+records of up to ``LARGE_BYTES``, a gigabyte of payloads in all, and a record
+above that has a file of its own. Reading resolves ``WARC-Refers-To`` by a join on the ids of the responses read.
 
 Defined results: a null payload is empty; a null address is written as ``-``;
 records cut off by the end of an archive, or with malformed header lines, are
@@ -49,7 +49,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quillion.llm.common import arrow_map, small_batches
 from quillion.session import cut, read, shared_path
 
-PER_FILE, ARC_BYTES = 1000, 4 << 20
+PER_FILE, LARGE_BYTES, ARC_BYTES = 1000, 1 << 20, 4 << 20
 #: The header lines of ARC 1 and ARC 2.
 FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
@@ -206,8 +206,13 @@ def with_revisits(records: DataFrame, least_bytes: int = 0, order: str = "key")
     )
 
 
-def written(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """Write WARC/1.0 archives to ``path``: one record per row, without errors."""
+def written(records: DataFrame, path: str, per_file: int = PER_FILE, large: int = LARGE_BYTES, largest: int | None = None) -> None:
+    """Write WARC/1.0 archives to ``path``: one record per row, without errors.
+
+    A file holds ``per_file`` records of at most ``large`` bytes, or one larger
+    record, so that no file outgrows what one task can hold. ``largest`` (no
+    record has more bytes) spares a look at the records for larger ones.
+    """
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), "[\r\n]+", " "), F.lit("\r\n"))).otherwise("")
     revisit, info = F.col("record_type") == "revisit", F.col("record_type") == "warcinfo"
     # a revisit has the HTTP header alone
@@ -230,8 +235,13 @@ def written(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
         F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     record = F.concat(head.cast("binary"), body).cast("string")
-    df = records.where(F.col("error").isNull()).select(record.alias("value"))
-    df.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    good = records.where(F.col("error").isNull())
+    size = F.coalesce(F.octet_length("http") + F.octet_length("payload"), F.lit(0))
+    if largest is None:
+        largest = good.agg(F.max(size)).collect()[0][0] or 0
+    parts = [(good, per_file)] if largest <= large else [(good.where(size <= large), per_file), (good.where(size > large), 1)]
+    for rows, most in parts:
+        rows.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
 
 
 #: How a record begins.
@@ -373,7 +383,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(http, "payload")
     arcs = archives_of(pages.select("page_id", version.alias("version"), record_head(F.col("url"), body, F.lit("20240101000000"), version).alias("head"), body.alias("body")), "page_id")
     path = shared_path(spark, "warc")
-    written(with_revisits(convert(arcs, keys_col="keys"), 0, "cast(key as bigint)"), path)
+    # no record is larger than the largest body or an archive's information
+    largest = max(4096, pages.agg(F.max(F.octet_length("payload"))).collect()[0][0] or 0) + 4096
+    written(with_revisits(convert(arcs, keys_col="keys"), 0, "cast(key as bigint)"), path, largest=largest)
     back = read_back(spark, path).where("error is null")
     kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response")  # in the sense of the contract
     return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", kind.alias("record_type"), F.col("refers_key").cast("long").alias("refers_to"), F.col("record_type").alias("warc_type"))
