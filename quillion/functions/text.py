@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 import unicodedata
 
 import pandas as pd
@@ -78,14 +80,31 @@ def _unescape_rest(s: pd.Series) -> pd.Series:
     return s.map(lambda xs: [None if x is None else html.unescape(x) for x in xs], na_action="ignore")
 
 
-def unescape(texts: Column) -> Column:
-    """HTML entities decoded in each text of an array; arrays without any stay in the JVM."""
-    return F.coalesce(_unescape_rest(F.when(F.exists(texts, lambda t: F.coalesce(F.contains(t, F.lit("&")), F.lit(False))), texts)), texts)
+#: Entities as they end properly, with a semicolon.
+_ENDED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
-def plain_texts(texts: Column) -> Column:
-    """Markup stripped from each text of an array: tags, entities, encoded tags, runs of blanks; empty ones null."""
-    bare = unescape(F.transform(texts, lambda t: F.regexp_replace(t, "<[^<>]*>", "")))
+def _unescape_ended(s: str) -> str:
+    return _ENDED.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0], s)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_ended_rest(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [None if x is None else _unescape_ended(x) for x in xs], na_action="ignore")
+
+
+def unescape(texts: Column, ended: bool = False) -> Column:
+    """HTML entities decoded in each text of an array; arrays without any stay in the JVM.
+
+    With ``ended`` an entity ends with its semicolon: one that was cut off, or whose end went with a tag, stays as it is.
+    """
+    rest = _unescape_ended_rest if ended else _unescape_rest
+    return F.coalesce(rest(F.when(F.exists(texts, lambda t: F.coalesce(F.contains(t, F.lit("&")), F.lit(False))), texts)), texts)
+
+
+def plain_texts(texts: Column, ended: bool = False) -> Column:
+    """Markup stripped from each text of an array: tags, entities (with ``ended`` those that end properly alone), encoded tags, runs of blanks; empty ones null."""
+    bare = unescape(F.transform(texts, lambda t: F.regexp_replace(t, "<[^<>]*>", "")), ended)
     return F.transform(bare, lambda t: nonempty(strip(F.regexp_replace(F.regexp_replace(t, r"(?i)</?(?:p|br|jats:[a-z-]+)\b[^<>]*>", ""), r"[ \t\r\f\x0B]+", " "))))
 
 

@@ -124,3 +124,14 @@ def test_index_reads_only_what_may_lead(spark):
     got = {(r["qid"], r["term"]): (r["floor"], r["least"], r["leads"]) for r in index.needs(i.levels, q, 5).collect()}
     assert got == {("a", "common"): (12, 12, True), ("b", "common"): (12, 11, True), ("b", "rare"): (12, 1, True)}
     i.release()
+
+
+def test_entities_cut_off_stay_as_sql_leaves_them(spark, tmp_path):
+    from quillion.queries import strip_tags
+
+    pages = [(1, "<title>a &amp;&amp</title><style>p{}</style>&copy; &copyright; &ampx;"), (2, "&#65;&#x42;&#67 &amp;quot;"), (3, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["plain"] for r in strip_tags(spark, str(tmp_path)).collect()}
+    assert got == {1: "a &&ampp{}© &copyright; &ampx;", 2: "AB&#67 &quot;", 3: None}
+    # the operator itself decodes as browsers do, unless asked
+    assert spark.range(1).select(text.plain_texts(F.array(F.lit("x &ampp"))).alias("t")).collect()[0]["t"] == ["x &p"]
