@@ -48,8 +48,10 @@ _NEAR = [*range(0x250), *range(0x2010, 0x2024)]
 _SIMPLE = [c for c in _NEAR if len(_folded(chr(c))) == 1]
 _MAPPED = [c for c in _SIMPLE if _folded(chr(c)) != chr(c)]
 _FOLD_FROM, _FOLD_TO = "".join(map(chr, _MAPPED)), "".join(_folded(chr(c)) for c in _MAPPED)
-_NEEDS_FOLD = f"[^{_ranges(_SIMPLE)}]"
-_NEEDS_NFKC = f"[^{_ranges([c for c in _NEAR if unicodedata.normalize('NFKC', chr(c)) == chr(c)])}]"
+# ASCII, which is simple, fails the first part at once; the ranges are looked through for the rest alone
+_FAR = r"[\x{80}-\x{10FFFF}&&[^%s]]"
+_NEEDS_FOLD = _FAR % _ranges([c for c in _SIMPLE if c > 127])
+_NEEDS_NFKC = _FAR % _ranges([c for c in _NEAR if c > 127 and unicodedata.normalize("NFKC", chr(c)) == chr(c)])
 
 
 @F.pandas_udf(T.StringType())

@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -135,3 +136,22 @@ def test_entities_cut_off_stay_as_sql_leaves_them(spark, tmp_path):
     assert got == {1: "a &&ampp{}© &copyright; &ampx;", 2: "AB&#67 &quot;", 3: None}
     # the operator itself decodes as browsers do, unless asked
     assert spark.range(1).select(text.plain_texts(F.array(F.lit("x &ampp"))).alias("t")).collect()[0]["t"] == ["x &p"]
+
+
+def test_index_makes_no_row_for_papers_that_are_not_among_the_first(spark, monkeypatch):
+    """Every question shares a term with every paper: blocks return k rows a question, whatever their number."""
+    monkeypatch.setattr(index, "BLOCK", 40)
+    monkeypatch.setattr(index, "CHUNK", 7)
+    rows = [(k, f"p{k:03d}", "yoga" if k % 9 == 0 else "other", "yoga pain " * (k % 4) or None, f"20{k % 30 + 10}") for k in range(300)]
+    papers = spark.createDataFrame(rows, "ord long, id string, title string, abstract string, publication_date string")
+    q = spark.createDataFrame([(f"q{k}", "yoga pain" if k % 2 else "yoga") for k in range(20)], "qid string, search_query string")
+    i = index.build(papers)
+    assert i.papers.select("block").distinct().count() > 4
+    got = index.top(i, q, 6).select("qid", "rank", "ord", "rank_score").collect()
+    want = ranking.ranked(ranking.scored(papers.join(q.select("qid")), q)).where("rank <= 6").select("qid", "rank", "ord", "rank_score").collect()
+    assert sorted(got) == sorted(want) and len(got) == 120
+    every = pa.table({"term": [None, None, None, "a", "a"], "ord": [5, 6, 7, 5, 7], "t": [0, 1, 2, 0, 1], "m": [0, 0, 0, 2, 0]})
+    asked = pa.table({"qid": ["x", "y", "z"], "terms": [["a"], ["b"], []], "floor": [0, 0, 0]})
+    best = index.best_of_block(every, asked, 1)
+    assert (best["qid"].to_pylist(), list(best["ord"]), list(best["t"]), list(best["m"])) == (["x", "y", "z"], [7, 5, 5], [1, 0, 0], [0, 0, 0])
+    i.release()
