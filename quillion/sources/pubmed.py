@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,9 @@ NAME = "pubmed"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 ADDRESS = "https://pubmed.ncbi.nlm.nih.gov/%s/"
 
+#: Bytes of replies that are parsed into one Arrow batch.
+PORTION_BYTES = 1 << 20
+
 DATE = struct(year=STR, month=STR, day=STR, free=STR)
 NAMED = struct(kind=STR, valid=STR, value=STR)
 ARTICLE = struct(
@@ -78,14 +82,31 @@ def raw_articles(xml: str | bytes | None) -> list[dict] | None:
     return out
 
 
+def portions(payloads: pa.Array, most: int = PORTION_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of replies of about ``most`` bytes together; a longer reply is one by itself."""
+    start, held = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(payloads), 0).to_pylist()):
+        if k > start and held + n > most:
+            yield start, k - start
+            start, held = k, 0
+        held += n
+    if len(payloads) > start:
+        yield start, len(payloads) - start
+
+
 def articles(replies: DataFrame, payload: str = "payload") -> DataFrame:
-    """qid, and the list of raw articles of each reply (null where the XML is refused)."""
+    """qid, and the list of raw articles of each reply (null where the XML is refused).
+
+    However many replies an Arrow batch holds, a few of them are open as trees and lists at a time.
+    """
     schema = T.StructType([replies.schema["qid"], T.StructField("articles", T.ArrayType(ARTICLE))])
     want = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("qid"), pa.array([raw_articles(x) for x in b.column(payload).to_pylist()], want.field("articles").type)], schema=want)
+        for whole in batches:
+            for start, n in portions(whole.column(payload)):
+                b = whole.slice(start, n)
+                yield pa.RecordBatch.from_arrays([b.column("qid"), pa.array((raw_articles(x.as_py()) for x in b.column(payload)), want.field("articles").type, size=n)], schema=want)
 
     return replies.select("qid", payload).mapInArrow(run, schema)
 

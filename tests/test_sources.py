@@ -2,6 +2,7 @@ import json
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,16 @@ def test_evidence_of_another_paper_is_left_out(spark):
     r = research(q, [cr], extractor=wrong)
     assert r.papers.count() == 2 and [e["paper_id"] for e in r.evidence.collect()] == ["crossref:10.1/a"]
     r.release()
+
+
+def test_few_replies_are_open_at_a_time_whatever_a_batch_holds(spark):
+    xml = "<PubmedArticleSet>" + "<PubmedArticle><MedlineCitation><PMID>{0}</PMID><Article><ArticleTitle>T {0}</ArticleTitle></Article></MedlineCitation></PubmedArticle>" + "</PubmedArticleSet>"
+    size = len(xml.format(10))
+    payloads = pa.array([xml.format(k) for k in range(10, 17)] + [None, "x" * (5 * size), ""])
+    cut = list(pubmed.portions(payloads, 3 * size))
+    assert cut == [(0, 3), (3, 3), (6, 2), (8, 1), (9, 1)] and list(pubmed.portions(pa.array([], pa.string()))) == []
+    assert [n for n, _ in pubmed.portions(pa.array([None, "y" * 9, "z"]), 5)] == [0, 1, 2]
+    rows = [(str(k), xml.format(k)) for k in range(50)] + [("bad", "<x"), ("none", None)]
+    replies = spark.createDataFrame(rows, "qid string, payload string").coalesce(1)
+    assert sorted(r["source_id"] for r in pubmed.parse(replies).collect()) == sorted(str(k) for k in range(50))
+    assert {r["qid"] for r in pubmed.parsed(replies).where("error is not null").collect()} == {"bad", "none"}
