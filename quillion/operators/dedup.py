@@ -30,27 +30,29 @@ def leaders(records: DataFrame, keys: DataFrame) -> DataFrame:
     ``records`` has ord, ``keys`` has ord and key. Keys are hubs: records meet at
     their key, never in pairs, so a key of any number of records costs its rows.
     Minimum labels travel from records to keys and back, with pointer jumping.
+    Labels and hubs grow with the records, and files of numbers are far smaller
+    than what they hold: joins are told to shuffle, so nothing goes by the driver.
     """
     spark = records.sparkSession
     keys = keys.distinct()
-    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").hint("merge"), "key")
     edges, edges_path = cut(shared, "dedup-edges")
 
     def spread(label: DataFrame) -> DataFrame:
-        hub = edges.join(label, "ord").groupBy("key").agg(F.min("leader").alias("least"))
-        return edges.join(hub, "key").groupBy("ord").agg(F.min("least").alias("leader"))
+        hub = edges.join(label.hint("merge"), "ord").groupBy("key").agg(F.min("leader").alias("least"))
+        return edges.join(hub.hint("merge"), "key").groupBy("ord").agg(F.min("least").alias("leader"))
 
     # one step settles all groups that share one key; a key whose records differ asks for more
     label, path = cut(spread(edges.select("ord", F.col("ord").alias("leader")).distinct()), "dedup-labels")
-    while not edges.join(label, "ord").groupBy("key").agg(F.min("leader").alias("a"), F.max("leader").alias("b")).where("a <> b").isEmpty():
+    while not edges.join(label.hint("merge"), "ord").groupBy("key").agg(F.min("leader").alias("a"), F.max("leader").alias("b")).where("a <> b").isEmpty():
         near, mid = cut(spread(label), "dedup-labels")
         jump = near.select(F.col("ord").alias("leader"), F.col("leader").alias("further"))
-        new, new_path = cut(near.join(jump, "leader").select("ord", F.col("further").alias("leader")), "dedup-labels")
+        new, new_path = cut(near.join(jump.hint("merge"), "leader").select("ord", F.col("further").alias("leader")), "dedup-labels")
         delete(spark, path)
         delete(spark, mid)
         label, path = new, new_path
     delete(spark, edges_path)
-    return records.select("ord").join(label, "ord", "left").select("ord", F.coalesce("leader", "ord").alias("leader"))
+    return records.select("ord").join(label.hint("merge"), "ord", "left").select("ord", F.coalesce("leader", "ord").alias("leader"))
 
 
 def merged(papers: DataFrame, lead: DataFrame) -> DataFrame:

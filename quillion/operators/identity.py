@@ -5,7 +5,8 @@ the label (the smallest ord of its component) it got when it came, and one
 table of labels that have changed since. A batch meets the store at its keys:
 the labels found there stand for all that lies behind them, and the components
 of that small graph are found as ``dedup.leaders`` finds them. A label that is
-joined to a smaller one is listed, so followers of results can move on.
+joined to a smaller one is listed, so followers of results can move on. Joins
+of the store shuffle, as in ``dedup.leaders``.
 
 Batches in any split and order give the labels of one run over all records, but
 for the case where a later record has a smaller ord than its component: then
@@ -45,15 +46,15 @@ class Identity:
     def labels(self, spark: SparkSession) -> DataFrame:
         """(ord, leader) of every record so far."""
         now = self._changed(spark)
-        return _read(spark, RECORDS, self.records).join(now, F.col("label") == F.col("old"), "left").select("ord", F.coalesce("new", "label").alias("leader"))
+        return _read(spark, RECORDS, self.records).join(now.hint("merge"), F.col("label") == F.col("old"), "left").select("ord", F.coalesce("new", "label").alias("leader"))
 
     def _changed(self, spark: SparkSession) -> DataFrame:
         return _read(spark, CHANGES, (self.changes,) if self.changes else ())
 
     def known(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
         """(key, label) of those of ``keys`` that the store has."""
-        some = _read(spark, HUBS, self.hubs).join(keys.select("key").distinct(), "key", "left_semi")
-        return some.join(self._changed(spark), F.col("label") == F.col("old"), "left").select("key", F.coalesce("new", "label").alias("label")).distinct()
+        some = _read(spark, HUBS, self.hubs).join(keys.select("key").distinct().hint("merge"), "key", "left_semi")
+        return some.join(self._changed(spark).hint("merge"), F.col("label") == F.col("old"), "left").select("key", F.coalesce("new", "label").alias("label")).distinct()
 
     def release(self, spark: SparkSession) -> None:
         for p in (*self.records, *self.hubs, *([self.changes] if self.changes else [])):
@@ -76,13 +77,13 @@ def extend(store: Identity, records: DataFrame, keys: DataFrame) -> tuple[Identi
     old = met.select(F.col("label").alias("ord"), "key")
     every = records.select("ord").unionByName(old.select("ord")).distinct()
     lead, lead_path = cut(dedup.leaders(every, new.unionByName(old)), "identity-leaders")
-    changed, changed_path = cut(lead.join(old.select("ord").distinct(), "ord", "left_semi").where("leader <> ord").select(F.col("ord").alias("old"), F.col("leader").alias("new")), "identity-changed")
-    _, rec_path = cut(records.select("ord").distinct().join(lead, "ord").select("ord", F.col("leader").alias("label")), "identity-records")
-    fresh = new.join(met.select("key"), "key", "left_anti").join(lead, "ord").groupBy("key").agg(F.min("leader").alias("label"))
+    changed, changed_path = cut(lead.join(old.select("ord").distinct().hint("merge"), "ord", "left_semi").where("leader <> ord").select(F.col("ord").alias("old"), F.col("leader").alias("new")), "identity-changed")
+    _, rec_path = cut(records.select("ord").distinct().join(lead.hint("merge"), "ord").select("ord", F.col("leader").alias("label")), "identity-records")
+    fresh = new.join(met.select("key").hint("merge"), "key", "left_anti").join(lead.hint("merge"), "ord").groupBy("key").agg(F.min("leader").alias("label"))
     _, hub_path = cut(fresh, "identity-hubs")
     # labels that had changed before move on with what they had become
     before = store._changed(spark)
-    moved = before.join(changed.select(F.col("old").alias("o"), F.col("new").alias("n")), F.col("new") == F.col("o"), "left").select("old", F.coalesce("n", "new").alias("new"))
+    moved = before.join(changed.select(F.col("old").alias("o"), F.col("new").alias("n")).hint("merge"), F.col("new") == F.col("o"), "left").select("old", F.coalesce("n", "new").alias("new"))
     _, all_path = cut(moved.unionByName(changed), "identity-changes")
     for p in (new_path, met_path, lead_path):
         delete(spark, p)

@@ -118,3 +118,18 @@ def test_one_large_component_merges_from_partial_rows(spark):
     assert got[0]["source_ids"] == seen and got[0]["provider_ranks"] == ranks and got[0]["ord"] == 0 and len(got[0]["abstract"]) == 49 and got[0]["journal"] == "j1"
     plan = dedup.merged(p, p.select("ord", F.lit(0).cast("long").alias("leader")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1  # of distinct ids and sources
+
+
+def test_labels_and_hubs_never_go_by_the_driver(spark):
+    """Joins of what grows with the records shuffle, however small the tables are here."""
+    keys = spark.createDataFrame([(k, f"k{k // 2}") for k in range(40)], "ord long, key string")
+    store = identity.Identity()
+    for k in range(2):
+        batch = keys.where(f"ord % 2 = {k}")
+        store, _ = identity.extend(store, batch.select("ord"), batch)
+    for df in (store.labels(spark), store.known(spark, keys), dedup.leaders(keys.select("ord"), keys)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r["ord"], r["leader"]) for r in store.labels(spark).collect()} == {(k, k // 2 * 2) for k in range(40)}
+    store.release(spark)
