@@ -29,7 +29,11 @@ def nonempty(c: Column) -> Column:
 
 
 def _folded(s: str) -> str:
-    return "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    s = unicodedata.normalize("NFKD", s)
+    for x in set(s):
+        if unicodedata.combining(x):
+            s = s.replace(x, "")
+    return s
 
 
 def _ranges(codes: list[int]) -> str:

@@ -166,3 +166,34 @@ def test_questions_are_broadcast_and_texts_stay_behind(spark, tmp_path):
     plan = p.join(query.process(questions(spark)), "qid", "left")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted(r["qid"] for r in questions(spark).collect()) == ["de", "en", "es", "fr"]
+
+
+ODD = [
+    "Überblick—café “words” ½ ﬁnding Kelvin İstanbul", "e\u0301te\u0301 a\u0301-\u0301b 日本語 x２y straße Στάς", "studies bus Gas glass this axis ties dies flies s 7 x 42s", "«naïve» naïves NAÏVE naive", "a\u00a0b\u2014cc\u2014cc l’été l'été", "", None, " - ", "ends", "begins", "日本 ²³ ǆ Ǆ ﷺ",
+]
+
+
+def test_index_has_a_row_for_a_term_of_a_block_and_the_words_of_texts(spark, monkeypatch):
+    """Postings of a term are a list, whatever the number of papers; words are those that a scan finds."""
+    for at, size in ((1 << 11, 1 << 22), (3, 1 << 22), (1 << 11, 40)):
+        monkeypatch.setattr(index, "AT_A_TIME", at)
+        monkeypatch.setattr(index, "TEXT_BYTES", size)
+        rows = [(k, b, k * 10, t, a) for b in (0, 1) for k, (t, a) in enumerate(zip(ODD, ODD[4:] + ODD[:4], strict=True))]
+        p = spark.createDataFrame(rows, "k int, block int, ord long, title string, abstract string").withColumn("scope", F.lit("x"))
+        w = p.select("block", "ord", text.words(F.col("title")).alias("a"), text.words(F.col("abstract")).alias("b")).collect()
+        want = {}
+        for r in w:
+            for t in {*r["a"], *r["b"]} - set(query.STOPWORDS):
+                want[r["block"], t, r["ord"]] = (t in r["a"]) * index.TITLE + min(3, r["b"].count(t))
+        cols = ["scope", "block", "ord", "title", "abstract"]
+        batch = pa.Table.from_pylist([{c: r[c] for c in cols} for r in p.collect()], pa.schema([("scope", pa.string()), ("block", pa.int32()), ("ord", pa.int64()), ("title", pa.string()), ("abstract", pa.string())]))
+        lists = [x for b in index.counted(iter(batch.to_batches())) for x in b.to_pylist()]
+        found = [((x["block"], x["term"], o), v) for x in lists for o, v in zip(x["ords"], x["weights"], strict=True)]
+        assert len(found) == len(want) and dict(found) == want
+        if size > 40 and at > 3:
+            assert len(lists) == len({(b, t) for b, t, _ in want})
+    assert list(index.counted(iter(batch.slice(0, 0).to_batches()))) == []
+    papers = spark.createDataFrame([(k, f"p{k}", "yoga", "pain yoga", "2020") for k in range(500)], "ord long, id string, title string, abstract string, publication_date string")
+    i = index.build(papers)
+    assert i.postings.count() <= 2 * index.SHARES and i.postings.selectExpr("sum(size(ords))").collect()[0][0] == 1000
+    i.release()
