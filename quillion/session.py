@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +74,18 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 1 << 23) -> Iterator[None]:
+    """Jobs inside hand rows to Python in batches of about ``most`` bytes; the session's setting is as before afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, name: str, paths: list[str] | None = None, compression: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
